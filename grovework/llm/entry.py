@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import decontaminate, mixing, sharding, simhash
 
 
 def queries():
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_simhash": simhash.op2_simhash,
         "op8_mixing": mixing.op8_mixing,
         "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql():
-    return {"op8_mixing": mixing.OP8_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op8_mixing": mixing.OP8_SQL}
