@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, sharding, simhash
+from . import chat, decontaminate, language, mixing, secret_scan, sharding, simhash
 
 
 def queries():
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_simhash": simhash.op2_simhash,
+        "op4_secrets": secret_scan.op4_secrets,
+        "op6_chat": chat.op6_chat,
+        "op7_language": language.op7_language,
         "op8_mixing": mixing.op8_mixing,
         "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql():
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op8_mixing": mixing.OP8_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op6_chat": chat.OP6_SQL, "op8_mixing": mixing.OP8_SQL}
