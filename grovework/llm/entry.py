@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, mixing, secret_scan, sharding, simhash
+from . import chat, decontaminate, language, mixing, secret_scan, sharding, simhash, substring_dedup
 
 
 def queries():
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_simhash": simhash.op2_simhash,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_secrets": secret_scan.op4_secrets,
         "op6_chat": chat.op6_chat,
         "op7_language": language.op7_language,
