@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, mixing, secret_scan, sharding, simhash, substring_dedup
+import corpus_pipeline
+
+from . import chat, decontaminate, language, mixing, neighbours, scoring, secret_scan, sharding, simhash, substring_dedup
 
 
 def queries():
@@ -11,12 +13,18 @@ def queries():
         "op2_simhash": simhash.op2_simhash,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_secrets": secret_scan.op4_secrets,
+        "op5_neighbours": neighbours.op5_neighbours,
         "op6_chat": chat.op6_chat,
         "op7_language": language.op7_language,
         "op8_mixing": mixing.op8_mixing,
+        "op9_scoring": scoring.op9_scoring,
         "op10_sharding": sharding.op10_sharding,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op6_chat": chat.OP6_SQL, "op8_mixing": mixing.OP8_SQL}
+    found = {"op1_decontaminate": decontaminate.OP1_SQL, "op6_chat": chat.OP6_SQL, "op8_mixing": mixing.OP8_SQL}
+    if corpus_pipeline.ORACLE_SQL is not None:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

@@ -164,17 +164,17 @@ def fit(labelled: DataFrame, key: str = "doc_id") -> CrossParser:
     return CrossParser(sample)
 
 
-def identify(docs: DataFrame, parser: CrossParser) -> DataFrame:
-    """`docs` with lang_pred, score, rate; their like-named columns are replaced.
+def identify(docs: DataFrame, parser: CrossParser, added: tuple[str, str, str] = ("lang_pred", "score", "rate")) -> DataFrame:
+    """`docs` with language, score and rate under the names `added`; columns of those names are replaced.
 
     Only the text is looked at.  Null texts and those without a letter are
     'und' with score 0, as all are if the parser knows no language.  score is
     1 - fewest / second fewest phrase bits; with one language it is 0.5.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "rate")]
+    names = [c for c in docs.columns if c not in added]
     shared = docs.sparkSession.sparkContext.broadcast(parser)  # a few MB: languages x SAMPLE_SYMBOLS
     base = docs.select(*names)
-    schema = base.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("rate")).schema
+    schema = base.select("*", *[F.lit(x).alias(n) for x, n in zip(("", 0.0, 0.0), added, strict=True)]).schema
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,5 +209,5 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The parser is fitted on the documents' own labelled rows.
     """
-    found = identify(docs, fit(docs.where(~held_out_mod("doc_id", 3))))
-    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+    found = identify(docs, fit(docs.where(~held_out_mod("doc_id", 3))), ("__lang", "__score", "__rate"))
+    return found.where(F.col("__lang") != "und").select(*docs.columns)

@@ -41,15 +41,16 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every document."""
+    """doc_id, text_hash (to tell rows of one doc_id apart), fp (the fingerprint as a signed long) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, shingle) for t in b.column(1)]
+            found = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, shingle) for t in b.column(2)]
             fp = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), fp], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def plan_blocks(n: int, distance: int) -> int:
@@ -157,14 +158,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     table gives none.  Exact copies are one fingerprint from the start.
     """
     prints = checkpoint(fingerprints(docs, shingle))
-    distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    return _grouped(prints, distance).select("doc_id", "fp", "component_id")
+
+
+def _grouped(prints: DataFrame, distance: int) -> DataFrame:
+    """prints with component_id and keep: the group's first (doc_id, text_hash), null doc_ids last."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(order).alias("least")))
     roots = components(link_fingerprints(distinct.select("fp"), distance))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
+        "fp", "first", "least", F.coalesce("root", "fp").alias("root")
     )
-    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = placed.join(smallest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.min("least").alias("keep"))
+    return prints.join(placed.join(smallest, "root").select("fp", "component_id", "keep"), "fp")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +179,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: the document with the smallest doc_id of each group; of rows that repeat it, one."""
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("__id")).drop("__id").dropDuplicates(["doc_id"])
+    """Pipeline: one document of each group, that with the smallest doc_id (null ones last); of equal rows, one."""
+    found = _grouped(checkpoint(fingerprints(docs)), 4)
+    kept = found.select(F.col("keep.doc_id").alias("__id"), F.col("keep.text_hash").alias("__hash")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    return docs.join(kept, same).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
