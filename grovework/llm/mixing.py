@@ -46,7 +46,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share_percent: int,
         / (F.sum("__w").over(onward) * 100),
     )
     level = level.withColumn(
-        "__level", F.min(F.when(F.col("__level") * F.col("__w") <= F.col("__cap"), F.col("__level"))).over(everything)
+        "__level",
+        F.first(F.when(F.col("__level") * F.col("__w") <= F.col("__cap"), F.col("__level")), ignorenulls=True).over(everything),
     )
     # no level: even all caps together fall short of the share
     return level.withColumn(
@@ -193,7 +194,8 @@ lv AS (
              - coalesce(sum(cap) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT * 100)::DOUBLE
             / ((sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT * 100)::DOUBLE AS lev
   FROM w),
-lv2 AS (SELECT *, min(CASE WHEN lev * w <= cap THEN lev END) OVER () AS level FROM lv),
+lv2 AS (SELECT *, first_value(CASE WHEN lev * w <= cap THEN lev END IGNORE NULLS) OVER (
+  ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS level FROM lv),
 tgt AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap::DOUBLE ELSE least(level * w, cap::DOUBLE) END AS target FROM lv2),
 r AS (
   SELECT s.*, t.source_size, t.target,
