@@ -1,0 +1,59 @@
+"""Scoring every pixel of whole images with numpy."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+
+
+def dense_scorer(nodes: list[tuple], cands) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    trees: dict[int, dict[int, tuple]] = {}
+    for n in nodes:
+        trees.setdefault(n[0], {})[n[1]] = n
+    classes = next(len(n[7]) for n in nodes if n[2])
+
+    def value(image: np.ndarray, p: dict) -> np.ndarray:
+        h, w, bands = image.shape
+
+        def at(k: int) -> np.ndarray:
+            if not 0 <= p[f"b{k}"] < bands:
+                return np.zeros((h, w), np.int64)
+            i = np.clip(np.arange(h) + p[f"dy{k}"], 0, h - 1)
+            j = np.clip(np.arange(w) + p[f"dx{k}"], 0, w - 1)
+            return image[i[:, None], j[None, :], p[f"b{k}"]]
+
+        a, b = at(0), at(1)
+        return (a, a + b, a - b, np.abs(a - b))[p["texton"]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hs, ws = (batch.column(k).to_pylist() for k in range(3))
+            leaves, probs = [], []
+            for h, w, x in zip(hs, ws, batch.column(3), strict=True):
+                image = np.asarray(x.values.to_numpy()).reshape(h, w, -1).astype(np.int64)
+                total, first = np.zeros((h * w, classes)), None
+                for tree in trees.values():
+                    node, done = np.zeros(h * w, np.int64), False
+                    while not done:
+                        done = True
+                        for n in np.unique(node).tolist():
+                            if tree[n][2]:
+                                continue
+                            done = False
+                            own = np.flatnonzero(node == n)
+                            v = value(image, cands.params[tree[n][3]]).ravel()[own]
+                            node[own] = 2 * n + 1 + (v >= tree[n][5])
+                    kinds, at = np.unique(node, return_inverse=True)
+                    total += np.array([tree[n][7] for n in kinds.tolist()])[at]
+                    if first is None:
+                        first = np.array([tree[n][8] for n in kinds.tolist()], np.int32)[at]
+                leaves.append(first)
+                probs.append((total / len(trees)).ravel())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(hs, pa.int32()), pa.array(ws, pa.int32()), pa.array(leaves, pa.list_(pa.int32())), pa.array(probs, pa.list_(pa.float64()))],
+                names=["image_id", "height", "width", "leaves", "probs"],
+            )
+
+    return run

@@ -1,0 +1 @@
+"""No operator here needs a stream; batch jobs cover all of them."""
