@@ -590,7 +590,7 @@ def q_append(spark, d):
 
 
 @query("vector_test", f"""WITH {CAND_SQL}, e AS (SELECT event_id, event_type, [value, (props->>'k')::DOUBLE, (event_id % 5)::DOUBLE] AS x FROM events)
-SELECT event_id, feat_ind, (CASE WHEN kind = 2 THEN x[dim % 3 + 1] = t ELSE x[dim % 3 + 1] >= t END) AS passed FROM e, c WHERE rnk = 1""")
+SELECT event_id, feat_ind, (CASE WHEN kind = 2 THEN x[dim % 3 + 1] = t ELSE x[dim % 3 + 1] >= t END) AS passed FROM e, c WHERE feat_ind % 5 = 0""")
 def q_test(spark, d):
     k = F.get_json_object("props", "$.k").cast("double")
     events = X.table(spark, d, "events").select("event_id", F.array("value", k, (F.col("event_id") % 5).cast("double")).alias("x"))
