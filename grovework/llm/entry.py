@@ -24,7 +24,13 @@ def queries():
 
 
 def oracle_sql():
-    found = {"op1_decontaminate": decontaminate.OP1_SQL, "op6_chat": chat.OP6_SQL, "op8_mixing": mixing.OP8_SQL}
+    found = {
+        "op1_decontaminate": decontaminate.OP1_SQL,
+        "op3_substring_dedup": substring_dedup.OP3_SQL,
+        "op6_chat": chat.OP6_SQL,
+        "op8_mixing": mixing.OP8_SQL,
+        "op10_sharding": sharding.OP10_SQL,
+    }
     if corpus_pipeline.ORACLE_SQL is not None:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

@@ -125,3 +125,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: every document with its shard and slot, and no text moved."""
     return shard_documents(docs)
+
+
+_SHARDS = ", ".join(f"({s}, {a}, {b})" for s, (a, b) in ((s, _mix(s)) for s in range(41)))
+OP10_SQL = rf"""
+WITH RECURSIVE poly AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)),
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::BIGINT) AS bytes,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT % {P} AS h FROM documents),
+c AS (SELECT doc_id, size, h, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295)::BIGINT AS text_crc32
+  FROM d, poly),
+s AS (SELECT * FROM (VALUES {_SHARDS}) v(shard, a, b)),
+x AS (SELECT h, shard, b, (h * a + b) % {P} AS x FROM (SELECT DISTINCT h FROM d), s),
+y AS (SELECT h, shard, -ln(((xor(x, x >> 15) * 48271 + b) % {P} + 0.5::DOUBLE) / {P}.0::DOUBLE) AS cost FROM x),
+w AS (SELECT h, min_by(shard, struct_pack(cost := cost, shard := shard)) FILTER (shard < 40) AS shard, min_by(shard, struct_pack(cost := cost, shard := shard)) AS grown FROM y GROUP BY h),
+n AS (SELECT greatest(1, ceil(count(*) / {BLOCK_ROWS * 40}.0))::BIGINT AS blocks FROM documents)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY c.h % blocks, doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot, grown::INT AS grown_shard
+FROM c JOIN w USING (h), n
+"""

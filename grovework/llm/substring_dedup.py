@@ -18,6 +18,8 @@ from .common import partitions, table
 WINDOW, GRAM = 20, 4
 #: Text that a map task tokenizes at once, and packed text it holds back to join copies; packed text of a bucket.
 SLICE_BYTES, FLUSH_BYTES, BUCKET_BYTES = 1 << 20, 24 << 20, 6 << 20
+#: Compression of packed text; what travels is written to disk on the way.
+LEVEL = 1
 NO_ID = -(1 << 63)
 
 _draws = np.random.default_rng(WINDOW)
@@ -119,7 +121,7 @@ class Packer:
                 send[i] = False
                 if (doc[i], text[i], start[i]) != (doc[r], text[r], start[r]):
                     gone.append(i)
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
         if gone:
             to = (start[gone] + count[gone] + WINDOW - 1).astype(np.int32)
             head = np.int32(len(gone)).tobytes() + doc[gone].tobytes() + text[gone].tobytes()
@@ -332,6 +334,17 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+w AS (SELECT doc_id, s, array_to_string(t[s : s + 19], ' ') AS win FROM (SELECT doc_id, t, unnest(range(1, len(t) - 18)) AS s FROM d)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS n FROM w) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, s + k AS pos FROM r, range(20) x(k)),
+kept AS (SELECT u.doc_id, count(*) AS n, string_agg(u.word, ' ' ORDER BY u.pos) AS s
+  FROM (SELECT doc_id, unnest(t) AS word, unnest(range(1, len(t) + 1)) AS pos FROM d) u ANTI JOIN gone g ON g.doc_id = u.doc_id AND g.pos = u.pos GROUP BY 1)
+SELECT d.doc_id, len(t)::BIGINT AS n_words, (len(t) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def brute_force(rows: list[tuple[int, str]]) -> dict[int, tuple[int, int, str]]:
     """The same from a dictionary of all windows; for tests."""
     seen: set[tuple] = set()
