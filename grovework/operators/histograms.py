@@ -65,8 +65,14 @@ def bin_counts(values: DataFrame, thresholds: dict[int, list[float]], kinds: dic
     return one.select(*keys, "label", "feat", bin_.alias("bin")).groupBy(*keys, "label", "feat", "bin").agg(F.count("*").alias("n"))
 
 
-def bin_counts_batched(values: DataFrame, thresholds: dict[int, list[float]], kinds: dict[int, int], keys: Sequence[str]) -> DataFrame:
-    """The same by batch: numpy bins and counts each Arrow batch, built-in sums add the partial counts."""
+def bin_counts_batched(
+    values: DataFrame, thresholds: dict[int, list[float]], kinds: dict[int, int], keys: Sequence[str], per_tree: int | None = None
+) -> DataFrame:
+    """The same by batch: numpy bins and counts each Arrow batch, built-in sums add the partial counts.
+
+    per_tree: the first key is a tree, and its values are those of features
+    tree * per_tree and on, so that trees of different features share a job.
+    """
     feats = sorted(thresholds)
     bounds = [np.array(thresholds[f], float) for f in feats]
     cut = values.select(*[F.col(k).cast("long") for k in keys], F.col("label").cast("long"), "values")
@@ -76,22 +82,25 @@ def bin_counts_batched(values: DataFrame, thresholds: dict[int, list[float]], ki
         for b in batches:
             if not b.num_rows:
                 continue
-            head = np.stack([b.column(i).to_numpy() for i in range(len(keys) + 1)], 1)
-            x = b.column(len(keys) + 1).flatten().to_numpy().reshape(b.num_rows, -1)
-            group, at = np.unique(head, axis=0, return_inverse=True)
-            at = at.ravel()
+            head_all = np.stack([b.column(i).to_numpy() for i in range(len(keys) + 1)], 1)
+            x_all = b.column(len(keys) + 1).flatten().to_numpy().reshape(b.num_rows, -1)
             out = []
-            for k, f in enumerate(feats):
-                v, ts = x[:, k], bounds[k]
-                if kinds[f] == 2:
-                    place = np.searchsorted(ts, v).clip(max=len(ts) - 1)
-                    bin_ = np.where(ts[place] == v, place + 1, 0)
-                else:
-                    bin_ = np.searchsorted(ts, v, side="right")
-                width = len(ts) + 1
-                counts = np.bincount(at * width + bin_, minlength=len(group) * width)
-                own = np.flatnonzero(counts)
-                out.append(np.column_stack([group[own // width], np.full(len(own), f), own % width, counts[own]]))
+            for tree in np.unique(head_all[:, 0]).tolist() if per_tree else [0]:
+                rows = head_all[:, 0] == tree if per_tree else slice(None)
+                head, x = head_all[rows], x_all[rows]
+                group, at = np.unique(head, axis=0, return_inverse=True)
+                at = at.ravel()
+                for k, f in enumerate(feats[tree * per_tree : (tree + 1) * per_tree] if per_tree else feats):
+                    v, ts = x[:, k], bounds[f]
+                    if kinds[f] == 2:
+                        place = np.searchsorted(ts, v).clip(max=len(ts) - 1)
+                        bin_ = np.where(ts[place] == v, place + 1, 0)
+                    else:
+                        bin_ = np.searchsorted(ts, v, side="right")
+                    width = len(ts) + 1
+                    counts = np.bincount(at * width + bin_, minlength=len(group) * width)
+                    own = np.flatnonzero(counts)
+                    out.append(np.column_stack([group[own // width], np.full(len(own), f), own % width, counts[own]]))
             table = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in table.T], names=names)
 

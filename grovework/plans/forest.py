@@ -203,14 +203,14 @@ def with_tables(points: DataFrame, images: DataFrame, tables: DataFrame, preds:
 KEYS = ["tree_id", "node_id"]
 
 
-def train_level(valued: DataFrame, cands: Candidates) -> tuple[DataFrame, DataFrame]:
-    """(best, hist) of all open nodes of all trees; valued: tree_id, node_id, label, values.
+def train_level(valued: DataFrame, cands: Candidates, per_tree: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(best, hist) of all open nodes of all trees; valued: tree_id, node_id, label, values (per_tree: those of its tree's features).
 
     The shuffle is keyed by (tree, node, feature, bin, label) of partial counts,
     so the root's level is spread as evenly as any other.
     """
     spark = valued.sparkSession
-    bins = H.bin_counts_batched(valued, dict(enumerate(cands.thresholds)), cands.kinds(), KEYS)
+    bins = H.bin_counts_batched(valued, dict(enumerate(cands.thresholds)), cands.kinds(), KEYS, per_tree)
     hist = H.split_histograms(bins, cands.frame(spark), KEYS)
     return H.best_split(H.information_gain(hist, KEYS), KEYS), hist
 
@@ -240,7 +240,6 @@ def train_forest(
     valued = family.attach(samples, cands).join(F.broadcast(trees))
     own = F.slice("values", F.col("tree_id") * num_feat + 1, num_feat) if num_trees > 1 else F.col("values")
     now = checkpoint(valued.select("tree_id", F.lit(0).cast("long").alias("node_id"), "label", own.alias("values")))
-    parts = [Candidates(cands.params[k * num_feat : (k + 1) * num_feat], cands.thresholds[k * num_feat : (k + 1) * num_feat]) for k in range(num_trees)]
     nodes: list[tuple] = []
     prior = now.groupBy("tree_id", "label").agg(F.count("*").alias("n")).collect()
     open_: dict[tuple[int, int], list[float]] = {}
@@ -253,19 +252,15 @@ def train_forest(
     for level in range(max_levels + 1):
         chosen: dict[tuple[int, int], tuple] = {}
         if open_ and level < max_levels:
-            for t in range(num_trees):
-                here = now.where(F.col("tree_id") == t) if num_trees > 1 else now
-                best, hist = train_level(here, parts[t])
-                rows = best.join(hist, [*KEYS, "feat_ind"]).groupBy(*KEYS, "gain", "feat_ind").agg(
-                    F.collect_list(F.struct("label", "ql", "qr")).alias("q")
-                )
-                for r in rows.collect():
-                    ok = r["gain"] > min_info if strict else r["gain"] >= min_info
-                    left, right = [0.0] * num_classes, [0.0] * num_classes
-                    for q in r["q"]:
-                        left[q["label"]], right[q["label"]] = float(q["ql"]), float(q["qr"])
-                    if ok and sum(left) and sum(right):
-                        chosen[r["tree_id"], r["node_id"]] = (r["feat_ind"], r["gain"], left, right)
+            best, hist = train_level(now, cands, num_feat)
+            rows = best.join(hist, [*KEYS, "feat_ind"]).groupBy(*KEYS, "gain", "feat_ind").agg(F.collect_list(F.struct("label", "ql", "qr")).alias("q"))
+            for r in rows.collect():
+                ok = r["gain"] > min_info if strict else r["gain"] >= min_info
+                left, right = [0.0] * num_classes, [0.0] * num_classes
+                for q in r["q"]:
+                    left[q["label"]], right[q["label"]] = float(q["ql"]), float(q["qr"])
+                if ok and sum(left) and sum(right):
+                    chosen[r["tree_id"], r["node_id"]] = (r["feat_ind"], r["gain"], left, right)
         for (t, n), counts in sorted(open_.items()):
             if (t, n) not in chosen:
                 total = sum(counts)
@@ -273,10 +268,10 @@ def train_forest(
         open_ = {}
         splits = []
         for (t, n), (ind, gain, left, right) in sorted(chosen.items()):
-            f, thresh = parts[t].select(ind)
-            kind = parts[t].params[f].get("kind", 0)
-            nodes.append((t, n, False, t * num_feat + f, kind, thresh, float(gain), None, None))
-            splits.append((t, n, f, kind, thresh))
+            f, thresh = cands.select(ind)
+            kind = cands.params[f].get("kind", 0)
+            nodes.append((t, n, False, f, kind, thresh, float(gain), None, None))
+            splits.append((t, n, f - t * num_feat, kind, thresh))
             open_[t, 2 * n + 1], open_[t, 2 * n + 2] = left, right
         if not splits:
             break
