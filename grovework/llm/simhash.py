@@ -16,41 +16,45 @@ from pyspark.sql import functions as F
 from .common import checkpoint, components, partitions, table
 
 BITS = 64
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A bucket of more fingerprints than this is compared in pairs of parts of this size.
 PART = 2048
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """The unsigned 64-bit SimHash of a text: majority bits of its shingles' XXH64 (seed 42)."""
+def fingerprint(text: bytes | None, shingle: int = 4, seeds: int = 1) -> list[int]:
+    """Unsigned 64-bit SimHashes of a text: majority bits of its shingles' XXH64 (seed 42), then of mixes of these."""
     words = text.lower().split() if text else []  # bytes: A-Z alone, and ASCII white space
     if not words:
-        return 0
+        return [0] * seeds
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(joined, 42)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts, stops = (ends - lengths).tolist(), ends[shingle - 1 :].tolist()
-    ones, n = np.zeros(BITS, np.int64), len(stops)
+    starts, stops = (ends - lengths).tolist(), ends[shingle - 1 :].tolist() or [len(joined)]
+    ones, n = np.zeros((seeds, BITS), np.int64), len(stops)
     for at in range(0, n, 65_280):  # 256 rows of 255, whose sums of bits fit in bytes
         part = zip(starts[at : at + 65_280], stops[at : at + 65_280], strict=False)
         h = np.array([digest(joined[a:b], 42) for a, b in part], np.uint64)
-        lanes = np.unpackbits(h.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
-        ones += np.add.reduceat(lanes, np.arange(0, len(h), 255), axis=0).view(np.uint8).reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+        for k in range(seeds):
+            if k:
+                h = (h ^ (h >> np.uint64(31))) * _MIX
+                h ^= h >> np.uint64(29)
+            lanes = np.unpackbits(h.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
+            ones[k] += np.add.reduceat(lanes, np.arange(0, len(h), 255), axis=0).view(np.uint8).reshape(-1, BITS).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, text_hash (to tell rows of one doc_id apart), fp (the fingerprint as a signed long) of every document."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seeds: int = 1) -> DataFrame:
+    """doc_id, text_hash (to tell rows of one doc_id apart), fps (fingerprints as signed longs) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, shingle) for t in b.column(2)]
-            fp = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], names=["doc_id", "text_hash", "fp"])
+            found = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, shingle, seeds) for t in b.column(2)]
+            fps = pa.array(np.array(found, np.uint64).view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, seeds, dtype=np.int32)), fps)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["doc_id", "text_hash", "fps"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return source.mapInArrow(run, "doc_id long, text_hash long, fps array<long>")
 
 
 def plan_blocks(n: int, distance: int) -> int:
@@ -67,45 +71,52 @@ def plan_blocks(n: int, distance: int) -> int:
     return min(range(distance + 1, distance + 6), key=cost)
 
 
-def _bucket_rows(fps: DataFrame, blocks: int, distance: int) -> DataFrame:
-    """A row (tab, bits, fp) for each choice of blocks on which a pair may agree."""
+def _bucket_rows(nodes: DataFrame, seeds: int, blocks: int, distance: int) -> DataFrame:
+    """A row (tab, bits, node) for each seed and each choice of blocks on which a pair may agree."""
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
     whole = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
     masks = [sum(c) for c in combinations(whole, blocks - distance)]
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(i).alias("tab"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])
-    return fps.select("fp", F.explode(keys).alias("k")).select("k.tab", "k.bits", "fp")
+    keys = F.array(
+        *[
+            F.struct(F.lit(k * len(signed) + i).alias("tab"), F.get("fps", k).bitwiseAND(F.lit(m)).alias("bits"))
+            for k in range(seeds)
+            for i, m in enumerate(signed)
+        ]
+    )
+    return nodes.select("node", F.explode(keys).alias("k")).select("k.tab", "k.bits", "node")
 
 
-def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges that join the fingerprints linked within one bucket: a star for each tree."""
-    edges, left = [], fps.view(np.uint64)
-    while len(left) > 1:
-        root, front, left = left[0], [left[0]], left[1:]
-        while front and len(left):
-            near = np.bitwise_count(left ^ front.pop()) <= distance
+def _forest(nodes: np.ndarray, fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Edges that join the nodes linked within one bucket: a star for each tree.  fps: nodes x seeds."""
+    edges = []
+    while len(nodes) > 1:
+        root, front, nodes, fps = nodes[0], [fps[0]], nodes[1:], fps[1:]
+        while front and len(nodes):
+            near = np.bitwise_count(fps ^ front.pop()).sum(1) <= most
             if near.any():
-                new, left = left[near], left[~near]
-                edges += [(int(root), int(x)) for x in new]
-                front += list(new)
+                edges += [(int(root), int(x)) for x in nodes[near]]
+                front += list(fps[near])
+                nodes, fps = nodes[~near], fps[~near]
     return edges
 
 
-def _links(batches: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFrame]:
+def _links(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
     """Rows sorted by (tab, bits, part) -> verified edges; a bucket holds two parts at most."""
 
     def pairs(p: pd.DataFrame) -> pd.DataFrame:
-        new = np.r_[True, (p["tab"].values[1:] != p["tab"].values[:-1]) | (p["bits"].values[1:] != p["bits"].values[:-1]) | (p["part"].values[1:] != p["part"].values[:-1])]
+        keys = [p[k].values for k in ("tab", "bits", "part")]
+        new = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]
         at = np.flatnonzero(new)
-        size, fp, out = np.diff(np.r_[at, len(p)]), p["fp"].values.astype(np.int64), []
+        size, node = np.diff(np.r_[at, len(p)]), p["node"].values.astype(np.int64)
+        fps = np.array(p["fps"].tolist(), np.int64).view(np.uint64).reshape(len(p), -1)
         two = at[size == 2]
-        a, b = fp[two].view(np.uint64), fp[two + 1].view(np.uint64)
-        near = np.bitwise_count(a ^ b) <= distance
-        out.append(np.stack([a[near], b[near]], 1))
+        near = np.bitwise_count(fps[two] ^ fps[two + 1]).sum(1) <= most
+        out = [np.stack([node[two], node[two + 1]], 1)[near]]
         for i, n in zip(at[size > 2], size[size > 2], strict=True):
-            if e := _forest(fp[i : i + n], distance):
-                out.append(np.array(e, np.uint64))
-        e = np.unique(np.concatenate(out), axis=0).view(np.int64)
+            if e := _forest(node[i : i + n], fps[i : i + n], most):
+                out.append(np.array(e, np.int64))
+        e = np.unique(np.concatenate(out), axis=0)
         return pd.DataFrame({"a": e[:, 0], "b": e[:, 1]})
 
     rest = None
@@ -122,19 +133,22 @@ def _links(batches: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFr
         yield pairs(rest.reset_index(drop=True))
 
 
-def link_fingerprints(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """Edges a, b that connect exactly the fingerprints (distinct, column fp) linked at `distance` or fewer bits.
+def link_fingerprints(nodes: DataFrame, seeds: int = 1, distance: int = 4, most: int | None = None) -> DataFrame:
+    """Edges a, b that connect linked nodes; nodes: node (distinct), fps (a fingerprint for each seed).
 
-    Rows that share a block choice meet in one bucket, where Hamming distances
-    are verified; a bucket gives a star for each tree, not all its pairs.  A
-    bucket above PART fingerprints is cut into parts, and every two parts meet
-    as a bucket of their own, so that no task holds more than two.
+    Nodes link if all their fingerprints together differ in `most` bits or
+    fewer.  Candidates share a choice of blocks of one fingerprint; with one
+    seed and most = distance no link is missed.  They meet in one bucket, where
+    distances are verified; a bucket gives a star for each tree, not all its
+    pairs.  A bucket above PART nodes is cut into parts, and every two parts
+    meet as a bucket of their own, so that no task holds more than two.
     """
-    blocks = plan_blocks(fps.count(), distance)
-    rows = _bucket_rows(fps, blocks, distance)
+    most = distance if most is None else most
+    blocks = plan_blocks(nodes.count(), distance)
+    rows = _bucket_rows(nodes, seeds, blocks, distance)
     sizes = rows.groupBy("tab", "bits").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, ["tab", "bits"]).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda o: F.least(o, F.col("own")) * F.col("parts") + F.greatest(o, F.col("own")),
@@ -142,14 +156,15 @@ def link_fingerprints(fps: DataFrame, distance: int = 4) -> DataFrame:
     rows = (
         rows.withColumn("own", own)
         .withColumn("part", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(others)))
-        .select("tab", "bits", "part", "fp")
+        .select("tab", "bits", "part", "node")
     )
-    dealt = rows.repartition(partitions(fps), "tab", "bits", "part").sortWithinPartitions("tab", "bits", "part", "fp")
-    return dealt.mapInPandas(lambda it: _links(it, distance), "a long, b long").distinct()
+    met = rows.join(nodes.select("node", "fps"), "node").select("tab", "bits", "part", "node", "fps")
+    dealt = met.repartition(partitions(nodes), "tab", "bits", "part").sortWithinPartitions("tab", "bits", "part", "node")
+    return dealt.mapInPandas(lambda it: _links(it, most), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """doc_id, fp, component_id of every document.
+    """doc_id, fp (a signed long), component_id of every document.
 
     Fingerprints of distinct documents link at `distance` or fewer differing
     bits; component_id is the smallest doc_id reachable.  Documents without
@@ -158,19 +173,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     table gives none.  Exact copies are one fingerprint from the start.
     """
     prints = checkpoint(fingerprints(docs, shingle))
-    return _grouped(prints, distance).select("doc_id", "fp", "component_id")
+    return _grouped(prints, 1, distance).select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
-def _grouped(prints: DataFrame, distance: int) -> DataFrame:
-    """prints with component_id and keep: the group's first (doc_id, text_hash), null doc_ids last."""
+def _grouped(prints: DataFrame, seeds: int, most: int) -> DataFrame:
+    """prints with node, component_id and keep: the group's first (doc_id, text_hash), null doc_ids last."""
+    prints = prints.withColumn("node", F.get("fps", 0) if seeds == 1 else F.xxhash64("fps"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(order).alias("least")))
-    roots = components(link_fingerprints(distinct.select("fp"), distance))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first", "least", F.coalesce("root", "fp").alias("root")
+    distinct = checkpoint(
+        prints.groupBy("node").agg(F.min("fps").alias("fps"), F.min("doc_id").alias("first"), F.min(order).alias("least"))
     )
+    roots = components(link_fingerprints(distinct.select("node", "fps"), seeds, 4, most))
+    placed = distinct.select("node", "first", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.min("least").alias("keep"))
-    return prints.join(placed.join(smallest, "root").select("fp", "component_id", "keep"), "fp")
+    return prints.drop("fps").join(placed.join(smallest, "root").select("node", "component_id", "keep"), "node")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,9 +194,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The pipeline's near-duplicates: five-word shingles of similarity 0.8 or more.  Such texts differ in some 14 of 100
+#: bits (an angle of acos(2 * 0.8 / 1.8), over pi); 19 of 100 is four deviations above it with six fingerprints, and
+#: each of these gives such a pair another third of a chance, and a pair of similarity 0.9 more than half a chance, to meet.
+STAGE_SHINGLE, STAGE_SEEDS, STAGE_BITS = 5, 6, 73
+
+
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of each group, that with the smallest doc_id (null ones last); of equal rows, one."""
-    found = _grouped(checkpoint(fingerprints(docs)), 4)
-    kept = found.select(F.col("keep.doc_id").alias("__id"), F.col("keep.text_hash").alias("__hash")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
-    return docs.join(kept, same).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    found = _grouped(checkpoint(fingerprints(docs, STAGE_SHINGLE, STAGE_SEEDS)), STAGE_SEEDS, STAGE_BITS)
+    none = F.lit(-(1 << 63))
+    kept = found.select(F.coalesce("keep.doc_id", none).alias("__id"), F.col("keep.text_hash").alias("__hash")).distinct()
+    own = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("__hash", F.xxhash64("text"))
+    return own.join(kept, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(*docs.columns)

@@ -134,7 +134,7 @@ def test_dense_groups_of_fingerprints(spark, monkeypatch, part):
         fps.add(f)
     fps |= {int(x) for x in draw.integers(0, 1 << 62, 50)}
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    table = spark.createDataFrame(signed, "fp long")
+    table = spark.createDataFrame(signed, "node long").withColumn("fps", F.array("node"))
     edges = simhash.link_fingerprints(table)
     roots = {r["node"] % 2**64: r["root"] for r in components(edges).collect()}
     want = linked(list(fps), 4)
