@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, components, partitions, table
@@ -19,6 +19,8 @@ BITS = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A bucket of more fingerprints than this is compared in pairs of parts of this size.
 PART = 2048
+#: Blocks of joint fingerprints are so many bits wider than log2 of their number; a pair sought has so many chances to meet.
+SPARE_BITS, SURE = 4, 3.0
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seeds: int = 1) -> list[int]:
@@ -71,19 +73,43 @@ def plan_blocks(n: int, distance: int) -> int:
     return min(range(distance + 1, distance + 6), key=cost)
 
 
-def _bucket_rows(nodes: DataFrame, seeds: int, blocks: int, distance: int) -> DataFrame:
-    """A row (tab, bits, node) for each seed and each choice of blocks on which a pair may agree."""
-    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    whole = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    masks = [sum(c) for c in combinations(whole, blocks - distance)]
-    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
-    keys = F.array(
-        *[
-            F.struct(F.lit(k * len(signed) + i).alias("tab"), F.get("fps", k).bitwiseAND(F.lit(m)).alias("bits"))
-            for k in range(seeds)
-            for i, m in enumerate(signed)
-        ]
-    )
+def _choices(n: int, seeds: int, distance: int, most: int) -> list[list[int]]:
+    """Masks (one for each seed's fingerprint) of the blocks that candidates may share.
+
+    most = distance, one seed: every choice of blocks of plan_blocks, so that
+    no pair is missed.  Else all fingerprints are one, whose bits are dealt
+    anew again and again and cut into blocks a little wider than log2(n), so that
+    chance meetings grow with n alone; as many blocks as give a pair at three
+    quarters of `most` SURE chances to meet.  A pair that differs in fewer bits
+    than a deal has blocks shares one of them for certain.
+    """
+    if seeds == 1 and most == distance:
+        blocks = plan_blocks(n, distance)
+        edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
+        whole = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+        return [[sum(c)] for c in combinations(whole, blocks - distance)]
+    bits = BITS * seeds
+    width = min(bits, max(8, math.ceil(math.log2(max(2, n))) + SPARE_BITS))
+    tables = math.ceil(SURE / (1 - 0.75 * most / bits) ** width)
+    draw, out = np.random.default_rng(bits), []
+    while len(out) < tables:
+        dealt = draw.permutation(bits)
+        for i in range(0, bits - width + 1, width):
+            masks = [0] * seeds
+            for b in dealt[i : i + width].tolist():
+                masks[b // BITS] |= 1 << (b % BITS)
+            out.append(masks)
+    return out[:tables]
+
+
+def _bucket_rows(nodes: DataFrame, choices: list[list[int]]) -> DataFrame:
+    """A row (tab, bits, node) for each choice of blocks; bits: what the fingerprints have there (or a hash of it)."""
+
+    def bits(masks: list[int]) -> Column:
+        parts = [F.get("fps", k).bitwiseAND(F.lit(m - (1 << BITS) if m >> (BITS - 1) else m)) for k, m in enumerate(masks) if m]
+        return parts[0] if len(parts) == 1 else F.xxhash64(*parts)
+
+    keys = F.array(*[F.struct(F.lit(i).alias("tab"), bits(m).alias("bits")) for i, m in enumerate(choices)])
     return nodes.select("node", F.explode(keys).alias("k")).select("k.tab", "k.bits", "node")
 
 
@@ -144,8 +170,7 @@ def link_fingerprints(nodes: DataFrame, seeds: int = 1, distance: int = 4, most:
     meet as a bucket of their own, so that no task holds more than two.
     """
     most = distance if most is None else most
-    blocks = plan_blocks(nodes.count(), distance)
-    rows = _bucket_rows(nodes, seeds, blocks, distance)
+    rows = _bucket_rows(nodes, _choices(nodes.count(), seeds, distance, most))
     sizes = rows.groupBy("tab", "bits").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, ["tab", "bits"]).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -195,8 +220,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The pipeline's near-duplicates: five-word shingles of similarity 0.8 or more.  Such texts differ in some 14 of 100
-#: bits (an angle of acos(2 * 0.8 / 1.8), over pi); 19 of 100 is four deviations above it with six fingerprints, and
-#: each of these gives such a pair another third of a chance, and a pair of similarity 0.9 more than half a chance, to meet.
+#: bits (an angle of acos(2 * 0.8 / 1.8), over pi); 19 of 100 is four deviations above it with six fingerprints.
 STAGE_SHINGLE, STAGE_SEEDS, STAGE_BITS = 5, 6, 73
 
 
