@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ BLOCK = 512
 #: Lanes advanced together; bounds the arrays of a task.
 LANES = 8192
 #: The model is fitted on at most so many documents a language, and so many symbols of them.
-SAMPLE_DOCS, SAMPLE_SYMBOLS, SAMPLE_DOC_CHARS = 200, 40_000, 20_000
+SAMPLE_DOCS, SAMPLE_SYMBOLS, SAMPLE_DOC_CHARS = 200, 30_000, 20_000
 
 
 def symbols(text: str) -> str:
@@ -171,25 +169,20 @@ def identify(docs: DataFrame, parser: CrossParser, added: tuple[str, str, str] =
     'und' with score 0, as all are if the parser knows no language.  score is
     1 - fewest / second fewest phrase bits; with one language it is 0.5.
     """
-    names = [c for c in docs.columns if c not in added]
     shared = docs.sparkSession.sparkContext.broadcast(parser)  # a few MB: languages x SAMPLE_SYMBOLS
-    base = docs.select(*names)
-    schema = base.select("*", *[F.lit(x).alias(n) for x, n in zip(("", 0.0, 0.0), added, strict=True)]).schema
-    at = names.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(at).to_pylist()
-            lang, score, rate = [], [], []
-            for k in range(0, len(texts), 256):  # bounds the arrays
-                got = shared.value.predict(texts[k : k + 256])
-                lang += got[0]
-                score += got[1]
-                rate += got[2]
-            cols = [*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-
-    return base.mapInArrow(run, schema)
+
+    @F.pandas_udf("lang string, score double, rate double")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for k in range(0, len(texts), 128):  # bounds the arrays
+            rows += zip(*shared.value.predict(texts.iloc[k : k + 128].tolist()), strict=True)
+        return pd.DataFrame(rows, columns=["lang", "score", "rate"])
+
+    # the text alone goes to Python, and three values come back
+    rows = docs.drop(*added).withColumn("__found", found(F.col("text").cast("string")))
+    for name, part in zip(added, ("lang", "score", "rate"), strict=True):
+        rows = rows.withColumn(name, F.col(f"__found.{part}"))
+    return rows.drop("__found")
 
 
 def held_out_mod(key: str, mod: int):
