@@ -26,7 +26,7 @@ VOCABULARY = CLASSES * CLASS_WORDS
 END, UNKNOWN = 0, 1
 #: Training: rounds of averaging, lanes of text side by side, tokens of a piece (long documents train in pieces),
 #: steps of truncated backpropagation, rate.
-TRAIN_ROUNDS, TRAIN_LANES, TRAIN_PIECE, TRAIN_STEPS, RATE = 4, 256, 512, 16, 0.05
+TRAIN_ROUNDS, TRAIN_LANES, TRAIN_PIECE, TRAIN_STEPS, RATE = 4, 512, 512, 16, 0.05
 SCORE_LANES, SCORE_STEPS = 512, 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
