@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -19,8 +19,6 @@ BITS = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A bucket of more fingerprints than this is compared in pairs of parts of this size.
 PART = 2048
-#: Blocks of joint fingerprints are so many bits wider than log2 of their number; a pair sought has so many chances to meet.
-SPARE_BITS, SURE = 4, 3.0
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seeds: int = 1) -> list[int]:
@@ -73,44 +71,22 @@ def plan_blocks(n: int, distance: int) -> int:
     return min(range(distance + 1, distance + 6), key=cost)
 
 
-def _choices(n: int, seeds: int, distance: int, most: int) -> list[list[int]]:
-    """Masks (one for each seed's fingerprint) of the blocks that candidates may share.
+def _choices(n: int, distance: int) -> list[int]:
+    """Masks of the blocks that candidates may share: every choice of plan_blocks, so that no pair is missed."""
+    blocks = plan_blocks(n, distance)
+    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    whole = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in combinations(whole, blocks - distance)]
 
-    most = distance, one seed: every choice of blocks of plan_blocks, so that
-    no pair is missed.  Else all fingerprints are one, whose bits are dealt
-    anew again and again and cut into blocks a little wider than log2(n), so that
-    chance meetings grow with n alone; as many blocks as give a pair at three
-    quarters of `most` SURE chances to meet.  A pair that differs in fewer bits
-    than a deal has blocks shares one of them for certain.
-    """
-    if seeds == 1 and most == distance:
-        blocks = plan_blocks(n, distance)
-        edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-        whole = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-        return [[sum(c)] for c in combinations(whole, blocks - distance)]
-    bits = BITS * seeds
-    width = min(bits, max(8, math.ceil(math.log2(max(2, n))) + SPARE_BITS))
-    tables = math.ceil(SURE / (1 - 0.75 * most / bits) ** width)
-    draw, out = np.random.default_rng(bits), []
-    while len(out) < tables:
-        dealt = draw.permutation(bits)
-        for i in range(0, bits - width + 1, width):
-            masks = [0] * seeds
-            for b in dealt[i : i + width].tolist():
-                masks[b // BITS] |= 1 << (b % BITS)
-            out.append(masks)
-    return out[:tables]
-
-
-def _bucket_rows(nodes: DataFrame, choices: list[list[int]]) -> DataFrame:
-    """A row (tab, bits, node) for each choice of blocks; bits: what the fingerprints have there (or a hash of it)."""
-
-    def bits(masks: list[int]) -> Column:
-        parts = [F.get("fps", k).bitwiseAND(F.lit(m - (1 << BITS) if m >> (BITS - 1) else m)) for k, m in enumerate(masks) if m]
-        return parts[0] if len(parts) == 1 else F.xxhash64(*parts)
-
-    keys = F.array(*[F.struct(F.lit(i).alias("tab"), bits(m).alias("bits")) for i, m in enumerate(choices)])
-    return nodes.select("node", F.explode(keys).alias("k")).select("k.tab", "k.bits", "node")
+
+def _bucket_rows(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """A row (tab, bits, node) for each choice of blocks; bits: what the fingerprint has there."""
+
+    def bits(m: int) -> Column:
+        return F.col("fp").bitwiseAND(F.lit(m - (1 << BITS) if m >> (BITS - 1) else m))
+
+    keys = F.array(*[F.struct(F.lit(i).alias("tab"), bits(m).alias("bits")) for i, m in enumerate(masks)])
+    return nodes.select("node", F.get("fps", 0).alias("fp")).select("node", F.explode(keys).alias("k")).select("k.tab", "k.bits", "node")
 
 
 def _forest(nodes: np.ndarray, fps: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -159,18 +135,17 @@ def _links(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]
         yield pairs(rest.reset_index(drop=True))
 
 
-def link_fingerprints(nodes: DataFrame, seeds: int = 1, distance: int = 4, most: int | None = None) -> DataFrame:
-    """Edges a, b that connect linked nodes; nodes: node (distinct), fps (a fingerprint for each seed).
+def link_fingerprints(nodes: DataFrame, distance: int = 4) -> DataFrame:
+    """Edges a, b that connect linked nodes; nodes: node (distinct), fps (its one fingerprint).
 
-    Nodes link if all their fingerprints together differ in `most` bits or
-    fewer.  Candidates share a choice of blocks of one fingerprint; with one
-    seed and most = distance no link is missed.  They meet in one bucket, where
-    distances are verified; a bucket gives a star for each tree, not all its
-    pairs.  A bucket above PART nodes is cut into parts, and every two parts
-    meet as a bucket of their own, so that no task holds more than two.
+    Nodes link if their fingerprints differ in `distance` bits or fewer.
+    Candidates share a choice of blocks, so that no link is missed.  They meet
+    in one bucket, where distances are verified; a bucket gives a star for each
+    tree, not all its pairs.  A bucket above PART nodes is cut into parts, and
+    every two parts meet as a bucket of their own, so that no task holds more
+    than two.
     """
-    most = distance if most is None else most
-    rows = _bucket_rows(nodes, _choices(nodes.count(), seeds, distance, most))
+    rows = _bucket_rows(nodes, _choices(nodes.count(), distance))
     sizes = rows.groupBy("tab", "bits").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, ["tab", "bits"]).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -185,7 +160,7 @@ def link_fingerprints(nodes: DataFrame, seeds: int = 1, distance: int = 4, most:
     )
     met = rows.join(nodes.select("node", "fps"), "node").select("tab", "bits", "part", "node", "fps")
     dealt = met.repartition(partitions(nodes), "tab", "bits", "part").sortWithinPartitions("tab", "bits", "part", "node")
-    return dealt.mapInPandas(lambda it: _links(it, most), "a long, b long").distinct()
+    return dealt.mapInPandas(lambda it: _links(it, distance), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -198,17 +173,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     table gives none.  Exact copies are one fingerprint from the start.
     """
     prints = checkpoint(fingerprints(docs, shingle))
-    return _grouped(prints, 1, distance).select("doc_id", F.col("node").alias("fp"), "component_id")
+    prints = prints.withColumn("node", F.get("fps", 0))
+    return _grouped(prints, lambda nodes: link_fingerprints(nodes, distance)).select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
-def _grouped(prints: DataFrame, seeds: int, most: int) -> DataFrame:
-    """prints with node, component_id and keep: the group's first (doc_id, text_hash), null doc_ids last."""
-    prints = prints.withColumn("node", F.get("fps", 0) if seeds == 1 else F.xxhash64("fps"))
+def _grouped(prints: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """prints (doc_id, text_hash, node, fps) with component_id and keep: the group's first (doc_id, text_hash), null doc_ids last.
+
+    link gives edges a, b of the distinct nodes (node, fps, text_hash of one of its texts).
+    """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     distinct = checkpoint(
-        prints.groupBy("node").agg(F.min("fps").alias("fps"), F.min("doc_id").alias("first"), F.min(order).alias("least"))
+        prints.groupBy("node").agg(
+            F.min("fps").alias("fps"), F.min("doc_id").alias("first"), F.min(order).alias("least"), F.min("text_hash").alias("text_hash")
+        )
     )
-    roots = components(link_fingerprints(distinct.select("node", "fps"), seeds, 4, most))
+    roots = components(link(distinct.select("node", "fps", "text_hash")))
     placed = distinct.select("node", "first", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.min("least").alias("keep"))
     return prints.drop("fps").join(placed.join(smallest, "root").select("node", "component_id", "keep"), "node")
@@ -219,14 +199,100 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The pipeline's near-duplicates: five-word shingles of similarity 0.8 or more.  Such texts differ in some 14 of 100
-#: bits (an angle of acos(2 * 0.8 / 1.8), over pi); 19 of 100 is four deviations above it with six fingerprints.
-STAGE_SHINGLE, STAGE_SEEDS, STAGE_BITS = 5, 6, 73
+#: The pipeline's near-duplicates: sets of five-word shingles of similarity (shared over all) 4/5 or more.  BANDS of
+#: ROWS minima each: a pair of similarity 0.8 agrees on a band with a chance of 0.8^6 = 0.262, so on none of 24 with
+#: one of 0.0007, whatever the number of documents; one of 0.5 meets with a chance of 0.31, and is then turned down.
+STAGE_SHINGLE, BANDS, ROWS = 5, 24, 6
+_DRAW = np.random.default_rng(6)
+_FACTORS = _DRAW.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_SHIFTS = _DRAW.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingles(text: bytes | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The set of a text's shingles as sorted XXH64s; a shorter text is one shingle, one without words has none."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    grams = (b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """Signed hashes of a set's bands of minima; none of the empty set."""
+    if not len(found):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 2048):  # bounds the array
+        np.minimum(least, (found[at : at + 2048, None] * _FACTORS + _SHIFTS).min(0), out=least)
+    return [xxhash.xxh64_intdigest(b.tobytes()) - (1 << 63) for b in least.reshape(BANDS, ROWS)]
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, node (a hash of the text's set of shingles), fps (its bands) of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_buffer().to_pybytes() if t.is_valid else None) for t in b.column(2)]
+            nodes = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
+            cols = [b.column(0), b.column(1), nodes, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "node", "fps"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, text_hash long, node long, fps array<long>")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, s (its shingles as signed longs), of the nodes given with the text_hash of one of their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([shingles(t.as_buffer().to_pybytes()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["node", "s"])
+
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")).where("text is not null")
+    one = texts.join(nodes.select("node", "text_hash"), "text_hash").groupBy("node").agg(F.first("text").alias("text"))
+    return one.select("node", "text").mapInArrow(run, "node long, s array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs a, b whose sets share four fifths of their union; whole numbers, so that 0.8 itself counts."""
+    small, large = F.least("n", "m"), F.greatest("n", "m")
+    sized = sets.select("node", F.size("s").alias("n"))
+    fit = (
+        pairs.join(sized.withColumnRenamed("node", "a"), "a")
+        .join(sized.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
+        .where(5 * small >= 4 * large)
+        .select("a", "b")
+    )
+    met = fit.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    return met.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def link_similar(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges a, b that connect the nodes whose shingles are similar; every edge is verified on both texts.
+
+    Candidates share a band.  First each bucket's smallest node meets the rest
+    of it; then all pairs of a bucket that are not in one group yet, so that a
+    large group of copies costs one pair a copy and yet no pair is left out.
+    """
+    rows = nodes.select("node", F.posexplode("fps").alias("tab", "bits"))
+    buckets = rows.groupBy("tab", "bits").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
+    met = checkpoint(rows.join(buckets.select("tab", "bits", "a"), ["tab", "bits"]))
+    sets = checkpoint(_sets(docs, nodes.join(met.select("node").distinct(), "node", "left_semi")))
+    stars = checkpoint(_similar(met.where("a < node").select("a", F.col("node").alias("b")).distinct(), sets))
+    roots = components(stars)
+    placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("tab", "bits").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    # the smallest has met all of its bucket
+    open_ = checkpoint(placed.where("a < node").join(mixed.select("tab", "bits"), ["tab", "bits"]).select("tab", "bits", "node", "root"))
+    other = open_.select("tab", "bits", F.col("node").alias("b"), F.col("root").alias("other"))
+    pairs = open_.withColumnRenamed("node", "a").join(other, ["tab", "bits"]).where((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")))
+    return stars.unionByName(_similar(pairs.select("a", "b").distinct(), sets))
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of each group, that with the smallest doc_id (null ones last); of equal rows, one."""
-    found = _grouped(checkpoint(fingerprints(docs, STAGE_SHINGLE, STAGE_SEEDS)), STAGE_SEEDS, STAGE_BITS)
+    found = _grouped(checkpoint(sketches(docs)), lambda nodes: link_similar(nodes, docs))
     none = F.lit(-(1 << 63))
     kept = found.select(F.coalesce("keep.doc_id", none).alias("__id"), F.col("keep.text_hash").alias("__hash")).distinct()
     own = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("__hash", F.xxhash64("text"))

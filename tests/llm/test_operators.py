@@ -158,6 +158,41 @@ def test_simhash_of_nothing(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_stage_keeps_to_the_limit_on_both_sides(spark):
+    draw, rows = np.random.default_rng(8), []
+
+    def pair(i, changed, words=204):
+        """Two texts of words - 4 shingles; each change, ten words from the next, alters five of them."""
+        one = [f"v{x}" for x in draw.integers(0, 1 << 40, words)]
+        two = list(one)
+        for k in range(changed):
+            two[5 + 10 * k] = "changed"
+        rows.extend([(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))])
+
+    for i in range(300):
+        pair(i, 4)  # 180 / 220: 0.818
+    for i in range(300, 400):
+        pair(i, 5)  # 175 / 225: 0.778
+    for i in range(400, 500):
+        pair(i, 7)  # 165 / 235: 0.702
+    for i in range(500, 600):
+        pair(i, 1, 49)  # 40 / 50: 0.8 itself
+    kept = {r["doc_id"] for r in simhash.stage_simhash(spark, frame(spark, rows), "").collect()}
+    assert {2 * i for i in range(600)} <= kept
+    gone = {i for i in range(600) if 2 * i + 1 not in kept}
+    assert not gone & set(range(300, 500)), "below 0.8"
+    assert len(gone) >= 398, "0.8 and above"
+
+
+def test_stage_links_what_a_star_does_not(spark):
+    words = [f"v{i}" for i in range(400)]
+    # each is similar to the next alone: a chain, however it hangs together in the buckets
+    texts = [" ".join(words[k * 12 : k * 12 + 200]) for k in range(12)]
+    kept = {r["doc_id"] for r in simhash.stage_simhash(spark, frame(spark, list(enumerate(texts))), "").collect()}
+    assert kept == {0}
+    assert simhash.stage_simhash(spark, empty(spark), "").count() == 0
+
+
 # -- 3 ---------------------------------------------------------------------------------------------
 
 
