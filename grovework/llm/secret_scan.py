@@ -31,6 +31,9 @@ ENCODINGS = (
     ("base64", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"),
     ("base64url", string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_"),
 )
+#: Pieces between '=', and those that the separators foreign to base64, to base64url and to both leave.
+_BETWEEN = re.compile(r"[^=]+(?:=+$)?")
+_CUTS = [re.compile(rf"[^{re.escape(c)}]+") for c in ("-_", "+/", "+/-_")]
 _ORDER = [(name, {c: i for i, c in enumerate(alphabet)}) for name, alphabet in ENCODINGS]
 #: Chance that two characters of ordinary text are equal (that of English letters).
 TEXT_MATCH = 0.066
@@ -40,6 +43,10 @@ RANDOM_LEVEL, DISCOVERY_RATE = 0.001, 0.01
 BINS_PER_DECADE, MOST_DECADES, STRATA = 10, 40, 12
 
 
+def _fits(body: str) -> bool:
+    return any(all(c in index for c in body) for _, index in _ORDER)
+
+
 def _normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -83,6 +90,25 @@ def battery(run: str) -> tuple[str, float, float] | None:
     return name, random_p, max(text_p, 10.0**-MOST_DECADES)
 
 
+def pieces(run: str) -> list[tuple[int, int]]:
+    """Start and end of what the battery can test of a run: all of it where an encoding holds it, else its pieces.
+
+    Such a run is cut at each '=' (trailing ones stay with the last piece).  A
+    piece that still fits none mixes the separators of base64 and base64url: it
+    is cut at those foreign to either, and at all of them, and every piece of 20
+    characters or more is tested.
+    """
+    if _fits(run.rstrip("=")):
+        return [(0, len(run))]
+    out: list[tuple[int, int]] = []
+    for m in _BETWEEN.finditer(run):
+        if _fits(m.group().rstrip("=")):
+            out.append(m.span())
+            continue
+        out += sorted({(m.start() + p.start(), m.start() + p.end()) for cut in _CUTS for p in cut.finditer(m.group())})
+    return [(a, b) for a, b in out if len(run[a:b].rstrip("=")) >= 20]
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float, float]]]:
     """Base spans (kind, start, end) by start, then kind; and tested runs (start, end, random p, text p) apart from them."""
     base = []
@@ -95,8 +121,10 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, fl
     base.sort(key=lambda s: (s[1], s[0]))
     tested = []
     for m in _RUN.finditer(text):
-        if (t := battery(m.group())) and not any(a < m.end() and m.start() < b for _, a, b in base):
-            tested.append((m.start(), m.end(), t[1], t[2]))
+        for start, end in pieces(m.group()):
+            start, end = start + m.start(), end + m.start()
+            if (t := battery(text[start:end])) and not any(a < end and start < b for _, a, b in base):
+                tested.append((start, end, t[1], t[2]))
     return base, tested
 
 
@@ -163,7 +191,12 @@ def find_secrets(docs: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
         lambda r: (r["random_p"] >= RANDOM_LEVEL)
         & (r["text_p"] <= F.coalesce(F.try_element_at(limits, _stratum(r["end"] - r["start"])), F.lit(-1.0))),
     )
-    spans = F.transform(added, lambda r: F.struct(F.lit(3).alias("kind"), r["start"].alias("start"), r["end"].alias("end")))
+    # of pieces that stand, one inside another is no secret of its own
+    whole = F.filter(
+        added,
+        lambda r: ~F.exists(added, lambda q: (q["start"] <= r["start"]) & (q["end"] >= r["end"]) & (q["end"] - q["start"] > r["end"] - r["start"])),
+    )
+    spans = F.transform(whole, lambda r: F.struct(F.lit(3).alias("kind"), r["start"].alias("start"), r["end"].alias("end")))
     return scanned.select("doc_id", "base", "base_sha256", spans.alias("added"))
 
 

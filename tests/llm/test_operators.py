@@ -269,6 +269,23 @@ def test_secrets_of_odd_tables(spark, odd):
     assert secret_scan.find_secrets(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "around", ["AWS_SECRET_ACCESS_KEY={}", "client_id={}", "https://a.example/x?sig={}&v=1", "=={}", "https://a.example/some-path/{}", "see a-b+c_d/{}-"]
+)
+def test_keys_within_runs_are_tested(spark, around):
+    key = KEY + KEY[5:] + KEY[:5]
+    text = around.format(key)
+    assert key in [text[s:e] for s, e, _, _ in secret_scan.scan(text)[1]]
+    found = secret_scan.find_secrets(frame(spark, [(1, text)])).first()["added"]
+    assert any(key in text[r["start"] : r["end"]] for r in found)
+
+
+def test_runs_that_fit_stay_whole():
+    for run in (KEY, KEY + "==", f"a/b/{KEY}", f"a-b-{KEY}"):
+        assert secret_scan.pieces(run) == [(0, len(run))]
+    assert secret_scan.pieces(f"k={KEY}==") == [(2, len(KEY) + 4)]
+
+
 # -- 5 ---------------------------------------------------------------------------------------------
 
 
