@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,9 @@ from .common import partitions, table
 WINDOW, GRAM = 20, 4
 #: Text that a map task tokenizes at once, and packed text it holds back to join copies; packed text of a bucket.
 SLICE_BYTES, FLUSH_BYTES, BUCKET_BYTES = 1 << 20, 24 << 20, 6 << 20
+#: A bucket of more packed text than so many times BUCKET_BYTES is dealt anew by whole windows.  A window alone is 20
+#: words, where a super-k-mer of 21 has 40 words for all: some ten times the text, so ten times the parts.
+HEAVY, SPREAD = 4, 10
 #: Compression of packed text; what travels is written to disk on the way.
 LEVEL = 1
 NO_ID = -(1 << 63)
@@ -65,10 +68,31 @@ def window_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Packer:
-    """Gathers super-k-mers of documents and gives them as compressed blobs, one for each bucket."""
+    """Gathers super-k-mers of documents and gives them as compressed blobs, one for each bucket.
 
-    def __init__(self, buckets: int):
+    heavy: buckets (sorted) whose super-k-mers are cut into single windows, and
+    into how many further buckets these are dealt, by the whole window's hash.
+    Equal windows have equal minimisers, so they still meet.
+    """
+
+    def __init__(self, buckets: int, heavy: list[tuple[int, int]] | None = None):
         self.buckets, self.slices, self.columns, self.bytes = buckets, [], [], 0
+        self.heavy, self.parts = np.array(heavy or [], np.int64).reshape(-1, 2).T
+        self.base = buckets + np.cumsum(self.parts) - self.parts
+
+    def deal(self, a: np.ndarray, b: np.ndarray, window: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last windows of what is sent, and its bucket."""
+        bucket = (least[a] % np.uint64(self.buckets)).astype(np.int64)
+        if not len(self.heavy):
+            return a, b, bucket
+        k = np.minimum(np.searchsorted(self.heavy, bucket), len(self.heavy) - 1)
+        cut = self.heavy[k] == bucket
+        n = np.where(cut, b - a + 1, 1)
+        own = np.repeat(np.arange(len(a)), n)
+        cut, k, bucket = cut[own], k[own], bucket[own]
+        one = a[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        part = (window[one] % self.parts[k].astype(np.uint64)).astype(np.int64)
+        return one, np.where(cut, one, b[own]), np.where(cut, self.base[k] + part, bucket)
 
     def add(self, ids: list[int], hashes: list[int], texts: list[bytes]) -> None:
         joined = b" ".join(texts)
@@ -86,13 +110,13 @@ class Packer:
         new[1:] &= ~(valid[:-1] & (least[1:] == least[:-1]))
         last = valid.copy()
         last[:-1] &= ~valid[1:] | new[1:]
-        a, b = np.flatnonzero(new), np.flatnonzero(last)
+        a, b, bucket = self.deal(np.flatnonzero(new), np.flatnonzero(last), window, least)
         doc = owner[a]
         count = b - a + 1
         same = _mix(window[a] * _STEP[5] + window[b] * _STEP[6] + count.astype(np.uint64))
         self.columns.append(
             (
-                (least[a] % np.uint64(self.buckets)).astype(np.int64),
+                bucket,
                 np.array(ids, np.int64)[doc],
                 np.array(hashes, np.int32)[doc],
                 (a - first[doc]).astype(np.int32),
@@ -104,7 +128,7 @@ class Packer:
         self.slices += [joined[s:e] for s, e in cut]
         self.bytes += int((ends[b + WINDOW - 1] - starts[a]).sum())
 
-    def flush(self) -> Iterator[tuple[int, bool, bytes]]:
+    def flush(self, pack: Callable[[bytes], bytes | int] | None = None) -> Iterator[tuple[int, bool, bytes | int]]:
         """(bucket, decided, blob): super-k-mers, and word ranges that copies met here already decide."""
         if not self.columns:
             return
@@ -121,12 +145,12 @@ class Packer:
                 send[i] = False
                 if (doc[i], text[i], start[i]) != (doc[r], text[r], start[r]):
                     gone.append(i)
-        pack = zstandard.ZstdCompressor(level=LEVEL).compress
+        pack = pack or zstandard.ZstdCompressor(level=LEVEL).compress
         if gone:
             to = (start[gone] + count[gone] + WINDOW - 1).astype(np.int32)
             head = np.int32(len(gone)).tobytes() + doc[gone].tobytes() + text[gone].tobytes()
             yield int(bucket[gone[0]]), True, pack(head + start[gone].tobytes() + to.tobytes())
-        order = np.argsort(np.where(send, bucket, self.buckets), kind="stable")[: int(send.sum())]
+        order = np.argsort(np.where(send, bucket, np.iinfo(np.int64).max), kind="stable")[: int(send.sum())]
         at = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0]) if len(order) else []
         for i, j in zip(at, [*at[1:], len(order)], strict=True):
             own = order[i:j]
@@ -223,17 +247,46 @@ def _verified(joined, starts, ends, at, lead, window, doc, text, start, owner, f
 _RANGE = "doc_id long, text_hash int, a int, b int"
 
 
+def _packed(batches: Iterator[pa.RecordBatch], packer: Packer, pack: Callable[[bytes], int] | None = None) -> Iterator[list[tuple]]:
+    """What the packer gives for rows of doc_id, text_hash, text, flush by flush."""
+    for batch in batches:
+        ids, hashes, texts = (c.to_pylist() for c in batch.columns)
+        i, size = 0, 0
+        for j, t in enumerate(texts):
+            size += len(t)
+            if size >= SLICE_BYTES or j == len(texts) - 1:
+                packer.add(ids[i : j + 1], hashes[i : j + 1], texts[i : j + 1])
+                i, size = j + 1, 0
+                if packer.bytes >= FLUSH_BYTES:
+                    yield list(packer.flush(pack))
+    yield list(packer.flush(pack))
+
+
+def heavy_buckets(docs: DataFrame, buckets: int) -> list[tuple[int, int]]:
+    """Buckets of more than HEAVY * BUCKET_BYTES of packed text, and how many to deal each into."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _packed(batches, Packer(buckets), len):
+            sent = [(n, size) for n, decided, size in rows if not decided]
+            cols = [pa.array([n for n, _ in sent], pa.int32()), pa.array([size for _, size in sent], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "size"])
+
+    sizes = docs.mapInArrow(weigh, "bucket int, size long").groupBy("bucket").agg(F.sum("size").alias("size"))
+    # at most one row for each HEAVY * BUCKET_BYTES of packed text comes back
+    found = sizes.where(F.col("size") > HEAVY * BUCKET_BYTES).collect()
+    return sorted((r["bucket"], math.ceil(SPREAD * r["size"] / BUCKET_BYTES)) for r in found)
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """Word ranges [a, b) to remove, by (doc_id, text_hash); docs: doc_id (no nulls), text_hash, text (binary)."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(3 * total / BUCKET_BYTES))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(buckets)
+    heavy = heavy_buckets(docs, buckets)
 
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = list(packer.flush())
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _packed(batches, Packer(buckets, heavy)):
             if rows:
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -243,18 +296,6 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
                     }
                 )
 
-        for batch in batches:
-            ids, hashes, texts = (c.to_pylist() for c in batch.columns)
-            i, size = 0, 0
-            for j, t in enumerate(texts):
-                size += len(t)
-                if size >= SLICE_BYTES or j == len(texts) - 1:
-                    packer.add(ids[i : j + 1], hashes[i : j + 1], texts[i : j + 1])
-                    i, size = j + 1, 0
-                    if packer.bytes >= FLUSH_BYTES:
-                        yield from out()
-        yield from out()
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def give(found: Ranges) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["doc_id", "text_hash", "a", "b"])
@@ -275,7 +316,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
             yield give(repeated(held))
 
     packed = docs.mapInArrow(pack, "bucket int, decided boolean, blob binary")
-    dealt = packed.repartition(max(partitions(docs), math.ceil(buckets / 8)), "bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartition(max(partitions(docs), math.ceil((buckets + sum(n for _, n in heavy)) / 8)), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(compare, _RANGE)
 
 
@@ -292,7 +333,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Windows that share a minimiser travel as one packed string to its bucket;
     copies that meet in one map task are decided there, so that however many
-    copies there are, each task sends a passage once.
+    copies there are, each task sends a passage once.  Buckets are weighed
+    first, and those too large for a task dealt anew by whole windows.
     """
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -237,6 +237,40 @@ def test_substring_dedup_of_odd_tables(spark, odd):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_heavy_buckets_are_dealt_anew(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+
+    def words(n):
+        return " ".join(f"u{x}" for x in draw.integers(0, 1 << 40, n))
+
+    # a four-word phrase whose hash is the least of any window around it, with other words about it each time
+    grams = [f"p{i} q{i} r{i} s{i}" for i in range(20_000)]
+    def least(gram):  # noqa: E306
+        h = substring_dedup.word_table(np.frombuffer(" ".join([gram] * 5).encode(), np.uint8))[2]
+        return substring_dedup._mix((h[:3] * substring_dedup._STEP[0] + h[1:4])[:1] * substring_dedup._STEP[1] + (h[:3] * substring_dedup._STEP[0] + h[1:4])[2:])[0]
+
+    phrase = min(grams, key=least)
+    rows = [(i, f"{words(30)} {phrase} {words(30)}") for i in range(400)]
+    rows += [(1000 + i, f"{words(9)} {rows[i][1]} {'a ' * 60}") for i in range(0, 400, 3)]
+    texts = [t.encode() for _, t in rows]
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1 << 13)
+    total = sum(map(len, texts))
+    buckets = -(-3 * total // substring_dedup.BUCKET_BYTES)
+    docs = frame(spark, rows).select("doc_id", F.lit(0).alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    heavy = substring_dedup.heavy_buckets(docs, buckets)
+    assert heavy
+
+    def largest(heavy):
+        packer = substring_dedup.Packer(buckets, heavy)
+        packer.add([i for i, _ in rows], [0] * len(rows), texts)
+        return max(size for _, decided, size in packer.flush(len) if not decided)
+
+    assert largest([]) > substring_dedup.HEAVY * substring_dedup.BUCKET_BYTES >= largest(heavy)
+    want = substring_dedup.brute_force(rows)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == want
+
+
 # -- 4 ---------------------------------------------------------------------------------------------
 
 KEY = "Qx7Tz0mK2pVb9LsR4wYd8NcF1gHj6EaU"
