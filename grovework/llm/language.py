@@ -14,7 +14,7 @@ from .common import table
 BLOCK = 512
 #: Lanes advanced together; bounds the arrays of a task.
 LANES = 8192
-#: The model is fitted on at most so many documents a language, and so many symbols of them.
+#: The model is fitted on at most so many documents a language, so many symbols of them, and so many characters of each.
 SAMPLE_DOCS, SAMPLE_SYMBOLS, SAMPLE_DOC_CHARS = 200, 30_000, 20_000
 
 
@@ -142,12 +142,14 @@ class CrossParser:
 def fit(labelled: DataFrame, key: str = "doc_id") -> CrossParser:
     """A parser from rows (key, text, lang): per language the rows whose key hashes lowest.
 
-    Rows without letters, language or text, and those above SAMPLE_DOC_CHARS, are passed over; at
-    most SAMPLE_DOCS whole rows and SAMPLE_SYMBOLS symbols of each language come to the driver.
+    Rows without letters, language or text are passed over.  Of each row chosen, of whatever length, the
+    first SAMPLE_DOC_CHARS characters from its first letter on are taken; at most SAMPLE_DOCS such
+    excerpts of each language come to the driver, and SAMPLE_SYMBOLS symbols of them are learnt.
     """
+    excerpt = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{SAMPLE_DOC_CHARS - 1}}}", 0)
     ranked = (
-        labelled.where(F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_DOC_CHARS) & F.col("text").rlike(r"\p{L}"))
-        .select("lang", F.xxhash64(F.col(key).cast("string"), F.col("text")).alias("h"), "text")
+        labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+        .select("lang", F.xxhash64(F.col(key).cast("string"), F.col("text")).alias("h"), excerpt.alias("text"))
         .withColumn("n", F.length("text"))
     )
     slim = ranked.select("lang", "h", "n").distinct()
@@ -200,7 +202,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents in which a language was found; without a letter (or a text) they go.
 
-    The parser is fitted on the documents' own labelled rows.
+    The parser is fitted on the documents' own labelled rows; where none tells a language, all texts with a letter stay.
     """
-    found = identify(docs, fit(docs.where(~held_out_mod("doc_id", 3))), ("__lang", "__score", "__rate"))
+    parser = fit(docs.where(~held_out_mod("doc_id", 3)))
+    if not parser.names:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, parser, ("__lang", "__score", "__rate"))
     return found.where(F.col("__lang") != "und").select(*docs.columns)

@@ -415,6 +415,17 @@ def test_languages_held_out(spark):
     assert found.where("score < 0 or score > 1").count() == 0
 
 
+def test_long_documents_are_learnt_from(spark):
+    rows = [(i, "123 " * 6000 + "der hund und die katze " * 1200, "de", None) for i in range(3)] + [(9 + i, "the dog and the cat " * 1200, "en", None) for i in range(3)]
+    parser = language.fit(frame(spark, rows))
+    assert parser.names == ["de", "en"] and parser.predict(["die katze und der hund", "the cat and the dog"])[0] == ["de", "en"]
+
+
+def test_texts_stay_where_no_language_is_known(spark):
+    docs = frame(spark, [(1, "some text", None, None), (2, "12 !", None, None), (3, None, None, None), (None, "é", None, None)])
+    assert {r["doc_id"] for r in language.stage_language(spark, docs, "").collect()} == {1, None}
+
+
 def test_languages_of_odd_tables(spark, odd):
     parser = language.fit(odd)
     got = language.identify(odd.withColumn("score", F.lit("mine")), parser).collect()
