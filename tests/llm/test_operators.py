@@ -386,6 +386,21 @@ def test_rewriting_templates_are_noticed():
     assert piece[a:b] == "<|"
 
 
+def test_templates_that_look_back_see_whole_prefixes(spark):
+    def render(turns):
+        return f"{len(turns)} turns, first {turns[0][0]}: " + " | ".join(f"{k % 2}{t}" for k, (_, t) in enumerate(turns))
+
+    turns = [("user", f"text {k}") for k in range(40)]
+    table = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for r in chat.format_turns(table, render).collect():
+        n = r["turn_no"]
+        whole = render(turns[: n + 1])
+        assert whole[r["offset"] :] == r["piece"] and r["rewrote"] == (n > 0)
+        assert r["piece"][r["text_start"] : r["text_end"]] == f"text {n}"
+    bounded, full = (chat.format_turns(table, context=c).drop("rewrote").collect() for c in (0, None))
+    assert bounded == full
+
+
 # -- 7 ---------------------------------------------------------------------------------------------
 
 
