@@ -67,6 +67,18 @@ def test_decontamination_of_short_items_and_by_shuffle(spark, monkeypatch):
     assert sorted(decontaminate.contaminated(docs, bench).collect()) == small
 
 
+def test_decontamination_of_null_and_repeated_ids_is_the_same_by_shuffle(spark, monkeypatch):
+    near = " ".join(w if i % 2 else "other" for i, w in enumerate(ITEM.split()))
+    seeded = " ".join(f"c{i}" for i in range(60)) + " " + " ".join(w if m == "1" else "x" for w, m in zip(ITEM.split(), decontaminate.MASKS[1], strict=False))
+    docs = frame(spark, [(None, f"a {ITEM} b"), (None, "another text of more than eight words without an id"), (4, seeded), (4, "a short and clean text of nine words here"), (5, near), (6, ITEM), (6, f"x {ITEM}")])
+    bench = spark.createDataFrame([(2, ITEM)], "item_id long, text string")
+    key = lambda r: repr(r)
+    small = sorted(decontaminate.contaminated(docs, bench).collect(), key=key)
+    assert {r["doc_id"] for r in small} == {None, 6}
+    monkeypatch.setattr(decontaminate, "BROADCAST_TOKENS", 0)
+    assert sorted(decontaminate.contaminated(docs, bench).collect(), key=key) == small
+
+
 def test_decontamination_of_odd_and_empty_tables(spark, odd):
     bench = spark.createDataFrame([(1, ITEM), (None, None)], "item_id long, text string")
     assert decontaminate.contaminated(odd, bench).count() == 0
