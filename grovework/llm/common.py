@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import checkpoint, shared_dir
@@ -35,6 +37,61 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """`names` with as many underscores before them as no column of `df` begins with."""
+    lead = "__"
+    while any(c.startswith(lead) for c in df.columns):
+        lead += "_"
+    return [lead + n for n in names]
+
+
+def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, name: str, part_rows: int = 1_000_000) -> DataFrame:
+    """df with `name`, the sum of `value` over the rows of its group up to and including its own, in `order`.
+
+    Rows equal in `order` follow each other in any order.  Rows are dealt by
+    ranges of (group, order, row number), summed within their range, and the
+    ranges' sums give each its first value: however large a group, and however
+    many equal rows it has, no task sorts more than a range of about `part_rows`.
+    df is read more than once, so it should be written or checkpointed.
+    """
+    tie, part, total, before = unused(df, "tie", "part", "total", "before")
+    parts = max(partitions(df), math.ceil(df.count() / part_rows))
+    placed = checkpoint(
+        df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(parts, *group, *order, tie).withColumn(part, F.spark_partition_id())
+    )
+    up_to = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
+    # a row for each range and group in it
+    sums = placed.groupBy(part, *group).agg(F.sum(value).alias(total)).withColumn(before, F.sum(total).over(up_to) - F.col(total))
+    sums = sums.select(F.col(part).alias(total), F.struct(*group).alias(tie + "_g"), before)
+    inner = Window.partitionBy(part, *group).orderBy(*order, tie).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn(name, F.sum(value).over(inner))
+    met = summed.join(sums, (F.col(part) == F.col(total)) & F.struct(*group).eqNullSafe(F.col(tie + "_g")))
+    return met.withColumn(name, F.col(name) + F.col(before)).select(*df.columns, name)
+
+
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, part_rows: int = 250_000) -> DataFrame:
+    """df with `name`, the place of each row in its group in `order`, from 0 and without gaps; equal rows in any order.
+
+    Rows are sorted in ranges of (group, order, row number) and numbered as they
+    are written; a range's first number and the rows of the group before it
+    make the place.  So no group and no frequent key is sorted by one task, and
+    whole rows travel once.  df is read more than once, so it should be written.
+    """
+    tie, at, part, first, before = unused(df, "tie", "at", "part", "first", "before")
+    parts = max(partitions(df), math.ceil(df.count() / part_rows))
+    keys = [*group, *order, tie]
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    placed = materialize(dealt.drop(tie).withColumn(at, F.monotonically_increasing_id()))
+    own = F.shiftright(F.col(at), 33)
+    up_to = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
+    ranges = placed.groupBy(own.alias(part), *group).agg(F.min(at).alias(first), F.count("*").alias(before))
+    ranges = ranges.withColumn(before, F.sum(before).over(up_to) - F.col(before))
+    # one row for each range and group in it: as many as ranges and groups together
+    ranges = F.broadcast(ranges.select(part, F.struct(*group).alias(tie), first, before))
+    met = placed.join(ranges, (own == F.col(part)) & F.struct(*group).eqNullSafe(F.col(tie)))
+    return met.withColumn(name, F.col(at) - F.col(first) + F.col(before)).select(*df.columns, name)
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of an undirected graph.
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, partitions, table
+from .common import checkpoint, components, partitions, table, unused
 
 BITS = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -135,6 +135,17 @@ def _links(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]
         yield pairs(rest.reset_index(drop=True))
 
 
+def _in_parts(rows: DataFrame, group: list[str]) -> DataFrame:
+    """group, part, node: a group's nodes dealt over its `parts`, and each sent to every pair of parts with its own in it."""
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    others = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda o: F.least(o, F.col("own")) * F.col("parts") + F.greatest(o, F.col("own")),
+    )
+    part = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(others))
+    return rows.withColumn("own", own).withColumn("part", part).select(*group, "part", "node")
+
+
 def link_fingerprints(nodes: DataFrame, distance: int = 4) -> DataFrame:
     """Edges a, b that connect linked nodes; nodes: node (distinct), fps (its one fingerprint).
 
@@ -148,17 +159,7 @@ def link_fingerprints(nodes: DataFrame, distance: int = 4) -> DataFrame:
     rows = _bucket_rows(nodes, _choices(nodes.count(), distance))
     sizes = rows.groupBy("tab", "bits").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, ["tab", "bits"]).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    others = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda o: F.least(o, F.col("own")) * F.col("parts") + F.greatest(o, F.col("own")),
-    )
-    rows = (
-        rows.withColumn("own", own)
-        .withColumn("part", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(others)))
-        .select("tab", "bits", "part", "node")
-    )
-    met = rows.join(nodes.select("node", "fps"), "node").select("tab", "bits", "part", "node", "fps")
+    met = _in_parts(rows, ["tab", "bits"]).join(nodes.select("node", "fps"), "node").select("tab", "bits", "part", "node", "fps")
     dealt = met.repartition(partitions(nodes), "tab", "bits", "part").sortWithinPartitions("tab", "bits", "part", "node")
     return dealt.mapInPandas(lambda it: _links(it, distance), "a long, b long").distinct()
 
@@ -173,22 +174,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     table gives none.  Exact copies are one fingerprint from the start.
     """
     prints = checkpoint(fingerprints(docs, shingle))
-    prints = prints.withColumn("node", F.get("fps", 0))
+    prints = prints.withColumn("node", F.get("fps", 0)).withColumn("n", F.lit(1))
     return _grouped(prints, lambda nodes: link_fingerprints(nodes, distance)).select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
 def _grouped(prints: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """prints (doc_id, text_hash, node, fps) with component_id and keep: the group's first (doc_id, text_hash), null doc_ids last.
+    """prints (doc_id, text_hash, node, n, fps) with component_id and keep: the group's first (doc_id, text_hash), null doc_ids last.
 
-    link gives edges a, b of the distinct nodes (node, fps, text_hash of one of its texts).
+    link gives edges a, b of the distinct nodes (node, n, fps, and id and hash of the first of its documents).
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     distinct = checkpoint(
         prints.groupBy("node").agg(
-            F.min("fps").alias("fps"), F.min("doc_id").alias("first"), F.min(order).alias("least"), F.min("text_hash").alias("text_hash")
+            F.min("fps").alias("fps"), F.min("n").alias("n"), F.min("doc_id").alias("first"), F.min(order).alias("least")
         )
     )
-    roots = components(link(distinct.select("node", "fps", "text_hash")))
+    one = [F.coalesce("least.doc_id", F.lit(-(1 << 63))).alias("id"), F.col("least.text_hash").alias("hash")]
+    roots = components(link(distinct.select("node", "n", "fps", *one)))
     placed = distinct.select("node", "first", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.min("least").alias("keep"))
     return prints.drop("fps").join(placed.join(smallest, "root").select("node", "component_id", "keep"), "node")
@@ -203,6 +205,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: ROWS minima each: a pair of similarity 0.8 agrees on a band with a chance of 0.8^6 = 0.262, so on none of 24 with
 #: one of 0.0007, whatever the number of documents; one of 0.5 meets with a chance of 0.31, and is then turned down.
 STAGE_SHINGLE, BANDS, ROWS = 5, 24, 6
+#: A group of more shingles than this is compared in pairs of parts of this size.
+PART_SHINGLES = 1 << 20
 _DRAW = np.random.default_rng(6)
 _FACTORS = _DRAW.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = _DRAW.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
@@ -228,72 +232,127 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the text's set of shingles), fps (its bands) of every document."""
+    """doc_id, text_hash, node (a hash of the text's set of shingles), n (its size), fps (its bands) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_buffer().to_pybytes() if t.is_valid else None) for t in b.column(2)]
             nodes = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
-            cols = [b.column(0), b.column(1), nodes, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "node", "fps"])
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            cols = [b.column(0), b.column(1), nodes, sizes, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "node", "n", "fps"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, text_hash long, node long, fps array<long>")
+    return source.mapInArrow(run, "doc_id long, text_hash long, node long, n long, fps array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, s (its shingles as signed longs), of the nodes given with the text_hash of one of their texts."""
+    """node, s (its shingles as signed longs), from the one document (id, hash) given of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = pa.array([shingles(t.as_buffer().to_pybytes()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["node", "s"])
 
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")).where("text is not null")
-    one = texts.join(nodes.select("node", "text_hash"), "text_hash").groupBy("node").agg(F.first("text").alias("text"))
-    return one.select("node", "text").mapInArrow(run, "node long, s array<long>")
+    texts = docs.select(_key(docs).alias("id"), F.xxhash64("text").alias("hash"), F.col("text").cast("string").alias("text"))
+    return texts.join(nodes.select("node", "id", "hash"), ["id", "hash"]).select("node", "text").mapInArrow(run, "node long, s array<long>")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs a, b whose sets share four fifths of their union; whole numbers, so that 0.8 itself counts."""
-    small, large = F.least("n", "m"), F.greatest("n", "m")
-    sized = sets.select("node", F.size("s").alias("n"))
-    fit = (
-        pairs.join(sized.withColumnRenamed("node", "a"), "a")
-        .join(sized.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
-        .where(5 * small >= 4 * large)
-        .select("a", "b")
-    )
-    met = fit.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    return met.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+def similar_forest(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that join the nodes whose sets share four fifths of their union: a star for each tree, all exact.
+
+    Each node reached is held against all those not reached yet, at once: their
+    shingles are looked up in a table of its own.  Whole numbers decide, so that 0.8 itself counts.
+    """
+    size = np.array([len(s) for s in sets])
+    if len(nodes) == 2:
+        shared = len(np.intersect1d(*sets, assume_unique=True))
+        return [(int(nodes[0]), int(nodes[1]))] if 9 * shared >= 4 * size.sum() else []
+    words, code = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(code, np.cumsum(size)[:-1])
+    mark, left, edges = np.zeros(len(words), np.int32), np.arange(len(nodes)), []
+    while len(left) > 1:
+        root, left = left[0], left[1:]
+        front, flat = [root], np.concatenate([own[k] for k in left])
+        while front and len(left):
+            x = front.pop()
+            mark[own[x]] = 1
+            shared = np.add.reduceat(mark[flat], np.cumsum(size[left]) - size[left])
+            mark[own[x]] = 0
+            near = 9 * shared >= 4 * (size[left] + size[x])
+            if near.any():
+                edges += [(int(nodes[x]), int(nodes[k])) for k in left[near]]
+                front += left[near].tolist()
+                flat, left = flat[np.repeat(~near, size[left])], left[~near]
+    return edges
 
 
-def link_similar(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges a, b that connect the nodes whose shingles are similar; every edge is verified on both texts.
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, part, node, s) sorted by (a, part) -> verified edges a, b; one group is held at a time."""
+    held: dict[int, np.ndarray] = {}
+    group, found = None, []
+
+    def close() -> None:
+        if len(held) > 1:
+            found.extend(similar_forest(np.array(list(held)), list(held.values())))
+        held.clear()
+
+    def out() -> pa.RecordBatch:
+        e = np.array(found, np.int64).reshape(-1, 2)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        a, part, node = (batch.column(k).to_numpy() for k in range(3))
+        s = batch.column(3)
+        flat, at = s.flatten().to_numpy(), np.r_[0, np.cumsum(s.value_lengths().to_numpy())]
+        for k in range(len(a)):
+            if group != (a[k], part[k]):
+                close()
+                group = (a[k], part[k])
+            held[int(node[k])] = flat[at[k] : at[k + 1]]
+        if found:
+            yield out()
+    close()
+    if found:
+        yield out()
 
-    Candidates share a band.  First each bucket's smallest node meets the rest
-    of it; then all pairs of a bucket that are not in one group yet, so that a
-    large group of copies costs one pair a copy and yet no pair is left out.
+
+def link_similar(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges a, b that connect the nodes whose shingles are similar; nodes: node, n (size of its set), fps (bands), id, hash.
+
+    Candidates share a band.  All that meet in buckets whose least node is a are
+    one group, a's: so a node goes to each such a once, however many bands they
+    share, and every two nodes of a bucket are in one group.  There all pairs
+    are compared exactly, yet only a spanning star of each tree is given.  A
+    group of more than PART_SHINGLES is cut into parts, and every two parts meet
+    as a group of their own, so that no task holds more than two.
     """
-    rows = nodes.select("node", F.posexplode("fps").alias("tab", "bits"))
-    buckets = rows.groupBy("tab", "bits").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
-    met = checkpoint(rows.join(buckets.select("tab", "bits", "a"), ["tab", "bits"]))
-    sets = checkpoint(_sets(docs, nodes.join(met.select("node").distinct(), "node", "left_semi")))
-    stars = checkpoint(_similar(met.where("a < node").select("a", F.col("node").alias("b")).distinct(), sets))
-    roots = components(stars)
-    placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("tab", "bits").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    # the smallest has met all of its bucket
-    open_ = checkpoint(placed.where("a < node").join(mixed.select("tab", "bits"), ["tab", "bits"]).select("tab", "bits", "node", "root"))
-    other = open_.select("tab", "bits", F.col("node").alias("b"), F.col("root").alias("other"))
-    pairs = open_.withColumnRenamed("node", "a").join(other, ["tab", "bits"]).where((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")))
-    return stars.unionByName(_similar(pairs.select("a", "b").distinct(), sets))
+    rows = nodes.select("node", "n", F.posexplode("fps").alias("tab", "bits"))
+    buckets = rows.groupBy("tab", "bits").agg(F.count("*").alias("c"), F.min("node").alias("a")).where("c > 1")
+    met = checkpoint(rows.join(buckets.select("tab", "bits", "a"), ["tab", "bits"]).select("a", "node", "n").distinct())
+    sizes = met.groupBy("a").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("parts"))
+    sent = _in_parts(met.join(sizes, "a"), ["a"])
+    sets = _sets(docs, nodes.join(met.select("node").distinct(), "node", "left_semi"))
+    whole = sent.join(sets, "node").select("a", "part", "node", "s")
+    volume = met.agg(F.sum("n")).first()[0] or 0
+    dealt = whole.repartition(max(partitions(nodes), math.ceil(volume / PART_SHINGLES)), "a", "part").sortWithinPartitions("a", "part")
+    return dealt.mapInArrow(_compare, "a long, b long")
+
+
+def _key(docs: DataFrame) -> Column:
+    """The doc_id, and one value for all null ones."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: one document of each group, that with the smallest doc_id (null ones last); of equal rows, one."""
+    """Pipeline: one document of each group, that with the smallest doc_id (null ones last); of equal rows, one.
+
+    Documents link if their sets of five-word shingles have a similarity of 0.8
+    or more; a group is all that is linked.  Texts without words are one group.
+    """
     found = _grouped(checkpoint(sketches(docs)), lambda nodes: link_similar(nodes, docs))
-    none = F.lit(-(1 << 63))
-    kept = found.select(F.coalesce("keep.doc_id", none).alias("__id"), F.col("keep.text_hash").alias("__hash")).distinct()
-    own = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("__hash", F.xxhash64("text"))
-    return own.join(kept, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    gid, ghash = unused(docs, "id", "hash")
+    kept = found.select(F.coalesce("keep.doc_id", F.lit(-(1 << 63))).alias(gid), F.col("keep.text_hash").alias(ghash)).distinct()
+    own = docs.withColumn(gid, _key(docs)).withColumn(ghash, F.xxhash64("text"))
+    return own.join(kept, [gid, ghash]).dropDuplicates([gid, ghash]).select(*docs.columns)
