@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table, word_count
+from .common import checkpoint, materialize, running_sum, table, unused, word_count
 
 #: Ranks are counted in this many bins before any rows are sorted.
 BINS = 4096
@@ -61,19 +61,24 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share_percent: int,
 def pareto_mix(docs: DataFrame, targets: DataFrame, seed: str = "mix", weight: str | None = None) -> DataFrame:
     """How many whole copies of each document a mix takes.
 
-    docs: doc_id, source, size long and, if named, a positive inclusion weight
-    within the source; targets: source, source_size, target.  A document's wish
-    is target/source_size, times its weight over the source's size-weighted mean
+    docs: doc_id, source, size long, row (a unique long; made here where docs
+    have none) and, if named, a positive inclusion weight within the source;
+    targets: source, source_size, target.  Returns these with copies.  A document's wish is
+    target/source_size, times its weight over the source's size-weighted mean
     weight.  The whole part of the wish is certain.  For the rest, documents
     rank by the draw's odds over the odds of the fraction, and a source takes
     them in that order while their sizes fit in what certain copies leave of
     its target; last, the one document left whose size comes nearest to what
     is missing, if that brings the source nearer.
 
-    Only the bin of ranks in which a source's budget ends is sorted; the other
-    bins need just their sums.  Equal ranks go by size and doc_id.  Sources
-    without size take nothing.
+    Draws are fixed by doc_id, and by `draw` where docs have that column.
+    Only the bin of ranks in which a source's budget ends is sorted, by ranges,
+    so equal ranks are spread too; the other bins need just their sums.  Equal
+    ranks go by size and doc_id; rows equal in all of these are
+    interchangeable.  Sources without size take nothing.
     """
+    if "row" not in docs.columns:
+        docs = checkpoint(docs.withColumn("row", F.monotonically_increasing_id()))
     t = targets.withColumnRenamed("source", "__source")
     rows = docs.join(t, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     wish = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -88,10 +93,10 @@ def pareto_mix(docs: DataFrame, targets: DataFrame, seed: str = "mix", weight: s
         rows.withColumn("__wish", wish)
         .withColumn("__whole", F.floor("__wish").cast("long"))
         .withColumn("__frac", frac)
-        .withColumn("__u", uniform(F.col("doc_id"), seed))
+        .withColumn("__u", uniform(F.col("draw") if "draw" in docs.columns else F.col("doc_id"), seed))
         .withColumn("__q", F.when(F.col("__frac") > 0, odds))
         .withColumn("__bin", F.floor(F.col("__q") / (1 + F.col("__q")) * BINS).cast("int"))
-        .select("doc_id", "source", "size", "source_size", "target", "__whole", "__q", "__bin")
+        .select("row", "doc_id", "source", "size", "source_size", "target", "__whole", "__q", "__bin")
     )
     bins = rows.groupBy("source", "__bin").agg(
         F.sum(F.when(F.col("__bin").isNotNull(), F.col("size"))).alias("__words"),
@@ -112,16 +117,12 @@ def pareto_mix(docs: DataFrame, targets: DataFrame, seed: str = "mix", weight: s
     placed = rows.join(bins, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b")), "left").drop("__s", "__b")
     full = F.col("__before") + F.col("__words") <= F.col("__budget")
     cut = (F.col("__before") <= F.col("__budget")) & ~full
-    settled = placed.where(F.coalesce(~cut, F.lit(True))).select(
-        "doc_id", "source", "size", "source_size", "target", "__whole", "__q", "__budget",
-        F.when(full, 1).otherwise(0).alias("__one"),
-    )
-    run = Window.partitionBy("source", "__bin").orderBy("__q", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    cutting = placed.where(cut).withColumn("__upto", F.col("__before") + F.sum("size").over(run)).select(
-        "doc_id", "source", "size", "source_size", "target", "__whole", "__q", "__budget",
-        F.when(F.col("__upto") <= F.col("__budget"), 1).otherwise(0).alias("__one"),
-    )
-    chosen = checkpoint(settled.unionByName(cutting))
+    placed = checkpoint(placed.withColumn("__cut", F.coalesce(cut, F.lit(False))).withColumn("__full", F.coalesce(full, F.lit(False))))
+    names = ["row", "doc_id", "source", "size", "source_size", "target", "__whole", "__q", "__budget"]
+    settled = placed.where(~F.col("__cut")).select(*names, F.col("__full").cast("int").alias("__one"))
+    cutting = running_sum(placed.where("__cut"), ["source"], ["__q", "size", "doc_id"], F.col("size"), "__upto")
+    fits = (F.col("__before") + F.col("__upto") <= F.col("__budget")).cast("int")
+    chosen = checkpoint(settled.unionByName(cutting.select(*names, fits.alias("__one"))))
     missing = (
         chosen.groupBy("source")
         .agg(F.max("__budget").alias("__budget"), F.sum(F.col("size") * F.col("__one")).alias("__got"))
@@ -134,21 +135,24 @@ def pareto_mix(docs: DataFrame, targets: DataFrame, seed: str = "mix", weight: s
         left.withColumn("__off", F.abs(F.col("size") - F.col("__missing")))
         .where(F.col("__off") < F.abs("__missing"))
         .groupBy("source")
-        .agg(F.min_by(F.struct("doc_id", "size", "__q"), F.struct("__off", "__q", "size", "doc_id")).alias("__last"))
-        .select(F.col("source").alias("__s"), F.col("__last.doc_id").alias("__d"), F.col("__last.size").alias("__z"))
+        .agg(F.min_by("row", F.struct("__off", "__q", "size", "doc_id", "row")).alias("__last"))
+        .select("__last")
     )
-    # rows that repeat a doc_id and size: the first alone is the one that was meant
-    same = Window.partitionBy("source", "doc_id", "size").orderBy("__one")
-    hit = F.col("source").eqNullSafe(F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("size") == F.col("__z"))
-    marked = chosen.join(last, hit, "left")
-    plain = marked.where(F.col("__z").isNull()).withColumn("__copies", F.col("__whole") + F.col("__one"))
-    ended = marked.where(F.col("__z").isNotNull()).withColumn(
-        "__copies",
-        F.col("__whole") + F.when(F.row_number().over(same) == 1, 1).otherwise(F.col("__one")),
+    copies = F.col("__whole") + F.col("__one") + F.col("__last").isNotNull().cast("int")
+    # one row a source
+    return chosen.join(last, F.col("row") == F.col("__last"), "left").select(
+        "row", "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies")
     )
-    return plain.unionByName(ended).select(
-        "doc_id", "source", "size", "source_size", "target", F.col("__copies").cast("long").alias("copies")
+
+
+def _mixed(docs: DataFrame, row: Column, weights: Sequence[int], share_percent: int, most: int, seed: str) -> DataFrame:
+    # null doc_ids are told apart by their texts
+    draw = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")))
+    sized = checkpoint(docs.select(row.alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), draw.alias("draw")))
+    targets = source_targets(
+        sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share_percent, most
     )
+    return pareto_mix(sized, targets, seed)
 
 
 def mix_documents(
@@ -158,13 +162,10 @@ def mix_documents(
 
     size is the number of words (null text: 0); taken = size * copies, copies
     at most `most`.  A null source is one source.  Rows that repeat are each
-    counted.  An empty table gives none.
+    counted, and documents without a doc_id are drawn by their text.  An empty
+    table gives none.
     """
-    sized = checkpoint(docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size")))
-    targets = source_targets(
-        sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share_percent, most
-    )
-    return pareto_mix(sized, targets, seed).select(
+    return _mixed(docs, F.monotonically_increasing_id(), weights, share_percent, most, seed).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
 
@@ -174,18 +175,22 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: each document as often as the mix takes it (0, 1 or 2 times)."""
-    taken = mix_documents(docs).select(F.col("doc_id").alias("__id"), "copies", F.col("size").alias("__size"))
-    taken = taken.where("copies > 0").groupBy("__id", "__size").agg(F.max("copies").alias("copies"))
-    kept = docs.join(
-        taken, docs["doc_id"].eqNullSafe(F.col("__id")) & (word_count(docs["text"]) == F.col("__size"))
-    )
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Pipeline: each row as often as the mix takes it (0, 1 or 2 times).
+
+    Rows are numbered once and written, so that null, repeated and equal
+    doc_ids each keep their own number of copies.
+    """
+    row, copies = unused(docs, "row", "copies")
+    own = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    taken = _mixed(own, F.col(row), (5, 2, 1), 150, 2, "mix").where("copies > 0")
+    kept = own.join(taken.select(F.col("row").alias(row), F.col("copies").alias(copies)), row)
+    return kept.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 OP8_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         coalesce(doc_id::VARCHAR, md5(text), 'null') AS draw FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, ([5, 2, 1])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w,
              source_size * 2 AS cap FROM src),
@@ -200,7 +205,7 @@ tgt AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap::DOUBLE ELS
 r AS (
   SELECT s.*, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS wish,
-         (('0x' || substr(md5('mix/' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+         (('0x' || substr(md5('mix/' || draw), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN tgt t ON s.source IS NOT DISTINCT FROM t.source),
 q AS (
   SELECT *, floor(wish)::BIGINT AS whole, wish - floor(wish) AS frac FROM r),
