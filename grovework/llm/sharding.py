@@ -6,13 +6,11 @@ import hashlib
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import numbered, table, unused
 
-#: Rows of a shard are numbered in blocks of about this many.
-BLOCK_ROWS = 100_000
 P = 2_147_483_647
 
 
@@ -60,62 +58,45 @@ def assign_shards(
     """`df` with shard int, grown_shard int (with one more shard) and slot long.
 
     The key alone decides the shard.  slot counts a shard's rows from 0 without
-    gaps, in the order of (block, key, `order`); rows equal in all of these are
-    interchangeable.  A shard is numbered in blocks by key hash, each block a
-    task's small window, and the blocks' row counts give each its first slot,
-    so that no shard is sorted in one task.  Null keys are one key.  Columns
-    named shard, grown_shard or slot are replaced; an empty table gives none.
+    gaps, in the order of (key, `order`); rows equal in all of these are
+    interchangeable.  Rows are numbered in ranges of that order, so that no
+    shard and no key, however frequent, is sorted by one task.  Null keys are
+    one key, before all others.  Columns named shard, grown_shard or slot are
+    replaced; an empty table gives none.
     """
     n = len(weights)
-    df = df.drop("shard", "grown_shard", "slot")
-    h = df.withColumn("__h", key_hash(F.col(key)))
+    h, best, more = unused(df, "h", "best", "more")
+    hashed = df.drop("shard", "grown_shard", "slot").withColumn(h, key_hash(F.col(key)))
     if n > 1:
-        best = F.least(*_costs(F.col("__h"), weights, range(n)))
+        least = F.least(*_costs(F.col(h), weights, range(n)))
     else:
-        best = _costs(F.col("__h"), weights, [0])[0]
+        least = _costs(F.col(h), weights, [0])[0]
     placed = (
-        h.withColumn("__best", best)
-        .withColumn("__more", F.least("__best", _costs(F.col("__h"), [grown_weight], [n])[0]))
-        .withColumn("shard", F.col("__best.shard").cast("int"))
-        .withColumn("grown_shard", F.col("__more.shard").cast("int"))
-        .drop("__best", "__more")
-    )
-    blocks = max(1, math.ceil(df.count() / (BLOCK_ROWS * n)))
-    placed = placed.withColumn("__block", (F.col("__h") % F.lit(blocks)).cast("int"))
-    first = (
-        placed.groupBy("shard", "__block")
-        .agg(F.count("*").alias("__n"))
-        .withColumn(
-            "__first",
-            F.sum("__n").over(Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("__n"),
-        )
-        .drop("__n")
-    )
-    in_block = Window.partitionBy("shard", "__block").orderBy(key, *order)
-    return (
-        placed.withColumn("__row", F.row_number().over(in_block) - 1)
-        .join(first, ["shard", "__block"])
-        .withColumn("slot", (F.col("__first") + F.col("__row")).cast("long"))
-        .drop("__h", "__block", "__first", "__row")
+        hashed.withColumn(best, least)
+        .withColumn(more, F.least(best, _costs(F.col(h), [grown_weight], [n])[0]))
+        .withColumn("shard", F.col(f"{best}.shard").cast("int"))
+        .withColumn("grown_shard", F.col(f"{more}.shard").cast("int"))
+        .drop(h, best, more)
     )
+    return numbered(placed, ["shard"], [key, *order], "slot")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, keep: Sequence[str] = ()) -> DataFrame:
     """Documents over `shards` equal shards, by doc_id.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 16; null text: 16),
     text_crc32 (null text: that of the empty one), law 'key', shard, slot,
-    grown_shard.  The text itself is never shuffled.  Equal texts need not
-    meet: doc_id alone decides.
+    grown_shard, and the columns named in `keep`.  Without these the text itself
+    is never shuffled.  Equal texts need not meet: doc_id alone decides.
     """
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(16)).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        *keep,
     )
     out = assign_shards(slim, "doc_id", [1.0] * shards, order=("size", "text_crc32"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", *keep)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +104,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: every document with its shard and slot, and no text moved."""
-    return shard_documents(docs)
+    """Pipeline: every row with its text, language and source, its shard, and its slot there, which tells copies apart."""
+    return shard_documents(docs, keep=[c for c in ("text", "lang", "source") if c in docs.columns])
 
 
 _SHARDS = ", ".join(f"({s}, {a}, {b})" for s, (a, b) in ((s, _mix(s)) for s in range(41)))
@@ -139,9 +120,8 @@ c AS (SELECT doc_id, size, h, xor(list_reduce(list_prepend(4294967295::BIGINT, b
 s AS (SELECT * FROM (VALUES {_SHARDS}) v(shard, a, b)),
 x AS (SELECT h, shard, b, (h * a + b) % {P} AS x FROM (SELECT DISTINCT h FROM d), s),
 y AS (SELECT h, shard, -ln(((xor(x, x >> 15) * 48271 + b) % {P} + 0.5::DOUBLE) / {P}.0::DOUBLE) AS cost FROM x),
-w AS (SELECT h, min_by(shard, struct_pack(cost := cost, shard := shard)) FILTER (shard < 40) AS shard, min_by(shard, struct_pack(cost := cost, shard := shard)) AS grown FROM y GROUP BY h),
-n AS (SELECT greatest(1, ceil(count(*) / {BLOCK_ROWS * 40}.0))::BIGINT AS blocks FROM documents)
+w AS (SELECT h, min_by(shard, struct_pack(cost := cost, shard := shard)) FILTER (shard < 40) AS shard, min_by(shard, struct_pack(cost := cost, shard := shard)) AS grown FROM y GROUP BY h)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS shard,
-  (row_number() OVER (PARTITION BY shard ORDER BY c.h % blocks, doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot, grown::INT AS grown_shard
-FROM c JOIN w USING (h), n
+  (row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot, grown::INT AS grown_shard
+FROM c JOIN w USING (h)
 """
