@@ -7,71 +7,88 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, table
 from .language import held_out_mod
-from .substring_dedup import word_table
 
-#: Tokens of a chunk (whole documents; a longer one is a chunk of its own), text bytes behind a bucket of words.
-CHUNK_TOKENS, BUCKET_TEXT = 1_000_000, 16 << 20
-#: Network: units, classes of the output, words of a class; words it knows are the most frequent ones.
-UNITS, CLASSES, CLASS_WORDS = 32, 32, 32
-VOCABULARY = CLASSES * CLASS_WORDS
+#: Text of a chunk (whole documents; a larger one is a chunk of its own).
+CHUNK_BYTES = 12 << 20
+#: The network's units.  Its output has as many classes as a class has words: the fourth root of the number of distinct
+#: training words, between these bounds; the most frequent words are those it knows.
+UNITS, LEAST_SIDE, MOST_SIDE = 32, 32, 256
 END, UNKNOWN = 0, 1
-#: Training: rounds of averaging, lanes of text side by side, tokens of a piece (long documents train in pieces),
-#: steps of truncated backpropagation, rate.
-TRAIN_ROUNDS, TRAIN_LANES, TRAIN_PIECE, TRAIN_STEPS, RATE = 4, 512, 512, 16, 0.05
-SCORE_LANES, SCORE_STEPS = 512, 64
+#: Training: rounds of averaging, lanes of text side by side, tokens dealt over them at once, steps of truncated
+#: backpropagation, rate.  Long documents are dealt in pieces, each of which first reads so many tokens before it.
+TRAIN_ROUNDS, TRAIN_LANES, TRAIN_TOKENS, TRAIN_STEPS, RATE = 4, 512, 6_000_000, 16, 0.05
+TRAIN_PIECE, TRAIN_LEAD = 2048, 64
+SCORE_LANES, SCORE_STEPS = 512, 32
+#: A network's weights travel in so many pieces when they are averaged.
+SLICES = 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_GAP = np.zeros(256, bool)
+_GAP[[32, 9, 10, 11, 12, 13]] = True
+
+
+def side_for(distinct: int) -> int:
+    """Classes of the output, and words of a class, for so many distinct training words."""
+    return min(MOST_SIDE, max(LEAST_SIDE, math.ceil(distinct**0.25)))
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b of tall arrays (b: one or several of them), in blocks of rows that stay in the processor's cache."""
+    n = len(a) // 256 * 256
+    one, many = a[:n].reshape(-1, 256, a.shape[1]).transpose(0, 2, 1), b[..., :n, :].reshape(*b.shape[:-2], -1, 256, b.shape[-1])
+    return np.matmul(one, many).sum(-3) + np.matmul(a[n:].T, b[..., n:, :])
 
 
 class GatedNetwork:
-    """A gated recurrent unit over words, with an output softmax factored into classes and words within them."""
-
-    SHAPES = {
-        "gates": (VOCABULARY, 3 * UNITS),
-        "back": (UNITS, 3 * UNITS),
-        "to_class": (UNITS, CLASSES),
-        "class_bias": (CLASSES,),
-        "to_word": (CLASSES, UNITS, CLASS_WORDS),
-        "word_bias": (CLASSES, CLASS_WORDS),
-    }
-
-    def __init__(self, flat: np.ndarray | None = None):
+    """A gated recurrent unit over side * side words, with an output softmax factored into classes and words within them."""
+
+    def __init__(self, side: int, flat: np.ndarray | None = None):
         """All weights lie in one array; w names its parts."""
-        size = sum(math.prod(s) for s in self.SHAPES.values())
+        self.side = side
+        self.shapes = {
+            "words": (side * side, UNITS),
+            "into": (3, UNITS, UNITS),
+            "back": (3, UNITS, UNITS),
+            "to_class": (UNITS, side),
+            "class_bias": (side,),
+            "to_word": (side, UNITS, side),
+            "word_bias": (side, side),
+        }
+        size = sum(math.prod(s) for s in self.shapes.values())
         self.flat = np.zeros(size, np.float32) if flat is None else np.array(flat, np.float32)
         self.w = self.parts(self.flat)
 
-    @classmethod
-    def parts(cls, flat: np.ndarray) -> dict[str, np.ndarray]:
+    def parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         out, at = {}, 0
-        for name, shape in cls.SHAPES.items():
+        for name, shape in self.shapes.items():
             out[name] = flat[at : at + math.prod(shape)].reshape(shape)
             at += math.prod(shape)
         return out
 
     def __reduce__(self):
-        return GatedNetwork, (self.flat,)
+        return GatedNetwork, (self.side, self.flat)
 
     @classmethod
-    def start(cls, counts: np.ndarray, seed: int = 9) -> GatedNetwork:
+    def start(cls, counts: np.ndarray, side: int = LEAST_SIDE, seed: int = 9) -> GatedNetwork:
         """Small random weights; output biases are the logarithms of the words' shares, so it starts as a unigram model."""
         draw = np.random.default_rng(seed)
-        share = np.zeros(VOCABULARY)
+        share = np.zeros(side * side)
         share[: len(counts)] = counts + 0.5
-        share = (share + 1e-9).reshape(CLASSES, CLASS_WORDS)
+        share = (share + 1e-9).reshape(side, side)
         by_class = share.sum(1)
-        net = cls()
-        net.w["gates"][:] = draw.normal(0, 0.1, net.w["gates"].shape)
+        net = cls(side)
+        net.w["words"][:] = draw.normal(0, 0.2, net.w["words"].shape)
+        net.w["into"][:] = draw.normal(0, 0.5 / math.sqrt(UNITS), net.w["into"].shape)
         net.w["back"][:] = draw.normal(0, 0.5 / math.sqrt(UNITS), net.w["back"].shape)
         net.w["to_class"][:] = draw.normal(0, 0.05, net.w["to_class"].shape)
         net.w["to_word"][:] = draw.normal(0, 0.05, net.w["to_word"].shape)
@@ -79,219 +96,266 @@ class GatedNetwork:
         net.w["word_bias"][:] = np.log(share / by_class[:, None])
         return net
 
-    def step(self, before: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        a, b = self.w["gates"][before], h @ self.w["back"]
-        gate = a[:, : 2 * UNITS] + b[:, : 2 * UNITS]
-        np.negative(gate, out=gate)
-        np.exp(gate, out=gate)
-        gate += 1
-        np.reciprocal(gate, out=gate)
-        z, r, b3 = gate[:, :UNITS], gate[:, UNITS:], b[:, 2 * UNITS :]
-        n = np.tanh(a[:, 2 * UNITS :] + r * b3)
-        return n + z * (h - n), z, r, n, b3
+    def run(self, a: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Advances lanes of text through one window, a step at a time, the first live[t] lanes at step t.
+
+        a: what the words before say to z, r and the candidate (rows step after
+        step); fresh: steps x lanes that begin without a state; h: states before
+        the window.  Returns states before and after each step, gates (z and r),
+        candidates and their part from the state, and the states at the end.
+        """
+        total, any_fresh = a.shape[1], fresh.any(1).tolist()
+        old, new, cand, b3 = (np.empty((total, UNITS), np.float32) for _ in range(4))
+        gate = np.empty((2, total, UNITS), np.float32)
+        ends = np.cumsum(live).tolist()
+        for t, (n, end) in enumerate(zip(live.tolist(), ends, strict=True)):
+            own = slice(end - n, end)
+            o, g, c, y = old[own], gate[:, own], cand[own], new[own]
+            o[:] = h[:n]
+            if any_fresh[t]:
+                o[np.flatnonzero(fresh[t, :n])] = 0
+            b = np.matmul(o, self.w["back"])
+            np.add(a[:2, own], b[:2], out=g)
+            np.tanh(g, out=g)  # (1 + tanh x) / 2 is the logistic function of 2x
+            g += 1
+            g *= 0.5
+            b3[own] = b[2]
+            np.multiply(g[1], b[2], out=c)
+            c += a[2, own]
+            np.tanh(c, out=c)
+            np.subtract(o, c, out=y)
+            y *= g[0]
+            y += c
+            h = y
+        return old, new, gate, cand, b3, h
 
     def output(self, h: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None):
         """log P(target | h), and the gradient of its negative mean by h; that by the weights goes to `grads`, if given."""
-        learn = grads is not None
-        w, rows = self.w, np.arange(len(h))
-        kind, word = target // CLASS_WORDS, target % CLASS_WORDS
-        logits = h @ w["to_class"] + w["class_bias"]
-        np.clip(logits, -60, 60, out=logits)
-        p = np.exp(logits)
-        total = p.sum(1)
-        out = logits[rows, kind] - np.log(total)
+        learn, w, m, side = grads is not None, self.w, len(h), self.side
+        rows, ones = np.arange(m), np.ones(side, np.float32)
+        kind, word = np.divmod(target.astype(np.uint16), np.uint16(side))
+        p = h @ w["to_class"]
+        p += w["class_bias"]
+        np.minimum(p, 60, out=p)
+        out = p[rows, kind]
+        np.exp(p, out=p)
+        total = p @ ones
+        out -= np.log(total)
         if learn:
-            p /= total[:, None]
-            p[rows, kind] -= 1
-            p /= len(h)
+            p *= (1 / (total * m))[:, None]
+            p[rows, kind] -= 1 / m
             dh = p @ w["to_class"].T
-            np.matmul(h.T, p, out=grads["to_class"])
-            grads["class_bias"][:] = p.sum(0)
+            grads["to_class"][:] = _product(h, p)
+            np.matmul(np.ones(m, np.float32), p, out=grads["class_bias"])
+        # each class's rows together
         order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[ends[c] : ends[c + 1]]
-            if not len(own):
-                continue
-            hc, wc = h[own], word[own]
-            q = hc @ w["to_word"][c] + w["word_bias"][c]
-            np.clip(q, -60, 60, out=q)
-            at = np.arange(len(own))
-            picked = q[at, wc]
-            q = np.exp(q)
-            total = q.sum(1)
-            out[own] += picked - np.log(total)
-            if learn:
-                q /= total[:, None]
-                q[at, wc] -= 1
-                q /= len(h)
-                dh[own] += q @ w["to_word"][c].T
-                grads["to_word"][c] = hc.T @ q
-                grads["word_bias"][c] = q.sum(0)
-        return out, dh if learn else None
+        ends = np.r_[0, np.cumsum(np.bincount(kind, minlength=side))].tolist()
+        held = [(c, a, b) for c, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b]
+        hs, word, q = h.take(order, 0), word[order], np.empty((m, side), np.float32)
+        for c, a, b in held:
+            np.matmul(hs[a:b], w["to_word"][c], out=q[a:b])
+            q[a:b] += w["word_bias"][c]
+        np.minimum(q, 60, out=q)
+        inner = q[rows, word]
+        np.exp(q, out=q)
+        total = q @ ones
+        inner -= np.log(total)
+        out[order] += inner
+        if not learn:
+            return out, None
+        q *= (1 / (total * m))[:, None]
+        q[rows, word] -= 1 / m
+        back, many = np.empty_like(hs), np.ones(m, np.float32)
+        for c, a, b in held:
+            np.matmul(q[a:b], w["to_word"][c].T, out=back[a:b])
+            np.matmul(hs[a:b].T, q[a:b], out=grads["to_word"][c])
+            np.matmul(many[a:b], q[a:b], out=grads["word_bias"][c])
+        dh[order] += back
+        return out, dh
 
 
 class Lanes:
-    """Documents dealt over lanes, each lane a stream of them; longest lanes first."""
+    """Stretches of text dealt over lanes, each lane a stream of them; longest lanes first.
+
+    Lane after lane: place, where each token stood; tokens; before, the token
+    before it (END before a document's first); fresh, whether a stretch begins
+    there, with no state; counts, whether it is to be predicted.
+    """
 
-    def __init__(self, tokens: np.ndarray, offsets: np.ndarray, docs: np.ndarray, lanes: int):
-        """tokens with each document's END at its end; offsets of all documents; docs: those to deal."""
-        size = np.diff(offsets)[docs]
-        lanes = max(1, min(lanes, len(docs)))
-        order = np.argsort(-size, kind="stable")
+    def __init__(self, tokens: np.ndarray, begin: np.ndarray, end: np.ndarray, lead: np.ndarray, lanes: int):
+        """tokens: documents, each with END at its end; stretches [begin, end), of which the first `lead` aren't predicted."""
+        size = end - begin
+        lanes = max(1, min(lanes, len(size)))
         mine: list[list[int]] = [[] for _ in range(lanes)]
         heap = [(0, k) for k in range(lanes)]
-        for d, n in zip(docs[order].tolist(), size[order].tolist(), strict=True):
+        longest = np.argsort(-size, kind="stable")
+        for d, n in zip(longest.tolist(), size[longest].tolist(), strict=True):
             had, k = heap[0]
             mine[k].append(d)
             heapq.heapreplace(heap, (had + n, k))
-        load = np.zeros(lanes, np.int64)
-        for had, k in heap:
-            load[k] = had
-        by_load = np.argsort(-load, kind="stable")
-        self.load = load[by_load]
-        self.place = [
-            np.concatenate([np.arange(offsets[d], offsets[d + 1]) for d in mine[k]]) if mine[k] else np.zeros(0, np.int64)
-            for k in by_load.tolist()
-        ]
-        self.tokens = tokens
-        self.first = np.zeros(len(tokens), bool)
-        self.first[offsets[:-1]] = True
+        heap.sort(key=lambda x: (-x[0], x[1]))
+        self.load = np.array([had for had, _ in heap], np.int64)
+        self.start = np.cumsum(self.load) - self.load
+        dealt = np.array([d for _, k in heap for d in mine[k]], np.int64)
+        n = size[dealt]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.place = np.repeat(begin[dealt], n) + inner
+        self.tokens, self.before = tokens[self.place], tokens[self.place - 1]  # the last token is an END too
+        self.fresh, self.counts = inner == 0, inner >= np.repeat(lead[dealt], n)
+
+    @classmethod
+    def whole(cls, tokens: np.ndarray, offsets: np.ndarray, lanes: int) -> Lanes:
+        """Whole documents, each one stretch."""
+        return cls(tokens, offsets[:-1], offsets[1:], np.zeros(len(offsets) - 1, np.int64), lanes)
+
+    @classmethod
+    def pieces(cls, tokens: np.ndarray, offsets: np.ndarray, lanes: int, most: int, lead: int) -> Lanes:
+        """Documents in pieces of `most` tokens; each piece reads the `lead` tokens before it first, to have a state."""
+        count = np.maximum(1, -(-np.diff(offsets) // most))
+        number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        begin = np.repeat(offsets[:-1], count) + number * most
+        end = np.minimum(begin + most, np.repeat(offsets[1:], count))
+        lead = np.where(number > 0, min(lead, most), 0)
+        return cls(tokens, begin - lead, end, lead, lanes)
 
     def windows(self, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """place (steps x lanes, index of the token) and live (lanes at each step), window by window."""
-        for at in range(0, int(self.load[0]) if len(self.load) else 0, steps):
-            width = int((self.load > at).sum())
-            height = int(min(steps, self.load[0] - at))
-            place = np.zeros((height, width), np.int64)
-            for k in range(width):
-                part = self.place[k][at : at + steps]
-                place[: len(part), k] = part
-            live = (self.load[None, :width] > (at + np.arange(height))[:, None]).sum(1)
-            yield place, live
-
-
-def _run(net: GatedNetwork, lanes: Lanes, place: np.ndarray, live: np.ndarray, h: np.ndarray):
-    """Advances the lanes through one window; what each step saw, for learning."""
-    tokens, seen = lanes.tokens, []
-    for place_t, n in zip(place, live.tolist(), strict=True):
-        at = place_t[:n]
-        first = lanes.first[at]
-        before = np.where(first, END, tokens[at - 1])
-        old = h[:n] * ~first[:, None]
-        new, z, r, cand, b3 = net.step(before, old)
-        h[:n] = new
-        seen.append((before, first, old, z, r, cand, b3, new))
-    return seen
-
-
-def pieces(offsets: np.ndarray, docs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets of the documents cut into pieces of `most` tokens, and which pieces are of `docs`."""
-    count = np.maximum(1, -(-np.diff(offsets) // most))
-    start = np.repeat(offsets[:-1], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * most
-    wanted = np.zeros(len(count), bool)
-    wanted[docs] = True
-    return np.r_[start, offsets[-1]], np.flatnonzero(np.repeat(wanted, count))
+        """at (steps x lanes, index into tokens) and live (lanes at each step), window by window."""
+        for t in range(0, int(self.load[0]) if len(self.load) else 0, steps):
+            width = int(np.searchsorted(-self.load, -t, side="left"))
+            step = t + np.arange(min(steps, int(self.load[0]) - t))
+            live = np.searchsorted(-self.load[:width], -step, side="left")
+            at = self.start[None, :width] + step[:, None]
+            yield np.minimum(at, len(self.tokens) - 1), live
 
 
 def train(net: GatedNetwork, lanes: Lanes, squares: np.ndarray, steps: int = TRAIN_STEPS, rate: float = RATE) -> None:
     """One pass over the lanes, in place: backpropagation within windows, the state carried from one to the next.
 
     Each weight's rate falls with the squares of its gradients so far (Adagrad).
+    Gradients are sums over a window's tokens, over those of a full window: so
+    all tokens count alike, and the last lanes' small windows change little.
     """
-    h = np.zeros((len(lanes.load), UNITS), np.float32)
-    flat = np.zeros_like(net.flat)
-    grads = net.parts(flat)
-    for place, live in lanes.windows(steps):
-        h = h[: place.shape[1]]
-        seen = _run(net, lanes, place, live, h)
-        target = np.concatenate([lanes.tokens[p[:n]] for p, n in zip(place, live.tolist(), strict=True)])
+    u, h = UNITS, np.zeros((len(lanes.load), UNITS), np.float32)
+    flat, change = np.zeros_like(net.flat), np.empty_like(net.flat)
+    grads, w = net.parts(flat), net.w
+    for at, live in lanes.windows(steps):
+        fresh = lanes.fresh[at]
+        own = np.concatenate([a[:n] for a, n in zip(at, live.tolist(), strict=True)])
+        inputs = lanes.before[own]
+        x = w["words"].take(inputs, 0)
+        old, new, (z, r), cand, b3, h = net.run(np.matmul(x, w["into"]), fresh, live, h[: at.shape[1]])
+        counts = np.flatnonzero(lanes.counts[own])
+        if not len(counts):
+            continue
         flat[:] = 0
-        _, dh_all = net.output(np.concatenate([s[7] for s in seen]), target, grads)
-        ends = np.cumsum(live)
-        ahead = np.zeros((place.shape[1], UNITS), np.float32)
-        da, db = np.empty((len(target), 3 * UNITS), np.float32), np.empty((len(target), 3 * UNITS), np.float32)
-        for t in range(len(seen) - 1, -1, -1):
-            before, first, old, z, r, cand, b3, _ = seen[t]
-            n = len(before)
-            dh = dh_all[ends[t] - n : ends[t]]
+        target, share = lanes.tokens[own], len(counts) / (len(lanes.load) * steps)
+        if len(counts) == len(own):
+            _, dh_all = net.output(new, target, grads)
+        else:
+            dh_all = np.zeros_like(new)
+            _, dh_all[counts] = net.output(new[counts], target[counts], grads)
+        # what the gradient of a state is multiplied with to give those of z's, r's and the candidate's sums
+        keep = 1 - z
+        to_cand = cand * cand
+        np.subtract(1, to_cand, out=to_cand)
+        to_cand *= keep
+        to_b = np.empty((3, len(own), u), np.float32)
+        np.subtract(old, cand, out=to_b[0])
+        np.multiply(to_cand, r, out=to_b[2])
+        np.multiply(to_b[2], b3, out=to_b[1])
+        to_b[0] *= z
+        to_b[0] *= keep
+        np.subtract(1, r, out=keep)
+        to_b[1] *= keep
+        to_b[:2] *= 2
+        ends = np.cumsum(live).tolist()
+        ahead = np.zeros((at.shape[1], u), np.float32)
+        db, back = np.empty((3, len(own), u), np.float32), np.ascontiguousarray(w["back"].transpose(0, 2, 1))
+        for t in range(len(live) - 1, -1, -1):
+            n = int(live[t])
+            mine = slice(ends[t] - n, ends[t])
+            dh = dh_all[mine]
             dh += ahead[:n]
-            dn = dh * (1 - z) * (1 - cand * cand)
-            a, b = da[ends[t] - n : ends[t]], db[ends[t] - n : ends[t]]
-            a[:, :UNITS] = dh * (old - cand) * z * (1 - z)
-            a[:, UNITS : 2 * UNITS] = dn * b3 * r * (1 - r)
-            a[:, 2 * UNITS :] = dn
-            b[:, : 2 * UNITS] = a[:, : 2 * UNITS]
-            np.multiply(dn, r, out=b[:, 2 * UNITS :])
-            np.matmul(b, net.w["back"].T, out=ahead[:n])
-            ahead[:n] += dh * z
-            ahead[:n][first] = 0
-        np.matmul(np.concatenate([s[2] for s in seen]).T, db, out=grads["back"])
-        inputs = np.concatenate([s[0] for s in seen])
+            d = db[:, mine]
+            np.multiply(dh, to_b[:, mine], out=d)
+            before = np.multiply(dh, z[mine], out=ahead[:n])
+            for k in range(3):
+                before += d[k] @ back[k]
+            if fresh[t, :n].any():
+                before[fresh[t, :n]] = 0
+        grads["back"][:] = _product(old, db)
+        np.multiply(dh_all, to_cand, out=db[2])  # to the candidate from the word before
+        grads["into"][:] = _product(x, db)
+        dx = db[0] @ w["into"][0].T
+        for k in (1, 2):
+            dx += db[k] @ w["into"][k].T
         order = np.argsort(inputs, kind="stable")
-        own, at = np.unique(inputs[order], return_index=True)
-        grads["gates"][own] = np.add.reduceat(da[order], at, axis=0)
-        flat *= min(1.0, 1.0 / (float(np.sqrt(flat @ flat)) + 1e-12))
-        squares += flat * flat
-        flat /= np.sqrt(squares)
-        flat *= rate
-        net.flat -= flat
+        start = np.flatnonzero(np.r_[True, np.diff(inputs[order]) != 0])
+        grads["words"][inputs[order[start]]] = np.add.reduceat(dx.take(order, 0), start, axis=0)
+        flat *= share * min(1.0, 1.0 / (float(np.sqrt(flat @ flat)) * share + 1e-12))
+        np.multiply(flat, flat, out=change)
+        squares += change
+        np.sqrt(squares, out=change)
+        np.divide(flat, change, out=change, where=change > 0)
+        change *= rate
+        net.flat -= change
 
 
 def log_likelihood(net: GatedNetwork, lanes: Lanes, steps: int = SCORE_STEPS) -> np.ndarray:
     """Natural log-probability of every token dealt, by its place."""
-    out = np.zeros(len(lanes.tokens))
-    h = np.zeros((len(lanes.load), UNITS), np.float32)
-    for place, live in lanes.windows(steps):
-        h = h[: place.shape[1]]
-        seen = _run(net, lanes, place, live, h)
-        at = np.concatenate([p[:n] for p, n in zip(place, live.tolist(), strict=True)])
-        out[at] = net.output(np.concatenate([s[7] for s in seen]), lanes.tokens[at])[0]
+    out = np.zeros(int(lanes.place.max(initial=-1)) + 1)
+    h, table = np.zeros((len(lanes.load), UNITS), np.float32), np.matmul(net.w["words"], net.w["into"])
+    for at, live in lanes.windows(steps):
+        own = np.concatenate([a[:n] for a, n in zip(at, live.tolist(), strict=True)])
+        _, new, *_, h = net.run(table.take(lanes.before[own], 1), lanes.fresh[at], live, h[: at.shape[1]])
+        mine = lanes.counts[own]
+        out[lanes.place[own[mine]]] = net.output(new, lanes.tokens[own])[0][mine]
     return out
 
 
-# -- chunks: documents as numbers of their own words ---------------------------------------------
+# chunks: documents as numbers of their own words
 
 
 class Chunk:
-    """Some documents: doc_id, held, words of each (offsets), and the distinct words of all."""
+    """Some documents: doc_id, held, words of each (sizes, and tokens as numbers), and the distinct words of all (an Arrow array)."""
 
-    def __init__(self, ids: np.ndarray, valid: np.ndarray, held: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, words: list[bytes]):
+    def __init__(self, ids: np.ndarray, valid: np.ndarray, held: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, words: pa.Array):
         self.ids, self.valid, self.held, self.sizes, self.tokens, self.words = ids, valid, held, sizes, tokens, words
 
     @classmethod
     def of(cls, ids: list[int | None], held: list[bool], texts: list[bytes]) -> Chunk:
-        buf = _LOWER[np.frombuffer(b" ".join(texts) or b" ", np.uint8)]
-        gap = (buf == 32) | ((buf >= 9) & (buf <= 13))
-        edge = np.diff((~gap).view(np.int8), prepend=0, append=0)
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        buf = _LOWER[np.frombuffer(b" ".join(texts), np.uint8)]
+        word = np.zeros(len(buf) + 2, bool)
+        np.logical_not(_GAP[buf], out=word[1:-1])
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        starts, ends = edge[::2], edge[1::2]
         offsets = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
-        column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf[~gap])])
+        column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf[word[1:-1]])])
         coded = column.dictionary_encode()
         lengths = np.array([len(t) for t in texts], np.int64)
         begin = np.cumsum(lengths + 1) - lengths - 1
         sizes = np.diff(np.r_[np.searchsorted(starts, begin), len(starts)])
         valid = np.array([i is not None for i in ids])
-        return cls(np.array([i or 0 for i in ids], np.int64), valid, np.array(held, bool), sizes.astype(np.int32), coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist())
+        return cls(np.array([i or 0 for i in ids], np.int64), valid, np.array(held, bool), sizes.astype(np.int32), coded.indices.to_numpy().astype(np.int32), coded.dictionary)
 
     def pack(self) -> bytes:
-        head = np.array([len(self.ids), len(self.tokens)], np.int64).tobytes()
-        arrays = (self.ids, self.valid, self.held, self.sizes, self.tokens)
-        return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays) + b" ".join(self.words))
+        _, ends, letters = self.words.buffers()  # an array of its own, from its first byte
+        ends = np.frombuffer(ends, np.int32, len(self.words) + 1)
+        head = np.array([len(self.ids), len(self.tokens), len(ends)], np.int64)
+        arrays = (head, self.ids, self.valid, self.held, self.sizes, self.tokens, ends)
+        text = letters.to_pybytes()[: ends[-1]] if letters else b""
+        return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays) + text)
 
     @classmethod
     def unpack(cls, blob: bytes) -> Chunk:
         raw = zstandard.ZstdDecompressor().decompress(blob)
-        n, m = np.frombuffer(raw, np.int64, 2).tolist()
-        at, out = 16, []
-        for kind, count in ((np.int64, n), (bool, n), (bool, n), (np.int32, n), (np.int32, m)):
+        n, m, k = np.frombuffer(raw, np.int64, 3).tolist()
+        at, out = 24, []
+        for kind, count in ((np.int64, n), (bool, n), (bool, n), (np.int32, n), (np.int32, m), (np.int32, k)):
             out.append(np.frombuffer(raw, kind, count, at))
             at += out[-1].nbytes
-        return cls(*out, raw[at:].split())
-
-    def buckets(self, n: int) -> np.ndarray:
-        """Bucket of each distinct word."""
-        return (word_table(np.frombuffer(b" ".join(self.words), np.uint8))[2] % np.uint64(n)).astype(np.int64)
+        ends = out.pop()
+        return cls(*out, pa.Array.from_buffers(pa.binary(), k - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[at:])]))
 
     def train_counts(self) -> np.ndarray:
         use = np.repeat(~self.held, self.sizes)
@@ -299,13 +363,13 @@ class Chunk:
 
     def known(self, vocabulary: list[bytes]) -> np.ndarray:
         """The network's number of each distinct word."""
-        index = {w: i + 2 for i, w in enumerate(vocabulary)}
-        return np.array([index.get(w, UNKNOWN) for w in self.words], np.int64)
+        found = pc.index_in(self.words, value_set=pa.array(vocabulary, pa.binary()))
+        return (pc.fill_null(found, UNKNOWN - 2).to_numpy() + 2).astype(np.uint16)
 
     def with_ends(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Network tokens with END after each document, and the documents' offsets."""
         offsets = np.r_[0, np.cumsum(self.sizes.astype(np.int64) + 1)]
-        tokens = np.full(offsets[-1], END, np.int64)
+        tokens = np.full(offsets[-1], END, np.uint16)
         inner = np.ones(offsets[-1], bool)
         inner[offsets[1:] - 1] = False
         tokens[inner] = numbers[self.tokens] if len(self.tokens) else 0
@@ -331,7 +395,7 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
                 held.append(h)
                 texts.append(t)
                 size += len(t)
-                if size >= 6 * CHUNK_TOKENS:
+                if size >= CHUNK_BYTES:
                     yield out()
         if ids:
             yield out()
@@ -339,174 +403,133 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "chunk long, blob binary")
 
 
-_ANSWER = "chunk long, bucket int, n long, v long, words array<binary>, counts array<long>, blob binary"
-
-
-def count_words(chunks: DataFrame, buckets: int) -> DataFrame:
-    """Training counts of all words, sent back to the chunks that hold them.
-
-    A chunk sends each distinct word once to the word's bucket, with its count
-    there, packed with the bucket's other words; the bucket adds up and answers
-    every chunk in its order (blob).  A row with chunk -1 has the bucket's
-    totals and most frequent words.
-    """
+def chunk_words(chunks: DataFrame) -> DataFrame:
+    """chunk, i, word, n: the distinct words of each chunk by number, with their training counts there."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 c = Chunk.unpack(blob)
-                if not c.words:
-                    continue
-                counts, where = c.train_counts(), c.buckets(buckets)
-                order = np.argsort(where, kind="stable")
-                rows = []
-                for own in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
-                    body = counts[own].astype(np.int32).tobytes() + b" ".join([c.words[k] for k in own.tolist()])
-                    rows.append((name, int(where[own[0]]), len(own), pack(body)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                    names=["chunk", "bucket", "size", "blob"],
-                )
-
-    def answer(held: list[tuple[int, int, bytes]], bucket: int) -> pa.RecordBatch:
-        words, counts, ends = [], [], [0]
-        for _, size, blob in held:
-            raw = zstandard.ZstdDecompressor().decompress(blob)
-            counts.append(np.frombuffer(raw, np.int32, size))
-            words += raw[4 * size :].split()
-            ends.append(len(words))
-        coded = pa.array(words, pa.binary()).dictionary_encode()
-        at = coded.indices.to_numpy()
-        total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-        names = coded.dictionary
-        top = sorted(np.flatnonzero(total > 0).tolist(), key=lambda k: (-total[k], names[k].as_py()))[:VOCABULARY] if len(total) < 4 * VOCABULARY else None
-        if top is None:
-            least = np.partition(total, len(total) - VOCABULARY)[len(total) - VOCABULARY]
-            top = sorted(np.flatnonzero(total >= max(1, least)).tolist(), key=lambda k: (-total[k], names[k].as_py()))[:VOCABULARY]
-        pack = zstandard.ZstdCompressor(level=1).compress
-        blobs = [pack(total[at[i:j]].tobytes()) for i, j in zip(ends, ends[1:], strict=False)]
-        n, none = len(held), [None] * len(held)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([*(h[0] for h in held), -1], pa.int64()),
-                pa.array([bucket] * (n + 1), pa.int32()),
-                pa.array([*none, int(total.sum())], pa.int64()),
-                pa.array([*none, int((total > 0).sum())], pa.int64()),
-                pa.array([*none, [names[k].as_py() for k in top]], pa.list_(pa.binary())),
-                pa.array([*none, [int(total[k]) for k in top]], pa.list_(pa.int64())),
-                pa.array([*blobs, None], pa.binary()),
-            ],
-            names=["chunk", "bucket", "n", "v", "words", "counts", "blob"],
-        )
+                m = len(c.words)
+                cols = [pa.array(np.full(m, name, np.int64)), pa.array(np.arange(m, dtype=np.int32)), c.words, pa.array(c.train_counts())]
+                yield pa.RecordBatch.from_arrays(cols, names=["chunk", "i", "word", "n"])
+
+    return chunks.mapInArrow(run, "chunk long, i int, word binary, n long")
+
 
-    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+def _average(parts: DataFrame) -> np.ndarray | None:
+    """Sum of weight vectors over the sum of their tokens; parts: slice, n, x (packed doubles, times n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
         for b in batches:
-            for name, where, size, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if where != bucket and held:
-                    yield answer(held, bucket)
-                    held = []
-                bucket = where
-                held.append((name, size, blob))
+            for k, n, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.frombuffer(x, np.float64)
+                had = held.get(k)
+                held[k] = [n, x.copy()] if had is None else [had[0] + n, had[1] + x]
         if held:
-            yield answer(held, bucket)
+            cols = [pa.array(list(held), pa.int32()), pa.array([n for n, _ in held.values()]), pa.array([x.tobytes() for _, x in held.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["slice", "n", "x"])
 
-    asked = chunks.mapInArrow(ask, "chunk long, bucket int, size int, blob binary")
-    return asked.repartition(max(partitions(chunks), buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(reply, _ANSWER)
+    kind = "slice int, n long, x binary"
+    # one network comes back, in pieces, whatever the number of tasks
+    rows = sorted(parts.repartition(SLICES, "slice").mapInArrow(run, kind).collect())
+    return np.concatenate([np.frombuffer(r["x"]) / r["n"] for r in rows]) if rows else None
 
 
 def train_network(chunks: DataFrame, vocabulary: list[bytes], net: GatedNetwork, rounds: int = TRAIN_ROUNDS) -> GatedNetwork:
     """Trains on the chunks' training documents: each round's tasks start from the last average and are averaged.
 
     Every training document is read once, in one of the rounds.  Averages are
-    sums by weight index, weighted by tokens: what comes to the driver is one
-    network, whatever the number of tasks.
+    weighted by tokens.
     """
     spark = chunks.sparkSession
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, net))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             words, own = shared.value
-            own = GatedNetwork(own.flat)
-            seen, squares = 0, np.full(own.flat.size, 1e-8, np.float32)
+            own = GatedNetwork(own.side, own.flat)
+            seen, squares, held = 0, np.full(own.flat.size, 1e-8, np.float32), []
+
+            def learn() -> None:
+                tokens, sizes = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+                held.clear()
+                train(own, Lanes.pieces(tokens, np.r_[0, np.cumsum(sizes)], TRAIN_LANES, TRAIN_PIECE, TRAIN_LEAD), squares)
+
             for b in batches:
                 for blob in b.column(0).to_pylist():
                     c = Chunk.unpack(blob)
-                    docs = np.flatnonzero(~c.held)
-                    if len(docs):
-                        tokens, offsets = c.with_ends(c.known(words))
-                        seen += int(np.diff(offsets)[docs].sum())
-                        train(own, Lanes(tokens, *pieces(offsets, docs, TRAIN_PIECE), TRAIN_LANES), squares)
+                    if c.held.all():
+                        continue
+                    tokens, offsets = c.with_ends(c.known(words))
+                    sizes = np.diff(offsets)
+                    tokens = tokens[np.repeat(~c.held, sizes)]
+                    held.append((tokens, sizes[~c.held]))
+                    seen += len(tokens)
+                    if sum(len(h[0]) for h in held) >= TRAIN_TOKENS:
+                        learn()
+            if held:
+                learn()
             if seen:
-                flat = own.flat.astype(np.float64) * seen
-                at = np.arange(len(flat), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat), pa.array(np.full(len(flat), seen))], names=["i", "x", "n"])
+                pieces = np.array_split(own.flat.astype(np.float64) * seen, SLICES)
+                cols = [pa.array(range(SLICES), pa.int32()), pa.array([seen] * SLICES), pa.array([x.tobytes() for x in pieces], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["slice", "n", "x"])
 
         part = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == k).select("blob")
-        means = part.mapInArrow(run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+        mean = _average(part.mapInArrow(run, "slice int, n long, x binary"))
         shared.unpersist()
-        if len(means):
-            net = GatedNetwork(means.sort_values("i")["x"].to_numpy())
+        if mean is not None:
+            net = GatedNetwork(net.side, mean)
     return net
 
 
-def score_documents(docs: DataFrame, is_held, rounds: int = TRAIN_ROUNDS) -> DataFrame:
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score_documents(docs: DataFrame, is_held: Column, rounds: int = TRAIN_ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Tokens are the lower-cased (A-Z) words and one end; a null text has the end
     only.  Counts are those of all documents not held out.  score is the base-ten
-    log-probability of the whole document under the network; a word that is none
-    of its VOCABULARY - 2 has the probability of an unknown word there, times its
-    smoothed share of all such words.  With nothing to learn from, every word is
-    unknown.  Rows that repeat are each scored; null doc_ids stay null.
+    log-probability of the whole document under the network; a word it doesn't
+    know has the probability of an unknown word there, times its smoothed share
+    of all such words.  How many words it knows follows from how many there are
+    (side_for).  With nothing to learn from, every word is unknown.  Rows that
+    repeat are each scored; null doc_ids stay null.
     """
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), is_held.alias("held"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     )
     totals = source.agg(F.sum(F.length("text")).alias("bytes"), F.sum((~F.col("held")).cast("long")).alias("docs")).first()
-    buckets = max(1, math.ceil((totals["bytes"] or 0) / BUCKET_TEXT))
-    train_docs = totals["docs"] or 0
+    train_docs, size = totals["docs"] or 0, totals["bytes"] or 0
     chunks = materialize(chunk_documents(source))
-    answers = materialize(count_words(chunks, buckets))
-    sums = answers.where("chunk = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    # frequent words have a row for each chunk; sums are partial first, and the join may split them
+    counted = materialize(chunk_words(chunks).groupBy("word").agg(F.sum("n").alias("total")))
+    sums = counted.agg(F.sum("total").alias("n"), F.sum((F.col("total") > 0).cast("long")).alias("v")).first()
     n, v = (sums["n"] or 0) + train_docs, (sums["v"] or 0) + (train_docs > 0)
-    top = (
-        answers.where("chunk = -1")
-        .select(F.explode(F.arrays_zip("words", "counts")).alias("w"))
-        .select("w.words", "w.counts")
-        .orderBy(F.desc("counts"), "words")
-        .limit(VOCABULARY - 2)
-        .collect()
-    )
-    vocabulary, counts = [bytes(r["words"]) for r in top], [r["counts"] for r in top]
+    side = side_for(v)
+    top = counted.where("total > 0").orderBy(F.desc("total"), "word").limit(side * side - 2).collect()
+    vocabulary, counts = [bytes(r["word"]) for r in top], [r["total"] for r in top]
     rest_n, rest_v = (sums["n"] or 0) - sum(counts), (sums["v"] or 0) - len(counts)
-    net = train_network(chunks, vocabulary, GatedNetwork.start(np.array([train_docs, rest_n, *counts], float)), rounds)
+    net = train_network(chunks, vocabulary, GatedNetwork.start(np.array([train_docs, rest_n, *counts], float), side), rounds)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net))
     base_of = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
 
-    def finish(chunk: Chunk, replies: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    def finish(chunk: Chunk, count: np.ndarray) -> pa.RecordBatch:
         words, own = shared.value
-        count = np.zeros(len(chunk.words), np.int64)
-        if chunk.words:
-            where = chunk.buckets(buckets)
-            order = np.argsort(where, kind="stable")
-            got = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64) for _, b in sorted(replies)]
-            count[order] = np.concatenate(got)
         number = chunk.known(words)
         tokens, offsets = chunk.with_ends(number)
         inner = np.ones(len(tokens), bool)
         inner[offsets[1:] - 1] = False
         base = np.full(len(tokens), base_of(train_docs))
         known = np.full(len(tokens), train_docs > 0)
-        spelled = np.zeros(len(tokens))
+        model = log_likelihood(own, Lanes.whole(tokens, offsets, SCORE_LANES)) / math.log(10)
         if len(chunk.tokens):
             base[inner] = base_of(count)[chunk.tokens]
             known[inner] = (count > 0)[chunk.tokens]
             rare = np.where(number == UNKNOWN, np.log10((count + 0.5) / (rest_n + 0.5 * (rest_v + 1))), 0.0)
-            spelled[inner] = rare[chunk.tokens]
-        model = log_likelihood(own, Lanes(tokens, offsets, np.arange(len(chunk.ids)), SCORE_LANES)) / math.log(10) + spelled
+            model[inner] += rare[chunk.tokens]
         at = offsets[:-1]
         m = len(chunk.ids)
         return pa.RecordBatch.from_arrays(
@@ -519,27 +542,29 @@ def score_documents(docs: DataFrame, is_held, rounds: int = TRAIN_ROUNDS) -> Dat
                 pa.array(np.add.reduceat(base, at)),
                 pa.array(np.add.reduceat(model, at)),
             ],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            names=[c.split()[0] for c in _SCORES.split(", ")],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, chunk, replies = None, None, []
+        name, chunk, count = None, None, None
         for b in batches:
-            for c, bucket, blob in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if c != name:
+            names, which, totals = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(names)], strict=True):
+                if names[i] != name:
                     if chunk is not None:
-                        yield finish(chunk, replies)
-                    name, chunk, replies = c, Chunk.unpack(blob), []
-                else:
-                    replies.append((bucket, blob))
+                        yield finish(chunk, count)
+                    name, chunk = names[i], Chunk.unpack(b.column(3)[i].as_py())
+                    count = np.zeros(len(chunk.words), np.int64)
+                    i += 1
+                count[which[i:j]] = totals[i:j]
         if chunk is not None:
-            yield finish(chunk, replies)
+            yield finish(chunk, count)
 
-    rows = chunks.select("chunk", F.lit(-1).alias("bucket"), "blob").unionByName(answers.where("chunk >= 0").select("chunk", "bucket", "blob"))
-    dealt = rows.repartition(partitions(docs), "chunk").sortWithinPartitions("chunk", "bucket")
-    return dealt.mapInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
+    own = chunk_words(chunks).select("word", "chunk", "i").join(counted, "word").select("chunk", "i", "total", F.lit(None).cast("binary").alias("blob"))
+    rows = own.unionByName(chunks.select("chunk", F.lit(-1).alias("i"), F.lit(0).cast("long").alias("total"), "blob"))
+    dealt = rows.repartition(max(partitions(docs), math.ceil(size / CHUNK_BYTES)), "chunk").sortWithinPartitions("chunk", "i")
+    return dealt.mapInArrow(run, _SCORES)
 
 
 def op9_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
