@@ -37,8 +37,8 @@ _CUTS = [re.compile(rf"[^{re.escape(c)}]+") for c in ("-_", "+/", "+/-_")]
 _ORDER = [(name, {c: i for i, c in enumerate(alphabet)}) for name, alphabet in ENCODINGS]
 #: Chance that two characters of ordinary text are equal (that of English letters).
 TEXT_MATCH = 0.066
-#: A run that fails the battery at this level isn't random; rate of false discoveries among those reported.
-RANDOM_LEVEL, DISCOVERY_RATE = 0.001, 0.01
+#: Rates of false discoveries, among runs found unlike random characters and among those found unlike text.
+RANDOM_RATE, DISCOVERY_RATE = 0.001, 0.01
 #: Base-ten logarithms of p-values are counted in bins of a tenth; strata are powers of two of the length.
 BINS_PER_DECADE, MOST_DECADES, STRATA = 10, 40, 12
 
@@ -54,14 +54,15 @@ def _normal_tail(z: float) -> float:
 def battery(run: str) -> tuple[str, float, float] | None:
     """Encoding, p-value if the run were random, p-value if it were ordinary text; None if no encoding fits.
 
-    The first joins three tests (Fisher's method): chi-squared against a uniform
+    The encoding is the smallest that holds all characters, which is the one
+    most likely to give them by uniform draws.  The first p-value joins three tests (Fisher's method): chi-squared against a uniform
     alphabet (Wilson and Hilferty's normal form), runs above and below the
     alphabet's middle, and lag-one serial correlation, both two-sided.  The
     second is the chance that as long a piece of text, whose characters match
     with TEXT_MATCH, would have a chi-squared as small: the longer, the surer.
     """
     body = run.rstrip("=")
-    if body.isdigit() or body.isalpha() or len(body) < 20:
+    if len(body) < 20 or body.isdigit() or body.isalpha() and (body.islower() or body.isupper()):
         return None  # numbers and words
     name, index = next(((n, o) for n, o in _ORDER if all(c in o for c in body)), (None, None))
     if name is None:
@@ -87,7 +88,7 @@ def battery(run: str) -> tuple[str, float, float] | None:
     random_p = min(1.0, math.exp(-half) * (1 + half + half * half / 2))
     excess = n * (k * TEXT_MATCH - 1)
     text_p = _normal_tail((df + excess - chi) / math.sqrt(2 * (df + 2 * excess)))
-    return name, random_p, max(text_p, 10.0**-MOST_DECADES)
+    return name, max(random_p, 10.0**-MOST_DECADES), max(text_p, 10.0**-MOST_DECADES)
 
 
 def pieces(run: str) -> list[tuple[int, int]]:
@@ -157,15 +158,15 @@ def _stratum(n: Column) -> Column:
     return F.least(F.lit(STRATA), F.floor(F.log2(n.cast("double")))).cast("int")
 
 
-def discoveries(scanned: DataFrame, rate: float = DISCOVERY_RATE) -> dict[int, float]:
-    """The largest text p-value reported, by stratum of length (Benjamini and Hochberg's step, on binned p-values).
+def discoveries(scanned: DataFrame, p: str, rate: float = DISCOVERY_RATE) -> dict[int, float]:
+    """The largest p-value (field `p` of tested) rejected, by stratum of length: Benjamini and Hochberg's step, on binned p-values.
 
     Every tested run of every document counts as a test of its stratum.  At most
     STRATA times the number of bins rows are summed, and STRATA come back.
     """
     runs = scanned.select(F.explode("tested").alias("r")).select(
         _stratum(F.col("r.end") - F.col("r.start")).alias("stratum"),
-        F.floor(-F.log10("r.text_p") * BINS_PER_DECADE).cast("int").alias("bin"),
+        F.floor(-F.log10(f"r.{p}") * BINS_PER_DECADE).cast("int").alias("bin"),
     )
     counts = runs.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
     smaller = Window.partitionBy("stratum").orderBy(F.desc("bin"))
@@ -175,22 +176,26 @@ def discoveries(scanned: DataFrame, rate: float = DISCOVERY_RATE) -> dict[int, f
     return {r["stratum"]: r["p"] for r in kept.collect()}
 
 
-def find_secrets(docs: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
+def find_secrets(docs: DataFrame, random_rate: float = RANDOM_RATE, rate: float = DISCOVERY_RATE) -> DataFrame:
     """doc_id, base spans, base_sha256 and added `random` spans of every document.
 
-    Base spans are those of fixed patterns; a tested run that the battery
-    doesn't find unlike random characters, and that ordinary text of its length
-    would hardly imitate, is added.  Positions are code points.  Null texts are
-    empty, rows that repeat are each scanned, an empty table gives none.
+    Base spans are those of fixed patterns.  A tested run is added if the joined
+    battery doesn't find it unlike random characters, and ordinary text of its
+    length would hardly imitate it; false discoveries are held to `random_rate`
+    of the former and `rate` of the latter, among the runs of like length.  Positions are code points.  Null
+    texts are empty, rows that repeat are each scanned, an empty table gives none.
     """
     scanned = checkpoint(scan_documents(docs))
-    bound = discoveries(scanned, rate)
-    limits = F.create_map(*[F.lit(x) for pair in ({-1: -1.0} | bound).items() for x in pair])
-    added = F.filter(
-        "tested",
-        lambda r: (r["random_p"] >= RANDOM_LEVEL)
-        & (r["text_p"] <= F.coalesce(F.try_element_at(limits, _stratum(r["end"] - r["start"])), F.lit(-1.0))),
-    )
+
+    bounds = {
+        p: F.create_map(*[F.lit(x) for pair in ({-1: -1.0} | discoveries(scanned, p, most)).items() for x in pair])
+        for p, most in (("random_p", random_rate), ("text_p", rate))
+    }
+
+    def found(p: str, r: Column) -> Column:
+        return r[p] <= F.coalesce(F.try_element_at(bounds[p], _stratum(r["end"] - r["start"])), F.lit(-1.0))
+
+    added = F.filter("tested", lambda r: ~found("random_p", r) & found("text_p", r))
     # of pieces that stand, one inside another is no secret of its own
     whole = F.filter(
         added,
