@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
-#: A text is parsed in blocks of so many symbols, each beginning a phrase.
-BLOCK = 512
-#: Lanes advanced together; bounds the arrays of a task.
-LANES = 8192
+#: A text is parsed in blocks of so many symbols at a time; a block's parse begins so many symbols before it, since
+#: parses that begin apart soon go on from the same symbol.
+BLOCK, LEAD = 1024, 64
+#: Characters parsed in one call, and lanes advanced together; they bound the arrays of a task.
+CALL_CHARS, LANES = 2_000_000, 8192
 #: The model is fitted on at most so many documents a language, so many symbols of them, and so many characters of each.
-SAMPLE_DOCS, SAMPLE_SYMBOLS, SAMPLE_DOC_CHARS = 200, 30_000, 20_000
+SAMPLE_DOCS, SAMPLE_SYMBOLS, SAMPLE_DOC_CHARS = 200, 40_000, 20_000
 
 
 def symbols(text: str) -> str:
@@ -23,10 +26,29 @@ def symbols(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """Of each code point, whether it is a letter."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
+def symbol_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the symbols of all texts, one text after the other, and how many each has."""
+    lowered = [t.lower() for t in texts]
+    points = np.frombuffer("".join(t + "\n" for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t) + 1 for t in lowered])
+    letter = _letters()[points]
+    so_far = np.cumsum(letter)
+    # the first of a run of other characters is the space, if a letter of its text follows
+    space = np.r_[False, letter[:-1]] & ~letter & (so_far < np.repeat(so_far[ends - 1], np.diff(ends, prepend=0)))
+    kept = np.flatnonzero(letter | space)
+    return np.where(letter[kept], points[kept], 32), np.diff(np.searchsorted(kept, ends), prepend=0)
+
+
 class SuffixAutomaton:
-    """All substrings of one text, as a table: state x symbol -> state, or 0 for none (0 is also the root)."""
+    """All substrings of one text: each state's moves (symbol -> state); 0 is the root."""
 
-    def __init__(self, codes: list[int], width: int):
+    def __init__(self, codes: list[int]):
         link, length, nxt = [-1], [0], [{}]
         last = 0
         for c in codes:
@@ -52,23 +74,42 @@ class SuffixAutomaton:
                         nxt[p][c] = clone
                         p = link[p]
             last = cur
-        self.table = np.zeros((len(nxt), width), np.int32)
-        for s, moves in enumerate(nxt):
-            for c, t in moves.items():
-                self.table[s, c] = t
+        self.moves = nxt
 
-    def parser(self) -> np.ndarray:
-        """Flat table of 2*next + ends: where a phrase can't go on, it ends and the symbol begins the next one.
+    def parser(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """base, cells, first: moves laid over each other in one array, as many cells as moves, more or less.
 
-        An unknown symbol is a phrase of its own: one more state, that nothing continues.
+        The move of state s by symbol c stands at base[s] + c, as s << 32 | next,
+        if there is one.  Where there is none a phrase ends, and c begins the
+        next one in state first[c]: the root's moves, and for symbols that the
+        text doesn't have one more state, that nothing continues.
         """
-        alone = len(self.table)
-        table = np.vstack([self.table, np.zeros((1, self.table.shape[1]), np.int32)])
-        first = np.where(table[0] == 0, alone, table[0])
-        stuck = table == 0
-        moved = np.where(stuck, first[None, :], table).astype(np.int32)
-        stuck[0] = False  # nothing ends where a block begins
-        return (2 * moved + stuck).ravel()
+        states = len(self.moves) + 1
+        base, taken, cells = np.zeros(states, np.int64), set(), {}
+        free = mark = 0
+        for s in sorted(range(1, len(self.moves)), key=lambda s: -len(self.moves[s])):
+            own = sorted(self.moves[s])
+            if not own:
+                break
+            # states of several moves pass over what is nearly full, and those of one fill it in the end
+            at = begun = free if len(own) == 1 else max(free, mark)
+            while any(at - own[0] + c in taken for c in own):
+                at += 1
+            if at > begun + 32:
+                mark = at
+            shift = at - own[0] + width  # never negative
+            base[s] = shift
+            for c in own:
+                taken.add(shift - width + c)
+                cells[shift + c] = s << 32 | self.moves[s][c]
+            while free in taken:
+                free += 1
+        packed = np.full(int(base.max()) + width + 1, -1, np.int64)
+        packed[list(cells)] = list(cells.values())
+        first = np.full(width, states - 1, np.int64)
+        for c, t in self.moves[0].items():
+            first[c] = t
+        return base, packed, first
 
 
 class CrossParser:
@@ -84,57 +125,59 @@ class CrossParser:
         self.tables = []
         for name in self.names:
             codes = self.code[[ord(c) for c in sample[name]]].tolist()
-            self.tables.append(SuffixAutomaton(codes, self.width).parser())
+            self.tables.append(SuffixAutomaton(codes).parser(self.width))
         self.bits = np.array([math.log2(len(sample[n]) + 2) for n in self.names])
 
-    def phrases(self, texts: list[str]) -> np.ndarray:
-        """Phrases, texts x languages; texts as symbols() gives them."""
-        lengths = np.array([len(t) for t in texts], np.int64)
-        codes = self.code[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases, texts x languages, and the symbols of each text."""
+        points, lengths = symbol_points(texts)
+        codes = self.code[points]
         blocks = -(-lengths // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
         inner = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        start = np.repeat(np.cumsum(lengths) - lengths, blocks) + inner * BLOCK
-        size = np.minimum(BLOCK, np.repeat(lengths, blocks) - inner * BLOCK)
+        lead = np.where(inner > 0, LEAD, 0)
+        start = np.repeat(np.cumsum(lengths) - lengths, blocks) + inner * BLOCK - lead
+        size = np.minimum(BLOCK, np.repeat(lengths, blocks) - inner * BLOCK) + lead
         out = np.zeros((len(texts), len(self.names)), np.int64)
         order = np.argsort(-size, kind="stable")
         for at in range(0, len(order), LANES):
             lanes = order[at : at + LANES]
             n = size[lanes]
-            grid = np.zeros((n[0], len(lanes)), np.int32)  # step x lane, longest lanes first
+            grid = np.zeros((n[0], len(lanes)), np.int64)  # step x lane, longest lanes first
             for c in range(0, len(lanes), 1024):
-                m = min(n[c], BLOCK)
+                m = n[c]
                 index = start[lanes[c : c + 1024], None] + np.arange(m)
                 grid[:m, c : c + 1024] = codes[np.minimum(index, len(codes) - 1)].T
             live = np.searchsorted(-n, -np.arange(n[0]), side="left")  # lanes longer than the step
-            for k, t in enumerate(self.tables):
-                state, ends = np.zeros(len(lanes), np.int32), np.ones(len(lanes), np.int32)
+            early = np.flatnonzero(lead[lanes])
+            for k, (base, cells, first) in enumerate(self.tables):
+                state, begun = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64)
                 for step in range(n[0]):
+                    if step == LEAD:
+                        begun[early] = 0
                     a = live[step]
-                    s = state[:a]
-                    s *= self.width
-                    s += grid[step, :a]
-                    got = t.take(s)
-                    ends[:a] += got & 1
-                    np.right_shift(got, 1, out=s)
-                out[:, k] += np.bincount(owner[lanes], weights=ends, minlength=len(texts)).astype(np.int64)
-        return out
+                    c, s = grid[step, :a], state[:a]
+                    got = cells.take(base.take(s) + c)
+                    stuck = got >> 32 != s
+                    begun[:a] += stuck
+                    np.copyto(s, np.where(stuck, first.take(c), got & 0xFFFFFFFF))
+                out[:, k] += np.bincount(owner[lanes], weights=begun, minlength=len(texts)).astype(np.int64)
+        return out, lengths
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, score and rate (phrase bits a symbol) of each text; 'und', 0, 0 where there is no letter."""
-        clean = [symbols(t or "") for t in texts]
-        has = [i for i, t in enumerate(clean) if t]
         names, scores, rates = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-        if not has or not self.names:
+        if not texts or not self.names:
             return names, scores, rates
-        n = np.array([len(clean[i]) for i in has])
-        rate = self.phrases([clean[i] for i in has]) * self.bits / n[:, None]
+        counts, n = self.phrases([t or "" for t in texts])
+        has = np.flatnonzero(n)
+        rate = counts[has] * self.bits / n[has, None]
         best = rate.argmin(1)
         least = rate[np.arange(len(has)), best]
         rest = rate.copy()
         rest[np.arange(len(has)), best] = np.inf
         second = rest.min(1) if len(self.names) > 1 else 2 * least
-        for i, b, s, r in zip(has, best, 1 - least / second, least, strict=True):
+        for i, b, s, r in zip(has.tolist(), best, 1 - least / second, least, strict=True):
             names[i], scores[i], rates[i] = self.names[b], float(min(1.0, max(0.0, s))), float(r)
         return names, scores, rates
 
@@ -171,20 +214,26 @@ def identify(docs: DataFrame, parser: CrossParser, added: tuple[str, str, str] =
     'und' with score 0, as all are if the parser knows no language.  score is
     1 - fewest / second fewest phrase bits; with one language it is 0.5.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(parser)  # a few MB: languages x SAMPLE_SYMBOLS
+    shared = docs.sparkSession.sparkContext.broadcast(parser)  # some 2 MB a language: as many cells as a sample of SAMPLE_SYMBOLS has moves
 
     @F.pandas_udf("lang string, score double, rate double")
     def found(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for k in range(0, len(texts), 128):  # bounds the arrays
-            rows += zip(*shared.value.predict(texts.iloc[k : k + 128].tolist()), strict=True)
+        rows, held, size = [], [], 0
+        for k, t in enumerate(texts):
+            held.append(t)
+            size += len(t or "")
+            if size >= CALL_CHARS or k == len(texts) - 1:
+                rows += zip(*shared.value.predict(held), strict=True)
+                held, size = [], 0
         return pd.DataFrame(rows, columns=["lang", "score", "rate"])
 
     # the text alone goes to Python, and three values come back
-    rows = docs.drop(*added).withColumn("__found", found(F.col("text").cast("string")))
+    rows = docs.drop(*added)
+    (got,) = unused(rows, "found")
+    rows = rows.withColumn(got, found(F.col("text").cast("string")))
     for name, part in zip(added, ("lang", "score", "rate"), strict=True):
-        rows = rows.withColumn(name, F.col(f"__found.{part}"))
-    return rows.drop("__found")
+        rows = rows.withColumn(name, F.col(f"{got}.{part}"))
+    return rows.drop(got)
 
 
 def held_out_mod(key: str, mod: int):
@@ -207,5 +256,5 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     parser = fit(docs.where(~held_out_mod("doc_id", 3)))
     if not parser.names:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = identify(docs, parser, ("__lang", "__score", "__rate"))
-    return found.where(F.col("__lang") != "und").select(*docs.columns)
+    added = unused(docs, "lang", "score", "rate")
+    return identify(docs, parser, tuple(added)).where(F.col(added[0]) != "und").select(*docs.columns)
