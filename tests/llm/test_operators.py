@@ -60,9 +60,12 @@ def test_decontamination_tolerates_substitutions(spark):
 def test_decontamination_of_short_items_and_by_shuffle(spark, monkeypatch):
     short = " ".join(f"s{i}" for i in range(9))
     docs = frame(spark, [(1, f"p q {short} r"), (2, short[:-2]), (3, ITEM), (3, ITEM)])
+    other = short.replace("s4", "t4")
+    docs = docs.unionByName(frame(spark, [(7, f"x {other} y"), (8, short.replace("s4", "t4").replace("s5", "t5"))]))
     bench = spark.createDataFrame([(1, short), (2, ITEM)], "item_id long, text string")
     small = sorted(decontaminate.contaminated(docs, bench).collect())
-    assert {(r["doc_id"], r["item_id"]) for r in small} == {(1, 1), (3, 2)}
+    # eight of nine tokens are enough, seven are not
+    assert {(r["doc_id"], r["item_id"]) for r in small} == {(1, 1), (3, 2), (7, 1)}
     monkeypatch.setattr(decontaminate, "BROADCAST_TOKENS", 0)
     assert sorted(decontaminate.contaminated(docs, bench).collect()) == small
 
@@ -71,10 +74,11 @@ def test_decontamination_of_null_and_repeated_ids_is_the_same_by_shuffle(spark,
     near = " ".join(w if i % 2 else "other" for i, w in enumerate(ITEM.split()))
     seeded = " ".join(f"c{i}" for i in range(60)) + " " + " ".join(w if m == "1" else "x" for w, m in zip(ITEM.split(), decontaminate.MASKS[1], strict=False))
     docs = frame(spark, [(None, f"a {ITEM} b"), (None, "another text of more than eight words without an id"), (4, seeded), (4, "a short and clean text of nine words here"), (5, near), (6, ITEM), (6, f"x {ITEM}")])
-    bench = spark.createDataFrame([(2, ITEM)], "item_id long, text string")
+    bench = spark.createDataFrame([(2, ITEM), (None, " ".join(f"none{i}" for i in range(20)))], "item_id long, text string")
+    docs = docs.unionByName(frame(spark, [(9, "before " + " ".join(f"none{i}" for i in range(20)))]))
     key = lambda r: repr(r)
     small = sorted(decontaminate.contaminated(docs, bench).collect(), key=key)
-    assert {r["doc_id"] for r in small} == {None, 6}
+    assert {(r["doc_id"], r["item_id"]) for r in small} == {(None, 2), (6, 2), (9, None)}
     monkeypatch.setattr(decontaminate, "BROADCAST_TOKENS", 0)
     assert sorted(decontaminate.contaminated(docs, bench).collect(), key=key) == small
 
@@ -249,6 +253,15 @@ def test_substring_dedup_of_odd_tables(spark, odd):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_rows_without_ids_are_told_apart(spark):
+    """So many that hashes of 31 bits would meet, and the least id there is beside null."""
+    text = F.concat(F.lit("t"), F.col("id"), F.lit(" "), F.repeat(F.concat(F.lit("w"), F.col("id"), F.lit(" ")), (F.col("id") % 3).cast("int")))
+    none = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"))
+    got = substring_dedup.remove_repeats(none.unionByName(spark.createDataFrame([(-(1 << 63), "x y")], "doc_id long, text string")))
+    assert got.agg(F.sum("n_removed")).first()[0] == 0 and got.where("doc_id is not null").first()["doc_id"] == -(1 << 63)
+    assert got.agg(F.sum("n_words")).first()[0] == 400_001
+
+
 def test_heavy_buckets_are_dealt_anew(spark, monkeypatch):
     draw = np.random.default_rng(5)
 
@@ -296,8 +309,72 @@ def test_secret_spans():
     assert secret_scan.scan("paſſword=secret1")[0] == []  # a long s is no s
 
 
+def test_base_spans_equal_an_independent_scan(some):
+    """Matches grown character by character, without the operator's patterns."""
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def grow(t, i, chars):
+        j = i
+        while j < len(t) and t[j] in chars:
+            j += 1
+        return j
+
+    def assign(t, i):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t[i : i + 8])
+        word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(w)), None)
+        if word is None:
+            return None
+        j = i + len(word)
+        j += t[j : j + 1] in ('"', "'") and len(t[j : j + 1]) == 1
+        j = grow(t, j, " ")
+        if t[j : j + 1] not in (":", "="):
+            return None
+        j = grow(t, j + 1, " ")
+        j += t[j : j + 1] in ('"', "'") and len(t[j : j + 1]) == 1
+        end = grow(t, j, value)
+        return (end, end - j >= 6) if end > j else None
+
+    def access(t, i):
+        end = grow(t, i + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if t.startswith("AKIA", i) else i
+        return (end, end - i >= 20) if end > i + 4 else None
+
+    def hexes(t, i):
+        end = grow(t, i, set("0123456789abcdef"))
+        return (end, end - i >= 24) if end > i else None
+
+    seen = Counter()
+    odd = ["API_KEY='abc123' Token  = \"x.y/z==\" secret:12345 passwordpassword=hunter2! AKIA", f"{'0af9' * 7} x{'AKIA' + 'Z9' * 9}y secret = \n tokenabc=1234567"]
+    for t in [*(r["text"] or "" for r in some.collect()), *odd]:
+        want = []
+        for kind, at in enumerate((assign, access, hexes)):
+            i = 0
+            while i < len(t):
+                m = at(t, i)
+                if m and m[1]:
+                    want.append((i, kind, m[0]))
+                i = m[0] if m else i + 1
+        base, _ = secret_scan.scan(t)
+        assert [(s, k, e) for k, s, e in base] == sorted(want)
+        seen.update(k for _, k, _ in want)
+    assert seen[0] and seen[1] and seen[2]
+
+
+def test_discoveries_are_those_of_sorted_p_values(spark):
+    draw = np.random.default_rng(2)
+    ps = np.r_[10.0 ** -draw.uniform(0, 2, 300), 10.0 ** -draw.uniform(3, 12, 40)]
+    rows = [(1, [(0, 30, float(p), 1.0) for p in ps[:100]]), (2, [(5, 35, float(p), 1.0) for p in ps[100:]]), (3, []), (4, [(0, 200, 0.5, 1.0)])]
+    table = spark.createDataFrame(rows, "doc_id long, tested array<struct<start:int,end:int,random_p:double,text_p:double>>")
+    got = secret_scan.discoveries(table, "random_p", 0.01)
+    ranked = np.sort(ps)
+    want = ranked[np.flatnonzero(ranked <= 0.01 * np.arange(1, len(ps) + 1) / len(ps)).max()]
+    # bins are a tenth of a decade wide, and never let more through
+    assert got.keys() == {4} and want / 10**0.2 <= got[4] <= 0.01 * (ps <= got[4]).sum() / len(ps)
+    assert secret_scan.discoveries(table, "text_p", 0.01) == {}
+
+
 def test_battery_tells_keys_from_words():
     assert secret_scan.battery("a" * 40) is None and secret_scan.battery("1" * 40) is None
+    assert secret_scan.battery("QxTzmKpVbLsRwYdNcFgHjEaUQqWeRtYu")[0] == "base62"  # letters alone may be a key
     name, random_p, text_p = secret_scan.battery(KEY)
     assert name == "base62" and random_p > 0.001 and text_p < 0.05
     draw = np.random.default_rng(1)
@@ -358,6 +435,23 @@ def test_neighbours_and_ties(spark):
     assert got[1000] == want[1000]  # equal vectors: the smaller ids
 
 
+@pytest.mark.parametrize("size", ["sf0.1", 12_000])
+def test_recall_against_all_rows(spark, size):
+    if size == "sf0.1":
+        table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    else:  # vectors about 40 centres, and as many about none
+        draw = np.random.default_rng(7)
+        x = draw.normal(size=(size, 32)) + np.where(np.arange(size)[:, None] % 2, draw.normal(size=(40, 32))[draw.integers(0, 40, size)] * 2, 0)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    want, got = ({}, {})
+    for df, into in ((neighbours.exact_nearest(table), want), (neighbours.nearest(table), got)):
+        for r in df.collect():
+            into.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    assert want.keys() == got.keys() and all(abs(want[q][v] - s) < 1e-12 for q in got for v, s in got[q].items() if v in want[q])
+    assert np.mean([len(want[q].keys() & got[q].keys()) / len(want[q]) for q in want]) >= 0.95
+
+
 def test_neighbours_of_little(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.5])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(table).orderBy("rank").collect()] == [(1, 2, 1.0), (2, 1, 0.0)]
@@ -391,47 +485,84 @@ def test_formatting_reads_back(spark):
 
 
 def test_rewriting_templates_are_noticed():
-    render = lambda turns: f"{len(turns)} turns: " + " | ".join(t for _, t in turns)
-    assert not chat.locate(render, [], ("user", "a"))[3]
-    assert chat.locate(render, [("user", "a")], ("user", "b"))[3]
-    piece, a, b, _ = chat.locate(chat.marked_template, [("user", "x")], ("assistant", "<|"))
-    assert piece[a:b] == "<|"
+    render = chat.Template(lambda turns: f"{len(turns)} turns: " + " | ".join(t for _, t in turns))
+    assert not chat.locate(render, [], ("user", "a")).rewrote
+    assert chat.locate(render, [("user", "a")], ("user", "b")).rewrote
+    at = chat.locate(chat.MARKED, [("user", "x")], ("assistant", "<|"))
+    assert at.found and chat.unescape(at.whole[at.start : at.end]) == "<|" and at.whole[: at.base] == chat.marked_template([("user", "x")])
+
+
+def forty(spark):
+    turns = [("user", f"text {k} " + "b" * k) for k in range(40)]
+    return turns, spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
 
 
 def test_templates_that_look_back_see_whole_prefixes(spark):
     def render(turns):
         return f"{len(turns)} turns, first {turns[0][0]}: " + " | ".join(f"{k % 2}{t}" for k, (_, t) in enumerate(turns))
 
-    turns = [("user", f"text {k}") for k in range(40)]
-    table = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
-    for r in chat.format_turns(table, render).collect():
+    turns, table = forty(spark)
+    for r in chat.format_turns(table, chat.Template(render)).collect():
         n = r["turn_no"]
         whole = render(turns[: n + 1])
-        assert whole[r["offset"] :] == r["piece"] and r["rewrote"] == (n > 0)
-        assert r["piece"][r["text_start"] : r["text_end"]] == f"text {n}"
+        assert whole[r["offset"] :] == r["piece"] and r["rewrote"] == (n > 0) and r["found"]
+        assert r["piece"][r["text_start"] : r["text_end"]] == turns[n][1]
     bounded, full = (chat.format_turns(table, context=c).drop("rewrote").collect() for c in (0, None))
     assert bounded == full
 
 
+def test_headers_that_count_characters_move_no_span(spark):
+    turns, table = forty(spark)
+    render = chat.Template(lambda turns: "".join(f"[{r} {len(t)}]{t}\n" for r, t in turns))
+    got = chat.format_turns(table, render).collect()
+    assert all(r["found"] and not r["rewrote"] and r["piece"][r["text_start"] : r["text_end"]] == turns[r["turn_no"]][1] for r in got)
+
+
+def test_rewrites_of_old_turns_are_found_at_any_distance(spark):
+    turns, table = forty(spark)
+    # a turn is shortened once more than 25 have followed it
+    render = chat.Template(lambda turns: "".join(f"<{t if len(turns) - k <= 26 else t[:3]}>" for k, (_, t) in enumerate(turns)))
+    got = {r["turn_no"]: r["rewrote"] for r in chat.format_turns(table, render).collect()}
+    assert got == {n: n >= 26 for n in range(40)}
+
+
+def test_texts_that_a_template_changes_are_reported(spark):
+    turns, table = forty(spark)
+    table = table.withColumn("role", F.lit("assistant"))
+    got = chat.format_turns(table, chat.Template(lambda turns: "".join(f"<{t.upper()}>" for _, t in turns))).collect()
+    assert not any(r["found"] or r["loss"] for r in got) and len(got) == 40
+
+
 # -- 7 ---------------------------------------------------------------------------------------------
 
 
 def phrases(text, ref):
     n, i = 0, 0
     while i < len(text):
-        end, k = min(len(text), (i // language.BLOCK + 1) * language.BLOCK), 1
-        while i + k < end and text[i : i + k + 1] in ref:
+        k = 1
+        while i + k < len(text) and text[i : i + k + 1] in ref:
             k += 1
         i, n = i + k, n + 1
     return n
 
 
-def test_phrases_equal_brute_force():
-    sample = {"a": language.symbols("the cat sat on the mat and the dog " * 9), "b": language.symbols("le chat est sur le tapis et le chien " * 9)}
+def test_phrases_equal_brute_force(some):
+    """Whole texts, longer than a block too: its parse has met that of the whole before it counts."""
+    rows = [(r["lang"], r["text"]) for r in some.collect()]
+    sample = {n: language.symbols(" ".join(t for x, t in rows[:60] if x == n))[:6000] for n in ("en", "de", "fr")}
     parser = language.CrossParser(sample)
-    texts = [language.symbols(t) for t in ("the dog sat", "le chien est", "ZZZ qqq the", "x", "the cat " * 300, "éé ü the")]
-    got = parser.phrases(texts)
-    assert got.tolist() == [[phrases(t, sample[n]) for n in parser.names] for t in texts]
+    texts = ["the dog sat", "le chien est", "ZZZ qqq the", "x", " 12 ", "", "the cat, " * 900, "\u00e9\u00e9 \u00fc the!", *(t for _, t in rows[60:75]), max((t for _, t in rows), key=len)[:30_000]]
+    got, sizes = parser.phrases(texts)
+    clean = [language.symbols(t) for t in texts]
+    assert sizes.tolist() == [len(t) for t in clean] and max(sizes) > 3 * language.BLOCK
+    assert got.tolist() == [[phrases(t, sample[n]) for n in parser.names] for t in clean]
+
+
+def test_models_of_many_letters_stay_small():
+    text = "".join(chr(0x4E00 + int(x)) for x in np.random.default_rng(0).integers(0, 3400, 30_000))
+    parser = language.CrossParser({"zh": text, "en": "the quick brown fox " * 100})
+    assert sum(x.nbytes for t in parser.tables for x in t) < 8 << 20
+    assert parser.predict([text[500:700], "the brown fox"])[0] == ["zh", "en"]
 
 
 def test_languages_held_out(spark):
