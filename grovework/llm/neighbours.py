@@ -18,8 +18,10 @@ KEPT, REVERSE, ROUNDS = 48, 64, 9
 SETTLED = 0.02
 #: Vectors of a random first group; centres whose neighbourhoods one task joins at a time.
 FIRST_GROUP, BLOCK_CENTRES = 128, 4096
-#: Nodes a query expands in a hop, and hops at most.
-EXPANDED, HOPS = 16, 3
+#: Nodes a query expands in a hop, and hops at most; a hop that renews less than this share of the lists is the last.
+EXPANDED, HOPS, FOUND = 16, 12, 0.001
+#: Queries that meet all rows at a time in an exact search.
+QUERY_BLOCK = 4096
 NEVER = float("-inf")
 
 _LISTS = "nbrs array<long>, sims array<float>"
@@ -252,8 +254,9 @@ def build_graph(nodes: DataFrame, kept: int = KEPT, reverse: int = REVERSE, roun
 def search_graph(state: DataFrame, queries: DataFrame, kept: int = KEPT, hops: int = HOPS) -> DataFrame:
     """Greedy search from each query's own node (column id): its list after expanding its best nodes' neighbours.
 
-    Each hop expands the EXPANDED nearest nodes not expanded before; it ends
-    when a hop changes nothing, or after `hops`.
+    Each hop expands the EXPANDED nearest nodes not expanded before.  Hops go on
+    until one renews less than a share FOUND of the lists, `hops` at most: the
+    larger the table, the more it takes to get near.
     """
     blocks = max(partitions(state), math.ceil(state.count() / BLOCK_CENTRES))
     beam = state.join(queries, "id", "left_semi").withColumn("done", F.array().cast("array<long>"))
@@ -266,7 +269,8 @@ def search_graph(state: DataFrame, queries: DataFrame, kept: int = KEPT, hops: i
         grown = _merged(beam, found, kept)
         seen = beam.select("id", F.array_union("done", "todo").alias("done"))
         beam = checkpoint(grown.join(seen, "id"))
-        if not beam.agg(F.sum("changed")).first()[0]:
+        now = beam.agg(F.sum("changed"), F.count("*")).first()
+        if (now[0] or 0) <= FOUND * kept * now[1]:
             break
     return beam.select("id", "nbrs")
 
@@ -306,5 +310,44 @@ def nearest(rows: DataFrame, k: int = 20, is_query: Callable[[Column], Column] |
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def exact_nearest(rows: DataFrame, k: int = 20, is_query: Callable[[Column], Column] | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """What nearest() gives, from every query against every row: to measure recall by, or where none may be missed.
+
+    Queries meet all rows in blocks of QUERY_BLOCK, which bounds what is
+    broadcast; each task gives its own k best of a block's queries.
+    """
+    own = checkpoint(usable(rows, key, vector))
+    asking = own.where((is_query or (lambda c: c % 20 == 0))(F.col("id")))
+    blocks = max(1, math.ceil(asking.count() / QUERY_BLOCK))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = None
+    for n in range(blocks):
+        block = asking.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).collect()
+        ids, q = np.array([r["id"] for r in block], np.int64), np.array([r["e"] for r in block], float)
+        shared = rows.sparkSession.sparkContext.broadcast((ids, q))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for b in batches:
+                if not b.num_rows or not len(ids):
+                    continue
+                v = b.column(0).to_numpy()
+                e = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+                for at in range(0, len(ids), 256):
+                    s = np.zeros((len(ids[at : at + 256]), len(v)))
+                    for x in range(e.shape[1]):  # added in the order of the components, as elsewhere
+                        s += q[at : at + 256, x, None] * e[None, :, x]
+                    s[ids[at : at + 256, None] == v] = -np.inf
+                    top = np.lexsort((np.broadcast_to(v, s.shape), -s), axis=1)[:, :k]
+                    score = np.take_along_axis(s, top, 1)
+                    u, w = np.nonzero(score > -np.inf)
+                    cols = [pa.array(ids[at : at + 256][u]), pa.array(v[top[u, w]]), pa.array(score[u, w])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["query_id", "vec_id", "score"])
+
+        found = own.select("id", "e").mapInArrow(run, "query_id long, vec_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
