@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import chat, decontaminate, language, mixing, neighbours, scoring, secret_scan, sharding, simhash, substring_dedup
 
 
@@ -19,18 +17,14 @@ def queries():
         "op8_mixing": mixing.op8_mixing,
         "op9_scoring": scoring.op9_scoring,
         "op10_sharding": sharding.op10_sharding,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    found = {
+    return {
         "op1_decontaminate": decontaminate.OP1_SQL,
         "op3_substring_dedup": substring_dedup.OP3_SQL,
         "op6_chat": chat.OP6_SQL,
         "op8_mixing": mixing.OP8_SQL,
         "op10_sharding": sharding.OP10_SQL,
     }
-    if corpus_pipeline.ORACLE_SQL is not None:
-        found["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return found
