@@ -17,15 +17,16 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions, table
 from .language import held_out_mod
 
-#: Text of a chunk (whole documents; a larger one is a chunk of its own).
-CHUNK_BYTES = 12 << 20
+#: Text of a chunk (whole documents; a larger one is a chunk of its own), and chunks at most: beyond, they grow, so that
+#: a word that all of them hold has no more counts to add in one place.  Text behind a bucket of words.
+CHUNK_BYTES, MOST_CHUNKS, BUCKET_BYTES = 12 << 20, 1_000_000, 16 << 20
 #: The network's units.  Its output has as many classes as a class has words: the fourth root of the number of distinct
 #: training words, between these bounds; the most frequent words are those it knows.
 UNITS, LEAST_SIDE, MOST_SIDE = 32, 32, 256
 END, UNKNOWN = 0, 1
 #: Training: rounds of averaging, lanes of text side by side, tokens dealt over them at once, steps of truncated
 #: backpropagation, rate.  Long documents are dealt in pieces, each of which first reads so many tokens before it.
-TRAIN_ROUNDS, TRAIN_LANES, TRAIN_TOKENS, TRAIN_STEPS, RATE = 4, 512, 6_000_000, 16, 0.05
+TRAIN_ROUNDS, TRAIN_LANES, TRAIN_TOKENS, TRAIN_STEPS, RATE = 4, 256, 6_000_000, 16, 0.05
 TRAIN_PIECE, TRAIN_LEAD = 2048, 64
 SCORE_LANES, SCORE_STEPS = 512, 32
 #: A network's weights travel in so many pieces when they are averaged.
@@ -37,6 +38,10 @@ _GAP = np.zeros(256, bool)
 _GAP[[32, 9, 10, 11, 12, 13]] = True
 
 
+_DRAW = np.random.default_rng(9)
+_PLACE, _MIX = _DRAW.integers(0, 1 << 64, 4096, np.uint64) | np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
+
+
 def side_for(distinct: int) -> int:
     """Classes of the output, and words of a class, for so many distinct training words."""
     return min(MOST_SIDE, max(LEAST_SIDE, math.ceil(distinct**0.25)))
@@ -357,6 +362,17 @@ class Chunk:
         ends = out.pop()
         return cls(*out, pa.Array.from_buffers(pa.binary(), k - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[at:])]))
 
+    def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct words' numbers in order of their buckets, and where each bucket's begin (n + 1 places)."""
+        _, ends, letters = self.words.buffers()
+        ends = np.frombuffer(ends, np.int32, len(self.words) + 1).astype(np.int64)
+        letters = np.frombuffer(letters, np.uint8, ends[-1]) if letters else np.zeros(0, np.uint8)
+        place = np.arange(len(letters)) - np.repeat(ends[:-1], np.diff(ends))
+        sums = np.add.reduceat((letters + np.uint64(1)) * _PLACE[place & 4095], ends[:-1]) if len(letters) else np.zeros(0, np.uint64)
+        where = ((sums ^ (sums >> np.uint64(29))) * _MIX >> np.uint64(32)) % np.uint64(n)
+        order = np.argsort(where, kind="stable")
+        return order, np.searchsorted(where[order], np.arange(n + 1, dtype=np.uint64))
+
     def train_counts(self) -> np.ndarray:
         use = np.repeat(~self.held, self.sizes)
         return np.bincount(self.tokens[use], minlength=len(self.words))
@@ -376,17 +392,17 @@ class Chunk:
         return tokens, offsets
 
 
-def chunk_documents(docs: DataFrame) -> DataFrame:
-    """chunk long, blob binary; docs: doc_id, held, text (binary)."""
+def chunk_documents(docs: DataFrame, size: int) -> DataFrame:
+    """chunk long, blob binary; docs: doc_id, held, text (binary); size: bytes of text in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        ids, held, texts, size = [], [], [], 0
+        ids, held, texts, got = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            nonlocal number, ids, held, texts, size
+            nonlocal number, ids, held, texts, got
             blob, name = Chunk.of(ids, held, texts).pack(), part << 32 | number
-            number, ids, held, texts, size = number + 1, [], [], [], 0
+            number, ids, held, texts, got = number + 1, [], [], [], 0
             return pa.RecordBatch.from_pydict({"chunk": pa.array([name], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
         for b in batches:
@@ -394,8 +410,8 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
                 ids.append(i)
                 held.append(h)
                 texts.append(t)
-                size += len(t)
-                if size >= CHUNK_BYTES:
+                got += len(t)
+                if got >= size:
                     yield out()
         if ids:
             yield out()
@@ -403,18 +419,86 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "chunk long, blob binary")
 
 
-def chunk_words(chunks: DataFrame) -> DataFrame:
-    """chunk, i, word, n: the distinct words of each chunk by number, with their training counts there."""
+def _packed_words(words: pa.Array, counts: np.ndarray) -> bytes:
+    _, ends, letters = words.buffers()
+    ends = np.frombuffer(ends, np.int32, len(words) + words.offset + 1)[words.offset :]
+    text = letters.to_pybytes()[ends[0] : ends[-1]] if letters else b""
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.int32).tobytes() + np.diff(ends).astype(np.int32).tobytes() + text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+_ANSWER = "chunk long, bucket int, n long, v long, words array<binary>, counts array<long>, blob binary"
+
+
+def count_words(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Training counts of all words, sent back to the chunks that hold them.
+
+    A chunk sends each distinct word once to the word's bucket, with its count
+    there, packed with the bucket's other words; the bucket adds up and answers
+    every chunk in its order (blob).  A row with chunk -1 has the bucket's
+    totals and its most frequent words: words are spread over the buckets by a
+    hash, so the most frequent of all are among some more than their share of each.
+    """
+    most = 64 + math.ceil(8 * MOST_SIDE**2 / buckets)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 c = Chunk.unpack(blob)
-                m = len(c.words)
-                cols = [pa.array(np.full(m, name, np.int64)), pa.array(np.arange(m, dtype=np.int32)), c.words, pa.array(c.train_counts())]
-                yield pa.RecordBatch.from_arrays(cols, names=["chunk", "i", "word", "n"])
+                if not len(c.words):
+                    continue
+                order, at = c.buckets(buckets)
+                words, counts = c.words.take(pa.array(order)), c.train_counts()[order]
+                rows = [(k, j - i, _packed_words(words[i:j], counts[i:j])) for k, (i, j) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)) if i < j]
+                cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.int64()), *cols], names=["chunk", "bucket", "size", "blob"])
+
+    def answer(held: list[tuple[int, int, bytes]], bucket: int) -> pa.RecordBatch:
+        counts, sizes, letters = [], [], []
+        for _, size, blob in held:
+            raw = zstandard.ZstdDecompressor().decompress(blob)
+            counts.append(np.frombuffer(raw, np.int32, size))
+            sizes.append(np.frombuffer(raw, np.int32, size, 4 * size))
+            letters.append(raw[8 * size :])
+        ends = np.r_[0, np.cumsum(np.concatenate(sizes))].astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(letters))])
+        coded = words.dictionary_encode()
+        at = coded.indices.to_numpy()
+        total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+        top = np.flatnonzero(total > 0)
+        if len(top) > most:
+            top = top[total[top] >= np.partition(total[top], len(top) - most)[len(top) - most]]
+        names = coded.dictionary.take(pa.array(top)).to_pylist()
+        first = sorted(range(len(top)), key=lambda k: (-total[top[k]], names[k]))[:most]
+        pack, cuts = zstandard.ZstdCompressor(level=1).compress, np.r_[0, np.cumsum([h[1] for h in held])].tolist()
+        blobs = [pack(total[at[i:j]].tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
+        n, none = len(held), [None] * len(held)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([*(h[0] for h in held), -1], pa.int64()),
+                pa.array([bucket] * (n + 1), pa.int32()),
+                pa.array([*none, int(total.sum())], pa.int64()),
+                pa.array([*none, int((total > 0).sum())], pa.int64()),
+                pa.array([*none, [names[k] for k in first]], pa.list_(pa.binary())),
+                pa.array([*none, [int(total[top[k]]) for k in first]], pa.list_(pa.int64())),
+                pa.array([*blobs, None], pa.binary()),
+            ],
+            names=["chunk", "bucket", "n", "v", "words", "counts", "blob"],
+        )
 
-    return chunks.mapInArrow(run, "chunk long, i int, word binary, n long")
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for b in batches:
+            for name, where, size, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if where != bucket and held:
+                    yield answer(held, bucket)
+                    held = []
+                bucket = where
+                held.append((name, size, blob))
+        if held:
+            yield answer(held, bucket)
+
+    asked = chunks.mapInArrow(ask, "chunk long, bucket int, size int, blob binary")
+    return asked.repartition(max(partitions(chunks), buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(reply, _ANSWER)
 
 
 def _average(parts: DataFrame) -> np.ndarray | None:
@@ -503,21 +587,32 @@ def score_documents(docs: DataFrame, is_held: Column, rounds: int = TRAIN_ROUNDS
     )
     totals = source.agg(F.sum(F.length("text")).alias("bytes"), F.sum((~F.col("held")).cast("long")).alias("docs")).first()
     train_docs, size = totals["docs"] or 0, totals["bytes"] or 0
-    chunks = materialize(chunk_documents(source))
-    # frequent words have a row for each chunk; sums are partial first, and the join may split them
-    counted = materialize(chunk_words(chunks).groupBy("word").agg(F.sum("n").alias("total")))
-    sums = counted.agg(F.sum("total").alias("n"), F.sum((F.col("total") > 0).cast("long")).alias("v")).first()
+    chunk_size, buckets = max(CHUNK_BYTES, math.ceil(size / MOST_CHUNKS)), max(1, math.ceil(size / BUCKET_BYTES))
+    chunks = materialize(chunk_documents(source, chunk_size))
+    answers = materialize(count_words(chunks, buckets))
+    sums = answers.where("chunk = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = (sums["n"] or 0) + train_docs, (sums["v"] or 0) + (train_docs > 0)
     side = side_for(v)
-    top = counted.where("total > 0").orderBy(F.desc("total"), "word").limit(side * side - 2).collect()
-    vocabulary, counts = [bytes(r["word"]) for r in top], [r["total"] for r in top]
+    top = (
+        answers.where("chunk = -1")
+        .select(F.explode(F.arrays_zip("words", "counts")).alias("w"))
+        .select("w.words", "w.counts")
+        .orderBy(F.desc("counts"), "words")
+        .limit(side * side - 2)
+        .collect()
+    )
+    vocabulary, counts = [bytes(r["words"]) for r in top], [r["counts"] for r in top]
     rest_n, rest_v = (sums["n"] or 0) - sum(counts), (sums["v"] or 0) - len(counts)
     net = train_network(chunks, vocabulary, GatedNetwork.start(np.array([train_docs, rest_n, *counts], float), side), rounds)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net))
     base_of = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
 
-    def finish(chunk: Chunk, count: np.ndarray) -> pa.RecordBatch:
+    def finish(chunk: Chunk, replies: list[tuple[int, bytes]]) -> pa.RecordBatch:
         words, own = shared.value
+        count = np.zeros(len(chunk.words), np.int64)
+        if len(count):
+            got = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64) for _, b in sorted(replies)]
+            count[chunk.buckets(buckets)[0]] = np.concatenate(got)
         number = chunk.known(words)
         tokens, offsets = chunk.with_ends(number)
         inner = np.ones(len(tokens), bool)
@@ -546,24 +641,20 @@ def score_documents(docs: DataFrame, is_held: Column, rounds: int = TRAIN_ROUNDS
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, chunk, count = None, None, None
+        name, chunk, replies = None, None, []
         for b in batches:
-            names, which, totals = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
-            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(names)], strict=True):
-                if names[i] != name:
+            for c, bucket, blob in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if c != name:
                     if chunk is not None:
-                        yield finish(chunk, count)
-                    name, chunk = names[i], Chunk.unpack(b.column(3)[i].as_py())
-                    count = np.zeros(len(chunk.words), np.int64)
-                    i += 1
-                count[which[i:j]] = totals[i:j]
+                        yield finish(chunk, replies)
+                    name, chunk, replies = c, Chunk.unpack(blob), []
+                else:
+                    replies.append((bucket, blob))
         if chunk is not None:
-            yield finish(chunk, count)
+            yield finish(chunk, replies)
 
-    own = chunk_words(chunks).select("word", "chunk", "i").join(counted, "word").select("chunk", "i", "total", F.lit(None).cast("binary").alias("blob"))
-    rows = own.unionByName(chunks.select("chunk", F.lit(-1).alias("i"), F.lit(0).cast("long").alias("total"), "blob"))
-    dealt = rows.repartition(max(partitions(docs), math.ceil(size / CHUNK_BYTES)), "chunk").sortWithinPartitions("chunk", "i")
+    rows = chunks.select("chunk", F.lit(-1).alias("bucket"), "blob").unionByName(answers.where("chunk >= 0").select("chunk", "bucket", "blob"))
+    dealt = rows.repartition(max(partitions(docs), math.ceil(2 * size / chunk_size)), "chunk").sortWithinPartitions("chunk", "bucket")
     return dealt.mapInArrow(run, _SCORES)
 
 
