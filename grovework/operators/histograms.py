@@ -65,14 +65,8 @@ def bin_counts(values: DataFrame, thresholds: dict[int, list[float]], kinds: dic
     return one.select(*keys, "label", "feat", bin_.alias("bin")).groupBy(*keys, "label", "feat", "bin").agg(F.count("*").alias("n"))
 
 
-def bin_counts_batched(
-    values: DataFrame, thresholds: dict[int, list[float]], kinds: dict[int, int], keys: Sequence[str], per_tree: int | None = None
-) -> DataFrame:
-    """The same by batch: numpy bins and counts each Arrow batch, built-in sums add the partial counts.
-
-    per_tree: the first key is a tree, and its values are those of features
-    tree * per_tree and on, so that trees of different features share a job.
-    """
+def bin_counts_batched(values: DataFrame, thresholds: dict[int, list[float]], kinds: dict[int, int], keys: Sequence[str]) -> DataFrame:
+    """The same by batch: numpy bins and counts each Arrow batch, built-in sums add the partial counts."""
     feats = sorted(thresholds)
     bounds = [np.array(thresholds[f], float) for f in feats]
     cut = values.select(*[F.col(k).cast("long") for k in keys], F.col("label").cast("long"), "values")
@@ -82,33 +76,30 @@ def bin_counts_batched(
         for b in batches:
             if not b.num_rows:
                 continue
-            head_all = np.stack([b.column(i).to_numpy() for i in range(len(keys) + 1)], 1)
-            x_all = b.column(len(keys) + 1).flatten().to_numpy().reshape(b.num_rows, -1)
-            out = []
-            for tree in np.unique(head_all[:, 0]).tolist() if per_tree else [0]:
-                rows = head_all[:, 0] == tree if per_tree else slice(None)
-                head, x = head_all[rows], x_all[rows]
-                group, at = np.unique(head, axis=0, return_inverse=True)
-                at = at.ravel()
-                for k, f in enumerate(feats[tree * per_tree : (tree + 1) * per_tree] if per_tree else feats):
-                    v, ts = x[:, k], bounds[f]
-                    if kinds[f] == 2:
-                        place = np.searchsorted(ts, v).clip(max=len(ts) - 1)
-                        bin_ = np.where(ts[place] == v, place + 1, 0)
-                    else:
-                        bin_ = np.searchsorted(ts, v, side="right")
-                    width = len(ts) + 1
-                    counts = np.bincount(at * width + bin_, minlength=len(group) * width)
-                    own = np.flatnonzero(counts)
-                    out.append(np.column_stack([group[own // width], np.full(len(own), f), own % width, counts[own]]))
-            table = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in table.T], names=names)
+            head = np.stack([b.column(i).to_numpy() for i in range(len(keys) + 1)], 1)
+            x = b.column(len(keys) + 1).flatten().to_numpy().reshape(b.num_rows, -1)
+            group, at = np.unique(head, axis=0, return_inverse=True)
+            out = [count_bins(x[:, k], at.ravel(), group, bounds[f], kinds[f] == 2, f) for k, f in enumerate(feats)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in np.concatenate(out).T], names=names)
 
     part = cut.mapInArrow(run, ", ".join(f"{n} long" for n in names))
     summed = part.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
     return summed.withColumn("feat", F.col("feat").cast("int")).withColumn("bin", F.col("bin").cast("int")).withColumn("label", F.col("label").cast("int"))
 
 
+def count_bins(v: np.ndarray, at: np.ndarray, group: np.ndarray, ts: np.ndarray, categorical: bool, feat: int) -> np.ndarray:
+    """Rows (*group, feat, bin, n) of values v, each of group[at]; bins as in bin_counts."""
+    if categorical:
+        place = np.searchsorted(ts, v).clip(max=len(ts) - 1)
+        bin_ = np.where(ts[place] == v, place + 1, 0)
+    else:
+        bin_ = np.searchsorted(ts, v, side="right")
+    width = len(ts) + 1
+    counts = np.bincount(at * width + bin_, minlength=len(group) * width)
+    own = np.flatnonzero(counts)
+    return np.column_stack([group[own // width], np.full(len(own), feat), own % width, counts[own]])
+
+
 def split_histograms(bins: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, feat_ind, label, ql, qr: counts on the failing and passing side of each candidate.
 
@@ -125,9 +116,12 @@ def split_histograms(bins: DataFrame, candidates: DataFrame, keys: Sequence[str]
     return filled.withColumn("qr", qr).select(*keys, "feat_ind", "label", (F.col("total") - F.col("qr")).alias("ql"), "qr")
 
 
-def merge_histograms(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sums of partial split histograms."""
-    return parts.groupBy(*keys, "feat_ind", "label").agg(F.sum("ql").alias("ql"), F.sum("qr").alias("qr"))
+def merge_histograms(parts: DataFrame, keys: Sequence[str], images: DataFrame | None = None) -> DataFrame:
+    """Sums of partial split histograms; with images (keys, image_id: those each part has seen) also num_images of each node."""
+    merged = parts.groupBy(*keys, "feat_ind", "label").agg(F.sum("ql").alias("ql"), F.sum("qr").alias("qr"))
+    if images is None:
+        return merged
+    return merged.join(images.groupBy(*keys).agg(F.countDistinct("image_id").alias("num_images")), list(keys))
 
 
 def entropy(hist: DataFrame, keys: Sequence[str], count: str) -> DataFrame:

@@ -122,14 +122,36 @@ def model_param_hist(nodes: DataFrame, params: Sequence[str], bins: int = 20) ->
     return width.select("param", bin_.alias("bin")).groupBy("param", "bin").agg(F.count("*").alias("n"))
 
 
-def tree_to_dot(nodes: DataFrame) -> DataFrame:
-    """tree_id, dot: a graph of each tree; red edges lead to the failing side, green to the passing one."""
-    ranked = F.reverse(F.array_sort(F.transform("probs", lambda p, i: F.struct(p.alias("p"), i.alias("l")))))
-    classes = F.array_join(F.transform(ranked, lambda x: F.concat(x["l"].cast("string"), F.lit(":"), F.format_string("%.4f", x["p"]))), " ")
-    label = F.when(F.col("is_leaf"), classes).otherwise(F.format_string("%.4f", "info_gain"))
-    node = F.concat(F.lit("n"), F.col("node_id").cast("string"))
-    line = F.concat(node, F.lit(' [label="'), label, F.lit('"];'))
-    edge = lambda k, color: F.concat(node, F.lit(" -> n"), (2 * F.col("node_id") + k).cast("string"), F.lit(f" [color={color}];"))
-    text = F.when(F.col("is_leaf"), line).otherwise(F.concat_ws("\n", line, edge(1, "red"), edge(2, "green")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", text.alias("s")))), lambda x: x["s"]), "\n")
-    return nodes.groupBy("tree_id").agg(F.concat(F.lit("digraph {\n"), body, F.lit("\n}")).alias("dot"))
+def tree_to_dot(nodes: DataFrame, feature: Column | None = None) -> DataFrame:
+    """tree_id, dot: a graph of each tree in one line.
+
+    Nodes are numbered in pre-order, failing side first.  A split shows its gain
+    and feature (a text column; as a rule 't <= x[dim]', or ==), a leaf its
+    classes by probability with four digits that count; red edges lead to the
+    failing side, green ones to the passing side.
+    """
+    test = F.when(F.col("kind") == 2, F.lit("==")).otherwise(F.lit("<="))
+    feature = F.concat(F.col("t").cast("string"), F.lit(" "), test, F.lit(" x["), F.col("dim").cast("string"), F.lit("]")) if feature is None else feature
+    # of equal probabilities the lower class stands first
+    ranked = F.array_sort(F.transform("probs", lambda p, i: F.struct((-p).alias("p"), i.alias("l"))))
+    classes = F.array_join(F.transform(ranked, lambda x: F.concat(x["l"].cast("string"), F.lit(":"), significant(-x["p"]))), " ")
+    # a node's place in pre-order: where its path from the root begins on the line of leaves, then its depth
+    depth = F.floor(F.log2(F.col("node_id") + 1))
+    low = (F.col("node_id") + 1) / F.pow(F.lit(2.0), depth)
+    placed = nodes.withColumn("__no", (F.row_number().over(Window.partitionBy("tree_id").orderBy(low, depth)) - 1).cast("string"))
+    label = F.when(F.col("is_leaf"), classes).otherwise(F.concat(F.lit("I["), F.format_string("%f", "info_gain"), F.lit("]P["), feature, F.lit("]")))
+    named = placed.select("tree_id", "node_id", F.col("__no"), F.concat("__no", F.lit('[label="'), label, F.lit('"]')).alias("name"))
+    above = named.select("tree_id", F.col("node_id").alias("__up"), F.col("__no").alias("__from"))
+    linked = named.withColumn("__up", F.floor((F.col("node_id") - 1) / 2)).join(above, ["tree_id", "__up"], "left")
+    color = F.when(F.col("node_id") % 2 == 1, F.lit("red")).otherwise(F.lit("green"))
+    link = F.concat("__from", F.lit("->"), "__no", F.lit("[color="), color, F.lit("]"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col("__no").cast("int").alias("no"), "name", link.alias("link"))))  # one tree's nodes
+    parts = F.concat(F.transform(rows, lambda x: x["name"]), F.filter(F.transform(rows, lambda x: x["link"]), lambda x: x.isNotNull()))
+    return linked.groupBy("tree_id").agg(F.concat(F.lit("digraph{"), F.array_join(parts, ";"), F.lit("}")).alias("dot"))
+
+
+def significant(x: Column) -> Column:
+    """A probability with four significant digits and no zeros at its end, as %.4g gives it from 0.0001 on."""
+    power = F.pow(F.lit(10.0), 3 - F.floor(F.log10(x)))
+    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.8f", F.rint(x * power) / power), "0+$", ""), r"\.$", "")
+    return F.when(x <= 0, F.lit("0")).otherwise(plain)

@@ -153,3 +153,29 @@ def label_coverage(points: DataFrame, sampled: DataFrame, areas: DataFrame) -> D
     return have.join(took, ["image_id", "label"], "left").join(areas, "image_id").select(
         "image_id", "label", F.coalesce("sampled", F.lit(0)).cast("long").alias("sampled"), "available", (F.col("available") / F.col("area")).alias("share")
     )
+
+
+def prepare_labeled_points(
+    images: DataFrame, px: DataFrame, masks: DataFrame, classes: DataFrame, max_side: int = 320, radius: int = 10, most: int = 15_000
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labelled images for training: (bands, points, samples_per_class).
+
+    images: image_id, height, width; px: image_id, i, j, r, g, b; masks:
+    image_id, name, i, j, v (non-zero: the class is there); classes: name,
+    class_id.  Images are resized to max_side, small ones dropped, their seven
+    bands computed; masks are resized with them, those of unknown names dropped,
+    and at most `most` points of each image and class are sampled.  Images
+    without a point go.
+    """
+    sizes = drop_small_images(resize_dims(images, max_side=max_side), radius, "new_height", "new_width")
+    long = px.select("image_id", "i", "j", F.posexplode(F.array("r", "g", "b")).alias("b", "v"))
+    resized = resize_image_linear(long, sizes).groupBy("image_id", "i", "j").pivot("b", [0, 1, 2]).agg(F.max("v"))
+    rgb = resized.select("image_id", "i", "j", *[F.round(F.round(F.col(str(k)), 6)).cast("int").alias(n) for k, n in enumerate(("r", "g", "b"))])
+    known = masks.join(F.broadcast(classes), "name")  # a vocabulary
+    stretched = resize_mask_nearest(
+        known.select(F.struct("image_id", "class_id").alias("image_id"), "i", "j", F.col("v").alias("cls")),
+        sizes.join(known.select("image_id", "class_id").distinct(), "image_id").withColumn("image_id", F.struct("image_id", "class_id")),
+    )
+    there = stretched.where("cls != 0").select("image_id.image_id", F.col("image_id.class_id").alias("label"), "i", "j")
+    points = sample_points(there, most)
+    return images_with_labels(feature_bands(rgb), points), points, samples_per_class(points)

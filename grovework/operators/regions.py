@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import region_color
 from ..shared import checkpoint
-from .prep import grid, neighbour
+from .prep import grid, neighbour, resize_mask_nearest
 
 #: Edges of a pixel: to the left, up, up-left and up-right.
 DIRECTIONS = {"left": (0, -1), "up": (-1, 0), "upleft": (-1, -1), "upright": (-1, 1)}
@@ -110,14 +112,96 @@ def boundary_energy(labels: DataFrame, weights: DataFrame, raster: DataFrame | N
 _AROUND = {f"r{k}": (di, dj) for k, (di, dj) in enumerate((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)}
 
 
+def _refined(region: np.ndarray, weight: dict[str, np.ndarray], seeds: dict[int, tuple[int, int]], patch: int, sweeps: int) -> np.ndarray:
+    """One image's regions after the sweeps; weight: of each direction, 0 where there is no pair."""
+    h, w = region.shape
+    diag = {d: np.floor(weight[d] / np.sqrt(2.0)).astype(np.int64) for d in ("upleft", "upright")}
+    edge = {"left": weight["left"], "up": weight["up"], **diag}
+    names = np.array(sorted(seeds), np.int64)
+    at = np.array([seeds[n] for n in names.tolist()], np.int64).reshape(-1, 2)
+    cost, inside = [], []
+    rows, cols = np.arange(h)[:, None], np.arange(w)[None, :]
+    for di, dj in _AROUND.values():
+        # a pair is stored with the later of its two pixels
+        back = (di, dj) < (0, 0)
+        name = {(0, -1): "left", (-1, 0): "up", (-1, -1): "upleft", (-1, 1): "upright"}[(di, dj) if back else (-di, -dj)]
+        ok = (rows + di >= 0) & (rows + di < h) & (cols + dj >= 0) & (cols + dj < w)
+        here = edge[name] if back else edge[name][np.clip(rows + di, 0, h - 1), np.clip(cols + dj, 0, w - 1)]
+        cost.append(np.where(ok, here, 0))
+        inside.append(ok)
+    cost, inside = np.stack(cost), np.stack(inside)
+    for step in range(4 * sweeps):
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(step // 2 % 2, h, 2), np.arange(step % 2, w, 2), indexing="ij"))
+        if not len(i):
+            continue
+        own = region[i, j]
+        near = np.stack([region[np.clip(i + di, 0, h - 1), np.clip(j + dj, 0, w - 1)] for di, dj in _AROUND.values()])
+        seen, price_of = inside[:, i, j], cost[:, i, j]
+        best, new = None, own
+        for k in range(-1, len(near)):
+            cand = own if k < 0 else near[k]
+            price = np.where(seen & (near != cand), price_of, 0).sum(0)
+            if k >= 0 and len(names):
+                place = np.searchsorted(names, cand).clip(max=len(names) - 1)
+                close = (names[place] == cand) & (np.abs(i - at[place, 0]) <= patch) & (np.abs(j - at[place, 1]) <= patch)
+            else:
+                close = np.full(len(i), k < 0)
+            allowed = close | (cand == own) if k < 0 else seen[k] & (close | (cand == own))
+            rank = (price << 33) + ((cand != own).astype(np.int64) << 32) + cand
+            rank = np.where(allowed, rank, np.iinfo(np.int64).max)
+            new = cand if best is None else np.where(rank < best, cand, new)
+            best = rank if best is None else np.minimum(rank, best)
+        region[i, j] = new
+    return region
+
+
 def superpixel_refine(labels: DataFrame, weights: DataFrame, seeds: DataFrame, patch: int, sweeps: int = 2) -> DataFrame:
-    """Labels after sweeps that never raise boundary_energy.
+    """Labels after sweeps that never raise boundary_energy, an image at a time.
 
     Pixels of one of four colours (parity of i and j) move at a time, so no two
     neighbours do: each may take a neighbour's region whose seed is within
     `patch` in both directions, if that costs least; ties keep the smallest change
-    (its own region first, then the lower number).
+    (its own region first, then the lower number).  An image's pixels, weights
+    and seeds meet in one row, which its size bounds, and are swept there.
     """
+    number = F.element_at(F.create_map(*[F.lit(x) for n, d in enumerate(DIRECTIONS) for x in (d, n)]), F.col("dir"))
+    px = labels.groupBy("image_id").agg(F.collect_list(F.struct("i", "j", "region")).alias("px"))
+    edges = weights.groupBy("image_id").agg(F.collect_list(F.struct("i", "j", number.alias("d"), "w")).alias("edges"))
+    spots = seeds.groupBy("image_id").agg(F.collect_list(F.struct("seed", "i", "j")).alias("spots"))
+    whole = px.join(edges, "image_id", "left").join(spots, "image_id", "left")
+
+    def part(x: pa.ListScalar, *names: str) -> list[np.ndarray]:
+        v = x.values if x.is_valid else None
+        return [np.zeros(0, np.int64) if v is None else v.field(n).to_numpy().astype(np.int64) for n in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for image, x, e, s in zip(*b.columns, strict=True):
+                i, j, r = part(x, "i", "j", "region")
+                region = np.zeros((i.max() + 1, j.max() + 1), np.int64)
+                region[i, j] = r
+                ei, ej, d, w = part(e, "i", "j", "d", "w")
+                weight = {}
+                for n, name in enumerate(DIRECTIONS):
+                    weight[name] = np.zeros(region.shape, np.int64)
+                    weight[name][ei[d == n], ej[d == n]] = w[d == n]
+                seed, si, sj = part(s, "seed", "i", "j")
+                spots = dict(zip(seed.tolist(), zip(si.tolist(), sj.tolist(), strict=True), strict=True))
+                region = _refined(region, weight, spots, patch, sweeps)
+                cols = [pa.array([image.as_py()] * len(i), pa.int64()), *(pa.array(v.astype(np.int32)) for v in (i, j, region[i, j]))]
+                yield pa.RecordBatch.from_arrays(cols, names=["image_id", "i", "j", "region"])
+
+    return whole.select(F.col("image_id").cast("long"), "px", "edges", "spots").mapInArrow(run, "image_id long, i int, j int, region int")
+
+
+def superpixels(raster: DataFrame, images: DataFrame, patch: int, sweeps: int = 2, lam: float = 10.0, kind: int = 0) -> DataFrame:
+    """image_id, i, j, region of rasters (image_id, i, j, v): seeds, moved to low contrast, cover their surroundings and are refined."""
+    seeds = seed_refine(place_seeds(images, patch), raster, images, patch)
+    return superpixel_refine(initial_labels(seeds, images, patch), edge_weights(raster, kind, lam), seeds, patch, sweeps)
+
+
+def refine_by_columns(labels: DataFrame, weights: DataFrame, seeds: DataFrame, patch: int, sweeps: int = 2) -> DataFrame:
+    """The same in built-in functions, for images too large for a row: six shuffles of the pixels for each colour."""
     # the weight of each of the 8 pairs of a pixel, seen from it
     wide = weights.groupBy("image_id", "i", "j").pivot("dir", list(DIRECTIONS)).agg(F.first("w"))
     pixels = labels.select("image_id", "i", "j")
@@ -156,8 +240,18 @@ def region_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("image_id", "region").agg(F.count("*").alias("pixels"))
 
 
-def region_boundaries(labels: DataFrame) -> DataFrame:
-    """Pixels one of whose 4 neighbours is in another region."""
+def region_boundaries(labels: DataFrame, scale: float = 1.0, images: DataFrame | None = None) -> DataFrame:
+    """Pixels one of whose 4 neighbours is in another region.
+
+    With a scale other than 1, labels are resampled first (nearest; `images` has
+    image_id, height, width), and coordinates divided by the scale and rounded.
+    """
+    if scale != 1.0:
+        new = lambda c: F.rint(F.col(c) * F.lit(float(scale))).cast("int")
+        sizes = images.select("image_id", "height", "width", new("height").alias("new_height"), new("width").alias("new_width"))
+        small = resize_mask_nearest(labels.withColumnRenamed("region", "cls"), sizes).withColumnRenamed("cls", "region")
+        back = lambda c: F.rint(F.col(c) / F.lit(float(scale))).cast("int").alias(c)
+        return region_boundaries(small).select("image_id", back("i"), back("j"), "region").distinct()
     near = labels
     for n, (di, dj) in {"__a": (-1, 0), "__b": (1, 0), "__c": (0, -1), "__d": (0, 1)}.items():
         near = near.withColumn(n, neighbour("region", di, dj))

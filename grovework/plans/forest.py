@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from ..operators import model as M
 from ..operators.raster import BOXES
 from ..random import Draws
 from ..shared import checkpoint
+from ..sources.records import save_model
 
 
 @dataclass
@@ -49,6 +51,10 @@ class Candidates:
         return feat_ind // self.per_feature, float(self.thresholds[feat_ind // self.per_feature][feat_ind % self.per_feature])
 
 
+def _image(samples: DataFrame) -> Column:
+    return (F.col("image_id").cast("long") if "image_id" in samples.columns else F.lit(None).cast("long")).alias("image")
+
+
 class FeatureFamily:
     """What training needs of a kind of feature: candidates(), and values() as one array column of a sample's rows."""
 
@@ -61,9 +67,32 @@ class FeatureFamily:
     def values(self, cands: Candidates) -> Column:
         return F.array(*[self.value(p).cast("double") for p in cands.params])
 
+    def value_np(self, batch: pa.RecordBatch, params: dict) -> np.ndarray:
+        """The same of an Arrow batch of samples, for families without a column form; `columns` names what it reads."""
+        raise NotImplementedError
+
+    #: Columns that value_np reads; empty for families with a column form.
+    columns: ClassVar[Sequence[str]] = ()
+
+    def test(self, params: dict, t: float) -> Column:
+        """Whether a sample passes a candidate."""
+        return vector_test(self.value(params), F.lit(params.get("kind", 0)), F.lit(float(t)))
+
     def attach(self, samples: DataFrame, cands: Candidates) -> DataFrame:
-        """label and values of every sample."""
-        return samples.select(F.col("label").cast("int").alias("label"), self.values(cands).alias("values"))
+        """label, values and image (null where samples have no image_id) of every sample."""
+        label, image = F.col("label").cast("int").alias("label"), _image(samples)
+        if not self.columns:
+            return samples.select(label, self.values(cands).alias("values"), image)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = np.stack([self.value_np(b, p) for p in cands.params], 1).astype(float)
+                offsets = pa.array(np.arange(0, x.size + 1, len(cands.params), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), b.column(1)], names=["label", "values", "image"]
+                )
+
+        return samples.select(label, image, *self.columns).mapInArrow(run, "label int, values array<double>, image long")
 
 
 @dataclass
@@ -154,11 +183,11 @@ class IntegralFamily(FeatureFamily):
 
         So a table is looked up by all its image's points, and not copied to them.
         """
-        names = ["height", "width", "tables", "preds", "points"]
+        names = ["height", "width", "tables", "preds", "points", _image(samples)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for h, w, table, preds, points in zip(*(b.column(k) for k in range(5)), strict=True):
+                for h, w, table, preds, points, image in zip(*(b.column(k) for k in range(6)), strict=True):
                     shape = (h.as_py() + 1, w.as_py() + 1, self.masks)
                     s = np.asarray(table.values.to_numpy()).reshape(shape)
                     p = points.values
@@ -166,10 +195,11 @@ class IntegralFamily(FeatureFamily):
                     x = np.stack([box_values(s, i, j, q, preds.as_py()) for q in cands.params], 1)
                     offsets = pa.array(np.arange(0, x.size + 1, len(cands.params), dtype=np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [p.field("label").cast(pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["label", "values"]
+                        [p.field("label").cast(pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), pa.array([image.as_py()] * len(i), pa.int64())],
+                        names=["label", "values", "image"],
                     )
 
-        return samples.select(*names).mapInArrow(run, "label int, values array<double>")
+        return samples.select(*names).mapInArrow(run, "label int, values array<double>, image long")
 
 
 def box_values(s: np.ndarray, i: np.ndarray, j: np.ndarray, p: dict, preds: list[float] | None) -> np.ndarray:
@@ -203,18 +233,92 @@ def with_tables(points: DataFrame, images: DataFrame, tables: DataFrame, preds:
 KEYS = ["tree_id", "node_id"]
 
 
-def train_level(valued: DataFrame, cands: Candidates, per_tree: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(best, hist) of all open nodes of all trees; valued: tree_id, node_id, label, values (per_tree: those of its tree's features).
+def train_level(valued: DataFrame, cands: Candidates) -> tuple[DataFrame, DataFrame]:
+    """(best, hist) of all open nodes of all trees; valued: tree_id, node_id, label, values.
 
     The shuffle is keyed by (tree, node, feature, bin, label) of partial counts,
     so the root's level is spread as evenly as any other.
     """
     spark = valued.sparkSession
-    bins = H.bin_counts_batched(valued, dict(enumerate(cands.thresholds)), cands.kinds(), KEYS, per_tree)
+    bins = H.bin_counts_batched(valued, dict(enumerate(cands.thresholds)), cands.kinds(), KEYS)
     hist = H.split_histograms(bins, cands.frame(spark), KEYS)
     return H.best_split(H.information_gain(hist, KEYS), KEYS), hist
 
 
+Splits = dict[tuple[int, int], tuple[int, int, float]]
+
+
+def _router(splits: Splits, trees: int, levels: int):
+    """node(t, x): the heap number of the lowest node that rows of values reach in tree t; splits: (tree, node) -> (feature, kind, t)."""
+    size = max([2 ** (levels + 1), *(n + 1 for _, n in splits)])
+    feature, kind, bound = np.full((trees, size), -1, np.int64), np.zeros((trees, size), np.int64), np.zeros((trees, size))
+    for (t, n), (f, k, at) in splits.items():
+        feature[t, n], kind[t, n], bound[t, n] = f, k, at
+
+    def node(t: int, x: np.ndarray) -> np.ndarray:
+        now, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        for _ in range(levels):
+            f = feature[t, now]
+            v, at = x[rows, f], bound[t, now]  # feature -1 reads the last one, and isn't used
+            now = np.where(f >= 0, 2 * now + 1 + np.where(kind[t, now] == 2, v == at, v >= at), now)
+        return now
+
+    return node
+
+
+def level_bins(valued: DataFrame, cands: Candidates, splits: Splits, open_: Sequence[tuple[int, int]], level: int, trees: int = 1) -> DataFrame:
+    """Bin counts (as bin_counts gives them) of the open nodes of a level; valued: label, values of all trees' features.
+
+    Rows stay as they are from level to level: a task routes its rows through
+    the splits so far, which travel with it, and counts those in open nodes.
+    """
+    per_tree = len(cands.params) // trees
+    bounds, kinds = [np.array(t, float) for t in cands.thresholds], cands.kinds()
+    wanted = np.zeros((trees, 2 ** (level + 1)), bool)
+    for t, n in open_:
+        wanted[t, n] = True
+    route = _router(splits, trees, level)
+    names = [*KEYS, "label", "feat", "bin", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            label = b.column(0).to_numpy().astype(np.int64)
+            x_all, out = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1), []
+            for t in range(trees if b.num_rows else 0):
+                x = x_all[:, t * per_tree : (t + 1) * per_tree]
+                node = route(t, x)
+                rows = np.flatnonzero(wanted[t, node])
+                group, at = np.unique(np.stack([node[rows], label[rows]], 1), axis=0, return_inverse=True)
+                group = np.column_stack([np.full(len(group), t), group])
+                for k in range(per_tree if len(rows) else 0):
+                    f = t * per_tree + k
+                    out.append(H.count_bins(x[rows, k], at.ravel(), group, bounds[f], kinds[f] == 2, f))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in np.concatenate(out).T], names=names)
+
+    part = valued.select(F.col("label").cast("long"), "values").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    summed = part.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+    return summed.select(F.col("tree_id").cast("int").alias("tree_id"), "node_id", *[F.col(c).cast("int").alias(c) for c in ("label", "feat", "bin")], "n")
+
+
+def node_images(valued: DataFrame, splits: Splits, levels: int, trees: int = 1) -> DataFrame:
+    """tree_id, node_id, num_images: distinct images of the samples that pass each node; valued: label, values, image."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        routes = [_router(splits, trees, k) for k in range(levels + 1)]
+        for b in batches:
+            x_all, image, out = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1), b.column(1).to_numpy(), []
+            for t in range(trees if b.num_rows else 0):
+                x = x_all[:, t * (x_all.shape[1] // trees) : (t + 1) * (x_all.shape[1] // trees)]
+                reached = [np.stack([np.full(len(image), t), route(t, x), image], 1) for route in routes]
+                out.append(np.unique(np.concatenate(reached), axis=0))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in np.concatenate(out).T], names=["tree_id", "node_id", "image"])
+
+    seen = valued.where("image is not null").select("values", "image").mapInArrow(run, "tree_id long, node_id long, image long")
+    return seen.groupBy("tree_id", "node_id").agg(F.countDistinct("image").alias("num_images"))
+
+
 def train_forest(
     samples: DataFrame,
     family: FeatureFamily,
@@ -226,33 +330,37 @@ def train_forest(
     seed: int = 1234,
     num_trees: int = 1,
     strict: bool = False,
+    save_to: str | None = None,
 ) -> tuple[list[tuple], Candidates]:
     """Node rows (model.SCHEMA; dim is the feature number of the candidates) and the candidates.
 
     Level by level, all trees at once: a node splits if its best gain is at
     least min_info (strict: above it), both sides have rows and the level isn't
-    the last.  Trees differ by the part of the candidates each may use.  Only
+    the last.  Trees differ by the part of the candidates each may use.  Values
+    are computed and written once; each level reads them and nothing else.  Only
     the model's own rows come to the driver, 2^level for each tree at most.
+    With `save_to`, the model so far is saved after each level (open nodes as
+    leaves), in the folders level=0, level=1 and on.
     """
     spark = samples.sparkSession
     cands = family.candidates(num_feat * num_trees, num_thresh, seed)
-    trees = spark.range(num_trees).select(F.col("id").cast("int").alias("tree_id"))
-    valued = family.attach(samples, cands).join(F.broadcast(trees))
-    own = F.slice("values", F.col("tree_id") * num_feat + 1, num_feat) if num_trees > 1 else F.col("values")
-    now = checkpoint(valued.select("tree_id", F.lit(0).cast("long").alias("node_id"), "label", own.alias("values")))
+    valued = checkpoint(family.attach(samples, cands))
+    prior = [0.0] * num_classes
+    for r in valued.groupBy("label").agg(F.count("*").alias("n")).collect():
+        prior[r["label"]] = float(r["n"])
     nodes: list[tuple] = []
-    prior = now.groupBy("tree_id", "label").agg(F.count("*").alias("n")).collect()
-    open_: dict[tuple[int, int], list[float]] = {}
-    for t in range(num_trees):
-        counts = [0.0] * num_classes
-        for r in prior:
-            if r["tree_id"] == t:
-                counts[r["label"]] = float(r["n"])
-        open_[t, 0] = counts
+    open_ = {(t, 0): prior for t in range(num_trees)}
+    splits: Splits = {}
+
+    def leaf(t: int, n: int, counts: list[float]) -> tuple:
+        total = sum(counts)
+        return (t, n, True, None, None, None, None, [c / total if total else 0.0 for c in counts], None)
+
     for level in range(max_levels + 1):
         chosen: dict[tuple[int, int], tuple] = {}
         if open_ and level < max_levels:
-            best, hist = train_level(now, cands, num_feat)
+            hist = H.split_histograms(level_bins(valued, cands, splits, list(open_), level, num_trees), cands.frame(spark), KEYS)
+            best = H.best_split(H.information_gain(hist, KEYS), KEYS)
             rows = best.join(hist, [*KEYS, "feat_ind"]).groupBy(*KEYS, "gain", "feat_ind").agg(F.collect_list(F.struct("label", "ql", "qr")).alias("q"))
             for r in rows.collect():
                 ok = r["gain"] > min_info if strict else r["gain"] >= min_info
@@ -261,23 +369,20 @@ def train_forest(
                     left[q["label"]], right[q["label"]] = float(q["ql"]), float(q["qr"])
                 if ok and sum(left) and sum(right):
                     chosen[r["tree_id"], r["node_id"]] = (r["feat_ind"], r["gain"], left, right)
-        for (t, n), counts in sorted(open_.items()):
-            if (t, n) not in chosen:
-                total = sum(counts)
-                nodes.append((t, n, True, None, None, None, None, [c / total if total else 0.0 for c in counts], None))
+        nodes += [leaf(t, n, counts) for (t, n), counts in sorted(open_.items()) if (t, n) not in chosen]
         open_ = {}
-        splits = []
         for (t, n), (ind, gain, left, right) in sorted(chosen.items()):
             f, thresh = cands.select(ind)
             kind = cands.params[f].get("kind", 0)
             nodes.append((t, n, False, f, kind, thresh, float(gain), None, None))
-            splits.append((t, n, f - t * num_feat, kind, thresh))
+            splits[t, n] = (f - t * num_feat, kind, thresh)
             open_[t, 2 * n + 1], open_[t, 2 * n + 2] = left, right
-        if not splits:
+        if save_to is not None:
+            so_far = number_leaves(nodes + [leaf(t, n, c) for (t, n), c in sorted(open_.items())])
+            images = node_images(valued, splits, level + 1, num_trees)
+            save_model(spark, so_far, f"{save_to}/level={level}", images)
+        if not open_:
             break
-        moves = F.broadcast(spark.createDataFrame(splits, "tree_id int, node_id long, f int, kind int, t double"))
-        passed = vector_test(F.get("values", F.col("f")), F.col("kind"), F.col("t")).cast("long")
-        now = checkpoint(now.join(moves, KEYS).select("tree_id", (2 * F.col("node_id") + 1 + passed).alias("node_id"), "label", "values"))
     return number_leaves(nodes), cands
 
 
@@ -337,12 +442,18 @@ def argmax_rows(dense: DataFrame, num_classes: int) -> DataFrame:
 
 
 def to_integral_records(images: DataFrame, points: DataFrame, nodes: list[tuple], family: TextonFamily, cands: Candidates, kind: str, num_classes: int) -> DataFrame:
-    """image_id, mask, i, j, s, points: prefix sums of the scored images (argmax, argmax_prob, all_prob or spatial), with each image's labelled points."""
+    """image_id, tables, masks, points: one record for each image, its prefix sums and its labelled points.
+
+    Scored images give the sums of `kind`: argmax, argmax_prob, all_prob or
+    spatial.  tables is flat, in (row, column, mask) order; points are structs
+    (label, i, j) in that order, none for images without any.
+    """
     from ..operators import raster as R
 
     pixels = argmax_rows(predict_image_dense(images, nodes, family, cands), num_classes)
     top = F.array_max("probs")
     best = pixels.select("image_id", "i", "j", (F.array_position("probs", top) - 1).cast("int").alias("cls"), top.alias("prob"))
+    masks = num_classes
     if kind == "argmax":
         table = R.integral_labels(best, num_classes)
     elif kind == "argmax_prob":
@@ -351,11 +462,13 @@ def to_integral_records(images: DataFrame, points: DataFrame, nodes: list[tuple]
         table = R.integral_all_probs(pixels)
     elif kind == "spatial":
         leaves = 1 + max(n[8] for n in nodes if n[8] is not None and n[0] == nodes[0][0])
-        table = R.integral_spatial(pixels, leaves)
+        table, masks = R.integral_spatial(pixels, leaves), num_classes + leaves
     else:
         raise ValueError(f"no integral type {kind}")
-    counts = points.groupBy("image_id").agg(F.count("*").alias("points"))
-    return table.join(counts, "image_id", "left").withColumn("points", F.coalesce("points", F.lit(0)))
+    # an image's size bounds both lists
+    lists = points.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("label", "i", "j"))).alias("points"))
+    none = F.array().cast(lists.schema["points"].dataType)
+    return flat_tables(table).join(lists, "image_id", "left").select("image_id", "tables", F.lit(masks).alias("masks"), F.coalesce("points", none).alias("points"))
 
 
 def flat_tables(integrals: DataFrame) -> DataFrame:
@@ -371,9 +484,11 @@ def train_two_stage(images: DataFrame, points: DataFrame, num_classes: int, seed
     family = TextonFamily(3)
     joined = points.join(images, "image_id")
     first, cands = train_forest(joined, family, num_classes, seed=seed, **texton)
-    tables = flat_tables(to_integral_records(images, points, first, family, cands, "spatial", num_classes).drop("points"))
+    records = to_integral_records(images, points, first, family, cands, "spatial", num_classes)
     masks = num_classes + 1 + max(n[8] for n in first if n[8] is not None)
     boxes = IntegralFamily(masks, distance=3, radii=(1, 3))
-    second, _ = train_forest(with_tables(points, images, tables), boxes, num_classes, seed=seed + 1, num_trees=trees, **integral)
+    rows = records.where(F.size("points") > 0).join(images.select("image_id", "height", "width"), "image_id")
+    rows = rows.withColumn("preds", F.array().cast("array<double>"))
+    second, _ = train_forest(rows, boxes, num_classes, seed=seed + 1, num_trees=trees, **integral)
     return first, second
 

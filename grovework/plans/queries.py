@@ -108,6 +108,71 @@ def gains(spark: SparkSession, d: str) -> DataFrame:
     return H.information_gain(hist(spark, d), T.KEYS)
 
 
+def trained_sql(num_feat: int, num_thresh: int, levels: int, trees: int = 1, min_info: float = 0.0, strict: bool = False) -> str:
+    """The nodes that train_forest gives for the line items, level by level; splits have one row, leaves one for each class."""
+    cands = VECTORS.candidates(num_feat * trees, num_thresh, 1234)
+    rows = values_sql([(*r, cands.params[r[0]]["dim"], r[0] // num_feat) for r in cands.rows()], "feat, kind, rnk, feat_ind, t, dim, tree_id")
+    passed = "(CASE WHEN kind = 2 THEN x[dim + 1] = t ELSE x[dim + 1] >= t END)::INT"
+    out = [X.F1, FX, f"c AS (SELECT * FROM {rows})", f"s0 AS MATERIALIZED (SELECT tree_id::INT AS tree_id, 0::BIGINT AS node_id, label, x, image_id FROM f1x, range({trees}) r(tree_id))"]
+    for k in range(levels):
+        out.append(f"""h{k} AS (SELECT s.tree_id, node_id, feat_ind, label, sum({passed})::BIGINT AS qr, count(*)::BIGINT AS n FROM s{k} s JOIN c ON c.tree_id = s.tree_id GROUP BY ALL),
+g{k} AS (SELECT tree_id, node_id, feat_ind, sum(n - qr) AS nl, sum(qr) AS nr, sum(CASE WHEN n > qr THEN (n - qr) * log2((n - qr)::DOUBLE) ELSE 0 END) AS sl,
+  sum(CASE WHEN qr > 0 THEN qr * log2(qr::DOUBLE) ELSE 0 END) AS sr, sum(n * log2(n::DOUBLE)) AS sa FROM h{k} GROUP BY ALL),
+i{k} AS (SELECT tree_id, node_id, feat_ind, nl, nr, CASE WHEN nl = 0 OR nr = 0 THEN 0 ELSE round((((nl + nr) * log2((nl + nr)::DOUBLE) - sa) - (nl * log2(nl::DOUBLE) - sl)
+  - (nr * log2(nr::DOUBLE) - sr)) / (nl + nr), 12) END AS gain FROM g{k}),
+b{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, node_id ORDER BY gain DESC, feat_ind) AS r FROM i{k})
+  WHERE r = 1 AND nl > 0 AND nr > 0 AND gain {'>' if strict else '>='} {min_info!r}::DOUBLE),
+s{k + 1} AS MATERIALIZED (SELECT s.tree_id, 2 * s.node_id + 1 + {passed} AS node_id, label, x, image_id FROM s{k} s JOIN b{k} USING (tree_id, node_id) JOIN c USING (feat_ind))""")
+    splits = " UNION ALL ".join(f"SELECT tree_id, node_id, feat_ind, gain FROM b{k}" for k in range(levels))
+    ends = " UNION ALL ".join(
+        f"SELECT tree_id, node_id, label FROM s{k}" + (f" ANTI JOIN b{k} USING (tree_id, node_id)" if k < levels else "") for k in range(levels + 1)
+    )
+    seen = " UNION ALL ".join(f"SELECT tree_id, node_id, count(DISTINCT image_id)::BIGINT AS num_images FROM s{k} GROUP BY ALL" for k in range(levels + 1))
+    out.append(f"""sp AS ({splits}), en AS ({ends}), im AS ({seen}),
+ln AS (SELECT tree_id, node_id, (row_number() OVER (PARTITION BY tree_id ORDER BY (node_id + 1) / pow(2.0::DOUBLE, floor(log2((node_id + 1)::DOUBLE)))) - 1)::INT AS leaf_id FROM (SELECT DISTINCT tree_id, node_id FROM en)),
+lp AS (SELECT ln.tree_id, ln.node_id, leaf_id, k::INT AS label, (SELECT count(*) FROM en WHERE en.tree_id = ln.tree_id AND en.node_id = ln.node_id AND en.label = k)
+  / (SELECT count(*) FROM en WHERE en.tree_id = ln.tree_id AND en.node_id = ln.node_id) AS prob FROM ln, range(3) r(k)),
+model AS (SELECT tree_id, node_id, false AS is_leaf, feat::INT AS dim, kind, t, round(gain, 6) AS info_gain, -1 AS leaf_id, -1 AS label, -1.0::DOUBLE AS prob FROM sp JOIN c USING (tree_id, feat_ind)
+  UNION ALL SELECT tree_id, node_id, true, -1, -1, -1.0::DOUBLE, -1.0::DOUBLE, leaf_id, label, round(prob, 6) FROM lp)""")
+    return "WITH " + ",\n".join(out) + "\nSELECT * FROM model"
+
+
+def by_class(nodes: DataFrame) -> DataFrame:
+    """Nodes with a row for each class of a leaf, and one for a split; -1 stands for what a node doesn't have."""
+    each = nodes.select("*", F.posexplode_outer("probs").alias("label", "prob")).drop("probs")
+    each = each.withColumn("info_gain", r6("info_gain")).withColumn("prob", r6("prob"))
+    return each.fillna(-1, ["dim", "kind", "t", "info_gain", "leaf_id", "label", "prob"])
+
+
+# pixels and prefix sums as arrays, for look-ups in SQL
+PIX = """im AS MATERIALIZED (SELECT vec_id AS image_id, list_transform(range(448), lambda k: floor((embedding[((k // 7 + 9 * (k % 7)) % 64 + 1)::INT]::DOUBLE + 1) * 127.5::DOUBLE)::INT) AS pix FROM embeddings)"""
+TABS = "tb AS MATERIALIZED (SELECT image_id, list(s ORDER BY i, j, mask) AS tab FROM it GROUP BY 1)"
+
+
+def pixel_sql(dy: int, dx: int, b: int) -> str:
+    return f"pix[((greatest(0, least(7, i + {dy})) * 8 + greatest(0, least(7, j + {dx}))) * 7 + {b} + 1)::INT]"
+
+
+def texton_sql(p: dict) -> str:
+    a, b = pixel_sql(p["dy0"], p["dx0"], p["b0"]), pixel_sql(p["dy1"], p["dx1"], p["b1"])
+    return (a, f"({a} + {b})", f"({a} - {b})", f"abs({a} - {b})")[p["texton"]]
+
+
+def box_sql(p: dict) -> str:
+    """A box feature's value at (i, j), from `tab` of 9 x 9 x 4 sums; its edges stand in a struct."""
+    def clamp(e: str) -> str:
+        return f"greatest(0, least(8, {e}))"
+
+    y0, y1, x0, x1 = (clamp(f"i + {p['uy'] - p['bh']}"), clamp(f"i + {p['uy'] + p['bh'] + 1}"), clamp(f"j + {p['ux'] - p['bw']}"), clamp(f"j + {p['ux'] + p['bw'] + 1}"))
+    edge = {"y0": y0, "y1": y1, "x0": x0, "x1": x1}
+    for n, lo, hi in (("y", y0, y1), ("x", x0, x1)):
+        edge |= {f"{n}a": f"({lo} + ({hi} - {lo}) // 3)", f"{n}b": f"({lo} + 2 * (({hi} - {lo}) // 3))", f"{n}m": f"({lo} + ({hi} - {lo}) // 2)"}
+    at = lambda y, x: f"tab[(({edge[y]} * 9 + {edge[x]}) * 4 + {p['mask']} + 1)::INT]"
+    out = " + ".join(f"({sign}) * ({at(c, d)} - {at(a, d)} - {at(c, b)} + {at(a, b)})" for sign, a, b, c, d in R.BOXES[p["pattern"]])
+    area = f"(({y1} - {y0}) * ({x1} - {x0}))"
+    return f"(CASE WHEN {area} > 0 THEN trunc(({out}) / {area} * 2147483646)::BIGINT ELSE 0 END)"
+
+
 # -- sources ---------------------------------------------------------------------------------------
 
 
@@ -115,7 +180,9 @@ def gains(spark: SparkSession, d: str) -> DataFrame:
 SELECT CASE WHEN k IS NULL THEN 'null' WHEN k = '' THEN 'empty' ELSE 'kept' END AS reason, count(*)::BIGINT AS n FROM r GROUP BY 1""")
 def q_load(spark, d):
     key = F.when(F.col("vec_id") % 7 == 3, None).when(F.col("vec_id") % 11 == 5, "").otherwise(F.concat(F.lit("img"), F.col("vec_id")))
-    kept, rejects = IO.load_labeled_records(X.table(spark, d, "embeddings").withColumn("key", key), "key")
+    path = IO.scratch(spark)
+    X.table(spark, d, "embeddings").withColumn("key", key).write.parquet(path)
+    kept, rejects = IO.load_labeled_records(spark, path, columns=["vec_id", "embedding"])
     return kept.agg(F.count("*").alias("n")).select(F.lit("kept").alias("reason"), "n").unionByName(rejects)
 
 
@@ -143,17 +210,17 @@ def q_save(spark, d):
     rows, cands = T.train_forest(X.vectors(spark, d), VECTORS, 3, max_levels=2, num_feat=8, num_thresh=5)
     path = IO.scratch(spark)
     IO.save_model(spark, rows, path)
-    again = [tuple(r) for r in IO.load_model(spark, path).collect()]
+    again = [tuple(r)[:9] for r in IO.load_model(spark, path).collect()]
     scored = T.score(X.vectors(spark, d), again, VECTORS.values(cands), ["label"])
     return scored.groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("load_model")
+@query("load_model", trained_sql(8, 5, 2).replace("SELECT * FROM model", "SELECT m.*, floor(log2((node_id + 1)::DOUBLE))::INT AS level, num_images FROM model m JOIN im USING (tree_id, node_id)"))
 def q_load_model(spark, d):
-    rows, _ = T.train_forest(X.vectors(spark, d), VECTORS, 3, max_levels=2, num_feat=8, num_thresh=5)
+    """A model as it was saved after its last level, with the orders that passed each node."""
     path = IO.scratch(spark)
-    IO.save_model(spark, rows, path)
-    return IO.load_model(spark, path)
+    T.train_forest(X.vectors(spark, d), VECTORS, 3, max_levels=2, num_feat=8, num_thresh=5, save_to=path)
+    return by_class(IO.load_model(spark, f"{path}/level=2"))
 
 
 @query("merge_models", f"WITH {ROUTED} SELECT tree_id + 2 * m AS tree_id, node_id::BIGINT AS node_id, count(*)::BIGINT AS n FROM l3, range(2) r(m) GROUP BY ALL")
@@ -164,18 +231,32 @@ def q_merge(spark, d):
     return reached.groupBy(F.col("tree_id").cast("long").alias("tree_id"), "node_id").agg(F.count("*").alias("n"))
 
 
-@query("write_predictions", f"""WITH {FORESTED}, a AS (SELECT row_id, label, row_number() OVER (PARTITION BY row_id ORDER BY prob DESC, label) AS r FROM pf)
-SELECT label::INT AS label, count(*)::BIGINT AS n FROM a WHERE r = 1 GROUP BY 1""")
+@query("write_predictions", f"""WITH {FORESTED}, a AS (SELECT row_id, truth, label, row_number() OVER (PARTITION BY row_id ORDER BY prob DESC, label) AS r FROM pf)
+SELECT label::INT AS label, truth, count(*)::BIGINT AS n FROM a WHERE r = 1 GROUP BY ALL""")
 def q_predictions(spark, d):
     path = IO.scratch(spark)
-    IO.write_predictions(M.argmax_class(forested(spark, d), ["row_id"]), path)
-    return spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n"))
+    shown = X.embedded(spark, d).select("row_id", F.col("label").alias("truth"))
+    IO.write_predictions(M.argmax_class(forested(spark, d), ["row_id"]), path, shown, ["row_id"])
+    return spark.read.parquet(path).groupBy("label", "truth").agg(F.count("*").alias("n"))
+
 
+#: Corners of hulls: pixels that see all others of their region within a half turn; in the order of the angle about their mean, from the leftmost.
+HULLS = f"""{X.F2}, {X.F5}, ex AS (SELECT DISTINCT image_id, cls AS region, unnest([lo, hi])::INT AS x, i AS y FROM (SELECT image_id, cls, i, min(j) AS lo, max(j) AS hi FROM f5 GROUP BY ALL)),
+an AS (SELECT a.*, atan2((b.y - a.y)::DOUBLE, (b.x - a.x)::DOUBLE) AS ang FROM ex a LEFT JOIN ex b ON a.image_id = b.image_id AND a.region = b.region AND (a.x <> b.x OR a.y <> b.y)),
+ga AS (SELECT image_id, region, x, y, coalesce(ang - lag(ang) OVER w, ang - max(ang) OVER p + 2 * pi()) AS gap FROM an WINDOW w AS (PARTITION BY image_id, region, x, y ORDER BY ang), p AS (PARTITION BY image_id, region, x, y)),
+co AS (SELECT image_id, region, x, y FROM ga GROUP BY ALL HAVING coalesce(max(gap), 9) > pi() + 1e-9::DOUBLE),
+ce AS (SELECT *, atan2(y - avg(y) OVER q, x - avg(x) OVER q) AS a FROM co WINDOW q AS (PARTITION BY image_id, region)),
+st AS (SELECT *, first_value(a) OVER (PARTITION BY image_id, region ORDER BY x, y) AS a0 FROM ce),
+hu AS (SELECT image_id, region, x, y, (row_number() OVER (PARTITION BY image_id, region ORDER BY CASE WHEN a < a0 THEN a - a0 + 2 * pi() ELSE a - a0 END) - 1)::INT AS k FROM st)"""
 
-@query("export_segments_json")
+
+@query("export_segments_json", f"""WITH {HULLS}, rg AS (SELECT image_id, region, '[' || string_agg('[' || x || ',' || y || ']', ',' ORDER BY k) || ']' AS h FROM hu GROUP BY ALL),
+sg AS (SELECT image_id, '[' || string_agg(h, ',' ORDER BY region) || ']' AS s FROM rg GROUP BY 1),
+cp AS (SELECT image_id, cls, round(count(*) / 64, 4) AS p FROM f5 GROUP BY ALL), pr AS (SELECT image_id, '{{' || string_agg('"' || cls || '":' || p, ',' ORDER BY cls) || '}}' AS c FROM cp GROUP BY 1)
+SELECT image_id, '{{"segments":' || s || ',"class_prob":' || c || '}}' AS json FROM sg JOIN pr USING (image_id)""")
 def q_json(spark, d):
     labels = X.masks(spark, d).withColumnRenamed("cls", "region")
-    probs = X.points(spark, d).groupBy("image_id", F.col("label").cast("string").alias("name")).agg(F.lit(1.0).alias("prob"))
+    probs = X.masks(spark, d).groupBy("image_id", F.col("cls").cast("string").alias("name")).agg(F.round(F.count("*") / 64, 4).alias("prob"))
     return IO.export_segments_json(G.region_hulls(labels), probs)
 
 
@@ -224,8 +305,8 @@ def q_small(spark, d):
 _RGB = "rgb AS (SELECT image_id, i, j, max(CASE WHEN b = 0 THEN v END) AS r, max(CASE WHEN b = 1 THEN v END) AS g, max(CASE WHEN b = 2 THEN v END) AS bl FROM f2 WHERE b < 3 GROUP BY ALL)"
 
 
-@query("feature_bands", f"""WITH {X.F2}, {_RGB},
-lin AS (SELECT *, (CASE WHEN r / 255.0::DOUBLE <= 0.04045::DOUBLE THEN r / 255.0::DOUBLE / 12.92::DOUBLE ELSE pow((r / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END) AS lr,
+#: The seven bands `bd` from `rgb`.
+_BANDS = """lin AS (SELECT *, (CASE WHEN r / 255.0::DOUBLE <= 0.04045::DOUBLE THEN r / 255.0::DOUBLE / 12.92::DOUBLE ELSE pow((r / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END) AS lr,
  (CASE WHEN g / 255.0::DOUBLE <= 0.04045::DOUBLE THEN g / 255.0::DOUBLE / 12.92::DOUBLE ELSE pow((g / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END) AS lg,
  (CASE WHEN bl / 255.0::DOUBLE <= 0.04045::DOUBLE THEN bl / 255.0::DOUBLE / 12.92::DOUBLE ELSE pow((bl / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END) AS lb,
  0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * bl AS gray FROM rgb),
@@ -235,8 +316,11 @@ f AS (SELECT *, CASE WHEN cx > 0.008856::DOUBLE THEN cbrt(cx) ELSE 7.787::DOUBLE
  CASE WHEN cz > 0.008856::DOUBLE THEN cbrt(cz) ELSE 7.787::DOUBLE * cz + 16.0::DOUBLE / 116 END AS fz, CASE WHEN cy > 0.008856::DOUBLE THEN 116 * cbrt(cy) - 16 ELSE 903.3::DOUBLE * cy END AS li,
  coalesce(sqrt(pow((lead(gray) OVER rw - lag(gray) OVER rw) / 2, 2) + pow((lead(gray) OVER cw - lag(gray) OVER cw) / 2, 2)), 0) AS gr
  FROM xyz WINDOW rw AS (PARTITION BY image_id, i ORDER BY j), cw AS (PARTITION BY image_id, j ORDER BY i)),
-w AS (SELECT image_id, i, j, [bl::DOUBLE, g, r, li * 255 / 100, 500 * (fx - fy) + 128, 200 * (fy - fz) + 128, gr] AS a FROM f)
-SELECT image_id, i, j, k::INT AS b, (CASE WHEN k < 3 THEN a[k + 1] ELSE floor(greatest(0, least(255, a[k + 1])) + 0.5::DOUBLE) END)::INT AS v FROM w, range(7) r(k)""")
+w AS (SELECT image_id, i, j, [bl::DOUBLE, g, r, li * 255 / 100, 500 * (fx - fy) + 128, 200 * (fy - fz) + 128, gr] AS a FROM f),
+bd AS (SELECT image_id, i, j, k::INT AS b, (CASE WHEN k < 3 THEN a[k + 1] ELSE floor(greatest(0, least(255, a[k + 1])) + 0.5::DOUBLE) END)::INT AS v FROM w, range(7) r(k))"""
+
+
+@query("feature_bands", f"WITH {X.F2}, {_RGB},\n{_BANDS} SELECT * FROM bd")
 def q_bands(spark, d):
     rgb = X.px(spark, d).where("b < 3").groupBy("image_id", "i", "j").pivot("b", [0, 1, 2]).agg(F.max("v"))
     return P.feature_bands(rgb.withColumnsRenamed({"0": "r", "1": "g", "2": "b"}))
@@ -294,6 +378,25 @@ def q_split(spark, d):
     return no.select(F.lit(False).alias("side"), "row_id", "label").unionByName(yes.select(F.lit(True).alias("side"), "row_id", "label"))
 
 
+@query("prepare_labeled_points", f"""WITH {X.F2}, {X.F5},
+ax AS (SELECT y::INT AS y, greatest(0.0::DOUBLE, least((y + 0.5::DOUBLE) * 8 / 6 - 0.5::DOUBLE, 7.0::DOUBLE)) AS p FROM range(6) a(y)),
+ay AS (SELECT y, floor(p)::INT AS s, 1 - (p - floor(p)) AS w FROM ax UNION ALL SELECT y, least(floor(p)::INT + 1, 7), p - floor(p) FROM ax),
+sm AS (SELECT image_id, a.y AS i, c.y AS j, b, round(round(sum(a.w * c.w * v), 6))::INT AS v FROM ay a, ay c JOIN f2 ON f2.i = a.s AND f2.j = c.s WHERE b < 3 GROUP BY ALL),
+rgb AS (SELECT image_id, i, j, max(CASE WHEN b = 0 THEN v END) AS r, max(CASE WHEN b = 1 THEN v END) AS g, max(CASE WHEN b = 2 THEN v END) AS bl FROM sm GROUP BY ALL),
+{_BANDS},
+pt AS (SELECT image_id, cls - 1 AS label, y::INT AS i, x::INT AS j FROM range(6) a(y), range(6) b(x), f5 WHERE f5.i = floor(y * 8 / 6) AND f5.j = floor(x * 8 / 6) AND cls > 0),
+sp AS (SELECT *, row_number() OVER (PARTITION BY image_id, label ORDER BY {mixed_sql('0', 'image_id', 'i', 'j')}, i, j) AS r FROM pt)
+SELECT image_id, label, i, j, b, v FROM sp JOIN bd USING (image_id, i, j) WHERE r <= 4""")
+def q_prepare(spark, d):
+    """Sampled points of three known classes on images brought to a side of six, with the bands there."""
+    shown = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"))
+    rgb = X.px(spark, d).where("b < 3").groupBy("image_id", "i", "j").pivot("b", [0, 1, 2]).agg(F.max("v")).withColumnsRenamed({"0": "r", "1": "g", "2": "b"})
+    masks = X.masks(spark, d).select("image_id", F.concat(F.lit("c"), "cls").alias("name"), "i", "j", F.lit(255).alias("v"))
+    classes = P.enumerate_classes(masks.where("name != 'c0'"), "name")
+    bands, points, _ = P.prepare_labeled_points(shown, rgb, masks, classes, 6, 2, 4)
+    return points.join(bands, ["image_id", "i", "j"]).select("image_id", F.col("label").cast("int").alias("label"), "i", "j", "b", "v")
+
+
 # -- joins -----------------------------------------------------------------------------------------
 
 
@@ -312,9 +415,7 @@ def q_route(spark, d):
 OFFSETS = [(-1, 2, 3), (3, 0, 6), (0, 0, 9)]
 
 
-@query("texton_lookup", f"""WITH {X.F2}, {X.F6} SELECT p.image_id, p.i, p.j, a.v AS v0, b.v AS v1, 0 AS v2 FROM f6 p
-JOIN f2 a ON a.image_id = p.image_id AND a.i = greatest(p.i - 1, 0) AND a.j = least(p.j + 2, 7) AND a.b = 3
-JOIN f2 b ON b.image_id = p.image_id AND b.i = least(p.i + 3, 7) AND b.j = p.j AND b.b = 6""")
+@query("texton_lookup", f"""WITH {X.F2}, {X.F6}, {PIX} SELECT image_id, i, j, {pixel_sql(-1, 2, 3)} AS v0, {pixel_sql(3, 0, 6)} AS v1, 0 AS v2 FROM f6 JOIN im USING (image_id)""")
 def q_texton_lookup(spark, d):
     return R.texton_lookup(X.points(spark, d), X.px(spark, d), OFFSETS, F.lit(8), F.lit(8), ["image_id", "i", "j"])
 
@@ -329,16 +430,7 @@ BOX = {"mask": 1, "uy": 1, "ux": -1, "bh": 2, "bw": 1}
 
 
 def _box_sql(pattern: int) -> str:
-    terms = []
-    for sign, a, b, c, e in R.BOXES[pattern]:
-        for s, y, x in ((sign, c, e), (-sign, a, e), (-sign, c, b), (sign, a, b)):
-            terms.append((s, y, x))
-    looks = " + ".join(f"({s}) * (SELECT s FROM it WHERE it.image_id = e.image_id AND mask = 1 AND it.i = e.{y} AND it.j = e.{x})" for s, y, x in terms)
-    return f"""WITH {X.F2}, {X.F5}, {X.F6}, {_INT},
-e0 AS (SELECT image_id, i, j, greatest(0, least(8, i + 1 - 2)) AS y0, greatest(0, least(8, i + 1 + 2 + 1)) AS y1, greatest(0, least(8, j - 1 - 1)) AS x0, greatest(0, least(8, j - 1 + 1 + 1)) AS x1 FROM f6),
-e AS (SELECT *, y0 + (y1 - y0) // 3 AS ya, y0 + 2 * ((y1 - y0) // 3) AS yb, y0 + (y1 - y0) // 2 AS ym, x0 + (x1 - x0) // 3 AS xa, x0 + 2 * ((x1 - x0) // 3) AS xb, x0 + (x1 - x0) // 2 AS xm,
- (y1 - y0) * (x1 - x0) AS area FROM e0)
-SELECT image_id, i, j, CASE WHEN area > 0 THEN trunc(({looks}) / area * 2147483646)::BIGINT ELSE 0 END AS value FROM e"""
+    return f"WITH {X.F2}, {X.F5}, {X.F6}, {_INT}, {TABS} SELECT image_id, i, j, {box_sql(BOX | {'pattern': pattern})} AS value FROM f6 JOIN tb USING (image_id)"
 
 
 @query("box_corner_lookup", _box_sql(4))
@@ -391,15 +483,15 @@ def q_hists(spark, d):
 
 @query("merge_histograms", f"WITH {HIST} SELECT feat_ind, label, ql, qr, (SELECT count(DISTINCT image_id) FROM f1) AS num_images FROM hist")
 def q_merge_hist(spark, d):
-    parts = None
+    parts = seen = None
     for k in range(3):
         some = X.vectors(spark, d).where(F.pmod("image_id", F.lit(3)) == k)
-        v = some.select(F.lit(0).alias("tree_id"), F.lit(0).cast("long").alias("node_id"), "label", VECTORS.values(CANDS).alias("values"))
+        root = [F.lit(0).alias("tree_id"), F.lit(0).cast("long").alias("node_id")]
+        v = some.select(*root, "label", VECTORS.values(CANDS).alias("values"))
         one = H.split_histograms(H.bin_counts(v, dict(enumerate(CANDS.thresholds)), CANDS.kinds(), T.KEYS), CANDS.frame(spark), T.KEYS)
-        parts = one if parts is None else parts.unionByName(one)
-    merged = H.merge_histograms(parts, T.KEYS)
-    count = X.vectors(spark, d).agg(F.countDistinct("image_id").alias("num_images"))
-    return merged.join(F.broadcast(count)).select("feat_ind", "label", "ql", "qr", "num_images")  # one row
+        images = some.select(*root, "image_id").distinct()
+        parts, seen = (one, images) if parts is None else (parts.unionByName(one), seen.unionByName(images))
+    return H.merge_histograms(parts, T.KEYS, seen).select("feat_ind", "label", "ql", "qr", "num_images")
 
 
 @query("entropy", """WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), p AS (SELECT l_suppkey, n / sum(n) OVER (PARTITION BY l_suppkey) AS p FROM c)
@@ -590,11 +682,11 @@ def q_append(spark, d):
 
 
 @query("vector_test", f"""WITH {CAND_SQL}, e AS (SELECT event_id, event_type, [value, (props->>'k')::DOUBLE, (event_id % 5)::DOUBLE] AS x FROM events)
-SELECT event_id, feat_ind, (CASE WHEN kind = 2 THEN x[dim % 3 + 1] = t ELSE x[dim % 3 + 1] >= t END) AS passed FROM e, c WHERE feat_ind % 5 = 0""")
+SELECT event_id, feat_ind, (CASE WHEN kind = 2 THEN x[dim % 3 + 1] = t ELSE x[dim % 3 + 1] >= t END) AS passed FROM e, c""")
 def q_test(spark, d):
     k = F.get_json_object("props", "$.k").cast("double")
     events = X.table(spark, d, "events").select("event_id", F.array("value", k, (F.col("event_id") % 5).cast("double")).alias("x"))
-    tests = [(p["dim"] % 3, p["kind"], f * CANDS.per_feature, CANDS.thresholds[f][0]) for f, p in enumerate(CANDS.params)]
+    tests = [(CANDS.params[f]["dim"] % 3, kind, i, t) for f, kind, _, i, t in CANDS.rows()]
     each = F.array(*[F.struct(F.lit(i).alias("feat_ind"), S.vector_test(F.get("x", dim), F.lit(kind), F.lit(float(t))).alias("passed")) for dim, kind, i, t in tests])
     return events.select("event_id", F.explode(each).alias("e")).select("event_id", "e.*")
 
@@ -647,18 +739,25 @@ def q_colors(spark, d):
     return G.region_colors(X.masks(spark, d).withColumnRenamed("cls", "region"))
 
 
+def _four(p: str) -> str:
+    """%.4g of a share, in SQL."""
+    power = f"pow(10.0::DOUBLE, 3 - floor(log10({p})))"
+    return f"regexp_replace(regexp_replace(printf('%.8f', round_even({p} * {power}, 0) / {power}), '0+$', ''), '\\.$', '')"
+
+
 @query("tree_to_dot", f"""WITH {X.F1}, cc AS (SELECT image_id % 4 AS tree_id, label, count(*) AS n FROM f1 GROUP BY ALL),
 p AS (SELECT tree_id, label, n / sum(n) OVER (PARTITION BY tree_id) AS p FROM cc),
-lb AS (SELECT tree_id, string_agg(label || ':' || printf('%.4f', p), ' ' ORDER BY p DESC, label DESC) AS s FROM p GROUP BY 1)
-SELECT tree_id::INT AS tree_id, 'digraph {{' || chr(10) || 'n0 [label="0.5000"];' || chr(10) || 'n0 -> n1 [color=red];' || chr(10) || 'n0 -> n2 [color=green];' || chr(10)
- || 'n1 [label="' || s || '"];' || chr(10) || 'n2 [label="' || s || '"];' || chr(10) || '}}' AS dot FROM lb""")
+lb AS (SELECT tree_id, string_agg(label || ':' || {_four('p')}, ' ' ORDER BY p DESC, label) AS s FROM p GROUP BY 1)
+SELECT tree_id::INT AS tree_id, 'digraph{{0[label="I[0.500000]P[2.5 <= x[3]]"];1[label="I[0.250000]P[1.0 == x[5]]"];2[label="' || s || '"];3[label="' || s || '"];4[label="' || s
+ || '"];0->1[color=red];1->2[color=red];1->3[color=green];0->4[color=green]}}' AS dot FROM lb""")
 def q_dot(spark, d):
-    """Trees of one split whose leaves hold the class shares of a quarter of the line items."""
+    """Trees of two splits whose leaves hold the class shares of a quarter of the line items."""
     quarter = X.vectors(spark, d).withColumn("tree_id", (F.col("image_id") % 4).cast("int"))
     shares = H.leaf_probability(quarter, ["tree_id"], "label", F.lit(1))
     probs = shares.groupBy("tree_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "prob"))), lambda x: x["prob"]).alias("probs"))
-    nodes = probs.withColumn("node_id", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("is_leaf", F.col("node_id") > 0)
-    return M.tree_to_dot(nodes.withColumn("info_gain", F.lit(0.5)))
+    shape = spark.createDataFrame([(0, False, 3, 0, 2.5, 0.5), (1, False, 5, 2, 1.0, 0.25), (2, True, None, None, None, None), (3, True, None, None, None, None), (4, True, None, None, None, None)],
+        "node_id long, is_leaf boolean, dim int, kind int, t double, info_gain double")
+    return M.tree_to_dot(probs.join(F.broadcast(shape)))  # five rows
 
 
 # -- training and scoring --------------------------------------------------------------------------
@@ -676,15 +775,12 @@ TEXTONS = T.TextonFamily(3)
 TCANDS = TEXTONS.candidates(4, 3, 7)
 
 
-def _texton_sql() -> str:
-    parts = []
-    for f, p in enumerate(TCANDS.params):
-        a = f"(SELECT v FROM f2 x WHERE x.image_id = p.image_id AND x.i = greatest(0, least(7, p.i + {p['dy0']})) AND x.j = greatest(0, least(7, p.j + {p['dx0']})) AND x.b = {p['b0']})"
-        b = f"(SELECT v FROM f2 x WHERE x.image_id = p.image_id AND x.i = greatest(0, least(7, p.i + {p['dy1']})) AND x.j = greatest(0, least(7, p.j + {p['dx1']})) AND x.b = {p['b1']})"
-        parts.append(f"SELECT {f} AS feat, label, {(a, f'{a} + {b}', f'{a} - {b}', f'abs({a} - {b})')[p['texton']]} AS v FROM f6 p")
-    rows = values_sql(TCANDS.rows(), "feat, kind, rnk, feat_ind, t")
-    return f"""WITH {X.F2}, {X.F6}, tv AS ({' UNION ALL '.join(parts)}) SELECT feat_ind, label, sum((tv.v < c.t)::INT)::BIGINT AS ql, sum((tv.v >= c.t)::INT)::BIGINT AS qr
-FROM tv JOIN (SELECT * FROM {rows}) c USING (feat) GROUP BY ALL"""
+def _counts_sql(with_: str, values: list[str], source: str, cands) -> str:
+    """Split histograms of candidates whose features are SQL expressions over `source`."""
+    rows = values_sql(cands.rows(), "feat, kind, rnk, feat_ind, t")
+    each = ", ".join(f"{v}::DOUBLE" for v in values)
+    return f"""WITH {with_}, tv AS (SELECT label, unnest([{each}]) AS v, unnest(range({len(values)})) AS feat FROM {source})
+SELECT feat_ind, label, sum((tv.v < c.t)::INT)::BIGINT AS ql, sum((tv.v >= c.t)::INT)::BIGINT AS qr FROM tv JOIN (SELECT * FROM {rows}) c USING (feat) GROUP BY ALL"""
 
 
 def _counted(samples: DataFrame, family, cands) -> DataFrame:
@@ -693,7 +789,7 @@ def _counted(samples: DataFrame, family, cands) -> DataFrame:
     return H.split_histograms(bins, cands.frame(samples.sparkSession), T.KEYS).select("feat_ind", "label", "ql", "qr")
 
 
-@query("gen_texton_candidates", _texton_sql())
+@query("gen_texton_candidates", _counts_sql(f"{X.F2}, {X.F6}, {PIX}", [texton_sql(p) for p in TCANDS.params], "f6 JOIN im USING (image_id)", TCANDS))
 def q_gen_texton(spark, d):
     """Split histograms of generated texton candidates over the labelled points."""
     return _counted(X.points(spark, d).join(X.images(spark, d), "image_id"), TEXTONS, TCANDS)
@@ -703,7 +799,9 @@ BOX_FAMILY = T.IntegralFamily(4, ilp_dims=1, ilp_prob=0.25, distance=3, radii=(1
 BCANDS = BOX_FAMILY.candidates(6, 3, 11)
 
 
-@query("gen_integral_candidates")
+@query("gen_integral_candidates", _counts_sql(
+    f"{X.F2}, {X.F5}, {X.F6}, {_INT}, {TABS}, sc AS (SELECT vec_id AS image_id, label / 10.0::DOUBLE AS score FROM embeddings)",
+    [box_sql(p) if p["pattern"] >= 0 else "trunc(score * 2147483646)" for p in BCANDS.params], "f6 JOIN tb USING (image_id) JOIN sc USING (image_id)", BCANDS))
 def q_gen_box(spark, d):
     """Split histograms of generated box and image-score candidates over the labelled points."""
     preds = X.scores(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list("score")).alias("preds"))
@@ -718,20 +816,20 @@ def q_level(spark, d):
 
 
 def _model(spark, rows):
-    return M.nodes_frame(spark, rows).withColumn("info_gain", r6("info_gain"))
+    return by_class(M.nodes_frame(spark, rows))
 
 
-@query("train_forest")
+@query("train_forest", trained_sql(20, 10, 4))
 def q_train(spark, d):
     return _model(spark, T.train_forest(X.vectors(spark, d), VECTORS, 3, max_levels=4, num_feat=20, num_thresh=10)[0])
 
 
-@query("train_forest_strict")
+@query("train_forest_strict", trained_sql(20, 10, 3, min_info=0.00002, strict=True))
 def q_strict(spark, d):
-    return _model(spark, T.train_forest(X.vectors(spark, d), VECTORS, 3, max_levels=3, num_feat=20, num_thresh=10, min_info=0.001, strict=True)[0])
+    return _model(spark, T.train_forest(X.vectors(spark, d), VECTORS, 3, max_levels=3, num_feat=20, num_thresh=10, min_info=0.00002, strict=True)[0])
 
 
-@query("train_many")
+@query("train_many", trained_sql(10, 5, 2, trees=3))
 def q_many(spark, d):
     return _model(spark, T.train_forest(X.vectors(spark, d), VECTORS, 3, max_levels=2, num_feat=10, num_thresh=5, num_trees=3)[0])
 
@@ -748,23 +846,57 @@ def q_forest(spark, d):
     return forested(spark, d).withColumn("prob", r6("prob"))
 
 
-def _pixel_tree(spark, d):
-    samples = X.points(spark, d).join(X.images(spark, d), "image_id")
-    rows, cands = T.train_forest(samples, TEXTONS, 10, max_levels=3, num_feat=10, num_thresh=5)
-    return rows, cands
+#: Two hand-made trees over the texton candidates, four classes each.
+_FOUR = lambda hot: [0.7 if k == hot else 0.1 for k in range(4)]
+PIXEL_TREES = [
+    [(0, 0, 0, TCANDS.thresholds[0][1], 0.5), (1, 1, 0, TCANDS.thresholds[1][1], 0.25), (3, _FOUR(0)), (4, _FOUR(1)), (2, 2, 0, TCANDS.thresholds[2][1], 0.25), (5, _FOUR(2)), (6, _FOUR(3))],
+    [(0, 3, 0, TCANDS.thresholds[3][1], 0.5), (1, [0.25, 0.25, 0.4, 0.1]), (2, 0, 0, 130.0, 0.25), (5, _FOUR(1)), (6, [0.0, 0.5, 0.0, 0.5])],
+]
+PIXEL_FOREST = M.node_rows(PIXEL_TREES)
+
+
+def _walk_sql(tree: list[tuple], leaf, n: int = 0) -> str:
+    node = next(x for x in tree if x[0] == n)
+    if len(node) == 2:
+        return leaf(node)
+    return f"(CASE WHEN {texton_sql(TCANDS.params[node[1]])} >= {node[3]!r} THEN {_walk_sql(tree, leaf, 2 * n + 2)} ELSE {_walk_sql(tree, leaf, 2 * n + 1)} END)"
+
 
+_LEAF = {n[1]: n[8] for n in PIXEL_FOREST if n[0] == 0 and n[2]}
+_PROBS = lambda node: "[" + ", ".join(f"{p!r}::DOUBLE" for p in node[1]) + "]"
+DENSE = f"""{PIX}, de AS MATERIALIZED (SELECT image_id, i::INT AS i, j::INT AS j, {_walk_sql(PIXEL_TREES[0], lambda n: str(_LEAF[n[0]]))} AS leaf_id,
+ {_walk_sql(PIXEL_TREES[0], _PROBS)} AS p0, {_walk_sql(PIXEL_TREES[1], _PROBS)} AS p1 FROM im, range(8) a(i), range(8) b(j)),
+dp AS (SELECT image_id, i, j, leaf_id, k::INT AS label, (p0[k + 1] + p1[k + 1]) / 2 AS prob FROM de, range(4) r(k))"""
 
-@query("predict_image_dense")
+
+@query("predict_image_dense", f"WITH {DENSE} SELECT image_id, i, j, leaf_id::INT AS leaf_id, label, round(prob, 6) AS prob FROM dp")
 def q_dense(spark, d):
-    rows, cands = _pixel_tree(spark, d)
-    pixels = T.argmax_rows(T.predict_image_dense(X.images(spark, d), rows, TEXTONS, cands), 10)
-    return pixels.withColumn("probs", F.transform("probs", r6))
+    pixels = T.argmax_rows(T.predict_image_dense(X.images(spark, d), PIXEL_FOREST, TEXTONS, TCANDS), 4)
+    return pixels.select("image_id", "i", "j", "leaf_id", F.posexplode("probs").alias("label", "prob")).withColumn("prob", r6("prob"))
+
 
+_KINDS = ("argmax", "argmax_prob", "all_prob", "spatial")
 
-@query("to_integral_records")
+
+@query("to_integral_records", f"""WITH {X.F2}, {X.F6}, {DENSE},
+be AS (SELECT image_id, i, j, label AS cls, prob FROM (SELECT *, row_number() OVER (PARTITION BY image_id, i, j ORDER BY prob DESC, label) AS r FROM dp) WHERE r = 1),
+ce AS (SELECT 'argmax' AS kind, image_id, i, j, m::INT AS mask, (cls = m)::INT::DOUBLE AS x FROM be, range(4) r(m)
+ UNION ALL SELECT 'argmax_prob', image_id, i, j, m::INT, CASE WHEN cls = m THEN prob ELSE 0 END FROM be, range(4) r(m)
+ UNION ALL SELECT 'all_prob', image_id, i, j, label, prob FROM dp
+ UNION ALL SELECT 'spatial', image_id, i, j, m::INT, (leaf_id = m)::INT::DOUBLE FROM de, range({len(_LEAF)}) r(m)
+ UNION ALL SELECT 'spatial', image_id, i, j, label + {len(_LEAF)}, prob FROM dp),
+pt AS (SELECT image_id, string_agg(label || ':' || i || ':' || j, ',' ORDER BY label, i, j) AS points FROM f6 GROUP BY 1)
+SELECT kind, image_id, mask, round(sum(x), 6) AS last, round(sum(x * (8 - i) * (8 - j)), 6) AS total, coalesce(any_value(points), '') AS points FROM ce LEFT JOIN pt USING (image_id) GROUP BY kind, image_id, mask""")
 def q_records(spark, d):
-    rows, cands = _pixel_tree(spark, d)
-    return T.to_integral_records(X.images(spark, d), X.points(spark, d), rows, TEXTONS, cands, "argmax", 10)
+    """Records of all four types: of each mask the last corner and the sum of its table, and the points of its image."""
+    out = None
+    for kind in _KINDS:
+        one = T.to_integral_records(X.images(spark, d), X.points(spark, d), PIXEL_FOREST, TEXTONS, TCANDS, kind, 4)
+        points = F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["label"], p["i"], p["j"])), ",").alias("points")
+        cells = one.select(F.lit(kind).alias("kind"), "image_id", "masks", points, F.posexplode("tables").alias("at", "s"))
+        sums = cells.groupBy("kind", "image_id", (F.col("at") % F.col("masks")).alias("mask"), "points").agg(F.max_by("s", "at").alias("last"), F.sum("s").alias("total"))
+        out = sums if out is None else out.unionByName(sums)
+    return out.withColumn("last", r6("last")).withColumn("total", r6("total"))
 
 
 @query("train_two_stage")
@@ -805,8 +937,7 @@ def q_initial(spark, d):
 
 @query("superpixel_refine")
 def q_refine(spark, d):
-    raster, seeds, labels = _regions(spark, d)
-    return G.superpixel_refine(labels, checkpoint(G.edge_weights(raster)), seeds, 10)
+    return G.superpixels(*X.gray(spark, d), 10)
 
 
 @query("region_boundaries", f"""WITH {X.F2}, {X.F5} SELECT DISTINCT a.image_id, a.i, a.j, a.cls AS region FROM f5 a JOIN f5 b ON a.image_id = b.image_id
@@ -815,9 +946,10 @@ def q_bounds(spark, d):
     return G.region_boundaries(X.masks(spark, d).withColumnRenamed("cls", "region"))
 
 
-@query("region_hulls")
+@query("region_hulls", f"WITH {HULLS} SELECT image_id, region, k, x, y FROM hu")
 def q_hulls(spark, d):
-    return G.region_hulls(X.masks(spark, d).withColumnRenamed("cls", "region"))
+    hulls = G.region_hulls(X.masks(spark, d).withColumnRenamed("cls", "region"))
+    return hulls.select("image_id", "region", F.posexplode("hull").alias("k", "c")).select("image_id", "region", "k", F.get("c", 0).alias("x"), F.get("c", 1).alias("y"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

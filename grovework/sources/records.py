@@ -7,14 +7,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..operators.model import SCHEMA, nodes_frame
 from ..shared import shared_dir
 
 
-def load_labeled_records(records: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Records with a proper key, and the number of rejects by reason."""
-    bad = F.when(F.col(key).isNull(), "null").when(F.trim(key) == "", "empty")
+def load_labeled_records(spark: SparkSession, path: str, key: str = "key", columns: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Records of the Parquet files at `path` with a proper key, and the number of rejects by reason.
+
+    The files must have the columns named; keys that aren't strings are rejects
+    (reason 'type'), as are null and blank ones ('null', 'empty').
+    """
+    records = spark.read.parquet(path)
+    missing = [c for c in (key, *columns) if c not in records.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    if not isinstance(records.schema[key].dataType, StringType):
+        bad = F.lit("type")
+    else:
+        bad = F.when(F.col(key).isNull(), "null").when(F.trim(key) == "", "empty")
     return records.where(bad.isNull()), records.where(bad.isNotNull()).groupBy(bad.alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -31,17 +43,26 @@ def select_classifiers(models: DataFrame, name: str, wanted: Sequence[str] | Non
     return models if wanted is None else models.where(F.col(name).isin(list(wanted)))
 
 
-def save_model(spark: SparkSession, nodes: list[tuple], path: str) -> None:
-    nodes_frame(spark, nodes).write.mode("overwrite").partitionBy("tree_id").parquet(path)
+def save_model(spark: SparkSession, nodes: list[tuple], path: str, images: DataFrame | None = None) -> None:
+    """Nodes in files by tree, each with its level and, where `images` (tree_id, node_id, num_images) tells, its images."""
+    frame = nodes_frame(spark, nodes).withColumn("level", F.floor(F.log2(F.col("node_id") + 1)).cast("int"))
+    if images is None:
+        frame = frame.withColumn("num_images", F.lit(None).cast("long"))
+    else:
+        frame = frame.join(images, ["tree_id", "node_id"], "left").withColumn("num_images", F.coalesce("num_images", F.lit(0).cast("long")))
+    frame.write.mode("overwrite").partitionBy("tree_id").parquet(path)
 
 
 def load_model(spark: SparkSession, path: str) -> DataFrame:
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    return spark.read.schema(SCHEMA).parquet(path).select(*names)
+    """The nodes that save_model has written: model.SCHEMA, level, num_images."""
+    schema = f"{SCHEMA}, level int, num_images long"
+    return spark.read.schema(schema).parquet(path).select(*[c.split()[0] for c in schema.split(", ")])
 
 
-def write_predictions(predictions: DataFrame, path: str) -> None:
-    predictions.write.partitionBy("label").parquet(path)
+def write_predictions(predictions: DataFrame, path: str, truth: DataFrame | None = None, keys: Sequence[str] = ("image_id", "i", "j")) -> None:
+    """Predictions (keys, label and what else they have: prob, probs, leaf_id) in files by label, with the true class where `truth` (keys, truth) has it."""
+    rows = predictions if truth is None else predictions.join(truth, list(keys), "left")
+    rows.write.partitionBy("label").parquet(path)
 
 
 def export_segments_json(hulls: DataFrame, probs: DataFrame) -> DataFrame:

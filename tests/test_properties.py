@@ -101,7 +101,7 @@ def test_saved_model_is_the_same(spark, tmp_path):
 
 
 def test_dense_scores_equal_routed_scores(spark, sf_dir):
-    rows_, cands = Q._pixel_tree(spark, sf_dir)
+    rows_, cands = T.train_forest(X.points(spark, sf_dir).join(X.images(spark, sf_dir), "image_id"), Q.TEXTONS, 10, max_levels=3, num_feat=10, num_thresh=5)
     dense = T.argmax_rows(T.predict_image_dense(X.images(spark, sf_dir), rows_, Q.TEXTONS, cands), 10)
     samples = X.points(spark, sf_dir).join(X.images(spark, sf_dir), "image_id")
     routed = T.score(samples, rows_, Q.TEXTONS.values(cands), ["image_id", "i", "j"])
@@ -151,3 +151,87 @@ def test_later_seed_wins(spark):
 def test_hull_of_a_square(spark):
     labels = spark.createDataFrame([(1, i, j, 5) for i in range(3) for j in range(3)], "image_id long, i int, j int, region int")
     assert G.region_hulls(labels).first()["hull"] == [[0, 0], [2, 0], [2, 2], [0, 2]]
+
+
+def test_whole_images_refine_as_columns_do(spark, sf_dir):
+    raster, seeds, labels = Q._regions(spark, sf_dir)
+    weights = G.edge_weights(raster)
+    few = lambda df: df.where("image_id <= 3")
+    args = (few(labels), few(weights), few(seeds), 10)
+    assert rows(G.superpixel_refine(*args)) == rows(G.refine_by_columns(*args).select("image_id", "i", "j", "region"))
+
+
+def test_refinement_of_odd_images(spark):
+    """One row, one pixel, no seeds, no weights."""
+    labels = spark.createDataFrame([(1, 0, j, j // 2) for j in range(5)] + [(2, 0, 0, 7)], "image_id long, i int, j int, region int")
+    weights = spark.createDataFrame([(1, 0, j, "left", 3) for j in range(1, 5)], "image_id long, i int, j int, dir string, w int")
+    seeds = spark.createDataFrame([(1, 0, 0, 0), (1, 1, 0, 2)], "image_id long, seed int, i int, j int")
+    got, want = (f(labels, weights, seeds, 4) for f in (G.superpixel_refine, G.refine_by_columns))
+    assert rows(got) == rows(want.select("image_id", "i", "j", "region"))
+    assert G.superpixel_refine(labels.limit(0), weights, seeds, 4).count() == 0
+
+
+def test_superpixels_start_from_moved_seeds(spark, sf_dir):
+    raster, shown = X.gray(spark, sf_dir)
+    raster, shown = raster.where("image_id <= 2"), shown.where("image_id <= 2")
+    seeds = G.seed_refine(G.place_seeds(shown, 10), raster, shown, 10)
+    assert rows(seeds) != rows(G.place_seeds(shown, 10))
+    assert rows(G.superpixels(raster, shown, 10, sweeps=0)) == rows(G.initial_labels(seeds, shown, 10))
+
+
+def test_boundaries_at_a_scale(spark):
+    shown = spark.createDataFrame([(1, 8, 8)], "image_id long, height int, width int")
+    labels = spark.createDataFrame([(1, i, j, int(j >= 4)) for i in range(8) for j in range(8)], "image_id long, i int, j int, region int")
+    assert {(r["j"], r["region"]) for r in G.region_boundaries(labels).collect()} == {(3, 0), (4, 1)}
+    assert {(r["i"], r["j"], r["region"]) for r in G.region_boundaries(labels, 0.5, shown).collect()} == {(i, j, r) for i in (0, 2, 4, 6) for j, r in ((2, 0), (4, 1))}
+
+
+def test_models_are_saved_level_by_level(spark, sf_dir, tmp_path):
+    nodes, _ = T.train_forest(X.vectors(spark, sf_dir), Q.VECTORS, 3, max_levels=2, num_feat=6, num_thresh=4, num_trees=2, save_to=str(tmp_path))
+    orders = X.vectors(spark, sf_dir).select("image_id").distinct().count()
+    for level in range(3):
+        saved = IO.load_model(spark, f"{tmp_path}/level={level}").collect()
+        assert {(r["tree_id"], r["node_id"]) for r in saved} == {(n[0], n[1]) for n in nodes if n[1] + 1 < 2 ** (level + 2)}
+        assert all(r["num_images"] == orders for r in saved if r["node_id"] == 0)
+        assert all(r["level"] == (r["node_id"] + 1).bit_length() - 1 and 0 < r["num_images"] <= orders for r in saved)
+
+
+def test_families_without_a_column_form(spark, sf_dir):
+    class Halves(T.FeatureFamily):
+        columns = ("features",)
+
+        def candidates(self, num_feat, num_thresh, seed):
+            return Q.VECTORS.candidates(num_feat, num_thresh, seed)
+
+        def value_np(self, batch, params):
+            return batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)[:, params["dim"]]
+
+    kw = {"max_levels": 2, "num_feat": 6, "num_thresh": 4}
+    assert T.train_forest(X.vectors(spark, sf_dir), Halves(), 3, **kw)[0] == T.train_forest(X.vectors(spark, sf_dir), Q.VECTORS, 3, **kw)[0]
+    p = {"dim": 5, "kind": 2}
+    assert X.vectors(spark, sf_dir).where(Q.VECTORS.test(p, 1.0)).count() == X.vectors(spark, sf_dir).where("features[5] = 1.0").count()
+
+
+def test_levels_equal_the_built_in_plan(spark, sf_dir):
+    """The root by routing in batches, and by the table of values."""
+    valued = Q.valued(spark, sf_dir)
+    best, hist = T.train_level(valued, Q.CANDS)
+    bins = T.level_bins(valued, Q.CANDS, {}, [(0, 0)], 0)
+    assert rows(H.split_histograms(bins, Q.CANDS.frame(spark), T.KEYS)) == rows(hist) and best.count() == 1
+
+
+def test_shares_have_four_digits(spark):
+    xs = [0.0, 1.0, 0.5, 1 / 3, 2 / 3, 0.99996, 0.00012345678, 0.04, 0.100049]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(M.significant(F.col("x"))).collect()]
+    assert got == ["%.4g" % x for x in xs]
+
+
+def test_bad_records_are_counted(spark, tmp_path):
+    spark.createDataFrame([("a", 1), ("", 2), (None, 3), (" ", 4)], "key string, x int").write.parquet(str(tmp_path / "a"))
+    kept, rejects = IO.load_labeled_records(spark, str(tmp_path / "a"), columns=["x"])
+    assert rows(kept) == [("a", 1)] and rows(rejects) == [("empty", 2), ("null", 1)]
+    spark.createDataFrame([(7, 1)], "key int, x int").write.parquet(str(tmp_path / "b"))
+    kept, rejects = IO.load_labeled_records(spark, str(tmp_path / "b"))
+    assert kept.count() == 0 and rows(rejects) == [("type", 1)]
+    with pytest.raises(ValueError):
+        IO.load_labeled_records(spark, str(tmp_path / "b"), columns=["pixels"])
