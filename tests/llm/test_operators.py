@@ -771,3 +771,33 @@ def test_shards_are_even_and_weighted(spark):
     assert all(r["top"] == r["n"] - 1 and r["d"] == r["n"] for r in got)
     even = sharding.assign_shards(spark.range(40_000), "id", [1.0] * 40).groupBy("shard").count().collect()
     assert len(even) == 40 and all(800 < r["count"] < 1200 for r in even)
+
+
+# names and ties
+
+
+def test_operators_take_tables_with_names_of_their_own(spark, some):
+    """Columns that operators make themselves are the tables' own here."""
+    names = ["h", "pos", "at", "text_hash", "node", "fps", "base", "tested", "blob", "held", "chunk", "row", "draw", "lang_pred", "found", "shard", "id", "e"]
+    extra = lambda df: df.select("*", *[F.lit("mine").alias(n) for n in names if n not in df.columns])
+    bench = extra(spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet"))
+    few = some.where("doc_id < 60")
+    for run in (
+        lambda d: decontaminate.contaminated(d, bench), simhash.near_duplicates, secret_scan.find_secrets, substring_dedup.remove_repeats, mixing.mix_documents,
+        sharding.shard_documents, lambda d: language.identify(d, language.fit(d)).select("doc_id", "lang_pred"),
+    ):
+        assert sorted(map(repr, run(extra(few)).collect())) == sorted(map(repr, run(few).collect()))
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "vec_id long, embedding array<double>")
+    assert sorted(neighbours.nearest(extra(vectors)).collect()) == sorted(neighbours.nearest(vectors).collect())
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "x" * 200_000)], "conv_id long, turn long, role string, text string")
+    got = chat.digest_turns(chat.format_turns(turns.withColumn("piece", F.lit(1)))).collect()
+    assert got == chat.digest_turns(chat.format_turns(turns, context=0)).collect() and got[0]["loss_chars"] == 200_000
+
+
+def test_equal_overlaps_and_secrets(spark):
+    """Ties: one item at two places of a document, items of equal tokens, one secret twice."""
+    bench = spark.createDataFrame([(4, ITEM), (3, ITEM.upper()), (9, ITEM + " more")], "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.contaminated(frame(spark, [(1, f"{ITEM} and {ITEM}")]), bench).collect()}
+    assert {(r[0], r[1], r[4]) for r in got} == {(1, 3, 0), (1, 9, 0)}
+    found = secret_scan.find_secrets(frame(spark, [(1, f"{KEY}{KEY[::-1]} {KEY}{KEY[::-1]}")])).first()["added"]
+    assert [r["end"] - r["start"] for r in found] == [2 * len(KEY)] * 2
