@@ -18,8 +18,9 @@ KEPT, REVERSE, ROUNDS = 48, 64, 9
 SETTLED = 0.02
 #: Vectors of a random first group; centres whose neighbourhoods one task joins at a time.
 FIRST_GROUP, BLOCK_CENTRES = 128, 4096
-#: Nodes a query expands in a hop, and hops at most; a hop that renews less than this share of the lists is the last.
-EXPANDED, HOPS, FOUND = 16, 12, 0.001
+#: A query's list is so many times the binary logarithm of the table, and expands a quarter of it in a hop; hops at most;
+#: a hop that renews less than this share of the lists is the last.
+BEAM, HOPS, FOUND = 8, 3, 0.001
 #: Queries that meet all rows at a time in an exact search.
 QUERY_BLOCK = 4096
 NEVER = float("-inf")
@@ -251,17 +252,20 @@ def build_graph(nodes: DataFrame, kept: int = KEPT, reverse: int = REVERSE, roun
     return state
 
 
-def search_graph(state: DataFrame, queries: DataFrame, kept: int = KEPT, hops: int = HOPS) -> DataFrame:
+def search_graph(state: DataFrame, queries: DataFrame, kept: int | None = None, hops: int = HOPS) -> DataFrame:
     """Greedy search from each query's own node (column id): its list after expanding its best nodes' neighbours.
 
-    Each hop expands the EXPANDED nearest nodes not expanded before.  Hops go on
-    until one renews less than a share FOUND of the lists, `hops` at most: the
-    larger the table, the more it takes to get near.
+    The list holds `kept` nodes, by default BEAM for each doubling of the table
+    (KEPT at least): the larger it is, the wider a search must be to miss as
+    little.  Each hop expands the nearest quarter of as many not expanded before,
+    until one renews less than a share FOUND of the lists, `hops` at most.
     """
-    blocks = max(partitions(state), math.ceil(state.count() / BLOCK_CENTRES))
+    n = state.count()
+    blocks = max(partitions(state), math.ceil(n / BLOCK_CENTRES))
+    kept = max(KEPT, BEAM * math.ceil(math.log2(n + 1))) if kept is None else kept
     beam = state.join(queries, "id", "left_semi").withColumn("done", F.array().cast("array<long>"))
     for _ in range(hops):
-        beam = beam.withColumn("todo", F.slice(F.array_except("nbrs", "done"), 1, EXPANDED))
+        beam = beam.withColumn("todo", F.slice(F.array_except("nbrs", "done"), 1, max(1, kept // 4)))
         front = beam.select(F.col("id").alias("centre"), F.explode("todo").alias("f"))
         reached = front.join(state.select(F.col("id").alias("f"), "nbrs"), "f").select("centre", F.explode("nbrs").alias("member"))
         pairs = reached.unionByName(beam.select(F.col("id").alias("centre"), F.col("id").alias("member")))
