@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, mixing, neighbours, periodic, scoring, secret_scan, sharding, simhash, substring_dedup
+from . import chat, decontaminate, language, mixing, neighbours, periodic, scoring, secret_scan, sharding, simhash, spelling, substring_dedup
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_mixing": mixing.op8_mixing,
         "op9_scoring": scoring.op9_scoring,
         "op10_sharding": sharding.op10_sharding,
+        "op11_spelling": spelling.op11_spelling,
         "op12_periodic": periodic.op12_periodic,
     }
 
@@ -28,5 +29,6 @@ def oracle_sql():
         "op6_chat": chat.OP6_SQL,
         "op8_mixing": mixing.OP8_SQL,
         "op10_sharding": sharding.OP10_SQL,
+        "op11_spelling": spelling.OP11_SQL,
         "op12_periodic": periodic.OP12_SQL,
     }
