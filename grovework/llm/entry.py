@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, mixing, neighbours, periodic, scoring, secret_scan, sharding, simhash, spelling, substring_dedup
+from . import chat, decontaminate, jaccard, language, mixing, neighbours, periodic, scoring, secret_scan, sharding, simhash, spelling, substring_dedup
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op10_sharding": sharding.op10_sharding,
         "op11_spelling": spelling.op11_spelling,
         "op12_periodic": periodic.op12_periodic,
+        "op13_jaccard": jaccard.op13_jaccard,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql():
         "op10_sharding": sharding.OP10_SQL,
         "op11_spelling": spelling.OP11_SQL,
         "op12_periodic": periodic.OP12_SQL,
+        "op13_jaccard": jaccard.OP13_SQL,
     }
