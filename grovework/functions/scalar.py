@@ -44,6 +44,12 @@ def box_edges(i: Column, j: Column, p: dict[str, Column], height: Column, width:
     }
 
 
+def inner_edges(lo: Column, hi: Column) -> tuple[Column, Column, Column]:
+    """Where the first and the second third of a side end, and its half: whole numbers, rounded down."""
+    d = hi - lo
+    return tuple((lo + F.floor(d * k / n)).cast("int") for k, n in ((1, 3), (2, 3), (1, 2)))
+
+
 def integral_value(pattern: Column, e: dict[str, Column], at: Callable[[Column, Column], Column]) -> Column:
     """Box feature of a prefix-sum table, scaled to an integer; 0 for a box without area.
 
@@ -53,9 +59,8 @@ def integral_value(pattern: Column, e: dict[str, Column], at: Callable[[Column,
     """
     y0, y1, x0, x1 = e["y0"], e["y1"], e["x0"], e["x1"]
     dy, dx = y1 - y0, x1 - x0
-    part = lambda a, d, n, k: (a + F.floor(d * k / n)).cast("int")
-    ya, yb, ym = part(y0, dy, 3, 1), (y0 + 2 * F.floor(dy / 3)).cast("int"), part(y0, dy, 2, 1)
-    xa, xb, xm = part(x0, dx, 3, 1), (x0 + 2 * F.floor(dx / 3)).cast("int"), part(x0, dx, 2, 1)
+    ya, yb, ym = inner_edges(y0, y1)
+    xa, xb, xm = inner_edges(x0, x1)
 
     def box(a: Column, b: Column, c: Column, d: Column) -> Column:
         return at(c, d) - at(a, d) - at(c, b) + at(a, b)

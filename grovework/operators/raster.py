@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import INTEGRAL_SCALE, box_edges, integral_value
+from ..functions.scalar import INTEGRAL_SCALE, box_edges, inner_edges, integral_value
 
 
 def _integrate(long: DataFrame) -> DataFrame:
@@ -94,13 +94,10 @@ def box_corner_lookup(points: DataFrame, integrals: DataFrame, pattern: int, par
     """
     e = box_edges(F.col("i"), F.col("j"), {k: F.lit(v) for k, v in params.items() if k != "mask"}, height, width)
     at = points.select(*keys, "image_id", *[c.alias(n) for n, c in e.items()])
-    dy, dx = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
-    at = (
-        at.withColumn("ya", (F.col("y0") + F.floor(dy / 3)).cast("int")).withColumn("yb", (F.col("y0") + 2 * F.floor(dy / 3)).cast("int"))
-        .withColumn("ym", (F.col("y0") + F.floor(dy / 2)).cast("int")).withColumn("xa", (F.col("x0") + F.floor(dx / 3)).cast("int"))
-        .withColumn("xb", (F.col("x0") + 2 * F.floor(dx / 3)).cast("int")).withColumn("xm", (F.col("x0") + F.floor(dx / 2)).cast("int"))
-        .withColumn("area", dy * dx)
-    )
+    for n in "yx":
+        for m, c in zip("abm", inner_edges(F.col(f"{n}0"), F.col(f"{n}1")), strict=True):
+            at = at.withColumn(n + m, c)
+    at = at.withColumn("area", (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0")))
     signed: dict[tuple[str, str], int] = {}
     for sign, a, b, c, d in BOXES[pattern]:
         for s, y, x in ((sign, c, d), (-sign, a, d), (-sign, c, b), (sign, a, b)):

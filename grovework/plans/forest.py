@@ -211,8 +211,8 @@ def box_values(s: np.ndarray, i: np.ndarray, j: np.ndarray, p: dict, preds: list
     y0, y1 = (np.clip(i + p["uy"] + d, 0, h - 1) for d in (-p["bh"], p["bh"] + 1))
     x0, x1 = (np.clip(j + p["ux"] + d, 0, w - 1) for d in (-p["bw"], p["bw"] + 1))
     dy, dx = y1 - y0, x1 - x0
-    edge = {"y0": y0, "y1": y1, "x0": x0, "x1": x1, "ya": y0 + dy // 3, "yb": y0 + 2 * (dy // 3), "ym": y0 + dy // 2}
-    edge |= {"xa": x0 + dx // 3, "xb": x0 + 2 * (dx // 3), "xm": x0 + dx // 2}
+    edge = {"y0": y0, "y1": y1, "x0": x0, "x1": x1, "ya": y0 + dy // 3, "yb": y0 + 2 * dy // 3, "ym": y0 + dy // 2}
+    edge |= {"xa": x0 + dx // 3, "xb": x0 + 2 * dx // 3, "xm": x0 + dx // 2}
     out = np.zeros(len(i))
     for sign, a, b, c, d in BOXES[p["pattern"]]:
         a, b, c, d = edge[a], edge[b], edge[c], edge[d]

@@ -159,18 +159,20 @@ def texton_sql(p: dict) -> str:
 
 
 def box_sql(p: dict) -> str:
-    """A box feature's value at (i, j), from `tab` of 9 x 9 x 4 sums; its edges stand in a struct."""
-    def clamp(e: str) -> str:
-        return f"greatest(0, least(8, {e}))"
-
-    y0, y1, x0, x1 = (clamp(f"i + {p['uy'] - p['bh']}"), clamp(f"i + {p['uy'] + p['bh'] + 1}"), clamp(f"j + {p['ux'] - p['bw']}"), clamp(f"j + {p['ux'] + p['bw'] + 1}"))
-    edge = {"y0": y0, "y1": y1, "x0": x0, "x1": x1}
-    for n, lo, hi in (("y", y0, y1), ("x", x0, x1)):
-        edge |= {f"{n}a": f"({lo} + ({hi} - {lo}) // 3)", f"{n}b": f"({lo} + 2 * (({hi} - {lo}) // 3))", f"{n}m": f"({lo} + ({hi} - {lo}) // 2)"}
-    at = lambda y, x: f"tab[(({edge[y]} * 9 + {edge[x]}) * 4 + {p['mask']} + 1)::INT]"
+    """A box feature's value from `tab` of 9 x 9 x 4 sums and the edges that edges_sql gives its place in `e`."""
+    at = lambda y, x: f"tab[({y} * 9 + {x}) * 4 + {p['mask'] + 1}]"
     out = " + ".join(f"({sign}) * ({at(c, d)} - {at(a, d)} - {at(c, b)} + {at(a, b)})" for sign, a, b, c, d in R.BOXES[p["pattern"]])
-    area = f"(({y1} - {y0}) * ({x1} - {x0}))"
-    return f"(CASE WHEN {area} > 0 THEN trunc(({out}) / {area} * 2147483646)::BIGINT ELSE 0 END)"
+    area = "((y1 - y0) * (x1 - x0))"
+    return f"CASE WHEN {area} > 0 THEN trunc(({out}) / {area} * 2147483646)::BIGINT ELSE 0 END"
+
+
+def edges_sql(source: str, p: dict) -> str:
+    """The rows of `source` with the edges of a box as columns: sides cut into thirds and halves, each rounded down once."""
+    ends = ", ".join(
+        f"greatest(0, least(8, {at} + {p[u] + d}))::INT AS {n}" for n, at, u, d in (("y0", "i", "uy", -p["bh"]), ("y1", "i", "uy", p["bh"] + 1), ("x0", "j", "ux", -p["bw"]), ("x1", "j", "ux", p["bw"] + 1))
+    )
+    inner = ", ".join(f"{n}0 + {k} * ({n}1 - {n}0) // {m} AS {n}{c}" for n in "yx" for c, k, m in (("a", 1, 3), ("b", 2, 3), ("m", 1, 2)))
+    return f"(SELECT *, {inner} FROM (SELECT *, {ends} FROM {source}))"
 
 
 # -- sources ---------------------------------------------------------------------------------------
@@ -421,16 +423,17 @@ def q_texton_lookup(spark, d):
 
 
 #: Prefix sums of each class of f5, by running sums.
-_INT = """pm AS (SELECT image_id, m::INT AS mask, i, j, (cls = m)::INT AS x FROM f5, range(4) a(m)),
-pr AS (SELECT image_id, mask, i, j, sum(x) OVER (PARTITION BY image_id, mask, i ORDER BY j) AS x FROM pm),
-pc AS (SELECT image_id, mask, i + 1 AS i, j + 1 AS j, (sum(x) OVER (PARTITION BY image_id, mask, j ORDER BY i))::DOUBLE AS s FROM pr),
-it AS (SELECT * FROM pc UNION ALL SELECT image_id, mask, i, 0, 0 FROM pc WHERE j = 1 UNION ALL SELECT image_id, mask, 0, j, 0 FROM pc WHERE i = 1
+_INT = """pm AS MATERIALIZED (SELECT image_id, m::INT AS mask, i, j, (cls = m)::INT AS x FROM f5, range(4) a(m)),
+pr AS MATERIALIZED (SELECT image_id, mask, i, j, sum(x) OVER (PARTITION BY image_id, mask, i ORDER BY j) AS x FROM pm),
+pc AS MATERIALIZED (SELECT image_id, mask, i + 1 AS i, j + 1 AS j, (sum(x) OVER (PARTITION BY image_id, mask, j ORDER BY i))::DOUBLE AS s FROM pr),
+it AS MATERIALIZED (SELECT * FROM pc UNION ALL SELECT image_id, mask, i, 0, 0 FROM pc WHERE j = 1 UNION ALL SELECT image_id, mask, 0, j, 0 FROM pc WHERE i = 1
  UNION ALL SELECT image_id, mask, 0, 0, 0 FROM pc WHERE i = 1 AND j = 1)"""
 BOX = {"mask": 1, "uy": 1, "ux": -1, "bh": 2, "bw": 1}
 
 
 def _box_sql(pattern: int) -> str:
-    return f"WITH {X.F2}, {X.F5}, {X.F6}, {_INT}, {TABS} SELECT image_id, i, j, {box_sql(BOX | {'pattern': pattern})} AS value FROM f6 JOIN tb USING (image_id)"
+    at = edges_sql("f6 JOIN tb USING (image_id)", BOX)
+    return f"WITH {X.F2}, {X.F5}, {X.F6}, {_INT}, {TABS} SELECT image_id, i, j, {box_sql(BOX | {'pattern': pattern})} AS value FROM {at}"
 
 
 @query("box_corner_lookup", _box_sql(4))
@@ -775,11 +778,11 @@ TEXTONS = T.TextonFamily(3)
 TCANDS = TEXTONS.candidates(4, 3, 7)
 
 
-def _counts_sql(with_: str, values: list[str], source: str, cands) -> str:
-    """Split histograms of candidates whose features are SQL expressions over `source`."""
+def _counts_sql(with_: str, values: list[str], cands) -> str:
+    """Split histograms of candidates; values: for each feature what its values are selected from, as label and v."""
     rows = values_sql(cands.rows(), "feat, kind, rnk, feat_ind, t")
-    each = ", ".join(f"{v}::DOUBLE" for v in values)
-    return f"""WITH {with_}, tv AS (SELECT label, unnest([{each}]) AS v, unnest(range({len(values)})) AS feat FROM {source})
+    each = " UNION ALL ".join(f"SELECT {f} AS feat, label, v::DOUBLE AS v FROM ({v})" for f, v in enumerate(values))
+    return f"""WITH {with_}, tv AS ({each})
 SELECT feat_ind, label, sum((tv.v < c.t)::INT)::BIGINT AS ql, sum((tv.v >= c.t)::INT)::BIGINT AS qr FROM tv JOIN (SELECT * FROM {rows}) c USING (feat) GROUP BY ALL"""
 
 
@@ -789,7 +792,7 @@ def _counted(samples: DataFrame, family, cands) -> DataFrame:
     return H.split_histograms(bins, cands.frame(samples.sparkSession), T.KEYS).select("feat_ind", "label", "ql", "qr")
 
 
-@query("gen_texton_candidates", _counts_sql(f"{X.F2}, {X.F6}, {PIX}", [texton_sql(p) for p in TCANDS.params], "f6 JOIN im USING (image_id)", TCANDS))
+@query("gen_texton_candidates", _counts_sql(f"{X.F2}, {X.F6}, {PIX}", [f"SELECT label, {texton_sql(p)} AS v FROM f6 JOIN im USING (image_id)" for p in TCANDS.params], TCANDS))
 def q_gen_texton(spark, d):
     """Split histograms of generated texton candidates over the labelled points."""
     return _counted(X.points(spark, d).join(X.images(spark, d), "image_id"), TEXTONS, TCANDS)
@@ -799,9 +802,13 @@ BOX_FAMILY = T.IntegralFamily(4, ilp_dims=1, ilp_prob=0.25, distance=3, radii=(1
 BCANDS = BOX_FAMILY.candidates(6, 3, 11)
 
 
+#: Points with their image's table and score.
+_BOXED = f"""{X.F2}, {X.F5}, {X.F6}, {_INT}, {TABS}, bp AS MATERIALIZED (SELECT f6.image_id, f6.label, i, j, tab, e.label / 10.0::DOUBLE AS score
+ FROM f6 JOIN tb USING (image_id) JOIN embeddings e ON e.vec_id = f6.image_id)"""
+
+
 @query("gen_integral_candidates", _counts_sql(
-    f"{X.F2}, {X.F5}, {X.F6}, {_INT}, {TABS}, sc AS (SELECT vec_id AS image_id, label / 10.0::DOUBLE AS score FROM embeddings)",
-    [box_sql(p) if p["pattern"] >= 0 else "trunc(score * 2147483646)" for p in BCANDS.params], "f6 JOIN tb USING (image_id) JOIN sc USING (image_id)", BCANDS))
+    _BOXED, [f"SELECT label, {box_sql(p)} AS v FROM {edges_sql('bp', p)}" if p["pattern"] >= 0 else "SELECT label, trunc(score * 2147483646) AS v FROM bp" for p in BCANDS.params], BCANDS))
 def q_gen_box(spark, d):
     """Split histograms of generated box and image-score candidates over the labelled points."""
     preds = X.scores(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list("score")).alias("preds"))

@@ -235,3 +235,21 @@ def test_bad_records_are_counted(spark, tmp_path):
     assert kept.count() == 0 and rows(rejects) == [("type", 1)]
     with pytest.raises(ValueError):
         IO.load_labeled_records(spark, str(tmp_path / "b"), columns=["pixels"])
+
+
+def test_thirds_of_a_side(spark):
+    """A side of 5 is cut at 1 and 3 (two thirds, 10 / 3, are rounded once); every side up to 61 in whole numbers."""
+    from grovework.functions.scalar import inner_edges
+
+    sides = spark.range(0, 62).select(F.lit(7).alias("lo"), (F.col("id") + 7).cast("int").alias("hi"))
+    got = [tuple(r) for r in sides.select("hi", *inner_edges(F.col("lo"), F.col("hi"))).collect()]
+    assert got[5] == (12, 8, 10, 9)
+    assert got == [(7 + d, 7 + d // 3, 7 + (2 * d) // 3, 7 + d // 2) for d in range(62)]
+
+
+def test_box_of_five_columns():
+    """One row of ones at column 3 of five: with thirds at 1 and 3, pattern 4 (left - middle + right) finds it on the right."""
+    s = np.zeros((6, 6, 1))
+    s[:, 4:, 0] = np.arange(6)[:, None]
+    p = {"pattern": 4, "mask": 0, "uy": 0, "ux": 0, "bh": 2, "bw": 2}
+    assert T.box_values(s, np.array([2]), np.array([2]), p, None)[0] == int(5 / 25 * 2147483646)
