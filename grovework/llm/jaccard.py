@@ -9,12 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, components, partitions, table
-from .simhash import shingles
 
 #: Sets link when SHARE hundredths of their union are shared: at a Jaccard distance of REACH at most.
 SHARE = 80
@@ -33,92 +33,265 @@ def _least(n: int) -> int:
     return -(-SHARE * n // 100)
 
 
+# -- sets ------------------------------------------------------------------------------------------
+
+SHINGLE = 5
+_ODD = np.random.default_rng(SHINGLE).integers(0, 1 << 64, SHINGLE + 2, dtype=np.uint64) | np.uint64(1)
+
+
+class _Words(dict):
+    """64-bit hashes of words, of a million at a time."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 20:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+_hash = _Words().__getitem__
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes; a shorter text is one shingle, one without words has none."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(_hash, words), np.uint64, len(words))
+    k = min(len(words), SHINGLE)
+    out = np.full(len(words) - k + 1, k, np.uint64)
+    for i in range(k):
+        out = out * _ODD[i] + h[i : len(h) - k + 1 + i]
+        out ^= out >> np.uint64(32)
+    out *= _ODD[SHINGLE]
+    return np.unique(out ^ (out >> np.uint64(29)))
+
+
+def _node(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
+
+
+# -- tables of counts by slot, summed over all tasks -------------------------------------------------
+
+SLICE = 1 << 14
+
+
+def _packed(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(slice, packed counts) of the slices that hold any."""
+    pack = zstandard.ZstdCompressor().compress
+    for k, part in enumerate(counts.reshape(-1, min(SLICE, len(counts)))):
+        if part.any():
+            yield k, pack(part.astype(np.uint32).tobytes())
+
+
+def _summed(parts: DataFrame, slots: int) -> np.ndarray:
+    """The sums of what tasks have packed (slice, packed), on the driver: 8 bytes a slot, of a bounded number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        for b in batches:
+            for k, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != now and now is not None:
+                    yield pa.RecordBatch.from_pydict({"slice": pa.array([now], pa.int32()), "packed": [zstandard.ZstdCompressor().compress(total.tobytes())]})
+                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint32).astype(np.int64)
+                now, total = k, part if k != now else total + part
+        if now is not None:
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([now], pa.int32()), "packed": [zstandard.ZstdCompressor().compress(total.tobytes())]})
+
+    dealt = parts.repartition(max(1, min(partitions(parts), slots // SLICE)), "slice").sortWithinPartitions("slice")
+    out = np.zeros((max(1, slots // SLICE), min(SLICE, slots)), np.int64)
+    for k, raw in dealt.mapInArrow(run, "slice int, packed binary").collect():
+        out[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(raw)), np.int64)
+    return out.ravel()
+
+
+def _slots(items: int, each: float, most: int) -> int:
+    return 1 << min(most, max(10, math.ceil(math.log2(items / each + 1))))
+
+
 # -- which sets can be near each other -------------------------------------------------------------
 
 
-def cell_counts(docs: DataFrame) -> np.ndarray:
-    """How often the shingles of each cell occur, all documents counted; at most 2^20 cells, some 64 shingles to one."""
+def sketched(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, text_hash, node, n) of every document, and how often the shingles of each cell occur.
+
+    node is a hash of the set, n its size.  A cell is what shingles have in
+    common in their first bits; there are some 64 shingles to one, and 2^20
+    cells at most.  All documents count.
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(20, max(10, round(math.log2(size / 400 + 1))))
+    cells = _slots(size // 6, 64, 20)
+    shift = np.uint64(65 - cells.bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, n = np.zeros(1 << bits, np.int64), [], 0
+        counts, held, kept = np.zeros(cells, np.int64), [], 0
         for b in batches:
-            for t in b.column(0):
-                held.append(shingles(t.as_buffer().to_pybytes() if t.is_valid else None) >> np.uint64(64 - bits))
-                n += len(held[-1])
-                if n > 1 << 20:
-                    counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
-                    held, n = [], 0
+            nodes, sizes = [], []
+            for t in b.column(2):
+                s = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else None)
+                nodes.append(_node(s))
+                sizes.append(len(s))
+                held.append(s >> shift)
+                kept += len(s)
+                if kept > 1 << 20:
+                    counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=cells)
+                    held, kept = [], 0
+            none = [pa.nulls(b.num_rows, k) for k in (pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *none], names=names)
         if held:
-            counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
-        cell = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(counts[cell])], names=["cell", "n"])
+            counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=cells)
+        for k, raw in _packed(counts):
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([k], pa.int32()), pa.array([raw], pa.binary())], names=names)
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << bits, np.int64)
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out
+    names = ["doc_id", "text_hash", "node", "n", "slice", "packed"]
+    found = checkpoint(docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, node long, n long, slice int, packed binary"))
+    return found.where("slice is null").select(*names[:4]), _summed(found.where("slice is not null").select("slice", "packed"), cells)
 
 
 def ordered(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A set's shingles, those of rare cells first: one order for all sets."""
-    bits = len(counts).bit_length() - 1
-    return found[np.lexsort((found, counts[(found >> np.uint64(64 - bits)).astype(np.int64)]))]
+    return found[np.lexsort((found, counts[(found >> np.uint64(65 - len(counts).bit_length())).astype(np.int64)]))]
 
 
-def keyed(docs: DataFrame, counts: Broadcast) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the set), n (its size), keys of every document.
+def keys(docs: DataFrame, counts: Broadcast) -> DataFrame:
+    """key, node, n, at (the key's place in the set's order) of the sets of all documents.
 
     Sets that link share _least(n) shingles, so at least one is among the first
-    n - _least(n) + 1 of each, in whatever order is common to all: the keys.
+    n - _least(n) + 1 of each, in whatever order is common to all: the keys.  A
+    set that a task has just met again, in a copy, is not given again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for b in batches:
-            nodes, sizes, keys = [], [], []
-            for t in b.column(2):
-                s = shingles(t.as_buffer().to_pybytes() if t.is_valid else None)
-                nodes.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
-                sizes.append(len(s))
-                keys.append(ordered(s, counts.value)[: len(s) - _least(len(s)) + 1].view(np.int64) if len(s) else np.zeros(0, np.int64))
-            ends = pa.array(np.r_[0, np.cumsum([len(k) for k in keys])], pa.int32())
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            cols = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "node", "n", "keys"])
-
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, node long, n long, keys array<long>")
-
-
-def balls(nodes: DataFrame) -> DataFrame:
-    """region, node, keys: the nodes round each pivot, and by which of its keys each is there; nodes: node, keys.
+            nodes, found = [], []
+            for t in b.column(0):
+                s = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else None)
+                node = _node(s)
+                if not len(s) or node in met:
+                    continue
+                if len(met) >= 1 << 17:
+                    met.clear()
+                met.add(node)
+                nodes.append((node, len(s)))
+                found.append(ordered(s, counts.value)[: len(s) - _least(len(s)) + 1].view(np.int64))
+            if nodes:
+                each = np.array([len(f) for f in found])
+                own = np.repeat(np.array(nodes, np.int64), each, axis=0)
+                at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                cols = [pa.array(np.concatenate(found)), pa.array(own[:, 0].copy()), pa.array(own[:, 1].astype(np.int32)), pa.array(at.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "node", "n", "at"])
+
+    return docs.select("text").mapInArrow(run, "key long, node long, n int, at int")
+
+
+#: Of more sets than this that have a key in common, all are kept.
+BUCKET = 64
+
+
+def _viable(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of sets that have a key in common: which could link with another if it were the first they share."""
+    shared = np.minimum((n - at)[:, None], (n - at)[None, :])
+    both = (100 + SHARE) * shared >= SHARE * (n[:, None] + n[None, :])
+    np.fill_diagonal(both, False)
+    return both.any(1)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, n, at) by key and node -> region (the least node of those that have the key), node, key."""
+    held = [np.zeros(0, np.int64) for _ in range(4)]
+    large: tuple[int, int] | None = None  # key and least node of a bucket above BUCKET, whose further rows are passed on
+
+    def given(parts: list[tuple[int, np.ndarray, int]]) -> pa.RecordBatch:
+        region = np.concatenate([np.full(len(node), r) for r, node, _ in parts])
+        key = np.concatenate([np.full(len(node), k) for _, node, k in parts])
+        return pa.RecordBatch.from_arrays([pa.array(region), pa.array(np.concatenate([node for _, node, _ in parts])), pa.array(key)], names=["region", "node", "key"])
+
+    def closed(cols: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, int]]:
+        key, node, n, at = cols
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        for i, m in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+            own = slice(i, i + m)
+            stay = node[own][_viable(n[own], at[own])] if m <= BUCKET else node[own]
+            if len(stay) > 1:
+                yield int(stay[0]), stay, int(key[i])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, b.columns, strict=True)]
+        new = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
+        cols = [c[new] for c in cols]  # copies that several tasks have met
+        parts = []
+        if large is not None:
+            more = int(np.searchsorted(cols[0] != large[0], True)) if (cols[0] != large[0]).any() else len(cols[0])
+            if more:
+                parts.append((large[1], cols[1][:more], large[0]))
+            cols = [c[more:] for c in cols]
+            large = large if not len(cols[0]) else None
+        last = int(np.argmax(cols[0] == cols[0][-1])) if len(cols[0]) else 0
+        parts += closed([c[:last] for c in cols]) if last else []
+        held = [c[last:] for c in cols]
+        if len(held[0]) > BUCKET:
+            large = (int(held[0][0]), int(held[1][0]))
+            parts.append((large[1], held[1], large[0]))
+            held = [h[:0] for h in held]
+        if parts:
+            yield given(parts)
+    parts = list(closed(held)) if len(held[0]) > 1 else []
+    if parts:
+        yield given(parts)
+
+
+def balls(rows: DataFrame) -> DataFrame:
+    """region, node, keys: the sets round each pivot, and by which of its keys each is there; rows: key, node, n, at.
 
     Unrelated sets are all at a distance of 1 or nearly so from each other, and
     so from any pivot: windows of a Voronoi partition of the whole table would
-    hold all of it.  So the first regions are open balls of radius 1: all that
+    hold all of it.  So the first regions are open balls of radius 1: sets that
     have a key are gathered round the least of them, their pivot, whose distance
     to each is below 1, as they share that shingle.  Every two sets that link
-    have a key in common, and with it a ball.
+    have a key in common, the first shingle they share, and with it a ball.
+    Sets whose sizes and places of the key rule that out for all others stay away.
+    """
+    met = rows.repartition(partitions(rows), "key").sortWithinPartitions("key", "node").mapInArrow(_buckets, "region long, node long, key long")
+    return met.groupBy("region", "node").agg(F.collect_set("key").alias("keys"))
+
+
+def candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, hash, packed: the texts of `wanted` (id, hash, distinct), packed, each once, and a few others.
+
+    A table of bits, of 2^24 at most and of eight for each text where that is
+    enough, tells most other texts before anything is sent.
     """
+    slots = _slots(wanted.count(), 1 / 8, 24)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(slots, bool)
+        for b in batches:
+            bits[b.column(0).to_numpy()] = True
+        for k, raw in _packed(bits):
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "packed": pa.array([raw], pa.binary())})
+
+    slot = F.pmod(F.xxhash64("id", "hash"), F.lit(slots))
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_summed(wanted.select(slot).mapInArrow(marked, "slice int, packed binary"), slots) > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, pivot, first = None, None, False
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            out: list[tuple[int, int, int]] = []
-            for k, node in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if k != key:
-                    key, pivot, first = k, node, True
-                    continue
-                if first:
-                    out.append((pivot, pivot, k))
-                    first = False
-                out.append((pivot, node, k))
-            cols = np.array(out, np.int64).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["region", "node", "key"])
+            at = b.column(3).to_numpy()
+            rows = np.flatnonzero((bits.value[at >> 3] >> (7 - (at & 7))) & 1)
+            packed = [pack(b.column(2)[k].as_buffer().to_pybytes()) for k in rows.tolist()]
+            own = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(packed, pa.binary())], names=["id", "hash", "packed"])
+
+    texts = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_hash").alias("hash"), "text")
+    return texts.withColumn("slot", slot).mapInArrow(run, "id long, hash long, packed binary").dropDuplicates(["id", "hash"])
+
 
-    rows = nodes.select(F.explode("keys").alias("key"), "node")
-    met = rows.repartition(partitions(nodes), "key").sortWithinPartitions("key", "node").mapInArrow(run, "region long, node long, key long")
-    return met.groupBy("region", "node").agg(F.collect_list("key").alias("keys"))
+def _opened(packed: bytes) -> np.ndarray:
+    return shingle_set(zstandard.ZstdDecompressor().decompress(packed))
 
 
 # -- one region in a task --------------------------------------------------------------------------
@@ -213,13 +386,13 @@ class Region:
 
 
 def _joined(batches: Iterator[pa.RecordBatch], counts: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Rows (region, part, mixed, own, node, guest, copies, keys, text) by region and part -> a, b, linked: edges, and (node, null, documents it links with)."""
+    """Rows (region, part, mixed, own, node, guest, copies, keys, packed) by region and part -> a, b, linked: edges, and (node, null, documents it links with)."""
     held: list[tuple] = []
 
     def close() -> tuple[list, list, list]:
         _, _, mixed, own, ids, guest, copies, keys, texts = zip(*held, strict=True)
         held.clear()
-        sets = [ordered(shingles(t), counts.value) for t in texts]
+        sets = [ordered(_opened(t), counts.value) for t in texts]
         owned = [np.isin(s, np.array(k, np.int64).view(np.uint64)) for s, k in zip(sets, keys, strict=True)]
         side = np.array(own) if mixed[0] else None
         r = Region(np.array(ids, np.int64), sets, owned, np.array(copies, np.int64), np.array(guest), side)
@@ -249,23 +422,23 @@ def _joined(batches: Iterator[pa.RecordBatch], counts: Broadcast) -> Iterator[pa
 
 
 def _parted(rows: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
-    """Rows (region, volume, node, n, guest, id, hash, keys) in the Voronoi regions of some pivots of each region, `parent` beside them."""
+    """Rows (region, volume, node, n, guest, id, hash, keys, copies) in the Voronoi regions of some pivots of each region, `parent` beside them."""
     chance = F.pmod(F.xxhash64("node", "region", F.lit(turn)), F.lit(1 << 30)) * F.col("members") < F.lit(PIVOTS << 30)
     counted = rows.join(rows.groupBy("region").agg(F.count("*").alias("members")), "region")
     chosen = texts.join(counted.where(chance).select("region", "id", "hash", F.col("node").alias("pivot")), ["id", "hash"])
     # PIVOTS texts for a region, more or less
-    pivots = chosen.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("pivot", "text"))).alias("pivots"))
-    names = ["region", "volume", "node", "n", "guest", "id", "hash", "keys"]
-    met = texts.join(rows, ["id", "hash"]).select(*names, "text").join(pivots, "region")
+    pivots = chosen.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("pivot", "packed"))).alias("pivots"))
+    names = ["region", "volume", "node", "n", "guest", "id", "hash", "keys", "copies"]
+    met = texts.join(rows, ["id", "hash"]).select(*names, "packed").join(pivots, "region")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, found = None, []
         for b in batches:
             take, parent, pivot, visits = [], [], [], []
-            for k, (now, text) in enumerate(zip(b.column(0).to_pylist(), b.column(8), strict=True)):
+            for k, (now, text) in enumerate(zip(b.column(0).to_pylist(), b.column(9), strict=True)):
                 if now != region:
-                    region, found = now, [(p["pivot"], shingles(p["text"].encode())) for p in b.column(9)[k].as_py()]
-                s = shingles(text.as_buffer().to_pybytes())
+                    region, found = now, [(p["pivot"], _opened(p["packed"])) for p in b.column(10)[k].as_py()]
+                s = _opened(text.as_py())
                 shared = np.array([len(np.intersect1d(s, p, assume_unique=True)) for _, p in found])
                 d = 1 - shared / (len(s) + np.array([len(p) for _, p in found]) - shared)
                 home = int(d.argmin())
@@ -274,24 +447,23 @@ def _parted(rows: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
                     parent.append(now)
                     pivot.append(found[j][0])
                     visits.append(j != home)
-            cols = [b.column(k).take(pa.array(take, pa.int64())) for k in range(8)]
+            cols = [b.column(k).take(pa.array(take, pa.int64())) for k in range(9)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(pivot, pa.int64()), pa.array(visits, pa.bool_())], names=[*names, "pivot", "visits"])
 
-    kinds = "region long, volume long, node long, n long, guest boolean, id long, hash long, keys array<long>"
+    kinds = "region long, volume long, node long, n long, guest boolean, id long, hash long, keys array<long>, copies long"
     out = met.mapInArrow(run, f"{kinds}, pivot long, visits boolean")
     out = out.withColumn("guest", F.col("guest") | F.col("visits")).withColumn("parent", F.col("region"))
     return out.withColumn("region", F.xxhash64("region", "pivot")).drop("pivot", "visits")
 
 
 def _regions(rows: DataFrame, texts: DataFrame, turns: int = 6) -> DataFrame:
-    """Rows (region, node, n, guest, id, hash, keys) in regions of REGION_SHINGLES at most, larger ones parted, with part, mixed, own.
+    """Rows (region, node, n, guest, id, hash, keys, copies) in regions of REGION_SHINGLES at most, larger ones parted, with part, mixed, own.
 
     Regions are parted round pivots again and again, as long as that leaves less
     to compare.  What stays too large is cut into parts by node, and every two
     parts meet as a region of their own.
     """
-    sizes = rows.groupBy("region").agg(F.sum("n").alias("volume"))
-    rows = checkpoint(rows.join(sizes, "region"))
+    rows = rows.join(rows.groupBy("region").agg(F.sum("n").alias("volume")), "region")
     large = F.col("volume") > REGION_SHINGLES
     done, open_ = rows.where(~large), rows.where(large)
     for turn in range(turns):
@@ -329,19 +501,17 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    counts = spark.sparkContext.broadcast(cell_counts(source))
-    sets = checkpoint(keyed(source, counts))
+    sets, cells = sketched(source)
+    counts = spark.sparkContext.broadcast(cells)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     some = sets.where("n > 0")
-    nodes = some.groupBy("node").agg(F.min("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.min(order).alias("least"), F.min("keys").alias("keys"))
-    nodes = checkpoint(nodes)
+    nodes = checkpoint(some.groupBy("node").agg(F.min("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.min(order).alias("least")))
     where = [F.coalesce("least.doc_id", F.lit(NO_ID)).alias("id"), F.col("least.text_hash").alias("hash")]
-    about = nodes.select("node", "n", "copies", *where)
-    rows = balls(nodes.select("node", "keys")).join(about, "node").withColumn("guest", F.lit(False))
-    texts = source.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_hash").alias("hash"), "text").where("text is not null").dropDuplicates(["id", "hash"])
-    dealt = _regions(rows.select("region", "node", "n", "guest", "id", "hash", "keys"), texts)
-    names = ["region", "part", "mixed", "own", "node", "guest", "copies", "keys", "text"]
-    met = texts.join(dealt.join(about.select("node", "copies"), "node"), ["id", "hash"]).select(*[n for n in names if n != "text"], F.col("text").cast("binary").alias("text"))
+    rows = balls(keys(source, counts)).join(nodes.select("node", "n", "copies", *where), "node")
+    rows = checkpoint(rows.select("region", "node", "n", F.lit(False).alias("guest"), "id", "hash", "keys", "copies"))
+    texts = candidate_texts(source, rows.select("id", "hash").distinct())
+    dealt = _regions(rows, texts)
+    met = texts.join(dealt, ["id", "hash"]).select("region", "part", "mixed", "own", "node", "guest", "copies", "keys", "packed")
     parts = max(partitions(docs), math.ceil((dealt.agg(F.sum("n")).first()[0] or 0) / REGION_SHINGLES))
     run = met.repartition(parts, "region", "part").sortWithinPartitions("region", "part").mapInArrow(lambda it: _joined(it, counts), "a long, b long, linked long")
     found = checkpoint(run)

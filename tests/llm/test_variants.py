@@ -258,7 +258,7 @@ def test_pivots_part_distinct_clusters(spark, monkeypatch):
             w = ["all", "of", "them", "share", "this", *base]
             w[-1 - draw.randrange(3)] = f"y{k}"
             rows.append((100 * c + k, " ".join(w)))
-    monkeypatch.setattr(jaccard, "cell_counts", lambda docs: np.zeros(1024, np.int64))
+    monkeypatch.setattr(jaccard, "sketched", lambda docs, own=jaccard.sketched: (own(docs)[0], np.zeros(1024, np.int64)))
     seen = []
     parted = jaccard._parted
     monkeypatch.setattr(jaccard, "_parted", lambda *a: seen.append(1) or parted(*a))
