@@ -1,7 +1,9 @@
 """Forests as tables of nodes: routing, scoring, merging, reports.
 
 nodes: tree_id, node_id (heap numbers: children of n are 2n+1 and 2n+2),
-is_leaf, dim, kind, t, info_gain, probs, leaf_id.
+is_leaf, dim, kind, t, info_gain, probs, leaf_id, family, params.  A split
+holds its own feature (the name of its family and its parameters), so that a
+model can be scored, and forests merged, without the candidates of a training run.
 """
 
 from __future__ import annotations
@@ -13,11 +15,16 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import vector_test
 
-SCHEMA = "tree_id int, node_id long, is_leaf boolean, dim int, kind int, t double, info_gain double, probs array<double>, leaf_id int"
+SCHEMA = "tree_id int, node_id long, is_leaf boolean, dim int, kind int, t double, info_gain double, probs array<double>, leaf_id int, family string, params map<string,int>"
 
+COLUMNS = tuple(c.split()[0] for c in SCHEMA.split(", "))
 
-def node_rows(trees: Sequence[Sequence[tuple]]) -> list[tuple]:
-    """Rows of SCHEMA from trees given as (node_id, dim, kind, t, gain) or (node_id, probs); leaves number in pre-order."""
+
+def node_rows(trees: Sequence[Sequence[tuple]], family: str = "vector", params: Sequence[dict] | None = None) -> list[tuple]:
+    """Rows of SCHEMA from trees given as (node_id, dim, kind, t, gain) or (node_id, probs); leaves number in pre-order.
+
+    params: parameters of the features that dims number; as a rule these are components of vectors.
+    """
     rows = []
     for tree_id, tree in enumerate(trees):
         by_id = {n[0]: n for n in tree}
@@ -34,9 +41,10 @@ def node_rows(trees: Sequence[Sequence[tuple]]) -> list[tuple]:
         for n in sorted(by_id):
             node = by_id[n]
             if n in leaves:
-                rows.append((tree_id, n, True, None, None, None, None, list(node[1]), leaves[n]))
+                rows.append((tree_id, n, True, None, None, None, None, list(node[1]), leaves[n], None, None))
             else:
-                rows.append((tree_id, n, False, node[1], node[2], node[3], node[4], None, None))
+                own = {"dim": node[1], "kind": node[2]} if params is None else params[node[1]]
+                rows.append((tree_id, n, False, node[1], node[2], node[3], node[4], None, None, family, own))
     return rows
 
 
@@ -48,15 +56,15 @@ def route_to_node(samples: DataFrame, nodes: DataFrame, value: Column, depth: in
     """Samples (with their columns, and tree_id) with node_id, the lowest node each reaches in each tree.
 
     One equi-join on (tree_id, node_id) for each level; value: the sample's value
-    for the columns dim, kind and t of its node.
+    for the columns dim, kind, t and params of its node.
     """
-    splits = nodes.where("not is_leaf").select("tree_id", "node_id", "dim", "kind", "t")
+    splits = nodes.where("not is_leaf").select("tree_id", "node_id", "dim", "kind", "t", "params")
     trees = nodes.select("tree_id").distinct()
     now = samples.join(F.broadcast(trees)).withColumn("node_id", F.lit(0).cast("long"))  # a row per tree
     for _ in range(depth):
         passed = F.coalesce(vector_test(value, F.col("kind"), F.col("t")), F.lit(False)).cast("long")
         below = F.when(F.col("kind").isNotNull(), 2 * F.col("node_id") + 1 + passed).otherwise(F.col("node_id"))
-        now = now.join(splits, ["tree_id", "node_id"], "left").withColumn("node_id", below).drop("dim", "kind", "t")
+        now = now.join(splits, ["tree_id", "node_id"], "left").withColumn("node_id", below).drop("dim", "kind", "t", "params")
     return now
 
 
@@ -109,10 +117,14 @@ def model_summary(nodes: DataFrame) -> DataFrame:
 
 
 def model_param_hist(nodes: DataFrame, params: Sequence[str], bins: int = 20) -> DataFrame:
-    """param, bin, n: equal-width bins of each parameter of the splits between its least and largest value, the last one closed."""
+    """param, bin, n: equal-width bins of each parameter of the splits between its least and largest value, the last one closed.
+
+    A parameter is a column of nodes (t), or one of the splits' own features; splits that don't have it don't count.
+    """
+    at = lambda p: F.col(p) if p in nodes.columns else F.col("params")[p]
     long = nodes.where("not is_leaf").select(
-        F.explode(F.array(*[F.struct(F.lit(p).alias("param"), F.col(p).cast("double").alias("v")) for p in params])).alias("x")
-    ).select("x.*")
+        F.explode(F.array(*[F.struct(F.lit(p).alias("param"), at(p).cast("double").alias("v")) for p in params])).alias("x")
+    ).select("x.*").where("v is not null")
     w = Window.partitionBy("param")
     lo, hi = F.min("v").over(w), F.max("v").over(w)
     width = long.withColumn("lo", lo).withColumn("hi", hi)

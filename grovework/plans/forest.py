@@ -1,234 +1,27 @@
-"""Training forests level by level, and the feature families it takes."""
+"""Training forests level by level."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-from typing import ClassVar
+import json
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import INTEGRAL_SCALE, box_edges, integral_value, pixel, texton_value, vector_test
 from ..operators import histograms as H
-from ..operators import model as M
-from ..operators.raster import BOXES
-from ..random import Draws
 from ..shared import checkpoint
-from ..sources.records import save_model
-
-
-@dataclass
-class Candidates:
-    """Features with parameters, and ascending thresholds of each; feat_ind numbers all pairs."""
-
-    params: list[dict]
-    thresholds: list[list[float]]
-
-    @property
-    def per_feature(self) -> int:
-        return len(self.thresholds[0]) if self.thresholds else 0
-
-    def rows(self) -> list[tuple]:
-        """(feat, kind, rank, feat_ind, t)"""
-        return [
-            # a category that was drawn twice is one bin
-            (f, self.params[f].get("kind", 0), (ts.index(t) if self.params[f].get("kind", 0) == 2 else k) + 1, f * self.per_feature + k, float(t))
-            for f, ts in enumerate(self.thresholds)
-            for k, t in enumerate(ts)
-        ]
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows(), "feat int, kind int, rank int, feat_ind int, t double")
-
-    def kinds(self) -> dict[int, int]:
-        return {f: p.get("kind", 0) for f, p in enumerate(self.params)}
-
-    def select(self, feat_ind: int) -> tuple[int, float]:
-        """The feature and threshold of a candidate."""
-        return feat_ind // self.per_feature, float(self.thresholds[feat_ind // self.per_feature][feat_ind % self.per_feature])
-
-
-def _image(samples: DataFrame) -> Column:
-    return (F.col("image_id").cast("long") if "image_id" in samples.columns else F.lit(None).cast("long")).alias("image")
-
-
-class FeatureFamily:
-    """What training needs of a kind of feature: candidates(), and values() as one array column of a sample's rows."""
-
-    def candidates(self, num_feat: int, num_thresh: int, seed: int) -> Candidates:
-        raise NotImplementedError
-
-    def value(self, params: dict) -> Column:
-        raise NotImplementedError
-
-    def values(self, cands: Candidates) -> Column:
-        return F.array(*[self.value(p).cast("double") for p in cands.params])
-
-    def value_np(self, batch: pa.RecordBatch, params: dict) -> np.ndarray:
-        """The same of an Arrow batch of samples, for families without a column form; `columns` names what it reads."""
-        raise NotImplementedError
-
-    #: Columns that value_np reads; empty for families with a column form.
-    columns: ClassVar[Sequence[str]] = ()
-
-    def test(self, params: dict, t: float) -> Column:
-        """Whether a sample passes a candidate."""
-        return vector_test(self.value(params), F.lit(params.get("kind", 0)), F.lit(float(t)))
-
-    def attach(self, samples: DataFrame, cands: Candidates) -> DataFrame:
-        """label, values and image (null where samples have no image_id) of every sample."""
-        label, image = F.col("label").cast("int").alias("label"), _image(samples)
-        if not self.columns:
-            return samples.select(label, self.values(cands).alias("values"), image)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = np.stack([self.value_np(b, p) for p in cands.params], 1).astype(float)
-                offsets = pa.array(np.arange(0, x.size + 1, len(cands.params), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), b.column(1)], names=["label", "values", "image"]
-                )
-
-        return samples.select(label, image, *self.columns).mapInArrow(run, "label int, values array<double>, image long")
-
-
-@dataclass
-class VectorFamily(FeatureFamily):
-    """Components of the column `features`; dims: (kind, lo, hi) with kind 0 real, 1 integer, 2 categorical."""
-
-    dims: Sequence[tuple[int, float, float]]
-
-    def candidates(self, num_feat: int, num_thresh: int, seed: int) -> Candidates:
-        draw, params, all_t = Draws(seed), [], []
-        for _ in range(num_feat):
-            d = draw.integer(0, len(self.dims))
-            kind, lo, hi = self.dims[d]
-            ts = [lo + (hi - lo) * draw.unit() if kind == 0 else float(draw.integer(int(lo), max(int(lo) + 1, int(hi)))) for _ in range(num_thresh)]
-            params.append({"dim": d, "kind": kind})
-            all_t.append(sorted(ts))
-        return Candidates(params, all_t)
-
-    def value(self, params: dict) -> Column:
-        return F.get("features", params["dim"])
-
-
-@dataclass
-class TextonFamily(FeatureFamily):
-    """One or two pixels near a point (columns i, j, height, width, pixels)."""
-
-    radius: int
-
-    def candidates(self, num_feat: int, num_thresh: int, seed: int) -> Candidates:
-        draw, params, all_t = Draws(seed), [], []
-        for _ in range(num_feat):
-            p = {"texton": draw.integer(0, 4)}
-            for n in ("dy0", "dx0", "dy1", "dx1"):
-                p[n] = draw.integer(-self.radius, self.radius + 1)
-            p |= {"b0": draw.integer(0, 7), "b1": draw.integer(0, 7)}
-            params.append(p)
-            all_t.append(sorted(float(draw.integer(-255, 256)) for _ in range(num_thresh)))
-        return Candidates(params, all_t)
-
-    def value(self, params: dict) -> Column:
-        at = lambda k: pixel(F.col("pixels"), F.col("height"), F.col("width"), F.col("i") + params[f"dy{k}"], F.col("j") + params[f"dx{k}"], F.lit(params[f"b{k}"]))
-        return texton_value(F.lit(params["texton"]), at(0), at(1))
-
-
-#: Threshold bounds of the box patterns 0 to 6, over INTEGRAL_SCALE.
-BOUNDS = ((0, 1), (-1 / 8, 7 / 8), (-1 / 2, 1 / 2), (-1 / 2, 1 / 2), (-1 / 3, 2 / 3), (-1 / 3, 2 / 3), (-1 / 2, 1 / 2))
-
-
-@dataclass
-class IntegralFamily(FeatureFamily):
-    """Boxes of prefix-sum tables (column tables, flat, of table_height x table_width x masks), and image scores (column preds)."""
-
-    masks: int
-    ilp_dims: int = 0
-    ilp_prob: float = 0.0
-    distance: int = 40
-    radii: tuple[int, int] = (5, 30)
-    patterns: int = 6
-
-    def candidates(self, num_feat: int, num_thresh: int, seed: int) -> Candidates:
-        draw, params, all_t = Draws(seed), [], []
-        for _ in range(num_feat):
-            if draw.unit() < (self.ilp_prob if self.ilp_dims else 0.0):
-                p, (lo, hi) = {"pattern": -1, "ilp_dim": draw.integer(0, self.ilp_dims)}, (0, 1)
-            else:
-                pattern = draw.integer(0, self.patterns)
-                p = {"pattern": pattern, "mask": draw.integer(0, self.masks)}
-                for n in ("bh", "bw"):
-                    p[n] = draw.integer(self.radii[0], self.radii[1] + 1)
-                for n in ("uy", "ux"):
-                    p[n] = draw.integer(-self.distance, self.distance + 1)
-                lo, hi = BOUNDS[pattern]
-            lo, hi = int(lo * INTEGRAL_SCALE), int(hi * INTEGRAL_SCALE)
-            params.append(p)
-            all_t.append(sorted(float(draw.integer(lo, hi + 1)) for _ in range(num_thresh)))
-        return Candidates(params, all_t)
-
-    def value(self, params: dict) -> Column:
-        if params["pattern"] < 0:
-            return (F.get("preds", params["ilp_dim"]) * INTEGRAL_SCALE).cast("long")
-        h, w = F.col("height") + 1, F.col("width") + 1
-        e = box_edges(F.col("i"), F.col("j"), {k: F.lit(params[k]) for k in ("uy", "ux", "bh", "bw")}, h, w)
-        at = lambda a, b: F.get("tables", ((a * w + b) * self.masks + params["mask"]).cast("int"))
-        return integral_value(F.lit(params["pattern"]), e, at)
-
-    def attach(self, samples: DataFrame, cands: Candidates) -> DataFrame:
-        """The same in numpy, an image a row: samples have height, width, tables, preds and points (label, i, j) of each image.
-
-        So a table is looked up by all its image's points, and not copied to them.
-        """
-        names = ["height", "width", "tables", "preds", "points", _image(samples)]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for h, w, table, preds, points, image in zip(*(b.column(k) for k in range(6)), strict=True):
-                    shape = (h.as_py() + 1, w.as_py() + 1, self.masks)
-                    s = np.asarray(table.values.to_numpy()).reshape(shape)
-                    p = points.values
-                    i, j = (p.field(n).to_numpy().astype(np.int64) for n in ("i", "j"))
-                    x = np.stack([box_values(s, i, j, q, preds.as_py()) for q in cands.params], 1)
-                    offsets = pa.array(np.arange(0, x.size + 1, len(cands.params), dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [p.field("label").cast(pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), pa.array([image.as_py()] * len(i), pa.int64())],
-                        names=["label", "values", "image"],
-                    )
-
-        return samples.select(*names).mapInArrow(run, "label int, values array<double>, image long")
-
-
-def box_values(s: np.ndarray, i: np.ndarray, j: np.ndarray, p: dict, preds: list[float] | None) -> np.ndarray:
-    """integral_value of many points of one table."""
-    if p["pattern"] < 0:
-        return np.full(len(i), float(int(preds[p["ilp_dim"]] * INTEGRAL_SCALE)))
-    s = s[:, :, p["mask"]]
-    h, w = s.shape
-    y0, y1 = (np.clip(i + p["uy"] + d, 0, h - 1) for d in (-p["bh"], p["bh"] + 1))
-    x0, x1 = (np.clip(j + p["ux"] + d, 0, w - 1) for d in (-p["bw"], p["bw"] + 1))
-    dy, dx = y1 - y0, x1 - x0
-    edge = {"y0": y0, "y1": y1, "x0": x0, "x1": x1, "ya": y0 + dy // 3, "yb": y0 + 2 * dy // 3, "ym": y0 + dy // 2}
-    edge |= {"xa": x0 + dx // 3, "xb": x0 + 2 * dx // 3, "xm": x0 + dx // 2}
-    out = np.zeros(len(i))
-    for sign, a, b, c, d in BOXES[p["pattern"]]:
-        a, b, c, d = edge[a], edge[b], edge[c], edge[d]
-        out += sign * (s[c, d] - s[a, d] - s[c, b] + s[a, b])
-    area = dy * dx
-    return np.where(area > 0, np.trunc(out / np.maximum(area, 1) * INTEGRAL_SCALE), 0.0)
-
-
-def with_tables(points: DataFrame, images: DataFrame, tables: DataFrame, preds: DataFrame | None = None) -> DataFrame:
-    """Rows for IntegralFamily.attach: each image's size, table, scores and labelled points (its size bounds them)."""
-    lists = points.groupBy("image_id").agg(F.collect_list(F.struct("label", "i", "j")).alias("points"))
-    rows = lists.join(images.select("image_id", "height", "width"), "image_id").join(tables, "image_id")
-    if preds is None:
-        return rows.withColumn("preds", F.array().cast("array<double>"))
-    return rows.join(preds, "image_id")
+from ..sources.records import load_model, save_model
+from .families import BOUNDS, FAMILIES, Block, Candidates, FeatureFamily, IntegralFamily, TextonFamily, VectorFamily, box_values, with_points, with_tables
+from .scoring import KINDS, argmax_rows, depth, flat_tables, predict_image_dense, predict_samples, score, to_integral_records
 
+__all__ = [
+    "BOUNDS", "FAMILIES", "Block", "Candidates", "FeatureFamily", "IntegralFamily", "KEYS", "KINDS", "TextonFamily", "VectorFamily", "argmax_rows", "box_values", "depth",
+    "flat_tables", "level_bins", "number_leaves", "predict_image_dense", "predict_samples", "score", "to_integral_records", "train_forest", "train_level",
+    "train_two_stage", "with_points", "with_tables",
+]
 
 KEYS = ["tree_id", "node_id"]
 
@@ -245,80 +38,156 @@ def train_level(valued: DataFrame, cands: Candidates) -> tuple[DataFrame, DataFr
     return H.best_split(H.information_gain(hist, KEYS), KEYS), hist
 
 
-Splits = dict[tuple[int, int], tuple[int, int, float]]
-
+#: Splits so far, by tree and node: parameters of the feature, kind, threshold.
+Splits = dict[tuple[int, int], tuple[dict, int, float]]
+#: Values that a task gathers before it bins them; cells (node, candidate, class) of the histograms that one pass over the samples makes;
+#: rows of open nodes that are written anew once they are less than this share of what was written before.
+GATHERED, CELLS, SHARE = 1 << 22, 400_000_000, 0.5
+
+
+def reached(block: Block, splits: dict[int, tuple[dict, int, float]]) -> np.ndarray:
+    """The heap number of the lowest node that each sample reaches in a tree; a split is asked for its own samples alone."""
+    node, left = np.zeros(len(block), np.int64), [(0, np.arange(len(block)))]
+    while left:
+        n, rows = left.pop()
+        node[rows] = n
+        if n in splits and len(rows):
+            params, kind, t = splits[n]
+            v = block.value(params, rows)
+            passed = v == t if kind == 2 else v >= t
+            left += [(2 * n + 1, rows[~passed]), (2 * n + 2, rows[passed])]
+    return node
 
-def _router(splits: Splits, trees: int, levels: int):
-    """node(t, x): the heap number of the lowest node that rows of values reach in tree t; splits: (tree, node) -> (feature, kind, t)."""
-    size = max([2 ** (levels + 1), *(n + 1 for _, n in splits)])
-    feature, kind, bound = np.full((trees, size), -1, np.int64), np.zeros((trees, size), np.int64), np.zeros((trees, size))
-    for (t, n), (f, k, at) in splits.items():
-        feature[t, n], kind[t, n], bound[t, n] = f, k, at
 
-    def node(t: int, x: np.ndarray) -> np.ndarray:
-        now, rows = np.zeros(len(x), np.int64), np.arange(len(x))
-        for _ in range(levels):
-            f = feature[t, now]
-            v, at = x[rows, f], bound[t, now]  # feature -1 reads the last one, and isn't used
-            now = np.where(f >= 0, 2 * now + 1 + np.where(kind[t, now] == 2, v == at, v >= at), now)
-        return now
+def _by_tree(splits: Splits) -> dict[int, dict[int, tuple[dict, int, float]]]:
+    out: dict[int, dict] = {}
+    for (t, n), s in splits.items():
+        out.setdefault(t, {})[n] = s
+    return out
 
-    return node
 
+def level_bins(source: DataFrame, family: FeatureFamily, cands: Candidates, splits: Splits, open_: Sequence[tuple[int, int]], trees: int = 1) -> DataFrame:
+    """Bin counts (as bin_counts gives them) of open nodes; source: what family.source() gives for the candidates.
 
-def level_bins(valued: DataFrame, cands: Candidates, splits: Splits, open_: Sequence[tuple[int, int]], level: int, trees: int = 1) -> DataFrame:
-    """Bin counts (as bin_counts gives them) of the open nodes of a level; valued: label, values of all trees' features.
-
-    Rows stay as they are from level to level: a task routes its rows through
-    the splits so far, which travel with it, and counts those in open nodes.
+    Nothing is written: a task routes its samples through the splits so far,
+    which travel with it, and works out values of those alone that are in open
+    nodes, a few million at a time, to bin and count them.
     """
     per_tree = len(cands.params) // trees
-    bounds, kinds = [np.array(t, float) for t in cands.thresholds], cands.kinds()
-    wanted = np.zeros((trees, 2 ** (level + 1)), bool)
-    for t, n in open_:
-        wanted[t, n] = True
-    route = _router(splits, trees, level)
+    bounds, kinds, by_tree = [np.array(t, float) for t in cands.thresholds], cands.kinds(), _by_tree(splits)
+    wanted = {t: np.array(sorted(n for own, n in open_ if own == t)) for t in range(trees)}
     names = [*KEYS, "label", "feat", "bin", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {t: [] for t in range(trees)}
+
+        def count(t: int) -> pa.RecordBatch:
+            node, label, x = (np.concatenate(c) for c in zip(*held[t], strict=True))
+            held[t] = []
+            group, at = np.unique(np.stack([node, label], 1), axis=0, return_inverse=True)
+            group = np.column_stack([np.full(len(group), t), group])
+            out = [H.count_bins(x[:, k], at.ravel(), group, bounds[f], kinds[f] == 2, f) for k, f in enumerate(range(t * per_tree, (t + 1) * per_tree))]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in np.concatenate(out).T], names=names)
+
         for b in batches:
-            label = b.column(0).to_numpy().astype(np.int64)
-            x_all, out = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1), []
-            for t in range(trees if b.num_rows else 0):
-                x = x_all[:, t * per_tree : (t + 1) * per_tree]
-                node = route(t, x)
-                rows = np.flatnonzero(wanted[t, node])
-                group, at = np.unique(np.stack([node[rows], label[rows]], 1), axis=0, return_inverse=True)
-                group = np.column_stack([np.full(len(group), t), group])
-                for k in range(per_tree if len(rows) else 0):
-                    f = t * per_tree + k
-                    out.append(H.count_bins(x[rows, k], at.ravel(), group, bounds[f], kinds[f] == 2, f))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in np.concatenate(out).T], names=names)
-
-    part = valued.select(F.col("label").cast("long"), "values").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+            for block in family.blocks(b, cands.params):
+                for t in range(trees):
+                    if not len(wanted[t]) or not len(block):
+                        continue
+                    node = reached(block, by_tree.get(t, {}))
+                    rows = np.flatnonzero(np.isin(node, wanted[t]))
+                    step = max(1, GATHERED // max(1, per_tree))
+                    for at in range(0, len(rows), step):
+                        some = rows[at : at + step]
+                        held[t].append((node[some], block.label[some], block.matrix(cands.params[t * per_tree : (t + 1) * per_tree], some)))
+                        if sum(x.size for _, _, x in held[t]) >= GATHERED:
+                            yield count(t)
+        for t in range(trees):
+            if held[t] and per_tree:
+                yield count(t)
+
+    part = source.mapInArrow(run, ", ".join(f"{n} long" for n in names))
     summed = part.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
     return summed.select(F.col("tree_id").cast("int").alias("tree_id"), "node_id", *[F.col(c).cast("int").alias(c) for c in ("label", "feat", "bin")], "n")
 
 
-def node_images(valued: DataFrame, splits: Splits, levels: int, trees: int = 1) -> DataFrame:
-    """tree_id, node_id, num_images: distinct images of the samples that pass each node; valued: label, values, image."""
+def _scan(source: DataFrame, family: FeatureFamily, params: Sequence[dict], names: Sequence[str], rows: Callable[[Block], np.ndarray]) -> DataFrame:
+    """Rows of longs that each block gives, those of a batch distinct where the last column isn't a count n, else summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [rows(block) for block in family.blocks(b, params) if len(block)]
+            if found:
+                unique = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in unique.T], names=list(names))
+
+    return source.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
 
+def class_counts(source: DataFrame, family: FeatureFamily, params: Sequence[dict]) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        routes = [_router(splits, trees, k) for k in range(levels + 1)]
         for b in batches:
-            x_all, image, out = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1), b.column(1).to_numpy(), []
-            for t in range(trees if b.num_rows else 0):
-                x = x_all[:, t * (x_all.shape[1] // trees) : (t + 1) * (x_all.shape[1] // trees)]
-                reached = [np.stack([np.full(len(image), t), route(t, x), image], 1) for route in routes]
-                out.append(np.unique(np.concatenate(reached), axis=0))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in np.concatenate(out).T], names=["tree_id", "node_id", "image"])
-
-    seen = valued.where("image is not null").select("values", "image").mapInArrow(run, "tree_id long, node_id long, image long")
+            for block in family.blocks(b, params):
+                label, n = np.unique(block.label, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(n)], names=["label", "n"])
+
+    return dict(source.mapInArrow(run, "label long, n long").groupBy("label").agg(F.sum("n")).collect())
+
+
+def node_images(source: DataFrame, family: FeatureFamily, params: Sequence[dict], splits: Splits, trees: int = 1) -> DataFrame:
+    """tree_id, node_id, num_images: distinct images of the samples that end in each of the lowest nodes."""
+    by_tree = _by_tree(splits)
+
+    def rows(block: Block) -> np.ndarray:
+        own = np.flatnonzero(block.image >= 0)
+        each = [np.stack([np.full(len(own), t), reached(block, by_tree.get(t, {}))[own], block.image[own]], 1) for t in range(trees)]
+        return np.unique(np.concatenate(each), axis=0)
+
+    seen = _scan(source, family, params, ("tree_id", "node_id", "image"), rows)
     return seen.groupBy("tree_id", "node_id").agg(F.countDistinct("image").alias("num_images"))
 
 
+def open_rows(source: DataFrame, family: FeatureFamily, params: Sequence[dict], splits: Splits, open_: Sequence[tuple[int, int]], trees: int = 1) -> DataFrame:
+    """The rows of `source` (of images: their points) that are in an open node of some tree."""
+    by_tree = _by_tree(splits)
+    wanted = {t: np.array(sorted(n for own, n in open_ if own == t)) for t in range(trees)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for block in family.blocks(b, params):
+                stays = np.zeros(len(block), bool)
+                for t in range(trees):
+                    if len(wanted[t]):
+                        stays |= np.isin(reached(block, by_tree.get(t, {})), wanted[t])
+                keep.append(stays)
+            yield family.kept(b, keep)
+
+    return source.mapInArrow(run, source.schema)
+
+
+def _leaf(t: int, n: int, counts: Sequence[float]) -> tuple:
+    total = sum(counts)
+    return (t, n, True, None, None, None, None, [c / total if total else 0.0 for c in counts], None, None, None)
+
+
+def _resumed(spark, path: str, about: str, max_levels: int) -> tuple[int, list[tuple], dict, dict] | None:
+    """(next level, nodes, open nodes with their counts, images by node) after the last level that was saved whole."""
+    for level in range(max_levels, -1, -1):
+        try:
+            state = spark.read.schema("about string, tree_id int, node_id long, counts array<double>").parquet(f"{path}/open={level}").collect()
+        except AnalysisException:
+            continue
+        if any(r["about"] != about for r in state):
+            raise ValueError(f"the forest in {path} was trained with other settings")
+        open_ = {(r["tree_id"], r["node_id"]): list(r["counts"]) for r in state if r["node_id"] is not None}
+        saved = load_model(spark, f"{path}/level={level}").collect()
+        images = {(r["tree_id"], r["node_id"]): r["num_images"] for r in saved}
+        nodes = [tuple(r)[:11] for r in saved if (r["tree_id"], r["node_id"]) not in open_]
+        return level + 1, [(*n[:8], None, *n[9:]) for n in nodes], open_, images
+    return None
+
+
 def train_forest(
     samples: DataFrame,
     family: FeatureFamily,
@@ -331,61 +200,98 @@ def train_forest(
     num_trees: int = 1,
     strict: bool = False,
     save_to: str | None = None,
+    resume: bool = False,
+    cells: int = CELLS,
 ) -> tuple[list[tuple], Candidates]:
-    """Node rows (model.SCHEMA; dim is the feature number of the candidates) and the candidates.
+    """Node rows (model.SCHEMA: splits hold their feature; dim is its number among the candidates) and the candidates.
 
     Level by level, all trees at once: a node splits if its best gain is at
     least min_info (strict: above it), both sides have rows and the level isn't
-    the last.  Trees differ by the part of the candidates each may use.  Values
-    are computed and written once; each level reads them and nothing else.  Only
-    the model's own rows come to the driver, 2^level for each tree at most.
+    the last.  Trees differ by the part of the candidates each may use.  What the
+    family reads of the samples is written once, never the candidates' values:
+    each level works these out anew, for rows of open nodes, and once few rows
+    are open those alone are written and read from then on.  Open nodes are
+    taken in rounds of at most `cells` (node, candidate, class) cells, one pass
+    over the samples each.  Only the model's own rows come to the driver.
+
     With `save_to`, the model so far is saved after each level (open nodes as
-    leaves), in the folders level=0, level=1 and on.
+    leaves, in the folders level=0, level=1 and on) and then its open nodes and
+    their counts (open=0 and on); with `resume`, training goes on after the last
+    level that was saved whole, if the settings are the same.
     """
     spark = samples.sparkSession
     cands = family.candidates(num_feat * num_trees, num_thresh, seed)
-    valued = checkpoint(family.attach(samples, cands))
-    prior = [0.0] * num_classes
-    for r in valued.groupBy("label").agg(F.count("*").alias("n")).collect():
-        prior[r["label"]] = float(r["n"])
+    params = cands.params
+    about = json.dumps([family.name, num_classes, num_feat, num_thresh, min_info, seed, num_trees, strict, params[:3], cands.thresholds[:3]])
+    source = checkpoint(family.source(samples, params))
     nodes: list[tuple] = []
-    open_ = {(t, 0): prior for t in range(num_trees)}
-    splits: Splits = {}
-
-    def leaf(t: int, n: int, counts: list[float]) -> tuple:
-        total = sum(counts)
-        return (t, n, True, None, None, None, None, [c / total if total else 0.0 for c in counts], None)
-
-    for level in range(max_levels + 1):
+    images: dict[tuple[int, int], int] = {}
+    found = _resumed(spark, save_to, about, max_levels) if resume and save_to else None
+    if found is None:
+        prior = [0.0] * num_classes
+        for label, n in class_counts(source, family, params).items():
+            prior[label] = float(n)
+        first, open_ = 0, {(t, 0): prior for t in range(num_trees)}
+        if save_to is not None:
+            images = _images(source, family, params, {}, num_trees)
+    else:
+        first, nodes, open_, images = found
+    splits: Splits = {(n[0], n[1]): (n[10], n[4], n[5]) for n in nodes if not n[2]}
+    written = None
+    for level in range(first, max_levels + 1):
         chosen: dict[tuple[int, int], tuple] = {}
         if open_ and level < max_levels:
-            hist = H.split_histograms(level_bins(valued, cands, splits, list(open_), level, num_trees), cands.frame(spark), KEYS)
-            best = H.best_split(H.information_gain(hist, KEYS), KEYS)
-            rows = best.join(hist, [*KEYS, "feat_ind"]).groupBy(*KEYS, "gain", "feat_ind").agg(F.collect_list(F.struct("label", "ql", "qr")).alias("q"))
-            for r in rows.collect():
-                ok = r["gain"] > min_info if strict else r["gain"] >= min_info
-                left, right = [0.0] * num_classes, [0.0] * num_classes
-                for q in r["q"]:
-                    left[q["label"]], right[q["label"]] = float(q["ql"]), float(q["qr"])
-                if ok and sum(left) and sum(right):
-                    chosen[r["tree_id"], r["node_id"]] = (r["feat_ind"], r["gain"], left, right)
-        nodes += [leaf(t, n, counts) for (t, n), counts in sorted(open_.items()) if (t, n) not in chosen]
+            each = max(1, int(cells // max(1, num_feat * num_thresh * num_classes)))
+            order = sorted(open_)
+            for at in range(0, len(order), each):
+                bins = level_bins(source, family, cands, splits, order[at : at + each], num_trees)
+                chosen |= _best(bins, cands, num_classes, min_info, strict)
+        nodes += [_leaf(t, n, counts) for (t, n), counts in sorted(open_.items()) if (t, n) not in chosen]
         open_ = {}
         for (t, n), (ind, gain, left, right) in sorted(chosen.items()):
             f, thresh = cands.select(ind)
-            kind = cands.params[f].get("kind", 0)
-            nodes.append((t, n, False, f, kind, thresh, float(gain), None, None))
-            splits[t, n] = (f - t * num_feat, kind, thresh)
+            kind = params[f].get("kind", 0)
+            nodes.append((t, n, False, f, kind, thresh, float(gain), None, None, family.name, params[f]))
+            splits[t, n] = (params[f], kind, thresh)
             open_[t, 2 * n + 1], open_[t, 2 * n + 2] = left, right
         if save_to is not None:
-            so_far = number_leaves(nodes + [leaf(t, n, c) for (t, n), c in sorted(open_.items())])
-            images = node_images(valued, splits, level + 1, num_trees)
+            if open_:
+                images |= {k: v for k, v in _images(source, family, params, splits, num_trees).items() if k in open_}
+            so_far = number_leaves(nodes + [_leaf(t, n, c) for (t, n), c in sorted(open_.items())])
             save_model(spark, so_far, f"{save_to}/level={level}", images)
+            state = [(about, t, n, c) for (t, n), c in sorted(open_.items())] or [(about, None, None, None)]
+            spark.createDataFrame(state, "about string, tree_id int, node_id long, counts array<double>").coalesce(1).write.mode("overwrite").parquet(f"{save_to}/open={level}")
         if not open_:
             break
+        # rows that are open in no tree are left behind once they are most of what is read
+        rows = max(sum(sum(c) for (own, _), c in open_.items() if own == t) for t in range(num_trees))
+        total = written or max(1.0, sum(prior) if found is None else rows)
+        written = total
+        if rows < SHARE * total and level + 1 < max_levels:
+            source, written = checkpoint(open_rows(source, family, params, splits, list(open_), num_trees)), rows
     return number_leaves(nodes), cands
 
 
+def _images(source: DataFrame, family: FeatureFamily, params: Sequence[dict], splits: Splits, trees: int) -> dict[tuple[int, int], int]:
+    return {(r["tree_id"], r["node_id"]): r["num_images"] for r in node_images(source, family, params, splits, trees).collect()}
+
+
+def _best(bins: DataFrame, cands: Candidates, num_classes: int, min_info: float, strict: bool) -> dict[tuple[int, int], tuple]:
+    """(candidate, gain, counts of its failing side, of its passing side) of the nodes that split."""
+    hist = H.split_histograms(bins, cands.frame(bins.sparkSession), KEYS)
+    best = H.best_split(H.information_gain(hist, KEYS), KEYS)
+    rows = best.join(hist, [*KEYS, "feat_ind"]).groupBy(*KEYS, "gain", "feat_ind").agg(F.collect_list(F.struct("label", "ql", "qr")).alias("q"))
+    chosen = {}
+    for r in rows.collect():
+        ok = r["gain"] > min_info if strict else r["gain"] >= min_info
+        left, right = [0.0] * num_classes, [0.0] * num_classes
+        for q in r["q"]:
+            left[q["label"]], right[q["label"]] = float(q["ql"]), float(q["qr"])
+        if ok and sum(left) and sum(right):
+            chosen[r["tree_id"], r["node_id"]] = (r["feat_ind"], r["gain"], left, right)
+    return chosen
+
+
 def number_leaves(nodes: list[tuple]) -> list[tuple]:
     """Leaf ids in pre-order, failing side first."""
     out = []
@@ -395,7 +301,7 @@ def number_leaves(nodes: list[tuple]) -> list[tuple]:
         while stack:
             n = own[stack.pop()]
             if n[2]:
-                n = (*n[:8], leaf)
+                n = (*n[:8], leaf, *n[9:])
                 leaf += 1
             else:
                 stack += [2 * n[1] + 2, 2 * n[1] + 1]
@@ -403,92 +309,26 @@ def number_leaves(nodes: list[tuple]) -> list[tuple]:
     return sorted(out, key=lambda n: (n[0], n[1]))
 
 
-def depth(nodes: list[tuple]) -> int:
-    return max(((n[1] + 1).bit_length() - 1 for n in nodes), default=0)
-
-
-def score(samples: DataFrame, nodes: list[tuple], values: Column, keys: Sequence[str]) -> DataFrame:
-    """keys, tree_id, node_id, leaf_id, probs of every sample in every tree; values: the array the nodes' dims point into."""
-    frame = M.nodes_frame(samples.sparkSession, nodes)
-    routed = M.route_to_node(samples.select(*keys, values.alias("values")), frame, F.get("values", F.col("dim")), depth(nodes))
-    return M.predict_leaf(routed, frame).select(*keys, "tree_id", "node_id", "leaf_id", "probs")
+def train_two_stage(
+    images: DataFrame, points: DataFrame, num_classes: int, seed: int = 1234, trees: int = 3, texton: dict | None = None, integral: dict | None = None, scores: DataFrame | None = None, family: TextonFamily | None = None, boxes: dict | None = None
+) -> tuple[list[tuple], list[tuple]]:
+    """A texton tree, then `trees` box trees over its spatial prefix sums: node rows of both stages.
 
-
-def predict_image_dense(images: DataFrame, nodes: list[tuple], family: TextonFamily, cands: Candidates) -> DataFrame:
-    """image_id, height, width, leaves, probs (H x W x classes): every pixel, numpy over whole images, one image a row.
-
-    The forest (a model's nodes, far below the size of one image) travels with
-    the task.  leaves are those of the first tree; probs the mean of the trees.
+    scores (image_id, preds: one score for each image classifier) make image
+    scores candidates of the second stage, in the share `ilp_prob` of `boxes`
+    (the other parameters of IntegralFamily).
     """
-    from .dense import dense_scorer
-
-    run = dense_scorer(nodes, cands)
-    return images.select(F.col("image_id").cast("long"), "height", "width", "pixels").mapInArrow(
-        run, "image_id long, height int, width int, leaves array<int>, probs array<double>"
-    )
-
-
-def argmax_rows(dense: DataFrame, num_classes: int) -> DataFrame:
-    """image_id, i, j, leaf_id, probs of every pixel of dense predictions."""
-    one = F.explode(F.transform("leaves", lambda leaf, k: F.struct(k.alias("k"), leaf.alias("leaf_id"))))
-    rows = dense.select("image_id", "width", "probs", one.alias("p"))
-    return rows.select(
-        "image_id",
-        F.floor(F.col("p.k") / F.col("width")).cast("int").alias("i"),
-        (F.col("p.k") % F.col("width")).cast("int").alias("j"),
-        F.col("p.leaf_id").alias("leaf_id"),
-        F.slice("probs", F.col("p.k") * num_classes + 1, num_classes).alias("probs"),
-    )
-
-
-def to_integral_records(images: DataFrame, points: DataFrame, nodes: list[tuple], family: TextonFamily, cands: Candidates, kind: str, num_classes: int) -> DataFrame:
-    """image_id, tables, masks, points: one record for each image, its prefix sums and its labelled points.
-
-    Scored images give the sums of `kind`: argmax, argmax_prob, all_prob or
-    spatial.  tables is flat, in (row, column, mask) order; points are structs
-    (label, i, j) in that order, none for images without any.
-    """
-    from ..operators import raster as R
-
-    pixels = argmax_rows(predict_image_dense(images, nodes, family, cands), num_classes)
-    top = F.array_max("probs")
-    best = pixels.select("image_id", "i", "j", (F.array_position("probs", top) - 1).cast("int").alias("cls"), top.alias("prob"))
-    masks = num_classes
-    if kind == "argmax":
-        table = R.integral_labels(best, num_classes)
-    elif kind == "argmax_prob":
-        table = R.integral_labels_probs(best, num_classes)
-    elif kind == "all_prob":
-        table = R.integral_all_probs(pixels)
-    elif kind == "spatial":
-        leaves = 1 + max(n[8] for n in nodes if n[8] is not None and n[0] == nodes[0][0])
-        table, masks = R.integral_spatial(pixels, leaves), num_classes + leaves
-    else:
-        raise ValueError(f"no integral type {kind}")
-    # an image's size bounds both lists
-    lists = points.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("label", "i", "j"))).alias("points"))
-    none = F.array().cast(lists.schema["points"].dataType)
-    return flat_tables(table).join(lists, "image_id", "left").select("image_id", "tables", F.lit(masks).alias("masks"), F.coalesce("points", none).alias("points"))
-
-
-def flat_tables(integrals: DataFrame) -> DataFrame:
-    """image_id, tables: each image's table as one array in (row, column, mask) order; an image's size bounds it."""
-    ordered = F.array_sort(F.collect_list(F.struct("i", "j", "mask", "s")))
-    return integrals.groupBy("image_id").agg(F.transform(ordered, lambda x: x["s"]).alias("tables"))
-
-
-def train_two_stage(images: DataFrame, points: DataFrame, num_classes: int, seed: int = 1234, trees: int = 3, texton: dict | None = None, integral: dict | None = None) -> tuple[list[tuple], list[tuple]]:
-    """A texton tree, then `trees` box trees over its spatial prefix sums: node rows of both stages."""
     texton = {"max_levels": 3, "num_feat": 20, "num_thresh": 10} | (texton or {})
     integral = {"max_levels": 3, "num_feat": 20, "num_thresh": 10} | (integral or {})
-    family = TextonFamily(3)
-    joined = points.join(images, "image_id")
-    first, cands = train_forest(joined, family, num_classes, seed=seed, **texton)
-    records = to_integral_records(images, points, first, family, cands, "spatial", num_classes)
-    masks = num_classes + 1 + max(n[8] for n in first if n[8] is not None)
-    boxes = IntegralFamily(masks, distance=3, radii=(1, 3))
-    rows = records.where(F.size("points") > 0).join(images.select("image_id", "height", "width"), "image_id")
-    rows = rows.withColumn("preds", F.array().cast("array<double>"))
-    second, _ = train_forest(rows, boxes, num_classes, seed=seed + 1, num_trees=trees, **integral)
+    family = family or TextonFamily(3)
+    first, _ = train_forest(with_points(images, points), family, num_classes, seed=seed, **texton)
+    rows = stage_rows(images, points, first, scores)
+    masks, dims = rows.agg(F.max("masks"), F.max(F.size("preds"))).first()
+    boxes = {"distance": 3, "radii": (1, 3), "ilp_prob": 0.25} | (boxes or {})
+    second, _ = train_forest(rows.where(F.size("points") > 0), IntegralFamily(masks or 1, ilp_dims=max(0, dims or 0), **boxes), num_classes, seed=seed + 1, num_trees=trees, **integral)
     return first, second
 
+
+def stage_rows(images: DataFrame, points: DataFrame, first: list[tuple], scores: DataFrame | None = None) -> DataFrame:
+    """Second-stage rows, written once: image_id, height, width, tables, masks, preds, points of every image, from its first-stage scores."""
+    return checkpoint(to_integral_records(images, points, first, "spatial", scores))

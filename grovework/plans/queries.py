@@ -76,7 +76,7 @@ TREES = [
     [(0, 5, 0, 0.01, 0.75), (1, _TEN(0)), (2, 11, 0, 0.0, 0.375), (5, _TEN(7)), (6, [0.1] * 10)],
 ]
 FOREST = M.node_rows(TREES)
-NODE_SQL = "nd AS (SELECT * FROM " + values_sql(FOREST, "tree_id, node_id, is_leaf, dim, kind, t, info_gain, probs, leaf_id") + ")"
+NODE_SQL = "nd AS (SELECT * FROM " + values_sql([r[:9] for r in FOREST], "tree_id, node_id, is_leaf, dim, kind, t, info_gain, probs, leaf_id") + ")"
 ROUTED = f"""{NODE_SQL}, em AS (SELECT vec_id AS row_id, label, embedding::DOUBLE[] AS x FROM embeddings),
 l0 AS (SELECT row_id, label, x, tree_id, 0 AS node_id FROM em, (SELECT DISTINCT tree_id FROM nd)),
 """ + ",\n".join(
@@ -108,38 +108,55 @@ def gains(spark: SparkSession, d: str) -> DataFrame:
     return H.information_gain(hist(spark, d), T.KEYS)
 
 
-def trained_sql(num_feat: int, num_thresh: int, levels: int, trees: int = 1, min_info: float = 0.0, strict: bool = False) -> str:
-    """The nodes that train_forest gives for the line items, level by level; splits have one row, leaves one for each class."""
-    cands = VECTORS.candidates(num_feat * trees, num_thresh, 1234)
-    rows = values_sql([(*r, cands.params[r[0]]["dim"], r[0] // num_feat) for r in cands.rows()], "feat, kind, rnk, feat_ind, t, dim, tree_id")
+def grown_sql(source: str, cands, num_feat: int, levels: int, trees: int = 1, min_info: float = 0.0, strict: bool = False, classes: int = 3, dims: bool = False, p: str = "") -> str:
+    """CTEs of a forest trained level by level on `source` (label, x, image_id), up to {p}model: a row a split, one for each class a leaf.
+
+    x holds a value for each feature, or the components that features name (dims).  Names begin with p.
+    """
+    rows = values_sql([(*r, cands.params[r[0]]["dim"] if dims else r[0], r[0] // num_feat) for r in cands.rows()], "feat, kind, rnk, feat_ind, t, dim, tree_id")
     passed = "(CASE WHEN kind = 2 THEN x[dim + 1] = t ELSE x[dim + 1] >= t END)::INT"
-    out = [X.F1, FX, f"c AS (SELECT * FROM {rows})", f"s0 AS MATERIALIZED (SELECT tree_id::INT AS tree_id, 0::BIGINT AS node_id, label, x, image_id FROM f1x, range({trees}) r(tree_id))"]
+    out = [f"{p}c AS MATERIALIZED (SELECT * FROM {rows})", f"{p}s0 AS MATERIALIZED (SELECT tree_id::INT AS tree_id, 0::BIGINT AS node_id, label, x, image_id FROM {source}, range({trees}) r(tree_id))"]
     for k in range(levels):
-        out.append(f"""h{k} AS (SELECT s.tree_id, node_id, feat_ind, label, sum({passed})::BIGINT AS qr, count(*)::BIGINT AS n FROM s{k} s JOIN c ON c.tree_id = s.tree_id GROUP BY ALL),
-g{k} AS (SELECT tree_id, node_id, feat_ind, sum(n - qr) AS nl, sum(qr) AS nr, sum(CASE WHEN n > qr THEN (n - qr) * log2((n - qr)::DOUBLE) ELSE 0 END) AS sl,
-  sum(CASE WHEN qr > 0 THEN qr * log2(qr::DOUBLE) ELSE 0 END) AS sr, sum(n * log2(n::DOUBLE)) AS sa FROM h{k} GROUP BY ALL),
-i{k} AS (SELECT tree_id, node_id, feat_ind, nl, nr, CASE WHEN nl = 0 OR nr = 0 THEN 0 ELSE round((((nl + nr) * log2((nl + nr)::DOUBLE) - sa) - (nl * log2(nl::DOUBLE) - sl)
-  - (nr * log2(nr::DOUBLE) - sr)) / (nl + nr), 12) END AS gain FROM g{k}),
-b{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, node_id ORDER BY gain DESC, feat_ind) AS r FROM i{k})
+        out.append(f"""{p}h{k} AS (SELECT s.tree_id, node_id, feat_ind, label, sum({passed})::BIGINT AS qr, count(*)::BIGINT AS n FROM {p}s{k} s JOIN {p}c c ON c.tree_id = s.tree_id GROUP BY ALL),
+{p}g{k} AS (SELECT tree_id, node_id, feat_ind, sum(n - qr) AS nl, sum(qr) AS nr, sum(CASE WHEN n > qr THEN (n - qr) * log2((n - qr)::DOUBLE) ELSE 0 END) AS sl,
+  sum(CASE WHEN qr > 0 THEN qr * log2(qr::DOUBLE) ELSE 0 END) AS sr, sum(n * log2(n::DOUBLE)) AS sa FROM {p}h{k} GROUP BY ALL),
+{p}i{k} AS (SELECT tree_id, node_id, feat_ind, nl, nr, CASE WHEN nl = 0 OR nr = 0 THEN 0 ELSE round((((nl + nr) * log2((nl + nr)::DOUBLE) - sa) - (nl * log2(nl::DOUBLE) - sl)
+  - (nr * log2(nr::DOUBLE) - sr)) / (nl + nr), 12) END AS gain FROM {p}g{k}),
+{p}b{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, node_id ORDER BY gain DESC, feat_ind) AS r FROM {p}i{k})
   WHERE r = 1 AND nl > 0 AND nr > 0 AND gain {'>' if strict else '>='} {min_info!r}::DOUBLE),
-s{k + 1} AS MATERIALIZED (SELECT s.tree_id, 2 * s.node_id + 1 + {passed} AS node_id, label, x, image_id FROM s{k} s JOIN b{k} USING (tree_id, node_id) JOIN c USING (feat_ind))""")
-    splits = " UNION ALL ".join(f"SELECT tree_id, node_id, feat_ind, gain FROM b{k}" for k in range(levels))
+{p}s{k + 1} AS MATERIALIZED (SELECT s.tree_id, 2 * s.node_id + 1 + {passed} AS node_id, label, x, image_id FROM {p}s{k} s JOIN {p}b{k} USING (tree_id, node_id) JOIN {p}c USING (feat_ind))""")
+    splits = " UNION ALL ".join(f"SELECT tree_id, node_id, feat_ind, gain FROM {p}b{k}" for k in range(levels))
     ends = " UNION ALL ".join(
-        f"SELECT tree_id, node_id, label FROM s{k}" + (f" ANTI JOIN b{k} USING (tree_id, node_id)" if k < levels else "") for k in range(levels + 1)
+        f"SELECT tree_id, node_id, label FROM {p}s{k}" + (f" ANTI JOIN {p}b{k} USING (tree_id, node_id)" if k < levels else "") for k in range(levels + 1)
     )
-    seen = " UNION ALL ".join(f"SELECT tree_id, node_id, count(DISTINCT image_id)::BIGINT AS num_images FROM s{k} GROUP BY ALL" for k in range(levels + 1))
-    out.append(f"""sp AS ({splits}), en AS ({ends}), im AS ({seen}),
-ln AS (SELECT tree_id, node_id, (row_number() OVER (PARTITION BY tree_id ORDER BY (node_id + 1) / pow(2.0::DOUBLE, floor(log2((node_id + 1)::DOUBLE)))) - 1)::INT AS leaf_id FROM (SELECT DISTINCT tree_id, node_id FROM en)),
-lp AS (SELECT ln.tree_id, ln.node_id, leaf_id, k::INT AS label, (SELECT count(*) FROM en WHERE en.tree_id = ln.tree_id AND en.node_id = ln.node_id AND en.label = k)
-  / (SELECT count(*) FROM en WHERE en.tree_id = ln.tree_id AND en.node_id = ln.node_id) AS prob FROM ln, range(3) r(k)),
-model AS (SELECT tree_id, node_id, false AS is_leaf, feat::INT AS dim, kind, t, round(gain, 6) AS info_gain, -1 AS leaf_id, -1 AS label, -1.0::DOUBLE AS prob FROM sp JOIN c USING (tree_id, feat_ind)
-  UNION ALL SELECT tree_id, node_id, true, -1, -1, -1.0::DOUBLE, -1.0::DOUBLE, leaf_id, label, round(prob, 6) FROM lp)""")
-    return "WITH " + ",\n".join(out) + "\nSELECT * FROM model"
+    seen = " UNION ALL ".join(f"SELECT tree_id, node_id, count(DISTINCT image_id)::BIGINT AS num_images FROM {p}s{k} GROUP BY ALL" for k in range(levels + 1))
+    out.append(f"""{p}sp AS MATERIALIZED ({splits}), {p}en AS MATERIALIZED ({ends}), {p}im AS ({seen}),
+{p}ln AS MATERIALIZED (SELECT tree_id, node_id, (row_number() OVER (PARTITION BY tree_id ORDER BY (node_id + 1) / pow(2.0::DOUBLE, floor(log2((node_id + 1)::DOUBLE)))) - 1)::INT AS leaf_id FROM (SELECT DISTINCT tree_id, node_id FROM {p}en)),
+{p}cn AS MATERIALIZED (SELECT tree_id, node_id, label, count(*) AS n FROM {p}en GROUP BY ALL),
+{p}lp AS MATERIALIZED (SELECT ln.tree_id, ln.node_id, leaf_id, k::INT AS label, coalesce(cn.n, 0) / (sum(cn.n) OVER (PARTITION BY ln.tree_id, ln.node_id)) AS prob
+  FROM {p}ln ln CROSS JOIN range({classes}) r(k) LEFT JOIN {p}cn cn ON cn.tree_id = ln.tree_id AND cn.node_id = ln.node_id AND cn.label = k),
+{p}model AS (SELECT tree_id, node_id, false AS is_leaf, feat::INT AS dim, kind, t, round(gain, 6) AS info_gain, -1 AS leaf_id, -1 AS label, -1.0::DOUBLE AS prob FROM {p}sp JOIN {p}c USING (tree_id, feat_ind)
+  UNION ALL SELECT tree_id, node_id, true, -1, -1, -1.0::DOUBLE, -1.0::DOUBLE, leaf_id, label, round(prob, 6) FROM {p}lp)""")
+    return ",\n".join(out)
+
+
+def reached_sql(source: str, levels: int, p: str = "") -> str:
+    """CTE {p}lf: the rows of `source` (with x) with the leaf (tree_id, node_id) of the forest p that each reaches in each tree."""
+    now = f"(SELECT *, 0::BIGINT AS node_id FROM {source}, (SELECT DISTINCT tree_id FROM {p}ln))"
+    for _ in range(levels):
+        now = f"""(SELECT q.* EXCLUDE (node_id), CASE WHEN c.t IS NULL THEN q.node_id ELSE 2 * q.node_id + 1 + (CASE WHEN c.kind = 2 THEN x[c.dim + 1] = c.t ELSE x[c.dim + 1] >= c.t END)::INT END AS node_id
+ FROM {now} q LEFT JOIN {p}sp sp ON sp.tree_id = q.tree_id AND sp.node_id = q.node_id LEFT JOIN {p}c c ON c.feat_ind = sp.feat_ind)"""
+    return f"{p}lf AS MATERIALIZED (SELECT * FROM {now})"
+
+
+def trained_sql(num_feat: int, num_thresh: int, levels: int, trees: int = 1, min_info: float = 0.0, strict: bool = False) -> str:
+    """The nodes that train_forest gives for the line items."""
+    return f"WITH {X.F1}, {FX}, {grown_sql('f1x', VECTORS.candidates(num_feat * trees, num_thresh, 1234), num_feat, levels, trees, min_info, strict, dims=True)}\nSELECT * FROM model"
 
 
 def by_class(nodes: DataFrame) -> DataFrame:
     """Nodes with a row for each class of a leaf, and one for a split; -1 stands for what a node doesn't have."""
-    each = nodes.select("*", F.posexplode_outer("probs").alias("label", "prob")).drop("probs")
+    each = nodes.select("*", F.posexplode_outer("probs").alias("label", "prob")).drop("probs", "family", "params")
     each = each.withColumn("info_gain", r6("info_gain")).withColumn("prob", r6("prob"))
     return each.fillna(-1, ["dim", "kind", "t", "info_gain", "leaf_id", "label", "prob"])
 
@@ -158,9 +175,9 @@ def texton_sql(p: dict) -> str:
     return (a, f"({a} + {b})", f"({a} - {b})", f"abs({a} - {b})")[p["texton"]]
 
 
-def box_sql(p: dict) -> str:
-    """A box feature's value from `tab` of 9 x 9 x 4 sums and the edges that edges_sql gives its place in `e`."""
-    at = lambda y, x: f"tab[({y} * 9 + {x}) * 4 + {p['mask'] + 1}]"
+def box_sql(p: dict, masks: int = 4) -> str:
+    """A box feature's value from `tab` of 9 x 9 x masks sums and the edges that edges_sql gives."""
+    at = lambda y, x: f"tab[({y} * 9 + {x}) * {masks} + {p['mask'] + 1}]"
     out = " + ".join(f"({sign}) * ({at(c, d)} - {at(a, d)} - {at(c, b)} + {at(a, b)})" for sign, a, b, c, d in R.BOXES[p["pattern"]])
     area = "((y1 - y0) * (x1 - x0))"
     return f"CASE WHEN {area} > 0 THEN trunc(({out}) / {area} * 2147483646)::BIGINT ELSE 0 END"
@@ -209,11 +226,10 @@ def q_select(spark, d):
 @query("save_model", """SELECT label, count(*)::BIGINT AS n FROM (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label FROM lineitem) GROUP BY 1""")
 def q_save(spark, d):
     """A trained model, saved and loaded: the training rows that its leaves hold, by class."""
-    rows, cands = T.train_forest(X.vectors(spark, d), VECTORS, 3, max_levels=2, num_feat=8, num_thresh=5)
+    rows, _ = T.train_forest(X.vectors(spark, d), VECTORS, 3, max_levels=2, num_feat=8, num_thresh=5)
     path = IO.scratch(spark)
     IO.save_model(spark, rows, path)
-    again = [tuple(r)[:9] for r in IO.load_model(spark, path).collect()]
-    scored = T.score(X.vectors(spark, d), again, VECTORS.values(cands), ["label"])
+    scored = T.predict_samples(X.vectors(spark, d), IO.load_model(spark, path), ["label"])
     return scored.groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -225,12 +241,40 @@ def q_load_model(spark, d):
     return by_class(IO.load_model(spark, f"{path}/level=2"))
 
 
-@query("merge_models", f"WITH {ROUTED} SELECT tree_id + 2 * m AS tree_id, node_id::BIGINT AS node_id, count(*)::BIGINT AS n FROM l3, range(2) r(m) GROUP BY ALL")
+def _merged_sql() -> str:
+    """Confusion of two forests of other seeds, merged: training rows by what they look like, each forest's mean of its trees."""
+    one, two = (grown_sql("f1x", VECTORS.candidates(16, 5, seed), 8, 2, 2, dims=True, p=p) for seed, p in ((1234, "a"), (77, "b")))
+    probs = lambda p: f"SELECT x, lp.label AS cls, sum(prob) AS prob FROM {p}lf lf JOIN {p}lp lp USING (tree_id, node_id) GROUP BY x, lp.label"
+    return f"""WITH {X.F1}, {FX}, kinds AS MATERIALIZED (SELECT DISTINCT x FROM f1x), {one}, {reached_sql('kinds', 2, 'a')}, {two}, {reached_sql('kinds', 2, 'b')},
+both_ AS (SELECT x, cls, sum(prob) / 4 AS prob FROM ({probs('a')} UNION ALL {probs('b')}) GROUP BY x, cls),
+top AS (SELECT x, arg_min(cls, struct_pack(p := -round(prob, 9), cls := cls)) AS predicted, max(round(prob, 9)) AS prob FROM both_ GROUP BY x)
+SELECT label, predicted, count(*)::BIGINT AS n, round(sum(prob), 4) AS prob FROM f1x JOIN top USING (x) GROUP BY ALL"""
+
+
+@query("merge_models", _merged_sql())
 def q_merge(spark, d):
-    model = M.nodes_frame(spark, FOREST)
-    both = M.merge_models([model, model])
-    reached = M.route_to_node(X.embedded(spark, d), both, F.get("features", F.col("dim")), 3)
-    return reached.groupBy(F.col("tree_id").cast("long").alias("tree_id"), "node_id").agg(F.count("*").alias("n"))
+    """Two forests of different features, trained, saved, loaded, merged and scored: what they predict, by class."""
+    rows = X.vectors(spark, d)
+    path = IO.scratch(spark)
+    for seed in (1234, 77):
+        IO.save_model(spark, T.train_forest(rows, VECTORS, 3, max_levels=2, num_feat=8, num_thresh=5, seed=seed, num_trees=2)[0], f"{path}/{seed}")
+    both = M.merge_models([IO.load_model(spark, f"{path}/{seed}") for seed in (1234, 77)])
+    numbered = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
+    probs = M.predict_forest(T.predict_samples(numbered, both, ["row", "label"]).withColumnRenamed("label", "truth"), ["row", "truth"])
+    top = M.argmax_class(probs.withColumn("prob", F.round("prob", 9)), ["row", "truth"])
+    return top.groupBy(F.col("truth").alias("label"), F.col("label").alias("predicted")).agg(F.count("*").alias("n"), F.round(F.sum("prob"), 4).alias("prob"))
+
+
+@query("stored_param_hist", f"""WITH {X.F1}, {FX}, {grown_sql('f1x', VECTORS.candidates(24, 5, 1234), 8, 3, 3, dims=True)},
+s AS (SELECT 'dim' AS param, c.dim::DOUBLE AS v FROM sp JOIN c USING (tree_id, feat_ind) UNION ALL SELECT 't', t FROM sp JOIN c USING (tree_id, feat_ind)),
+w AS (SELECT *, min(v) OVER (PARTITION BY param) AS lo, max(v) OVER (PARTITION BY param) AS hi FROM s)
+SELECT param, (CASE WHEN hi = lo THEN 0 ELSE least(19, floor((v - lo) * 20 / (hi - lo))) END)::INT AS bin, count(*)::BIGINT AS n FROM w GROUP BY ALL""")
+def q_stored_params(spark, d):
+    """Histograms of the parameters that a saved model's splits hold."""
+    path = IO.scratch(spark)
+    IO.save_model(spark, T.train_forest(X.vectors(spark, d), VECTORS, 3, max_levels=3, num_feat=8, num_thresh=5, num_trees=3)[0], path)
+    shares = M.model_param_hist(IO.load_model(spark, path).drop("dim"), ["dim", "t"])
+    return shares.withColumn("bin", F.col("bin").cast("int"))
 
 
 @query("write_predictions", f"""WITH {FORESTED}, a AS (SELECT row_id, truth, label, row_number() OVER (PARTITION BY row_id ORDER BY prob DESC, label) AS r FROM pf)
@@ -795,7 +839,7 @@ def _counted(samples: DataFrame, family, cands) -> DataFrame:
 @query("gen_texton_candidates", _counts_sql(f"{X.F2}, {X.F6}, {PIX}", [f"SELECT label, {texton_sql(p)} AS v FROM f6 JOIN im USING (image_id)" for p in TCANDS.params], TCANDS))
 def q_gen_texton(spark, d):
     """Split histograms of generated texton candidates over the labelled points."""
-    return _counted(X.points(spark, d).join(X.images(spark, d), "image_id"), TEXTONS, TCANDS)
+    return _counted(T.with_points(X.images(spark, d), X.points(spark, d)), TEXTONS, TCANDS)
 
 
 BOX_FAMILY = T.IntegralFamily(4, ilp_dims=1, ilp_prob=0.25, distance=3, radii=(1, 3))
@@ -811,9 +855,8 @@ _BOXED = f"""{X.F2}, {X.F5}, {X.F6}, {_INT}, {TABS}, bp AS MATERIALIZED (SELECT
     _BOXED, [f"SELECT label, {box_sql(p)} AS v FROM {edges_sql('bp', p)}" if p["pattern"] >= 0 else "SELECT label, trunc(score * 2147483646) AS v FROM bp" for p in BCANDS.params], BCANDS))
 def q_gen_box(spark, d):
     """Split histograms of generated box and image-score candidates over the labelled points."""
-    preds = X.scores(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list("score")).alias("preds"))
     tables = T.flat_tables(R.integral_labels(X.masks(spark, d), 4))
-    return _counted(T.with_tables(X.points(spark, d), X.images(spark, d), tables, preds), BOX_FAMILY, BCANDS)
+    return _counted(T.with_tables(X.points(spark, d), X.images(spark, d), tables, preds(spark, d)), BOX_FAMILY, BCANDS)
 
 
 @query("train_level", f"WITH {GAIN}, b AS (SELECT gain, feat_ind FROM gain ORDER BY gain DESC, feat_ind LIMIT 1) SELECT round(b.gain, 6) AS gain, feat_ind, label, ql, qr FROM b JOIN hist USING (feat_ind)")
@@ -859,7 +902,7 @@ PIXEL_TREES = [
     [(0, 0, 0, TCANDS.thresholds[0][1], 0.5), (1, 1, 0, TCANDS.thresholds[1][1], 0.25), (3, _FOUR(0)), (4, _FOUR(1)), (2, 2, 0, TCANDS.thresholds[2][1], 0.25), (5, _FOUR(2)), (6, _FOUR(3))],
     [(0, 3, 0, TCANDS.thresholds[3][1], 0.5), (1, [0.25, 0.25, 0.4, 0.1]), (2, 0, 0, 130.0, 0.25), (5, _FOUR(1)), (6, [0.0, 0.5, 0.0, 0.5])],
 ]
-PIXEL_FOREST = M.node_rows(PIXEL_TREES)
+PIXEL_FOREST = M.node_rows(PIXEL_TREES, "texton", TCANDS.params)
 
 
 def _walk_sql(tree: list[tuple], leaf, n: int = 0) -> str:
@@ -878,11 +921,14 @@ dp AS (SELECT image_id, i, j, leaf_id, k::INT AS label, (p0[k + 1] + p1[k + 1])
 
 @query("predict_image_dense", f"WITH {DENSE} SELECT image_id, i, j, leaf_id::INT AS leaf_id, label, round(prob, 6) AS prob FROM dp")
 def q_dense(spark, d):
-    pixels = T.argmax_rows(T.predict_image_dense(X.images(spark, d), PIXEL_FOREST, TEXTONS, TCANDS), 4)
+    pixels = T.argmax_rows(T.predict_image_dense(X.images(spark, d), PIXEL_FOREST), 4)
     return pixels.select("image_id", "i", "j", "leaf_id", F.posexplode("probs").alias("label", "prob")).withColumn("prob", r6("prob"))
 
 
-_KINDS = ("argmax", "argmax_prob", "all_prob", "spatial")
+_IT = """pr AS MATERIALIZED (SELECT * EXCLUDE (x), sum(x) OVER (PARTITION BY {keys}, image_id, mask, i ORDER BY j) AS x FROM ce),
+pc AS MATERIALIZED (SELECT * EXCLUDE (x, i, j), i + 1 AS i, j + 1 AS j, (sum(x) OVER (PARTITION BY {keys}, image_id, mask, j ORDER BY i))::DOUBLE AS s FROM pr),
+it AS MATERIALIZED (SELECT * FROM pc UNION ALL SELECT * REPLACE (0 AS j, 0 AS s) FROM pc WHERE j = 1 UNION ALL SELECT * REPLACE (0 AS i, 0 AS s) FROM pc WHERE i = 1
+ UNION ALL SELECT * REPLACE (0 AS i, 0 AS j, 0 AS s) FROM pc WHERE i = 1 AND j = 1)"""
 
 
 @query("to_integral_records", f"""WITH {X.F2}, {X.F6}, {DENSE},
@@ -892,23 +938,94 @@ ce AS (SELECT 'argmax' AS kind, image_id, i, j, m::INT AS mask, (cls = m)::INT::
  UNION ALL SELECT 'all_prob', image_id, i, j, label, prob FROM dp
  UNION ALL SELECT 'spatial', image_id, i, j, m::INT, (leaf_id = m)::INT::DOUBLE FROM de, range({len(_LEAF)}) r(m)
  UNION ALL SELECT 'spatial', image_id, i, j, label + {len(_LEAF)}, prob FROM dp),
-pt AS (SELECT image_id, string_agg(label || ':' || i || ':' || j, ',' ORDER BY label, i, j) AS points FROM f6 GROUP BY 1)
-SELECT kind, image_id, mask, round(sum(x), 6) AS last, round(sum(x * (8 - i) * (8 - j)), 6) AS total, coalesce(any_value(points), '') AS points FROM ce LEFT JOIN pt USING (image_id) GROUP BY kind, image_id, mask""")
+{_IT.format(keys="kind")},
+pt AS (SELECT image_id, string_agg(label || ':' || i || ':' || j, ',' ORDER BY label, i, j) AS points FROM f6 GROUP BY 1),
+ro AS (SELECT kind, image_id, mask, i, string_agg(round(s * 1000000)::BIGINT::VARCHAR, ',' ORDER BY j) AS sums FROM it GROUP BY ALL)
+SELECT kind, image_id, mask::INT AS mask, i::INT AS i, sums, coalesce(points, '') AS points FROM ro LEFT JOIN pt USING (image_id)""")
 def q_records(spark, d):
-    """Records of all four types: of each mask the last corner and the sum of its table, and the points of its image."""
+    """Records of all four types: every row of every mask's table, in millionths, and the points of its image."""
     out = None
-    for kind in _KINDS:
-        one = T.to_integral_records(X.images(spark, d), X.points(spark, d), PIXEL_FOREST, TEXTONS, TCANDS, kind, 4)
+    for kind in T.KINDS:
+        one = T.to_integral_records(X.images(spark, d), X.points(spark, d), PIXEL_FOREST, kind)
         points = F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["label"], p["i"], p["j"])), ",").alias("points")
-        cells = one.select(F.lit(kind).alias("kind"), "image_id", "masks", points, F.posexplode("tables").alias("at", "s"))
-        sums = cells.groupBy("kind", "image_id", (F.col("at") % F.col("masks")).alias("mask"), "points").agg(F.max_by("s", "at").alias("last"), F.sum("s").alias("total"))
-        out = sums if out is None else out.unionByName(sums)
-    return out.withColumn("last", r6("last")).withColumn("total", r6("total"))
+        masks = one.select(F.lit(kind).alias("kind"), "image_id", points, "width", "masks", "tables", F.explode(F.sequence(F.lit(0), F.col("masks") - 1)).alias("mask"), "height")
+        lines = masks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("height"))))
+        cell = lambda j: F.round(F.get("tables", (F.col("i") * (F.col("width") + 1) + j) * F.col("masks") + F.col("mask")) * 1e6).cast("long").cast("string")
+        sums = F.array_join(F.transform(F.sequence(F.lit(0), F.col("width")), cell), ",").alias("sums")
+        rows = lines.select("kind", "image_id", "mask", "i", sums, "points")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
 
+def preds(spark: SparkSession, d: str) -> DataFrame:
+    return X.scores(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list("score")).alias("preds"))
 
-@query("train_two_stage")
+
+def boxes_sql(source: str, cands, masks: int, keys: str) -> str:
+    """Rows (keys, x): the values of all box and score features at the points of `source` (with tab and score)."""
+    each = " UNION ALL ".join(
+        f"SELECT {keys}, {f} AS feat, {box_sql(p, masks)}::DOUBLE AS v FROM {edges_sql(source, p)}" if p["pattern"] >= 0 else f"SELECT {keys}, {f}, trunc(score * 2147483646)::DOUBLE FROM {source}"
+        for f, p in enumerate(cands.params)
+    )
+    return f"(SELECT {keys}, list(v ORDER BY feat) AS x FROM ({each}) GROUP BY {keys})"
+
+
+#: Two trees of box features of the sums that PIXEL_FOREST gives (four leaves, four classes), and of image scores.
+BIG = 2147483646.0
+SECOND = [{"pattern": 2, "mask": 5, "bh": 2, "bw": 3, "uy": 1, "ux": 0}, {"pattern": -1, "ilp_dim": 0}, {"pattern": 4, "mask": 1, "bh": 1, "bw": 2, "uy": -2, "ux": 3}, {"pattern": 0, "mask": 6, "bh": 3, "bw": 1, "uy": 0, "ux": -2}]
+SECOND_TREES = [
+    [(0, 1, 0, BIG * 0.45, 0.5), (1, 0, 0, 0.01 * BIG, 0.25), (3, _FOUR(0)), (4, _FOUR(1)), (2, 2, 0, 0.1 * BIG, 0.25), (5, _FOUR(2)), (6, _FOUR(3))],
+    [(0, 3, 0, 0.2 * BIG, 0.5), (1, 1, 2, float(int(0.3 * BIG)), 0.25), (3, [0.4, 0.3, 0.2, 0.1]), (4, _FOUR(2)), (2, [0.1, 0.2, 0.3, 0.4])],
+]
+SECOND_FOREST = M.node_rows(SECOND_TREES, "integral", SECOND)
+_SPATIAL = f"""ce AS (SELECT image_id, i, j, m::INT AS mask, (leaf_id = m)::INT::DOUBLE AS x FROM de, range(4) r(m) UNION ALL SELECT image_id, i, j, label + 4, prob FROM dp),
+{_IT.format(keys="1")}, ta AS MATERIALIZED (SELECT image_id, list(s ORDER BY i, j, mask) AS tab FROM it GROUP BY 1)"""
+
+
+def _x_walk_sql(tree: list[tuple], leaf, n: int = 0) -> str:
+    node = next(v for v in tree if v[0] == n)
+    if len(node) == 2:
+        return leaf(node)
+    return f"(CASE WHEN x[{node[1] + 1}] {'=' if node[2] == 2 else '>='} {node[3]!r}::DOUBLE THEN {_x_walk_sql(tree, leaf, 2 * n + 2)} ELSE {_x_walk_sql(tree, leaf, 2 * n + 1)} END)"
+
+
+@query("predict_second_stage", f"""WITH {DENSE}, {_SPATIAL},
+pp AS MATERIALIZED (SELECT image_id, i::INT AS i, j::INT AS j, tab, label / 10.0::DOUBLE AS score FROM ta JOIN embeddings ON vec_id = image_id, range(8) a(i), range(8) b(j)),
+xx AS MATERIALIZED {boxes_sql("pp", T.Candidates(SECOND, []), 8, "image_id, i, j")},
+sc AS (SELECT image_id, i, j, {_x_walk_sql(SECOND_TREES[0], lambda n: str({r[1]: r[8] for r in SECOND_FOREST if r[0] == 0 and r[2]}[n[0]]))} AS leaf_id,
+ {_x_walk_sql(SECOND_TREES[0], _PROBS)} AS p0, {_x_walk_sql(SECOND_TREES[1], _PROBS)} AS p1 FROM xx)
+SELECT image_id, i, j, leaf_id::INT AS leaf_id, k::INT AS label, round((p0[k + 1] + p1[k + 1]) / 2, 6) AS prob FROM sc, range(4) r(k)""")
+def q_second(spark, d):
+    """Every pixel of every image in a stored forest of boxes, image scores and a categorical split, over the sums of a first forest."""
+    path = IO.scratch(spark)
+    IO.save_model(spark, SECOND_FOREST, path)
+    records = T.to_integral_records(X.images(spark, d), X.points(spark, d), PIXEL_FOREST, "spatial", preds(spark, d))
+    pixels = T.argmax_rows(T.predict_image_dense(records, IO.load_model(spark, path)), 4)
+    return pixels.select("image_id", "i", "j", "leaf_id", F.posexplode("probs").alias("label", "prob")).withColumn("prob", r6("prob"))
+
+
+def _two_sql() -> str:
+    """Both stages in SQL: a texton tree of two levels, the sums of its four leaves and ten classes, and two trees of boxes and scores."""
+    first = TEXTONS.candidates(12, 6, 1234)
+    second = T.IntegralFamily(14, ilp_dims=1, ilp_prob=0.25, distance=3, radii=(1, 3)).candidates(16, 6, 1235)
+    texture = "[" + ", ".join(f"{texton_sql(p)}::DOUBLE" for p in first.params) + "]"
+    return f"""WITH {X.F2}, {X.F6}, {PIX},
+fs AS MATERIALIZED (SELECT label, {texture} AS x, image_id FROM f6 JOIN im USING (image_id)), {grown_sql('fs', first, 12, 2, classes=10, p='a')},
+px AS (SELECT image_id, i::INT AS i, j::INT AS j, {texture} AS x FROM im, range(8) a(i), range(8) b(j)), {reached_sql('px', 2, 'a')},
+ce AS (SELECT image_id, i, j, m::INT AS mask, (leaf_id = m)::INT::DOUBLE AS x FROM alf JOIN aln USING (tree_id, node_id), range(4) r(m)
+ UNION ALL SELECT image_id, i, j, alp.label + 4, prob FROM alf JOIN alp USING (tree_id, node_id)),
+{_IT.format(keys="1")}, ta AS MATERIALIZED (SELECT image_id, list(s ORDER BY i, j, mask) AS tab FROM it GROUP BY 1),
+pp AS MATERIALIZED (SELECT f6.image_id, f6.label, i, j, tab, e.label / 10.0::DOUBLE AS score FROM f6 JOIN ta USING (image_id) JOIN embeddings e ON e.vec_id = f6.image_id),
+ss AS MATERIALIZED {boxes_sql("pp", second, 14, "image_id, label, i, j")}, {grown_sql('ss', second, 8, 3, 2, classes=10, p='b')}
+SELECT 1 AS stage, * FROM amodel UNION ALL SELECT 2, * FROM bmodel"""
+
+
+@query("train_two_stage", _two_sql())
 def q_two(spark, d):
-    first, second = T.train_two_stage(X.images(spark, d), X.points(spark, d), 10, trees=2)
+    """A texton tree and two box trees, which may ask for image scores; the second stage's best splits are such."""
+    first, second = T.train_two_stage(
+        X.images(spark, d), X.points(spark, d), 10, trees=2, texton={"max_levels": 2, "num_feat": 12, "num_thresh": 6}, integral={"max_levels": 3, "num_feat": 8, "num_thresh": 6}, scores=preds(spark, d)
+    )
     return _model(spark, first).withColumn("stage", F.lit(1)).unionByName(_model(spark, second).withColumn("stage", F.lit(2)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..operators.model import SCHEMA, nodes_frame
+from ..operators.model import COLUMNS, SCHEMA, nodes_frame
 from ..shared import shared_dir
 
 
@@ -43,20 +43,23 @@ def select_classifiers(models: DataFrame, name: str, wanted: Sequence[str] | Non
     return models if wanted is None else models.where(F.col(name).isin(list(wanted)))
 
 
-def save_model(spark: SparkSession, nodes: list[tuple], path: str, images: DataFrame | None = None) -> None:
-    """Nodes in files by tree, each with its level and, where `images` (tree_id, node_id, num_images) tells, its images."""
-    frame = nodes_frame(spark, nodes).withColumn("level", F.floor(F.log2(F.col("node_id") + 1)).cast("int"))
+def save_model(spark: SparkSession, nodes: list[tuple] | DataFrame, path: str, images: dict[tuple[int, int], int] | None = None) -> None:
+    """Nodes in files by tree, each with its feature, its level and, where `images` tells, the number of its images."""
+    frame = (nodes if isinstance(nodes, DataFrame) else nodes_frame(spark, nodes)).select(*COLUMNS)
+    frame = frame.withColumn("level", F.floor(F.log2(F.col("node_id") + 1)).cast("int"))
     if images is None:
         frame = frame.withColumn("num_images", F.lit(None).cast("long"))
     else:
-        frame = frame.join(images, ["tree_id", "node_id"], "left").withColumn("num_images", F.coalesce("num_images", F.lit(0).cast("long")))
+        # as many rows as the model has
+        counts = spark.createDataFrame([(t, n, k) for (t, n), k in images.items()], "tree_id int, node_id long, num_images long")
+        frame = frame.join(counts, ["tree_id", "node_id"], "left").withColumn("num_images", F.coalesce("num_images", F.lit(0).cast("long")))
     frame.write.mode("overwrite").partitionBy("tree_id").parquet(path)
 
 
 def load_model(spark: SparkSession, path: str) -> DataFrame:
     """The nodes that save_model has written: model.SCHEMA, level, num_images."""
     schema = f"{SCHEMA}, level int, num_images long"
-    return spark.read.schema(schema).parquet(path).select(*[c.split()[0] for c in schema.split(", ")])
+    return spark.read.schema(schema).parquet(path).select(*COLUMNS, "level", "num_images")
 
 
 def write_predictions(predictions: DataFrame, path: str, truth: DataFrame | None = None, keys: Sequence[str] = ("image_id", "i", "j")) -> None:

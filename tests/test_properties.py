@@ -71,8 +71,9 @@ def test_forest_is_a_partition_and_repeats(spark, sf_dir, strict):
     leaves = [n for n in nodes if n[2]]
     assert sorted(n[8] for n in leaves) == list(range(len(leaves)))
     assert all(abs(sum(n[7]) - 1) < 1e-9 for n in leaves)
-    scored = T.score(vectors, nodes, Q.VECTORS.values(cands), ["label"])
+    scored = T.score(vectors, nodes, F.get("features", F.col("params")["dim"]), ["label"])
     assert scored.count() == vectors.count()
+    assert rows(T.predict_samples(vectors, nodes, ["label"]).drop("probs")) == rows(scored.drop("probs"))
     # each leaf's probabilities are the shares of the training rows that reach it
     seen = scored.groupBy("node_id", "label").count().collect()
     by = {}
@@ -101,10 +102,10 @@ def test_saved_model_is_the_same(spark, tmp_path):
 
 
 def test_dense_scores_equal_routed_scores(spark, sf_dir):
-    rows_, cands = T.train_forest(X.points(spark, sf_dir).join(X.images(spark, sf_dir), "image_id"), Q.TEXTONS, 10, max_levels=3, num_feat=10, num_thresh=5)
-    dense = T.argmax_rows(T.predict_image_dense(X.images(spark, sf_dir), rows_, Q.TEXTONS, cands), 10)
+    rows_, cands = T.train_forest(T.with_points(X.images(spark, sf_dir), X.points(spark, sf_dir)), Q.TEXTONS, 10, max_levels=3, num_feat=10, num_thresh=5)
+    dense = T.argmax_rows(T.predict_image_dense(X.images(spark, sf_dir), rows_), 10)
     samples = X.points(spark, sf_dir).join(X.images(spark, sf_dir), "image_id")
-    routed = T.score(samples, rows_, Q.TEXTONS.values(cands), ["image_id", "i", "j"])
+    routed = T.score(samples.withColumn("values", Q.TEXTONS.values(cands)), rows_, F.get("values", F.col("dim")), ["image_id", "i", "j"])
     both = routed.select("image_id", "i", "j", F.col("leaf_id").alias("leaf")).join(dense, ["image_id", "i", "j"])
     assert both.count() == samples.count() and both.where("leaf != leaf_id").count() == 0
 
@@ -203,11 +204,16 @@ def test_families_without_a_column_form(spark, sf_dir):
         def candidates(self, num_feat, num_thresh, seed):
             return Q.VECTORS.candidates(num_feat, num_thresh, seed)
 
+        name = "halves"
+
         def value_np(self, batch, params):
             return batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)[:, params["dim"]]
 
     kw = {"max_levels": 2, "num_feat": 6, "num_thresh": 4}
-    assert T.train_forest(X.vectors(spark, sf_dir), Halves(), 3, **kw)[0] == T.train_forest(X.vectors(spark, sf_dir), Q.VECTORS, 3, **kw)[0]
+    own, _ = T.train_forest(X.vectors(spark, sf_dir), Halves(), 3, **kw)
+    known, _ = T.train_forest(X.vectors(spark, sf_dir), Q.VECTORS, 3, **kw)
+    assert [n[:9] for n in own] == [n[:9] for n in known] and {n[9] for n in own} == {None, "halves"}
+    assert rows(T.predict_samples(X.vectors(spark, sf_dir), own, ["label"], [Halves()]).drop("probs")) == rows(T.predict_samples(X.vectors(spark, sf_dir), known, ["label"]).drop("probs"))
     p = {"dim": 5, "kind": 2}
     assert X.vectors(spark, sf_dir).where(Q.VECTORS.test(p, 1.0)).count() == X.vectors(spark, sf_dir).where("features[5] = 1.0").count()
 
@@ -216,7 +222,7 @@ def test_levels_equal_the_built_in_plan(spark, sf_dir):
     """The root by routing in batches, and by the table of values."""
     valued = Q.valued(spark, sf_dir)
     best, hist = T.train_level(valued, Q.CANDS)
-    bins = T.level_bins(valued, Q.CANDS, {}, [(0, 0)], 0)
+    bins = T.level_bins(Q.VECTORS.source(X.vectors(spark, sf_dir), Q.CANDS.params), Q.VECTORS, Q.CANDS, {}, [(0, 0)])
     assert rows(H.split_histograms(bins, Q.CANDS.frame(spark), T.KEYS)) == rows(hist) and best.count() == 1
 
 
@@ -253,3 +259,122 @@ def test_box_of_five_columns():
     s[:, 4:, 0] = np.arange(6)[:, None]
     p = {"pattern": 4, "mask": 0, "uy": 0, "ux": 0, "bh": 2, "bw": 2}
     assert T.box_values(s, np.array([2]), np.array([2]), p, None)[0] == int(5 / 25 * 2147483646)
+
+
+def test_forests_of_other_features_merge(spark, sf_dir, tmp_path):
+    """Two forests of different seeds, saved, loaded in another session, merged: the mean of both."""
+    numbered = X.embedded(spark, sf_dir)
+    family, kw = T.VectorFamily([(0, -0.5, 0.5)] * 64), {"max_levels": 3, "num_feat": 9, "num_thresh": 4}
+    models = [T.train_forest(numbered, family, 10, seed=seed, **kw)[0] for seed in (5, 6)]
+    assert {n[10]["dim"] for n in models[0] if not n[2]} != {n[10]["dim"] for n in models[1] if not n[2]}
+    for k, nodes in enumerate(models):
+        IO.save_model(spark, nodes, str(tmp_path / str(k)))
+    other = spark.newSession()
+    both = M.merge_models([IO.load_model(other, str(tmp_path / str(k))) for k in range(2)])
+
+    def probs(nodes):
+        got = M.predict_forest(T.predict_samples(numbered, nodes, ["row_id"]), ["row_id"]).collect()
+        return {(r["row_id"], r["label"]): r["prob"] for r in got}
+
+    one, two, merged = probs(models[0]), probs(models[1]), probs(both)
+    assert len(merged) == len(one) and all(abs(merged[k] - (one[k] + two[k]) / 2) < 1e-12 for k in one)
+
+
+def test_stages_merge_and_score_together(spark, sf_dir):
+    """A forest of textons and boxes, image scores and a category: as single forests, averaged."""
+    records = T.to_integral_records(X.images(spark, sf_dir), X.points(spark, sf_dir), Q.PIXEL_FOREST, "spatial", Q.preds(spark, sf_dir))
+    whole = records.join(X.images(spark, sf_dir).select("image_id", "pixels"), "image_id").where("image_id < 30")
+    both = [*Q.PIXEL_FOREST, *[(n[0] + 2, *n[1:]) for n in Q.SECOND_FOREST]]
+    one, two, all_ = (dict(T.predict_image_dense(whole, m).select("image_id", "probs").collect()) for m in (Q.PIXEL_FOREST, Q.SECOND_FOREST, both))
+    assert len(all_) == 30 and all(np.allclose(all_[k], (np.array(one[k]) + np.array(two[k])) / 2) for k in all_)
+
+
+def test_second_stage_asks_for_image_scores(spark, sf_dir):
+    first, second = T.train_two_stage(X.images(spark, sf_dir), X.points(spark, sf_dir), 10, trees=2, texton={"max_levels": 1}, integral={"max_levels": 2, "num_feat": 8, "num_thresh": 6}, scores=Q.preds(spark, sf_dir))
+    assert any(n[10]["pattern"] < 0 for n in second if not n[2])
+    rows_ = T.stage_rows(X.images(spark, sf_dir), X.points(spark, sf_dir), first, Q.preds(spark, sf_dir))
+    dense = T.argmax_rows(T.predict_image_dense(rows_, second), 10).join(X.points(spark, sf_dir), ["image_id", "i", "j"])
+    # leaves hold the shares of the training points that reach them, so a leaf's points have its probabilities
+    tree = [n for n in second if n[0] == 0 and n[2]]
+    seen = {r["leaf_id"]: r["n"] for r in dense.groupBy("leaf_id").agg(F.count("*").alias("n")).collect()}
+    by = {(r["leaf_id"], r["label"]): r["count"] for r in dense.groupBy("leaf_id", "label").count().collect()}
+    assert set(seen) == {n[8] for n in tree}
+    assert all(abs(by.get((n[8], k), 0) / seen[n[8]] - p) < 1e-9 for n in tree for k, p in enumerate(n[7]))
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("stop", [0, 2])
+def test_training_resumes_after_the_last_saved_level(spark, sf_dir, tmp_path, monkeypatch, stop):
+    from grovework.plans import forest as code
+
+    kw = {"max_levels": 4, "num_feat": 6, "num_thresh": 4, "num_trees": 2}
+    whole, _ = T.train_forest(X.vectors(spark, sf_dir), Q.VECTORS, 3, save_to=str(tmp_path / "whole"), **kw)
+    save, levels = code.save_model, []
+
+    def save_some(spark, nodes, path, images=None):
+        if path.endswith(f"level={stop + 1}"):
+            raise Stopped
+        save(spark, nodes, path, images)
+
+    monkeypatch.setattr(code, "save_model", save_some)
+    with pytest.raises(Stopped):
+        T.train_forest(X.vectors(spark, sf_dir), Q.VECTORS, 3, save_to=str(tmp_path / "cut"), **kw)
+    monkeypatch.setattr(code, "save_model", save)
+    count = code.level_bins
+    monkeypatch.setattr(code, "level_bins", lambda source, family, cands, splits, open_, trees=1: levels.append(max(n for _, n in open_)) or count(source, family, cands, splits, open_, trees))
+    again, _ = T.train_forest(X.vectors(spark, sf_dir), Q.VECTORS, 3, save_to=str(tmp_path / "cut"), resume=True, **kw)
+    assert again == whole and min(levels) >= 2 ** (stop + 1) - 1
+    last = {k: rows(IO.load_model(spark, f"{tmp_path}/{k}/level=4").select("tree_id", "node_id", "num_images", "leaf_id")) for k in ("whole", "cut")}
+    assert last["whole"] == last["cut"]
+    with pytest.raises(ValueError):
+        T.train_forest(X.vectors(spark, sf_dir), Q.VECTORS, 3, save_to=str(tmp_path / "cut"), resume=True, **(kw | {"seed": 9}))
+
+
+def test_rounds_of_nodes_give_the_same_forest(spark, sf_dir, monkeypatch):
+    from grovework.plans import forest as code
+
+    kw = {"max_levels": 3, "num_feat": 6, "num_thresh": 4, "num_trees": 2}
+    asked, count = [], code.level_bins
+    monkeypatch.setattr(code, "level_bins", lambda source, family, cands, splits, open_, trees=1: asked.append(len(open_)) or count(source, family, cands, splits, open_, trees))
+    whole, _ = T.train_forest(X.vectors(spark, sf_dir), Q.VECTORS, 3, **kw)
+    before = len(asked)
+    # cells for three nodes of six features, four thresholds and three classes
+    assert T.train_forest(X.vectors(spark, sf_dir), Q.VECTORS, 3, cells=3 * 72, **kw)[0] == whole
+    assert max(asked[:before]) > 3 and max(asked[before:]) == 3
+
+
+def test_what_is_written_does_not_grow_with_features(spark, sf_dir, monkeypatch):
+    from grovework.plans import forest as code
+
+    written, keep = [], code.checkpoint
+    monkeypatch.setattr(code, "checkpoint", lambda df: written.append(df.columns) or keep(df))
+    T.train_forest(T.with_points(X.images(spark, sf_dir), X.points(spark, sf_dir)), Q.TEXTONS, 10, max_levels=2, num_feat=40, num_thresh=3)
+    assert written == [["points", "image", "height", "width", "pixels"]]
+    # once most rows are closed, the others are written alone: here those of one class end at the root's leaf
+    written.clear()
+    one = spark.createDataFrame([(0, [0.0]) if k % 10 else (k // 10 % 3, [1.0 + k]) for k in range(600)], "label int, features array<double>")
+    family = T.VectorFamily([(0, 0.5, 601.0)])
+    nodes, cands = T.train_forest(one, family, 3, max_levels=3, num_feat=4, num_thresh=30, min_info=0.05)
+    monkeypatch.setattr(code, "SHARE", 0.0)
+    assert T.train_forest(one, family, 3, max_levels=3, num_feat=4, num_thresh=30, min_info=0.05)[0] == nodes
+
+
+def test_open_rows_of_images_keep_their_points(spark, sf_dir):
+    from grovework.plans import forest as code
+
+    source = Q.TEXTONS.source(T.with_points(X.images(spark, sf_dir), X.points(spark, sf_dir)), Q.TCANDS.params)
+    splits = {(0, 0): (Q.TCANDS.params[0], 0, Q.TCANDS.thresholds[0][1])}
+    left, right = (code.open_rows(source, Q.TEXTONS, Q.TCANDS.params, splits, [(0, n)]) for n in (1, 2))
+    sizes = [df.agg(F.sum(F.size("points"))).first()[0] or 0 for df in (left, right, source)]
+    assert sizes[0] + sizes[1] == sizes[2] and min(sizes) > 0
+    assert code.class_counts(left, Q.TEXTONS, []) == dict(left.select(F.explode("points.label").alias("l")).groupBy("l").count().collect())
+
+
+def test_parameters_of_a_stored_model(spark, tmp_path):
+    IO.save_model(spark, Q.SECOND_FOREST, str(tmp_path / "m"))
+    got = M.model_param_hist(IO.load_model(spark, str(tmp_path / "m")), ["pattern", "mask", "t"]).collect()
+    # image scores have no mask
+    assert sum(r["n"] for r in got if r["param"] == "pattern") == 5 and sum(r["n"] for r in got if r["param"] == "mask") == 3
