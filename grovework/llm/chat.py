@@ -208,7 +208,7 @@ def hostile(spark: SparkSession) -> DataFrame:
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile(spark))
-    return digest_turns(format_turns(rows, context=0)).drop("rewrites")
+    return digest_turns(format_turns(rows))
 
 
 _ESC = r"""regexp_replace(replace({}, '\', '\\'), '(<)(s>|/s>|<SYS>>|</SYS>>|\|start\|>|\|body\|>|\|end\|>)|(\[)(INST\]|/INST\])', '\1\3\\.\2\4', 'g')"""
@@ -219,6 +219,6 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  (3 + sum(9 + length({_ESC.format('role')}) + 8 + length({_ESC.format('text')}) + 8))::BIGINT AS formatted_chars
+  (3 + sum(9 + length({_ESC.format('role')}) + 8 + length({_ESC.format('text')}) + 8))::BIGINT AS formatted_chars, 0::BIGINT AS rewrites
 FROM c GROUP BY conv_id
 """
