@@ -11,6 +11,8 @@ from .common import checkpoint, materialize, running_sum, table, unused, word_co
 
 #: Ranks are counted in this many bins before any rows are sorted.
 BINS = 4096
+#: A document of so many words or more has twice the inclusion weight of an empty one.
+FAVOUR = 1000
 TWO52 = float(2**52)
 
 
@@ -64,8 +66,9 @@ def pareto_mix(docs: DataFrame, targets: DataFrame, seed: str = "mix", weight: s
     docs: doc_id, source, size long, row (a unique long; made here where docs
     have none) and, if named, a positive inclusion weight within the source;
     targets: source, source_size, target.  Returns these with copies.  A document's wish is
-    target/source_size, times its weight over the source's size-weighted mean
-    weight.  The whole part of the wish is certain.  For the rest, documents
+    target/source_size: its whole part is certain, and the fraction is the chance
+    of one more copy, times the document's weight (a whole number) over the
+    source's size-weighted mean weight, 1 at most.  For these, documents
     rank by the draw's odds over the odds of the fraction, and a source takes
     them in that order while their sizes fit in what certain copies leave of
     its target; last, the one document left whose size comes nearest to what
@@ -83,10 +86,10 @@ def pareto_mix(docs: DataFrame, targets: DataFrame, seed: str = "mix", weight: s
     rows = docs.join(t, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     wish = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     if weight is not None:
-        mean = docs.groupBy("source").agg((F.sum(F.col(weight) * F.col("size")) / F.sum("size")).alias("__mean"))
-        mean = mean.withColumnRenamed("source", "__source")
-        rows = rows.join(mean, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-        wish = F.coalesce(wish * F.col(weight) / F.col("__mean"), F.lit(0.0))
+        sums = docs.groupBy(F.col("source").alias("__source")).agg(F.sum(F.col(weight) * F.col("size")).cast("double").alias("__weighed"))
+        rows = rows.join(sums, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+        more = (wish - F.floor(wish)) * F.col(weight) * F.col("source_size") / F.nullif("__weighed", F.lit(0.0))
+        wish = F.floor(wish) + F.coalesce(F.least(more, F.lit(1.0)), F.lit(0.0))
     frac = F.col("__wish") - F.floor("__wish")
     odds = F.col("__u") / (1 - F.col("__u")) * (1 - F.col("__frac")) / F.col("__frac")
     rows = checkpoint(
@@ -148,11 +151,13 @@ def pareto_mix(docs: DataFrame, targets: DataFrame, seed: str = "mix", weight: s
 def _mixed(docs: DataFrame, row: Column, weights: Sequence[int], share_percent: int, most: int, seed: str) -> DataFrame:
     # null doc_ids are told apart by their texts
     draw = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")))
-    sized = checkpoint(docs.select(row.alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), draw.alias("draw")))
+    sized = docs.select(row.alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), draw.alias("draw"))
+    # a longer document is up to twice as likely to be taken once more as a short one
+    sized = checkpoint(sized.withColumn("favour", FAVOUR + F.least("size", F.lit(FAVOUR).cast("long"))))
     targets = source_targets(
         sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share_percent, most
     )
-    return pareto_mix(sized, targets, seed)
+    return pareto_mix(sized, targets, seed, "favour")
 
 
 def mix_documents(
@@ -160,6 +165,9 @@ def mix_documents(
 ) -> DataFrame:
     """Whole documents mixed to the sources' weights: doc_id, size, source_size, target, taken, copies.
 
+    Within a source, a document's odds of one more copy grow with its size, up to
+    FAVOUR words, to twice those of an empty one.
+
     size is the number of words (null text: 0); taken = size * copies, copies
     at most `most`.  A null source is one source.  Rows that repeat are each
     counted, and documents without a doc_id are drawn by their text.  An empty
@@ -204,11 +212,12 @@ lv2 AS (SELECT *, first_value(CASE WHEN lev * w <= cap THEN lev END IGNORE NULLS
 tgt AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap::DOUBLE ELSE least(level * w, cap::DOUBLE) END AS target FROM lv2),
 r AS (
   SELECT s.*, t.source_size, t.target,
-         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS wish,
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate, 1000 + least(size, 1000) AS favour,
          (('0x' || substr(md5('mix/' || draw), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN tgt t ON s.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, floor(rate) + coalesce(least((rate - floor(rate)) * favour::DOUBLE * source_size::DOUBLE / nullif((sum(favour * size) OVER (PARTITION BY source))::DOUBLE, 0), 1.0::DOUBLE), 0.0::DOUBLE) AS wish FROM r),
 q AS (
-  SELECT *, floor(wish)::BIGINT AS whole, wish - floor(wish) AS frac FROM r),
+  SELECT *, floor(wish)::BIGINT AS whole, wish - floor(wish) AS frac FROM p),
 q2 AS (SELECT *, CASE WHEN frac > 0 THEN u / (1 - u) * (1 - frac) / frac END AS q FROM q),
 b AS (
   SELECT *, target - sum(size * whole) OVER (PARTITION BY source)::BIGINT AS budget,
