@@ -35,8 +35,14 @@ ENCODINGS = (
 _BETWEEN = re.compile(r"[^=]+(?:=+$)?")
 _CUTS = [re.compile(rf"[^{re.escape(c)}]+") for c in ("-_", "+/", "+/-_")]
 _ORDER = [(name, {c: i for i, c in enumerate(alphabet)}) for name, alphabet in ENCODINGS]
-#: Chance that two characters of ordinary text are equal (that of English letters).
-TEXT_MATCH = 0.066
+#: Shares of the letters in English text, in percent (fixed values).
+LETTER_PERCENT = {
+    "a": 8.2, "b": 1.5, "c": 2.8, "d": 4.3, "e": 12.7, "f": 2.2, "g": 2.0, "h": 6.1, "i": 7.0, "j": 0.15, "k": 0.77, "l": 4.0, "m": 2.4,
+    "n": 6.7, "o": 7.5, "p": 1.9, "q": 0.095, "r": 6.0, "s": 6.3, "t": 9.1, "u": 2.8, "v": 0.98, "w": 2.4, "x": 0.15, "y": 2.0, "z": 0.074,
+}
+#: Chance that ordinary text goes from one of capitals, small letters and digits to another between two characters; from a capital to
+#: a small letter, as in names and compounds, doesn't count.
+SWITCH = 0.12
 #: Rates of false discoveries, among runs found unlike random characters and among those found unlike text.
 RANDOM_RATE, DISCOVERY_RATE = 0.001, 0.01
 #: Base-ten logarithms of p-values are counted in bins of a tenth; strata are powers of two of the length.
@@ -47,6 +53,30 @@ def _fits(body: str) -> bool:
     return any(all(c in index for c in body) for _, index in _ORDER)
 
 
+def _in_text(alphabet: str) -> tuple[float, float, float]:
+    """Share of ordinary letters that are of an alphabet, share of digits, and how often two of its ordinary letters are equal."""
+    own = [LETTER_PERCENT[c] / 100 for c in sorted(set(alphabet.lower()) & LETTER_PERCENT.keys())]
+    return sum(own), sum(c.isdigit() for c in alphabet) / 10, sum(f * f for f in own) / sum(own) ** 2
+
+
+_TEXT = {name: _in_text(alphabet) for name, alphabet in ENCODINGS}
+
+
+def _fisher(*ps: float) -> float:
+    """One p-value of independent ones."""
+    half = -sum(math.log(max(p, 1e-300)) for p in ps)
+    return min(1.0, math.exp(-half) * sum(half**k / math.factorial(k) for k in range(len(ps))))
+
+
+def _switches(body: str) -> float:
+    """The chance that ordinary text changes between capitals, small letters and digits as often as this."""
+    kinds = [0 if c.isdigit() else 1 if c.islower() else 2 for c in body if c.isalnum()]
+    n, k = len(kinds) - 1, sum(a != b and (a, b) != (2, 1) for a, b in zip(kinds, kinds[1:], strict=False))
+    if n > 400:
+        return _normal_tail((k - 0.5 - n * SWITCH) / math.sqrt(n * SWITCH * (1 - SWITCH)))
+    return sum(math.comb(n, i) * SWITCH**i * (1 - SWITCH) ** (n - i) for i in range(k, n + 1))
+
+
 def _normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -55,11 +85,15 @@ def battery(run: str) -> tuple[str, float, float] | None:
     """Encoding, p-value if the run were random, p-value if it were ordinary text; None if no encoding fits.
 
     The encoding is the smallest that holds all characters, which is the one
-    most likely to give them by uniform draws.  The first p-value joins three tests (Fisher's method): chi-squared against a uniform
-    alphabet (Wilson and Hilferty's normal form), runs above and below the
-    alphabet's middle, and lag-one serial correlation, both two-sided.  The
-    second is the chance that as long a piece of text, whose characters match
-    with TEXT_MATCH, would have a chi-squared as small: the longer, the surer.
+    most likely to give them by uniform draws.  The first p-value joins three
+    tests (Fisher's method): chi-squared against a uniform alphabet (Wilson and
+    Hilferty's normal form), runs above and below the alphabet's middle, and
+    lag-one serial correlation, both two-sided.  The second joins what ordinary
+    text would have to do to look like that: use no letters and digits but the
+    encoding's, whose chi-squared would then be as small as the run's though
+    text doesn't use them alike, and change between capitals, small letters and
+    digits as often.  So small alphabets, which text seldom keeps to, and large
+    ones, which it uses unevenly, are told from it alike: the longer, the surer.
     """
     body = run.rstrip("=")
     if len(body) < 20 or body.isdigit() or body.isalpha() and (body.islower() or body.isupper()):
@@ -84,10 +118,12 @@ def battery(run: str) -> tuple[str, float, float] | None:
     power = sum((i - mid) ** 2 for i in x)
     serial = sum((a - mid) * (b - mid) for a, b in zip(x, x[1:], strict=False)) / power if power else 1.0
     serial_p = 2 * _normal_tail(abs(serial + 1 / n) * math.sqrt(n))
-    half = -sum(math.log(max(p, 1e-300)) for p in (uniform, runs_p, serial_p))
-    random_p = min(1.0, math.exp(-half) * (1 + half + half * half / 2))
-    excess = n * (k * TEXT_MATCH - 1)
-    text_p = _normal_tail((df + excess - chi) / math.sqrt(2 * (df + 2 * excess)))
+    random_p = _fisher(uniform, runs_p, serial_p)
+    letters, digits, match = _TEXT[name]
+    within = letters ** sum(c.isalpha() for c in body) * digits ** sum(c.isdigit() for c in body)
+    excess = max(0.0, n * (k * match - 1))
+    uneven = _normal_tail((df + excess - chi) / math.sqrt(2 * (df + 2 * excess)))
+    text_p = _fisher(within * uneven, _switches(body))
     return name, max(random_p, 10.0**-MOST_DECADES), max(text_p, 10.0**-MOST_DECADES)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -90,6 +91,28 @@ def test_decontamination_of_odd_and_empty_tables(spark, odd):
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
 
 
+def test_masks_hit_whatever_two_tokens_differ():
+    """Every placement of as many substitutions as SHARE allows, by length of the item: how many no mask hits."""
+
+    def missed(n, subs):
+        masks = decontaminate.MASKS if n >= decontaminate.SPAN else decontaminate.short_masks(n)
+        kept = [{a + i for i, m in enumerate(mask) if m == "1"} for mask in masks for a in range(n - len(mask) + 1)]
+        return sum(all(k & set(c) for k in kept) for c in combinations(range(n), subs)), math.comb(n, subs)
+
+    most = {n: int(n * (1 - decontaminate.SHARE) + 1e-9) for n in range(decontaminate.SHORTEST, 26)}
+    assert most[8] == 1 and most[10] == 2 and most[15] == 3
+    assert all(missed(n, k) == (0, math.comb(n, k)) for n in most for k in range(min(most[n], 2) + 1))
+    assert {n: missed(n, k)[0] for n, k in most.items() if k > 2} == {15: 44, 16: 32, 17: 20, 18: 12, 19: 7, 20: 125, 21: 63, 22: 21, 23: 0, 24: 0, 25: 0}
+
+
+@pytest.mark.parametrize("swapped", [(0,), (4,), (11,), (1, 7), (0, 11), (5, 6)])
+def test_items_of_a_span_may_differ_in_two_tokens(spark, swapped):
+    words = [f"bench{i}" for i in range(12)]
+    text = " ".join("other" if i in swapped else w for i, w in enumerate(words))
+    bench = spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
+    assert [r["item_id"] for r in decontaminate.contaminated(frame(spark, [(1, text)]), bench).collect()] == [9]
+
+
 # -- 2 ---------------------------------------------------------------------------------------------
 
 
@@ -384,6 +407,64 @@ def test_battery_tells_keys_from_words():
     assert secret_scan.battery("aaaaaaaaaa1111111111bbbbbbbbbb2222222222")[1] < 0.001
 
 
+def test_battery_equals_its_statistics_worked_out_apart():
+    draw = np.random.default_rng(4)
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    for name, alphabet in secret_scan.ENCODINGS:
+        for size in (20, 33, 90):
+            run = "".join(draw.choice(list(alphabet), size))
+            got = secret_scan.battery(run)
+            if got is None or got[0] != name:
+                continue
+            k, x = len(alphabet), np.array([alphabet.index(c) for c in run])
+            seen = np.array([(x == i).sum() for i in range(k)])
+            chi = ((seen - size / k) ** 2 / (size / k)).sum()
+            ps = [tail(((chi / (k - 1)) ** (1 / 3) - 1 + 2 / (9 * (k - 1))) / math.sqrt(2 / (9 * (k - 1))))]
+            high = x >= k / 2
+            up, down = int(high.sum()), int((~high).sum())
+            mean, n = 1 + 2 * up * down / size, size
+            var = 2 * up * down * (2 * up * down - n) / (n * n * (n - 1))
+            ps.append(2 * tail(abs(1 + int((high[1:] != high[:-1]).sum()) - mean) / math.sqrt(var)))
+            c = x - x.mean()
+            ps.append(2 * tail(abs((c[1:] * c[:-1]).sum() / (c * c).sum() + 1 / n) * math.sqrt(n)))
+            h = -np.log(ps).sum()
+            assert abs(got[1] - math.exp(-h) * (1 + h + h * h / 2)) < 1e-9
+    assert abs(secret_scan._switches("ab1") - (1 - 0.88**2)) < 1e-12 and secret_scan._switches("Ab") == 1 and secret_scan._switches("a-b") == 1
+
+
+ORDINARY = "about other which their there first would these after think three world under great where right still small found house again place every state never".split()
+
+
+def ordinary_run(draw) -> str:
+    words = draw.choice(ORDINARY, 6).tolist()
+    kind = draw.integers(6)
+    if kind == 0:
+        return "".join(w.capitalize() for w in words)
+    if kind == 1:
+        return f"20{draw.integers(10, 25)}-{draw.integers(10, 13)}-{draw.integers(10, 28)}-{'-'.join(words[:3])}"
+    return ("-", "/", "_", "")[kind - 2].join(words) + str(draw.integers(1000))
+
+
+#: Shares of keys found among 1,000 ordinary runs, at least, by encoding and length; where 0.9 can't be had the figure is what it is.
+RECALL = {
+    "hex": {20: 0.9}, "HEX": {20: 0.9, 32: 0.9, 40: 0.9, 64: 0.9}, "base32": {20: 0.2, 32: 0.6, 40: 0.8, 64: 0.9}, "base36": {20: 0.2, 24: 0.4, 32: 0.8, 40: 0.8, 64: 0.9},
+    "base62": {20: 0.8, 32: 0.9, 40: 0.9, 64: 0.9}, "base64": {20: 0.7, 32: 0.9, 40: 0.9, 64: 0.9},
+}
+
+
+def test_recall_by_encoding_and_length(spark):
+    draw, alphabets = np.random.default_rng(7), dict(secret_scan.ENCODINGS)
+    rows = [(k, f"see {ordinary_run(draw)} there") for k in range(1000)]
+    keys = [(e, n) for e, sizes in RECALL.items() for n in sizes for _ in range(20)]
+    rows += [(1000 + i, f"see {''.join(draw.choice(list(alphabets[e]), n))} there") for i, (e, n) in enumerate(keys)]
+    got = {r["doc_id"]: len(r["added"]) for r in secret_scan.find_secrets(frame(spark, rows)).collect()}
+    found = Counter(keys[i] for i in range(len(keys)) if got[1000 + i])
+    low = {(e, n): found[e, n] / 20 for e, sizes in RECALL.items() for n, least in sizes.items() if found[e, n] / 20 < least}
+    assert not low
+    false = sum(got[k] for k in range(1000))
+    assert false <= 0.02 * (false + sum(found.values()))
+
+
 def test_secrets_of_odd_tables(spark, odd):
     keys = frame(spark, [(100 + i, f"see {KEY[i:] + KEY[:i]}{KEY} end") for i in range(5)] + [(200, "plain words and a-very-long-hyphenated-compound-word-1")])
     got = {r["doc_id"]: r for r in secret_scan.find_secrets(odd.unionByName(keys)).collect()}
