@@ -57,8 +57,9 @@ def place_seeds(images: DataFrame, patch: int) -> DataFrame:
 def seed_refine(seeds: DataFrame, raster: DataFrame, images: DataFrame, patch: int) -> DataFrame:
     """Seeds moved to the pixel of least contrast (sum of absolute differences to 8 neighbours) near them.
 
-    The window reaches patch/4 - 1 pixels and stays one pixel inside the image;
-    ties go to the first in row order, and a contrast of 255 (2d + 1)^2 or more moves nothing.
+    The window reaches patch/4 - 1 pixels, its start no nearer than one pixel to
+    the first edges and its end to the last ones, so it may be empty, and then
+    (as for patches below 4) the seed stays; ties go to the first in row order, and a contrast of 255 (2d + 1)^2 or more moves nothing.
     """
     delta = patch // 4 - 1
     around = {f"n{k}": (di, dj) for k, (di, dj) in enumerate((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)}
@@ -68,10 +69,13 @@ def seed_refine(seeds: DataFrame, raster: DataFrame, images: DataFrame, patch: i
     for t in terms[1:]:
         total = total + t
     contrast = near.select("image_id", F.col("i").alias("ti"), F.col("j").alias("tj"), total.alias("contrast"))
-    inside = lambda c, n: F.least(F.greatest(c, F.lit(1)), F.col(n) - 2)
+
+    def window(c: str, n: str) -> Column:
+        start, end = F.greatest(F.col(c) - delta, F.lit(1)), F.least(F.col(c) + delta, F.col(n) - 2)
+        return F.explode(F.when(start <= end, F.sequence(start, end)))
+
     box = seeds.join(images.select("image_id", "height", "width"), "image_id")
-    box = box.withColumn("ti", F.explode(F.sequence(inside(F.col("i") - delta, "height"), inside(F.col("i") + delta, "height"))))
-    box = box.withColumn("tj", F.explode(F.sequence(inside(F.col("j") - delta, "width"), inside(F.col("j") + delta, "width"))))
+    box = box.withColumn("ti", window("i", "height")).withColumn("tj", window("j", "width"))
     met = box.join(contrast, ["image_id", "ti", "tj"]).where(F.col("contrast") < 255 * (2 * delta + 1) ** 2)
     best = met.groupBy("image_id", "seed").agg(F.min(F.struct("contrast", "ti", "tj")).alias("b"))
     return seeds.join(best, ["image_id", "seed"], "left").select(
@@ -112,8 +116,12 @@ def boundary_energy(labels: DataFrame, weights: DataFrame, raster: DataFrame | N
 _AROUND = {f"r{k}": (di, dj) for k, (di, dj) in enumerate((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)}
 
 
-def _refined(region: np.ndarray, weight: dict[str, np.ndarray], seeds: dict[int, tuple[int, int]], patch: int, sweeps: int) -> np.ndarray:
-    """One image's regions after the sweeps; weight: of each direction, 0 where there is no pair."""
+#: What a pixel pays at most for differing from its region's seed.
+MOST_CONTRAST = 15
+
+
+def _refined(region: np.ndarray, weight: dict[str, np.ndarray], seeds: dict[int, tuple[int, int]], patch: int, sweeps: int, v: np.ndarray | None = None) -> np.ndarray:
+    """One image's regions after the sweeps; weight: of each direction, 0 where there is no pair; v: its pixels, where these count too."""
     h, w = region.shape
     diag = {d: np.floor(weight[d] / np.sqrt(2.0)).astype(np.int64) for d in ("upleft", "upright")}
     edge = {"left": weight["left"], "up": weight["up"], **diag}
@@ -141,8 +149,11 @@ def _refined(region: np.ndarray, weight: dict[str, np.ndarray], seeds: dict[int,
         for k in range(-1, len(near)):
             cand = own if k < 0 else near[k]
             price = np.where(seen & (near != cand), price_of, 0).sum(0)
+            place = np.searchsorted(names, cand).clip(max=len(names) - 1)
+            if v is not None and len(names):
+                unlike = np.abs(v[i, j] - v[at[place, 0], at[place, 1]]).clip(max=MOST_CONTRAST)
+                price = price + np.where(names[place] == cand, unlike, 0)
             if k >= 0 and len(names):
-                place = np.searchsorted(names, cand).clip(max=len(names) - 1)
                 close = (names[place] == cand) & (np.abs(i - at[place, 0]) <= patch) & (np.abs(j - at[place, 1]) <= patch)
             else:
                 close = np.full(len(i), k < 0)
@@ -155,19 +166,23 @@ def _refined(region: np.ndarray, weight: dict[str, np.ndarray], seeds: dict[int,
     return region
 
 
-def superpixel_refine(labels: DataFrame, weights: DataFrame, seeds: DataFrame, patch: int, sweeps: int = 2) -> DataFrame:
+def superpixel_refine(labels: DataFrame, weights: DataFrame, seeds: DataFrame, patch: int, sweeps: int = 2, raster: DataFrame | None = None) -> DataFrame:
     """Labels after sweeps that never raise boundary_energy, an image at a time.
 
     Pixels of one of four colours (parity of i and j) move at a time, so no two
     neighbours do: each may take a neighbour's region whose seed is within
     `patch` in both directions, if that costs least; ties keep the smallest change
-    (its own region first, then the lower number).  An image's pixels, weights
-    and seeds meet in one row, which its size bounds, and are swept there.
+    (its own region first, then the lower number).  With a raster, a pixel also
+    pays for differing from its region's seed, up to MOST_CONTRAST, as
+    boundary_energy then counts it.  An image's pixels, weights and seeds meet in
+    one row, which its size bounds, and are swept there.
     """
     number = F.element_at(F.create_map(*[F.lit(x) for n, d in enumerate(DIRECTIONS) for x in (d, n)]), F.col("dir"))
-    px = labels.groupBy("image_id").agg(F.collect_list(F.struct("i", "j", "region")).alias("px"))
+    values = labels.withColumn("v", F.lit(0)) if raster is None else labels.join(raster.select("image_id", "i", "j", "v"), ["image_id", "i", "j"])
+    px = values.groupBy("image_id").agg(F.collect_list(F.struct("i", "j", "region", "v")).alias("px"))
     edges = weights.groupBy("image_id").agg(F.collect_list(F.struct("i", "j", number.alias("d"), "w")).alias("edges"))
     spots = seeds.groupBy("image_id").agg(F.collect_list(F.struct("seed", "i", "j")).alias("spots"))
+    pixels_count = raster is not None
     whole = px.join(edges, "image_id", "left").join(spots, "image_id", "left")
 
     def part(x: pa.ListScalar, *names: str) -> list[np.ndarray]:
@@ -177,9 +192,11 @@ def superpixel_refine(labels: DataFrame, weights: DataFrame, seeds: DataFrame, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for image, x, e, s in zip(*b.columns, strict=True):
-                i, j, r = part(x, "i", "j", "region")
+                i, j, r, v = part(x, "i", "j", "region", "v")
                 region = np.zeros((i.max() + 1, j.max() + 1), np.int64)
                 region[i, j] = r
+                shades = np.zeros_like(region)
+                shades[i, j] = v
                 ei, ej, d, w = part(e, "i", "j", "d", "w")
                 weight = {}
                 for n, name in enumerate(DIRECTIONS):
@@ -187,7 +204,7 @@ def superpixel_refine(labels: DataFrame, weights: DataFrame, seeds: DataFrame, p
                     weight[name][ei[d == n], ej[d == n]] = w[d == n]
                 seed, si, sj = part(s, "seed", "i", "j")
                 spots = dict(zip(seed.tolist(), zip(si.tolist(), sj.tolist(), strict=True), strict=True))
-                region = _refined(region, weight, spots, patch, sweeps)
+                region = _refined(region, weight, spots, patch, sweeps, shades if pixels_count else None)
                 cols = [pa.array([image.as_py()] * len(i), pa.int64()), *(pa.array(v.astype(np.int32)) for v in (i, j, region[i, j]))]
                 yield pa.RecordBatch.from_arrays(cols, names=["image_id", "i", "j", "region"])
 
@@ -195,12 +212,15 @@ def superpixel_refine(labels: DataFrame, weights: DataFrame, seeds: DataFrame, p
 
 
 def superpixels(raster: DataFrame, images: DataFrame, patch: int, sweeps: int = 2, lam: float = 10.0, kind: int = 0) -> DataFrame:
-    """image_id, i, j, region of rasters (image_id, i, j, v): seeds, moved to low contrast, cover their surroundings and are refined."""
+    """image_id, i, j, region of rasters (image_id, i, j, v): seeds, moved to low contrast, cover their surroundings and are refined.
+
+    Of kind 1, pixels also keep to the shade of their region's seed.
+    """
     seeds = seed_refine(place_seeds(images, patch), raster, images, patch)
-    return superpixel_refine(initial_labels(seeds, images, patch), edge_weights(raster, kind, lam), seeds, patch, sweeps)
+    return superpixel_refine(initial_labels(seeds, images, patch), edge_weights(raster, kind, lam), seeds, patch, sweeps, raster if kind == 1 else None)
 
 
-def refine_by_columns(labels: DataFrame, weights: DataFrame, seeds: DataFrame, patch: int, sweeps: int = 2) -> DataFrame:
+def refine_by_columns(labels: DataFrame, weights: DataFrame, seeds: DataFrame, patch: int, sweeps: int = 2, raster: DataFrame | None = None) -> DataFrame:
     """The same in built-in functions, for images too large for a row: six shuffles of the pixels for each colour."""
     # the weight of each of the 8 pairs of a pixel, seen from it
     wide = weights.groupBy("image_id", "i", "j").pivot("dir", list(DIRECTIONS)).agg(F.first("w"))
@@ -216,6 +236,12 @@ def refine_by_columns(labels: DataFrame, weights: DataFrame, seeds: DataFrame, p
     cost = checkpoint(cost)
     now = checkpoint(labels.select("image_id", "i", "j", "region"))
     at = seeds.select("image_id", F.col("seed").alias("cand"), F.col("i").alias("si"), F.col("j").alias("sj"))
+    unlike = F.lit(0).cast("long")
+    if raster is not None:
+        shades = raster.select("image_id", "i", "j", "v")
+        cost = cost.join(shades, ["image_id", "i", "j"])
+        at = at.join(shades.select("image_id", F.col("i").alias("si"), F.col("j").alias("sj"), F.col("v").alias("sv")), ["image_id", "si", "sj"])
+        unlike = F.coalesce(F.least(F.abs(F.col("v") - F.col("sv")), F.lit(MOST_CONTRAST)), F.lit(0)).cast("long")
     for _ in range(sweeps):
         for color in range(4):
             near = _shifted(now, "region", _AROUND)
@@ -223,14 +249,14 @@ def refine_by_columns(labels: DataFrame, weights: DataFrame, seeds: DataFrame, p
             moving = near.where(turn).join(cost, ["image_id", "i", "j"])
             pairs = F.array(*[F.struct(F.col(n).alias("r"), F.col(f"w{n[1:]}").alias("w")) for n in _AROUND])
             cands = F.array_distinct(F.filter(F.array("region", *_AROUND), lambda c: c.isNotNull()))
-            each = moving.select("image_id", "i", "j", "region", pairs.alias("near"), F.explode(cands).alias("cand"))
+            each = moving.select("image_id", "i", "j", "region", *(["v"] if raster is not None else []), pairs.alias("near"), F.explode(cands).alias("cand"))
             each = each.join(at, ["image_id", "cand"], "left").where(
                 (F.col("cand") == F.col("region")) | ((F.abs(F.col("i") - F.col("si")) <= patch) & (F.abs(F.col("j") - F.col("sj")) <= patch))
             )
             price = F.aggregate(
                 "near", F.lit(0).cast("long"), lambda t, p: t + F.when(p["r"].isNotNull() & (p["r"] != F.col("cand")), p["w"]).otherwise(F.lit(0).cast("long"))
             )
-            order = F.struct(price.alias("p"), (F.col("cand") != F.col("region")).alias("c"), F.col("cand").alias("r"))
+            order = F.struct((price + unlike).alias("p"), (F.col("cand") != F.col("region")).alias("c"), F.col("cand").alias("r"))
             taken = each.groupBy("image_id", "i", "j").agg(F.min(order).alias("b")).select("image_id", "i", "j", F.col("b.r").alias("new"))
             now = checkpoint(now.join(taken, ["image_id", "i", "j"], "left").select("image_id", "i", "j", F.coalesce("new", "region").alias("region")))
     return now
@@ -261,6 +287,73 @@ def region_boundaries(labels: DataFrame, scale: float = 1.0, images: DataFrame |
     return near.where(differs).select("image_id", "i", "j", "region")
 
 
+#: Along the sides of a pixel, with it on the right hand: the way on, and the way out.
+_ON = ((0, 1), (1, 0), (0, -1), (-1, 0))
+_OUT = ((-1, 0), (0, 1), (1, 0), (0, -1))
+
+
+def contours(region: np.ndarray) -> list[tuple[int, bool, list[tuple[int, int]]]]:
+    """(region, whether it is a hole, pixels (x, y) in order) of every closed border in an image, by its first side in row order.
+
+    A border is followed side by side between pixels of the region and others,
+    or the image's edge; pixels that touch at a corner belong together.  Every
+    side belongs to one border, so holes and parts have their own.
+    """
+    padded = np.pad(region.astype(np.int64), 1, constant_values=np.iinfo(np.int64).min)
+    out = np.stack([region != padded[1 + di : padded.shape[0] - 1 + di, 1 + dj : padded.shape[1] - 1 + dj] for di, dj in _OUT], -1)
+    left, found = {tuple(e) for e in np.argwhere(out).tolist()}, []
+    for start in sorted(left):
+        if start not in left:
+            continue
+        i, j, side = start
+        own, path, area = region[i, j], [], 0
+        while (i, j, side) in left:
+            left.remove((i, j, side))
+            if not path or path[-1] != (j, i):
+                path.append((j, i))
+            # twice the area on the right hand, by the sides that go down and up
+            area += (0, j + 1, 0, -j)[side]
+            (di, dj), (ui, uj) = _ON[side], _OUT[side]
+            if padded[1 + i + di + ui, 1 + j + dj + uj] == own:
+                i, j, side = i + di + ui, j + dj + uj, (side + 3) % 4
+            elif padded[1 + i + di, 1 + j + dj] == own:
+                i, j = i + di, j + dj
+            else:
+                side = (side + 1) % 4
+        if len(path) > 1 and path[-1] == path[0]:
+            path.pop()
+        found.append((int(own), area < 0, path))
+    return found
+
+
+def region_contours(labels: DataFrame, scale: float = 1.0, images: DataFrame | None = None) -> DataFrame:
+    """image_id, contour (number in the image), region, hole, points [x, y]: ordered borders of every region, closed by their first point.
+
+    An image's labels meet in one row, which its size bounds.  Scales as in region_boundaries.
+    """
+    if scale != 1.0:
+        new = lambda c: F.rint(F.col(c) * F.lit(float(scale))).cast("int")
+        sizes = images.select("image_id", "height", "width", new("height").alias("new_height"), new("width").alias("new_width"))
+        small = resize_mask_nearest(labels.withColumnRenamed("region", "cls"), sizes).withColumnRenamed("cls", "region")
+        back = F.transform("points", lambda p: F.transform(p, lambda x: F.rint(x / F.lit(float(scale))).cast("int")))
+        return region_contours(small).withColumn("points", back)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for image, px in zip(*b.columns, strict=True):
+                i, j, r = (px.values.field(n).to_numpy().astype(np.int64) for n in ("i", "j", "region"))
+                region = np.full((i.max() + 1, j.max() + 1), -1, np.int64)
+                region[i, j] = r
+                found = [(k, own, hole, path) for k, (own, hole, path) in enumerate(contours(region)) if own >= 0]
+                cols = list(zip(*found, strict=True)) if found else [[]] * 4
+                kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.list_(pa.int32())))
+                arrays = [pa.array([image.as_py()] * len(found), pa.int64()), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["image_id", "contour", "region", "hole", "points"])
+
+    px = labels.groupBy("image_id").agg(F.collect_list(F.struct("i", "j", "region")).alias("px"))
+    return px.select(F.col("image_id").cast("long"), "px").mapInArrow(run, "image_id long, contour int, region int, hole boolean, points array<array<int>>")
+
+
 def region_extremes(labels: DataFrame) -> DataFrame:
     """Of each region's row, the first and last pixel: all that a hull can need."""
     return labels.groupBy("image_id", "region", "i").agg(F.min("j").alias("lo"), F.max("j").alias("hi"))

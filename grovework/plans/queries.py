@@ -597,8 +597,9 @@ def q_sizes(spark, d):
     return G.region_sizes(X.masks(spark, d).withColumnRenamed("cls", "region"))
 
 
-_VAR = f"""{X.F4}, dv AS (SELECT image_id, i, j, v, lag(v) OVER (PARTITION BY image_id, i ORDER BY j) AS l, lag(v) OVER (PARTITION BY image_id, j ORDER BY i) AS u FROM f4),
+_VARIATION = """dv AS (SELECT image_id, i, j, v, lag(v) OVER (PARTITION BY image_id, i ORDER BY j) AS l, lag(v) OVER (PARTITION BY image_id, j ORDER BY i) AS u FROM f4),
 va AS (SELECT image_id, avg(abs(v - l) + abs(v - u)) / 2 AS var FROM dv WHERE l IS NOT NULL AND u IS NOT NULL GROUP BY 1)"""
+_VAR = f"{X.F4}, {_VARIATION}"
 
 
 @query("image_variation", f"WITH {_VAR} SELECT image_id, round(var, 6) AS variation FROM va")
@@ -606,11 +607,18 @@ def q_variation(spark, d):
     return G.image_variation(X.gray(spark, d)[0]).withColumn("variation", r6("variation"))
 
 
-_WEIGHTS = f"""{_VAR}, dr AS (SELECT * FROM (VALUES ('left', 0, -1), ('up', -1, 0), ('upleft', -1, -1), ('upright', -1, 1)) t(dir, di, dj)),
-ew AS (SELECT a.image_id, a.i, a.j, dir, floor(10 * exp(CASE WHEN var = 0 THEN 0 ELSE -((a.v - b.v) * (a.v - b.v))::DOUBLE / (2 * var * var) END) + 1)::INT AS w
+_EDGES = "dr AS (SELECT * FROM (VALUES ('left', 0, -1), ('up', -1, 0), ('upleft', -1, -1), ('upright', -1, 1)) t(dir, di, dj))"
+
+
+def _weights_sql(kind: int = 0) -> str:
+    penalty = "1" if kind == 0 else "floor(1.5::DOUBLE * var / 8 + 1)"
+    return f"""ew AS MATERIALIZED (SELECT a.image_id, a.i, a.j, dir, floor(10 * exp(CASE WHEN var = 0 THEN 0 ELSE -((a.v - b.v) * (a.v - b.v))::DOUBLE / (2 * var * var) END) + {penalty})::INT AS w
  FROM f4 a, dr JOIN f4 b ON b.image_id = a.image_id AND b.i = a.i + di AND b.j = a.j + dj JOIN va ON va.image_id = a.image_id)"""
 
 
+_WEIGHTS = f"{_VAR}, {_EDGES}, {_weights_sql()}"
+
+
 @query("edge_weights", f"WITH {_WEIGHTS} SELECT * FROM ew")
 def q_weights(spark, d):
     return G.edge_weights(X.gray(spark, d)[0])
@@ -707,14 +715,25 @@ def q_argmax(spark, d):
     return M.argmax_class(probs, ["row_id"]).withColumn("prob", r6("prob"))
 
 
-@query("seed_refine", f"""WITH {X.F4}, {_SEEDS},
-co AS (SELECT a.image_id, a.i, a.j, sum(abs(a.v - b.v)) AS c, count(*) AS n FROM f4 a JOIN f4 b ON a.image_id = b.image_id AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND (a.i <> b.i OR a.j <> b.j) GROUP BY ALL),
-m AS (SELECT sd.image_id, seed, co.i, co.j, row_number() OVER (PARTITION BY sd.image_id, seed ORDER BY c, co.i, co.j) AS r FROM sd JOIN co ON co.image_id = sd.image_id
- AND co.i BETWEEN greatest(1, sd.i - 1) AND least(29, sd.i + 1) AND co.j BETWEEN greatest(1, sd.j - 1) AND least(48, sd.j + 1) WHERE n = 8 AND c < 255 * 9)
-SELECT sd.image_id, sd.seed, coalesce(m.i, sd.i) AS i, coalesce(m.j, sd.j) AS j FROM sd LEFT JOIN m ON m.image_id = sd.image_id AND m.seed = sd.seed AND r = 1""")
+def _moved_sql(patch: int, seeds: str = "sd", out: str = "mv") -> str:
+    """Seeds moved to the least contrast in a window of patch // 4 - 1 pixels around them."""
+    d = patch // 4 - 1
+    return f"""{out}m AS (SELECT sd.image_id, seed, co.i, co.j, row_number() OVER (PARTITION BY sd.image_id, seed ORDER BY c, co.i, co.j) AS r FROM {seeds} sd JOIN co ON co.image_id = sd.image_id
+ AND co.i BETWEEN greatest(1, sd.i - {d}) AND least(29, sd.i + {d}) AND co.j BETWEEN greatest(1, sd.j - {d}) AND least(48, sd.j + {d}) WHERE n = 8 AND c < 255 * {(2 * d + 1) ** 2}),
+{out} AS MATERIALIZED (SELECT sd.image_id, sd.seed, coalesce(m.i, sd.i) AS i, coalesce(m.j, sd.j) AS j FROM {seeds} sd LEFT JOIN {out}m m ON m.image_id = sd.image_id AND m.seed = sd.seed AND r = 1)"""
+
+
+_CONTRAST = "co AS MATERIALIZED (SELECT a.image_id, a.i, a.j, sum(abs(a.v - b.v)) AS c, count(*) AS n FROM f4 a JOIN f4 b ON a.image_id = b.image_id AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND (a.i <> b.i OR a.j <> b.j) GROUP BY ALL)"
+_SEEDS_4 = "s4 AS (SELECT s_suppkey AS image_id, (r * 24 + c)::INT AS seed, (2 + 2 * r)::INT AS i, (2 + 2 * c)::INT AS j FROM supplier, range(15) a(r), range(24) b(c) WHERE 2 + 2 * r < 31 AND 2 + 2 * c < 50)"
+
+
+@query("seed_refine", f"""WITH {X.F4}, {_SEEDS}, {_SEEDS_4}, {_CONTRAST}, {_moved_sql(10)}, {_moved_sql(4, 's4', 'm4')}
+SELECT 10 AS patch, * FROM mv UNION ALL SELECT 4, * FROM m4""")
 def q_refine_seeds(spark, d):
+    """Seeds of patches of 10, and of 4, whose windows are one pixel or, at the last edges, empty."""
     raster, shown = X.gray(spark, d)
-    return G.seed_refine(G.place_seeds(shown, 10), raster, shown, 10)
+    moved = [G.seed_refine(G.place_seeds(shown, p), raster, shown, p).select(F.lit(p).alias("patch"), "*") for p in (10, 4)]
+    return moved[0].unionByName(moved[1])
 
 
 @query("append_tree", f"WITH {ROUTED} SELECT CASE WHEN m = 1 THEN 2 ELSE tree_id END AS tree_id, node_id::BIGINT AS node_id, count(*)::BIGINT AS n FROM l3, range(2) r(m) WHERE m = 0 OR tree_id = 0 GROUP BY ALL")
@@ -1059,11 +1078,72 @@ def q_initial(spark, d):
     return _regions(spark, d)[2]
 
 
-@query("superpixel_refine")
+def _swept_sql(kind: int, sweeps: int = 2, patch: int = 10) -> str:
+    """The whole chain: moved seeds, their boxes, and pixels that change region in turns of four colours."""
+    unlike = "coalesce(least(abs(c.v - s.v), 15), 0)" if kind == 1 else "0"
+    out = [X.F4.replace("f4 AS", "f4 AS MATERIALIZED"), _VARIATION, _EDGES, _weights_sql(kind), _SEEDS, _CONTRAST, _moved_sql(patch)]
+    out.append(f"""sv AS MATERIALIZED (SELECT mv.*, f4.v FROM mv JOIN f4 USING (image_id, i, j)),
+pw AS MATERIALIZED (SELECT e.image_id, e.i, e.j, e.i + di AS ni, e.j + dj AS nj, CASE WHEN dir IN ('left', 'up') THEN w ELSE floor(w / sqrt(2.0::DOUBLE))::INT END AS w FROM ew e JOIN dr USING (dir)),
+nw AS MATERIALIZED (SELECT * FROM pw UNION ALL SELECT image_id, ni, nj, i, j, w FROM pw),
+t0 AS MATERIALIZED (SELECT f4.image_id, f4.i, f4.j, f4.v, coalesce(max(seed), 0)::INT AS region FROM f4 LEFT JOIN mv ON mv.image_id = f4.image_id AND abs(f4.i - mv.i) <= {patch // 2 + 1} AND abs(f4.j - mv.j) <= {patch // 2 + 1} GROUP BY ALL)""")
+    for k in range(4 * sweeps):
+        out.append(f"""n{k} AS MATERIALIZED (SELECT a.image_id, a.i, a.j, a.v, a.region, b.region AS other, w FROM t{k} a JOIN nw ON nw.image_id = a.image_id AND nw.i = a.i AND nw.j = a.j
+  JOIN t{k} b ON b.image_id = a.image_id AND b.i = nw.ni AND b.j = nw.nj WHERE a.i % 2 = {k // 2 % 2} AND a.j % 2 = {k % 2}),
+c{k} AS (SELECT DISTINCT image_id, i, j, v, region, other AS cand FROM n{k} UNION SELECT DISTINCT image_id, i, j, v, region, region FROM n{k}),
+p{k} AS (SELECT c.image_id, c.i, c.j, c.cand, row_number() OVER (PARTITION BY c.image_id, c.i, c.j ORDER BY x.cost + {unlike}, c.cand <> c.region, c.cand) AS r
+  FROM c{k} c LEFT JOIN sv s ON s.image_id = c.image_id AND s.seed = c.cand
+  JOIN (SELECT c.image_id, c.i, c.j, c.cand, sum(CASE WHEN n.other <> c.cand THEN n.w ELSE 0 END) AS cost FROM c{k} c JOIN n{k} n USING (image_id, i, j) GROUP BY ALL) x
+    ON x.image_id = c.image_id AND x.i = c.i AND x.j = c.j AND x.cand = c.cand
+  WHERE c.cand = c.region OR (abs(c.i - s.i) <= {patch} AND abs(c.j - s.j) <= {patch})),
+t{k + 1} AS MATERIALIZED (SELECT t.image_id, t.i, t.j, t.v, coalesce(p.cand, t.region) AS region FROM t{k} t LEFT JOIN p{k} p ON p.image_id = t.image_id AND p.i = t.i AND p.j = t.j AND r = 1)""")
+    return "WITH " + ",\n".join(out) + f"\nSELECT image_id, i, j, region FROM t{4 * sweeps}"
+
+
+@query("superpixel_refine", _swept_sql(0))
 def q_refine(spark, d):
     return G.superpixels(*X.gray(spark, d), 10)
 
 
+@query("superpixel_constant", _swept_sql(1))
+def q_constant(spark, d):
+    """Superpixels that keep to the shade of their seeds."""
+    return G.superpixels(*X.gray(spark, d), 10, kind=1)
+
+
+def _contours_sql() -> str:
+    """Sides of pixels at borders, each with the one that follows; loops and places in them by doubling steps."""
+    ends = "(CASE s WHEN 0 THEN -1 WHEN 2 THEN 1 ELSE 0 END)", "(CASE s WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END)"
+    on = "(CASE s WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END)", "(CASE s WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END)"
+    code = lambda i, j, s: f"(({i}) * 8 + ({j})) * 4 + ({s})"
+    out = [f"""{X.F2}, {X.F5}, g AS MATERIALIZED (SELECT image_id, i, j, cls AS region FROM f5),
+si AS (SELECT g.*, s::INT AS s, {ends[0]} AS ui, {ends[1]} AS uj, {on[0]} AS di, {on[1]} AS dj FROM g, range(4) r(s)),
+ed AS MATERIALIZED (SELECT si.*, {code('si.i', 'si.j', 's')} AS e FROM si LEFT JOIN g o ON o.image_id = si.image_id AND o.i = si.i + ui AND o.j = si.j + uj WHERE o.region IS NULL OR o.region <> si.region),
+nx AS MATERIALIZED (SELECT ed.image_id, e, CASE WHEN b.region = ed.region THEN {code('ed.i + di + ui', 'ed.j + dj + uj', '(s + 3) % 4')} WHEN a.region = ed.region THEN {code('ed.i + di', 'ed.j + dj', 's')} ELSE {code('ed.i', 'ed.j', '(s + 1) % 4')} END AS f
+ FROM ed LEFT JOIN g b ON b.image_id = ed.image_id AND b.i = ed.i + di + ui AND b.j = ed.j + dj + uj LEFT JOIN g a ON a.image_id = ed.image_id AND a.i = ed.i + di AND a.j = ed.j + dj),
+m0 AS MATERIALIZED (SELECT image_id, e, f, e AS least FROM nx)"""]
+    rounds = 8  # 256 sides, all that 64 pixels have
+    for k in range(rounds):
+        out.append(f"m{k + 1} AS MATERIALIZED (SELECT a.image_id, a.e, b.f, least(a.least, b.least) AS least FROM m{k} a JOIN m{k} b ON b.image_id = a.image_id AND b.e = a.f)")
+    # steps on to the loop's first side, which follows none here
+    out.append(f"d0 AS MATERIALIZED (SELECT nx.image_id, nx.e, CASE WHEN nx.f = least THEN NULL ELSE nx.f END AS f, (nx.f <> least)::INT AS n FROM nx JOIN m{rounds} m ON m.image_id = nx.image_id AND m.e = nx.e)")
+    for k in range(rounds):
+        out.append(f"d{k + 1} AS MATERIALIZED (SELECT a.image_id, a.e, b.f, a.n + coalesce(b.n, 0) AS n FROM d{k} a LEFT JOIN d{k} b ON b.image_id = a.image_id AND b.e = a.f)")
+    out.append(f"""pl AS (SELECT ed.image_id, region, least, i, j, d.n, (CASE s WHEN 1 THEN j + 1 WHEN 3 THEN -j ELSE 0 END) AS area, lag(i * 8 + j) OVER w AS before, first_value(i * 8 + j) OVER w AS top, count(*) OVER q AS many,
+  row_number() OVER w AS k, i * 8 + j AS spot FROM ed JOIN m{rounds} m USING (image_id, e) JOIN d{rounds} d USING (image_id, e) WINDOW w AS (PARTITION BY ed.image_id, least ORDER BY d.n DESC), q AS (PARTITION BY ed.image_id, least)),
+ar AS (SELECT image_id, least, sum(area) AS area FROM pl GROUP BY ALL),
+ke AS (SELECT *, max(k) OVER (PARTITION BY image_id, least) AS last, count(*) OVER (PARTITION BY image_id, least) AS points FROM pl WHERE before IS NULL OR before <> spot),
+pa AS (SELECT image_id, region, least, string_agg(j || ':' || i, ',' ORDER BY n DESC) AS path FROM ke WHERE NOT (k = last AND spot = top AND points > 1) GROUP BY ALL)
+SELECT image_id, (row_number() OVER (PARTITION BY image_id ORDER BY least) - 1)::INT AS contour, region, area < 0 AS hole, path FROM pa JOIN ar USING (image_id, least)""")
+    return "WITH " + ",\n".join(out)
+
+
+@query("region_contours", _contours_sql())
+def q_contours(spark, d):
+    found = G.region_contours(X.masks(spark, d).withColumnRenamed("cls", "region"))
+    path = F.array_join(F.transform("points", lambda p: F.concat_ws(":", F.get(p, 0), F.get(p, 1))), ",")
+    return found.select("image_id", "contour", "region", "hole", path.alias("path"))
+
+
 @query("region_boundaries", f"""WITH {X.F2}, {X.F5} SELECT DISTINCT a.image_id, a.i, a.j, a.cls AS region FROM f5 a JOIN f5 b ON a.image_id = b.image_id
 AND abs(a.i - b.i) + abs(a.j - b.j) = 1 AND a.cls <> b.cls""")
 def q_bounds(spark, d):

@@ -378,3 +378,46 @@ def test_parameters_of_a_stored_model(spark, tmp_path):
     got = M.model_param_hist(IO.load_model(spark, str(tmp_path / "m")), ["pattern", "mask", "t"]).collect()
     # image scores have no mask
     assert sum(r["n"] for r in got if r["param"] == "pattern") == 5 and sum(r["n"] for r in got if r["param"] == "mask") == 3
+
+
+def test_shades_never_raise_the_energy_of_kind_1(spark, sf_dir):
+    raster, seeds, labels = Q._regions(spark, sf_dir)
+    raster, seeds, labels = (x.where("image_id <= 4") for x in (raster, seeds, labels))
+    weights = G.edge_weights(raster, 1)
+    energy = lambda x: dict(G.boundary_energy(x, weights, raster, seeds).collect())
+    got = [labels, *(G.superpixel_refine(labels, weights, seeds, 10, n, raster) for n in (1, 2))]
+    levels = [energy(x) for x in got]
+    assert all(b[k] <= a[k] for a, b in zip(levels, levels[1:], strict=False) for k in a) and levels[1] != levels[0]
+    # without the shades the sweeps end elsewhere, and higher
+    plain = energy(G.superpixel_refine(labels, weights, seeds, 10, 2))
+    assert any(plain[k] > levels[2][k] for k in plain)
+    one = [x.where("image_id <= 1") for x in (labels, weights, seeds)]
+    assert rows(G.superpixel_refine(*one, 10, 2, raster)) == rows(G.refine_by_columns(*one, 10, 2, raster).select("image_id", "i", "j", "region"))
+
+
+def test_windows_at_the_last_edges_are_empty(spark):
+    """A seed in the last row or column of a 31 x 31 image stays where it is for patch 4; none moves for patches below 4."""
+    shown = spark.createDataFrame([(1, 31, 31)], "image_id long, height int, width int")
+    raster = spark.createDataFrame([(1, i, j, (i * 37 + j * 11) % 101) for i in range(31) for j in range(31)], "image_id long, i int, j int, v int")
+    seeds = spark.createDataFrame([(1, 0, 30, 15), (1, 1, 15, 30), (1, 2, 15, 15)], "image_id long, seed int, i int, j int")
+    assert rows(G.seed_refine(seeds, raster, shown, 4)) == rows(seeds)
+    assert rows(G.seed_refine(G.place_seeds(shown, 2), raster, shown, 2)) == rows(G.place_seeds(shown, 2))
+
+
+def test_contours_are_closed_and_hold_the_boundary(spark, sf_dir):
+    labels = X.masks(spark, sf_dir).where("image_id < 40").withColumnRenamed("cls", "region")
+    found = G.region_contours(labels).collect()
+    for r in found:
+        p = r["points"]
+        assert all(max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1 for a, b in zip(p, p[1:] + p[:1], strict=True)) or len(p) == 1
+    inner = {tuple(r) for r in G.region_boundaries(labels).select("image_id", "j", "i", "region").collect()}
+    frame = {tuple(r) for r in labels.where("i in (0, 7) or j in (0, 7)").select("image_id", "j", "i", "region").collect()}
+    assert {(r["image_id"], x, y, r["region"]) for r in found for x, y in r["points"]} == inner | frame
+
+
+def test_contours_of_a_ring_have_its_hole():
+    ring = np.ones((5, 6), int)
+    ring[2, 2:4] = 2
+    assert [(r, hole, len(p)) for r, hole, p in G.contours(ring)] == [(1, False, 18), (1, True, 6), (2, False, 2)]
+    assert G.contours(ring)[1][2] == [(2, 1), (1, 2), (2, 3), (3, 3), (4, 2), (3, 1)]
+    assert G.contours(np.array([[1, 2], [2, 1]])) == [(1, False, [(0, 0), (1, 1)]), (2, False, [(1, 0), (0, 1)])]
