@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,51 +12,109 @@ from pyspark.sql import functions as F
 from ..functions.scalar import INTEGRAL_SCALE, box_edges, inner_edges, integral_value
 
 
-def _integrate(long: DataFrame) -> DataFrame:
-    """image_id, mask, i, j, s from dense image_id, mask, i, j, x: sums over rows above and columns left, border of zeros.
+TILE = ["image_id", "ti", "tj"]
+_CELLS = "image_id long, mask int, i int, j int, s double"
 
-    Two running sums, each over single rows or columns of one mask.
+
+def _planes(px: pa.StructArray, labels: int) -> np.ndarray:
+    """What is summed, pixels by masks: of `cls` 1 (or `prob`) at the label's mask, then `probs` themselves."""
+    names, parts = [f.name for f in px.type], []
+    if "cls" in names:
+        one = px.field("cls").to_numpy(zero_copy_only=False)[:, None] == np.arange(labels)
+        parts.append(one * px.field("prob").to_numpy(zero_copy_only=False)[:, None] if "prob" in names else one.astype(float))
+    if "probs" in names:
+        parts.append(px.field("probs").flatten().to_numpy(zero_copy_only=False).reshape(len(px), -1))
+    return np.concatenate(parts, 1)
+
+
+def _local(px: pa.StructArray, labels: int) -> tuple[int, int, np.ndarray]:
+    """First row and column of a dense piece of an image, and its own sums (rows x columns x masks)."""
+    i, j = (px.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("i", "j"))
+    x = _planes(px, labels)
+    grid_ = np.zeros((i.max() - i.min() + 1, j.max() - j.min() + 1, x.shape[1]))
+    grid_[i - i.min(), j - j.min()] = x
+    return int(i.min()), int(j.min()), grid_.cumsum(0).cumsum(1)
+
+
+def _carried(tiles: DataFrame, labels: int) -> DataFrame:
+    """Of each tile, what lies left of each of its rows, above each of its columns, and both left of and above it.
+
+    Only the last column, the last row and the last corner of tiles travel.
     """
-    along = Window.partitionBy("image_id", "mask", "i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("image_id", "mask", "j").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    sums = long.withColumn("x", F.sum("x").over(along)).withColumn("s", F.sum("x").over(down).cast("double"))
-    # a pixel's sum stands one down and right; the first row and column add their zero neighbours
-    left = F.when(F.col("j") == 0, F.struct(F.col("i") + 1, F.lit(0), F.lit(0.0)))
-    top = F.when(F.col("i") == 0, F.struct(F.lit(0), F.col("j") + 1, F.lit(0.0)))
-    corner = F.when((F.col("i") == 0) & (F.col("j") == 0), F.struct(F.lit(0), F.lit(0), F.lit(0.0)))
-    cell = "struct<i:int,j:int,s:double>"
-    own = F.struct(F.col("i") + 1, F.col("j") + 1, F.col("s"))
-    cells = F.filter(F.array(*[c.cast(cell) for c in (own, left, top, corner)]), lambda c: c.isNotNull())
-    return sums.select("image_id", "mask", F.explode(cells).alias("c")).select("image_id", "mask", "c.*")
-
-
-def integral_labels(labels: DataFrame, num_vals: int) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = [_local(px.values, labels)[2] for px in b.column(3)]
+            edges = [pa.array([e.ravel() for e in cut], pa.list_(pa.float64())) for cut in ([x[:, -1] for x in sums], [x[-1] for x in sums], [x[-1, -1] for x in sums])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *edges], names=[*TILE, "right", "bottom", "total"])
+
+    edges = tiles.mapInArrow(run, "image_id long, ti int, tj int, right array<double>, bottom array<double>, total array<double>")
+
+    def before(rows: DataFrame, along: str, across: str) -> DataFrame:
+        w = Window.partitionBy("image_id", across, "k").orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("x", F.coalesce(F.sum("x").over(w), F.lit(0.0)))
+
+    def packed(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*TILE).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda v: v["x"]).alias(name))
+
+    each = {n: edges.select(*TILE, F.posexplode(n).alias("k", "x")) for n in ("right", "bottom", "total")}
+    left = packed(before(each["right"], "tj", "ti"), "left")
+    above = packed(before(each["bottom"], "ti", "tj"), "above")
+    corner = packed(before(before(each["total"], "tj", "ti"), "ti", "tj"), "corner")
+    return left.join(above, TILE).join(corner, TILE)
+
+
+def _integrate(pixels: DataFrame, columns: Sequence[str], labels: int, tile: int | None) -> DataFrame:
+    """image_id, mask, i, j, s from dense image_id, i, j and `columns`: sums over rows above and columns left, border of zeros.
+
+    A pixel is one row, whatever the number of masks, and is sent once: to its
+    image, which sums in a row, or with `tile` to its tile of so many rows and
+    columns, for images too large for that.
+    """
+    part = (lambda c: F.floor(F.col(c) / tile).cast("int")) if tile else (lambda c: F.lit(0))
+    cell = F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), *columns)
+    tiles = pixels.select(F.col("image_id").cast("long").alias("image_id"), part("i").alias("ti"), part("j").alias("tj"), cell.alias("c"))
+    tiles = tiles.groupBy(*TILE).agg(F.collect_list("c").alias("px"))
+    rows = tiles.join(_carried(tiles, labels), TILE).select(*TILE, "px", "left", "above", "corner") if tile else tiles.select(*TILE, "px")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, px in enumerate(b.column(3)):
+                i0, j0, x = _local(px.values, labels)
+                if tile:
+                    left, above, corner = (b.column(c)[k].values.to_numpy(zero_copy_only=False).reshape(-1, x.shape[2]) for c in (4, 5, 6))
+                    x = x + left[:, None] + above[None] + corner[None]
+                # a pixel's sum stands one down and right; the first row and column have zeros before them
+                up, back = int(i0 == 0), int(j0 == 0)
+                x = np.pad(x, ((up, 0), (back, 0), (0, 0)))
+                i, j, mask = (v.ravel() for v in np.indices(x.shape, np.int32))
+                cols = [pa.array(np.full(x.size, b.column(0)[k].as_py(), np.int64)), pa.array(mask), pa.array(i + np.int32(i0 + 1 - up)), pa.array(j + np.int32(j0 + 1 - back)), pa.array(x.ravel())]
+                yield pa.RecordBatch.from_arrays(cols, names=["image_id", "mask", "i", "j", "s"])
+
+    return rows.mapInArrow(run, _CELLS)
+
+
+def integral_labels(labels: DataFrame, num_vals: int, tile: int | None = None) -> DataFrame:
     """Prefix sums of label == m for each m; labels: image_id, i, j, cls (dense)."""
-    one = F.explode(F.transform(F.sequence(F.lit(0), F.lit(num_vals - 1)), lambda m: F.struct(m.alias("mask"), (m == F.col("cls")).cast("double").alias("x"))))
-    return _integrate(labels.select("image_id", "i", "j", one.alias("m")).select("image_id", "i", "j", "m.*"))
+    return _integrate(labels, ["cls"], num_vals, tile)
 
 
-def integral_labels_probs(labels: DataFrame, num_vals: int) -> DataFrame:
+def integral_labels_probs(labels: DataFrame, num_vals: int, tile: int | None = None) -> DataFrame:
     """The same with the label's probability (column prob) in place of 1."""
-    one = F.explode(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(num_vals - 1)),
-            lambda m: F.struct(m.alias("mask"), F.when(m == F.col("cls"), F.col("prob")).otherwise(0.0).alias("x")),
-        )
-    )
-    return _integrate(labels.select("image_id", "i", "j", one.alias("m")).select("image_id", "i", "j", "m.*"))
+    return _integrate(labels, ["cls", F.col("prob").cast("double").alias("prob")], num_vals, tile)
 
 
-def integral_all_probs(probs: DataFrame) -> DataFrame:
+def integral_all_probs(probs: DataFrame, tile: int | None = None) -> DataFrame:
     """Prefix sums of each class probability; probs: image_id, i, j, probs (array)."""
-    return _integrate(probs.select("image_id", "i", "j", F.posexplode("probs").alias("mask", "x")))
+    return _integrate(probs, ["probs"], 0, tile)
 
 
-def integral_spatial(scored: DataFrame, num_leaves: int) -> DataFrame:
-    """Masks 0.. of the leaves, then of the class probabilities; scored: image_id, i, j, leaf_id, probs."""
-    leaves = integral_labels(scored.select("image_id", "i", "j", F.col("leaf_id").alias("cls")), num_leaves)
-    probs = integral_all_probs(scored).withColumn("mask", (F.col("mask") + num_leaves).cast("int"))
-    return leaves.unionByName(probs)
+def integral_spatial(scored: DataFrame, num_leaves: int, tile: int | None = None) -> DataFrame:
+    """Masks 0.. of the leaves, then of the class probabilities; scored: image_id, i, j, leaf_id, probs.
+
+    Image scores are carried beside the tables, as `preds` of to_integral_records.
+    """
+    return _integrate(scored, [F.col("leaf_id").alias("cls"), "probs"], num_leaves, tile)
 
 
 def integral_dense(images: DataFrame, num_vals: int) -> DataFrame:

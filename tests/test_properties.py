@@ -421,3 +421,19 @@ def test_contours_of_a_ring_have_its_hole():
     assert [(r, hole, len(p)) for r, hole, p in G.contours(ring)] == [(1, False, 18), (1, True, 6), (2, False, 2)]
     assert G.contours(ring)[1][2] == [(2, 1), (1, 2), (2, 3), (3, 3), (4, 2), (3, 1)]
     assert G.contours(np.array([[1, 2], [2, 1]])) == [(1, False, [(0, 0), (1, 1)]), (2, False, [(1, 0), (0, 1)])]
+
+
+@pytest.mark.parametrize("tile", [1, 3, 5])
+def test_tiles_sum_as_whole_images_do(spark, tile):
+    px = [(k, i, j, (i * 7 + j * 3 + k) % 4, (i + j) / 16) for k, (h, w) in enumerate(((8, 8), (5, 11), (1, 1))) for i in range(h) for j in range(w)]
+    labels = spark.createDataFrame(px, "image_id long, i int, j int, cls int, prob double")
+    probs = labels.select("image_id", "i", "j", F.col("cls").alias("leaf_id"), F.array(F.col("prob"), 1 - F.col("prob")).alias("probs"))
+    rounded = lambda df: rows(df.withColumn("s", F.round("s", 9)))
+    for f, df, n in ((R.integral_labels, labels, [4]), (R.integral_labels_probs, labels, [4]), (R.integral_all_probs, probs, []), (R.integral_spatial, probs, [4])):
+        assert rounded(f(df, *n)) == rounded(f(df, *n, tile=tile))
+    grid = np.zeros((5, 11))
+    for k, i, j, _, p in px:
+        if k == 1:
+            grid[i, j] = p
+    got = {(r["i"], r["j"]): r["s"] for r in R.integral_all_probs(probs).where("image_id = 1 and mask = 0").collect()}
+    assert all(abs(got[i, j] - grid[:i, :j].sum()) < 1e-9 for i in range(6) for j in range(12)) and len(got) == 72
