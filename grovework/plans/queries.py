@@ -13,6 +13,7 @@ from ..operators import raster as R
 from ..operators import regions as G
 from ..random import mixed_sql
 from ..shared import checkpoint
+from ..sources import labeled as LR
 from ..sources import records as IO
 from . import fixtures as X
 from . import forest as T
@@ -205,6 +206,29 @@ def q_load(spark, d):
     return kept.agg(F.count("*").alias("n")).select(F.lit("kept").alias("reason"), "n").unionByName(rejects)
 
 
+@query("labeled_records", f"""WITH {X.F2}, {X.F6}, k AS (SELECT vec_id, CASE WHEN vec_id % 7 = 3 THEN NULL WHEN vec_id % 11 = 5 THEN ' ' ELSE 'img' || vec_id END AS k, vec_id % 13 = 6 AS cut FROM embeddings),
+r AS (SELECT *, CASE WHEN k IS NULL THEN 'null' WHEN k = ' ' THEN 'empty' WHEN cut THEN 'shape' END AS bad FROM k),
+s AS (SELECT image_id, sum(v)::BIGINT AS total FROM f2 GROUP BY 1), p AS (SELECT image_id, string_agg(label || ':' || i || ':' || j, ',' ORDER BY label, i, j) AS points FROM f6 GROUP BY 1)
+SELECT k AS key, total AS n, coalesce(points, '') AS points FROM r JOIN s ON s.image_id = vec_id LEFT JOIN p ON p.image_id = vec_id WHERE bad IS NULL
+UNION ALL SELECT bad, count(*)::BIGINT, NULL FROM r WHERE bad IS NOT NULL GROUP BY bad""")
+def q_labeled(spark, d):
+    """Image records with bad ones among them, written by the data source in shards and read again: good ones by the sum of their pixels, others counted."""
+    images, points = X.images(spark, d), X.points(spark, d)
+    lists = points.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("label", "i", "j"))).alias("points"))
+    key = F.when(F.col("image_id") % 7 == 3, None).when(F.col("image_id") % 11 == 5, " ").otherwise(F.concat(F.lit("img"), F.col("image_id")))
+    # values are below 256: two digits each make a byte
+    pixels = F.unhex(F.array_join(F.transform("pixels", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    short = F.when(F.col("image_id") % 13 == 6, F.expr("substring(packed, 1, 100)")).otherwise(F.col("packed"))
+    rows = images.join(lists, "image_id", "left").withColumn("packed", pixels).select(key.alias("key"), "height", "width", F.lit(7).alias("bands"), short.alias("pixels"), "points")
+    path = IO.scratch(spark)
+    LR.write_records(rows, path)
+    good, rejects = LR.read_records(spark, path)
+    digits = F.hex("pixels")
+    total = F.aggregate(F.sequence(F.lit(0), F.length("pixels") - 1), F.lit(0).cast("long"), lambda t, k: t + F.conv(F.substring(digits, 2 * k + 1, 2), 16, 10).cast("long"))
+    text = F.array_join(F.transform(F.coalesce("points", F.array()), lambda p: F.concat_ws(":", p["label"], p["i"], p["j"])), ",")
+    return good.select("key", total.alias("n"), text.alias("points")).unionByName(rejects.select(F.col("reason").alias("key"), "n", F.lit(None).cast("string").alias("points")))
+
+
 @query("write_sharded", "SELECT count(*)::BIGINT AS n, true AS within FROM part")
 def q_sharded(spark, d):
     path = IO.scratch(spark)

@@ -437,3 +437,24 @@ def test_tiles_sum_as_whole_images_do(spark, tile):
             grid[i, j] = p
     got = {(r["i"], r["j"]): r["s"] for r in R.integral_all_probs(probs).where("image_id = 1 and mask = 0").collect()}
     assert all(abs(got[i, j] - grid[:i, :j].sum()) < 1e-9 for i in range(6) for j in range(12)) and len(got) == 72
+
+
+def test_labeled_records_are_committed_in_shards(spark, tmp_path):
+    from grovework.sources import labeled as LR
+
+    path = str(tmp_path / "records")
+    rows_ = [(f"k{k}", 2, 3, 1, bytes([k % 256] * 6), [(k % 3, 0, 1)]) for k in range(250)] + [(None, 1, 1, 1, b"a", None), ("  ", 1, 1, 1, b"a", None), ("short", 2, 2, 1, b"abc", None)]
+    records = spark.createDataFrame(rows_, LR.RECORD).coalesce(1)
+    LR.write_records(records, path)
+    shards = [p for p in (tmp_path / "records").iterdir() if p.suffix == ".arrow"]
+    assert len(shards) == 3  # 100, 100 and 53
+    # what no manifest names isn't read: here a shard that a lost task left
+    (tmp_path / "records" / "shard-lost.arrow").write_bytes(shards[0].read_bytes())
+    good, rejects = LR.read_records(spark, path)
+    assert sorted(r["key"] for r in good.collect()) == sorted(r[0] for r in rows_[:250])
+    assert rows(good.where("key = 'k7'").select("height", "width", "bands", "points.label")) == [(2, 3, 1, [1])] and good.where("key = 'k7'").first()["pixels"] == bytes([7] * 6)
+    assert rows(rejects) == [("empty", 1), ("null", 1), ("shape", 1)]
+    LR.write_records(records.limit(5), path, shard=2)
+    assert LR.read_records(spark, path)[0].count() == 255
+    records.limit(1).write.format(LR.NAME).mode("overwrite").save(path)
+    assert LR.read_records(spark, path)[0].count() == 1 and len([p for p in (tmp_path / "records").iterdir() if p.suffix == ".arrow"]) == 1
