@@ -29,8 +29,8 @@ END, UNKNOWN = 0, 1
 TRAIN_ROUNDS, TRAIN_LANES, TRAIN_TOKENS, TRAIN_STEPS, RATE = 4, 256, 6_000_000, 16, 0.05
 TRAIN_PIECE, TRAIN_LEAD = 2048, 64
 SCORE_LANES, SCORE_STEPS = 512, 32
-#: A network's weights travel in so many pieces when they are averaged.
-SLICES = 16
+#: A network's weights travel in so many pieces when they are averaged; networks of so many tasks are summed first.
+SLICES, FAN = 16, 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -516,8 +516,11 @@ def _average(parts: DataFrame) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays(cols, names=["slice", "n", "x"])
 
     kind = "slice int, n long, x binary"
+    # what FAN tasks give is summed first, so that the last tasks read a network for each FAN
+    near = parts.withColumn("near", F.floor(F.spark_partition_id() / FAN)).repartition(max(SLICES, partitions(parts)), "slice", "near")
+    sums = near.select("slice", "n", "x").mapInArrow(run, kind)
     # one network comes back, in pieces, whatever the number of tasks
-    rows = sorted(parts.repartition(SLICES, "slice").mapInArrow(run, kind).collect())
+    rows = sorted(sums.repartition(SLICES, "slice").mapInArrow(run, kind).collect())
     return np.concatenate([np.frombuffer(r["x"]) / r["n"] for r in rows]) if rows else None
 
 

@@ -779,6 +779,16 @@ def test_gradients():
         assert abs(slope - grads[k]) < 0.05 * grads[k] + 1e-4
 
 
+def test_averages_are_the_same_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "FAN", 2)
+    draw = np.random.default_rng(3)
+    nets, sizes = draw.normal(size=(7, 40)), [3, 1, 4, 1, 5, 9, 2]
+    rows = [(k, n, part.tobytes()) for x, n in zip(nets, sizes, strict=True) for k, part in enumerate(np.array_split(x * n, scoring.SLICES))]
+    parts = spark.createDataFrame(rows, "slice int, n long, x binary").repartition(7)
+    assert np.allclose(scoring._average(parts), np.average(nets, axis=0, weights=sizes))
+    assert scoring._average(parts.limit(0)) is None
+
+
 def test_gradients_name_every_weight():
     text = np.array([5, 70, 5, 200, scoring.END, 9, 5, scoring.END], np.uint16)
     net = scoring.GatedNetwork.start(np.ones(scoring.LEAST_SIDE**2))
