@@ -318,7 +318,9 @@ def exact_nearest(rows: DataFrame, k: int = 20, is_query: Callable[[Column], Col
     """What nearest() gives, from every query against every row: to measure recall by, or where none may be missed.
 
     Queries meet all rows in blocks of QUERY_BLOCK, which bounds what is
-    broadcast; each task gives its own k best of a block's queries.
+    broadcast; each task gives its own k best of a block's queries.  What takes
+    part, ties and repeated rows are as in nearest(); an empty table, or one
+    without queries, gives none.
     """
     own = checkpoint(usable(rows, key, vector))
     asking = own.where((is_query or (lambda c: c % 20 == 0))(F.col("id")))

@@ -582,8 +582,10 @@ def score_documents(docs: DataFrame, is_held: Column, rounds: int = TRAIN_ROUNDS
     log-probability of the whole document under the network; a word it doesn't
     know has the probability of an unknown word there, times its smoothed share
     of all such words.  How many words it knows follows from how many there are
-    (side_for).  With nothing to learn from, every word is unknown.  Rows that
-    repeat are each scored; null doc_ids stay null.
+    (side_for).  With nothing to learn from, every word is unknown.  Very long
+    texts are scored whole, the state carried from window to window (training
+    takes them in pieces).  Rows that repeat are each scored; null doc_ids stay
+    null; an empty table gives none; other columns, of any name, are left out.
     """
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), is_held.alias("held"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
