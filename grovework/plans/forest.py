@@ -84,9 +84,10 @@ def level_bins(source: DataFrame, family: FeatureFamily, cands: Candidates, spli
         def count(t: int) -> pa.RecordBatch:
             node, label, x = (np.concatenate(c) for c in zip(*held[t], strict=True))
             held[t] = []
-            group, at = np.unique(np.stack([node, label], 1), axis=0, return_inverse=True)
-            group = np.column_stack([np.full(len(group), t), group])
-            out = [H.count_bins(x[:, k], at.ravel(), group, bounds[f], kinds[f] == 2, f) for k, f in enumerate(range(t * per_tree, (t + 1) * per_tree))]
+            classes = int(label.max()) + 1
+            pair, at = np.unique(node * classes + label, return_inverse=True)
+            group = np.column_stack([np.full(len(pair), t), pair // classes, pair % classes])
+            out = [H.count_bins(x[:, k], at, group, bounds[f], kinds[f] == 2, f) for k, f in enumerate(range(t * per_tree, (t + 1) * per_tree))]
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in np.concatenate(out).T], names=names)
 
         for b in batches:
