@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Callable, Iterator
@@ -12,15 +13,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import materialize, partitions, table
 
 #: Words in a window; windows are dealt by the least hash of the GRAM-word runs in them.
 WINDOW, GRAM = 20, 4
 #: Text that a map task tokenizes at once, and packed text it holds back to join copies; packed text of a bucket.
 SLICE_BYTES, FLUSH_BYTES, BUCKET_BYTES = 1 << 20, 24 << 20, 6 << 20
-#: A bucket of more packed text than so many times BUCKET_BYTES is dealt anew by whole windows.  A window alone is 20
-#: words, where a super-k-mer of 21 has 40 words for all: some ten times the text, so ten times the parts.
-HEAVY, SPREAD = 4, 10
+#: Buckets that travel in one blob and come to one task: packed by themselves, they would be too small to compress.
+GROUP = 8
+#: A bucket of more packed text than so many times BUCKET_BYTES is settled on the way, and if most of it stays, dealt anew
+#: by whole windows, over so many slots (a byte of the windows' hashes) each time, as long as the hashes have bytes.
+HEAVY, SLOTS, LEVELS = 4, 256, 8
 #: Compression of packed text; what travels is written to disk on the way, and level 4 makes a tenth less of it than 1.
 LEVEL = 4
 NO_ID = -(1 << 63)
@@ -67,32 +70,17 @@ def window_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mix(twenty), np.minimum(least[: n - 19], gram[16:])
 
 
-class Packer:
-    """Gathers super-k-mers of documents and gives them as compressed blobs, one for each bucket.
+def _blob(doc: np.ndarray, text: np.ndarray, start: np.ndarray, to: np.ndarray, inner: np.ndarray, joined: bytes, pack: Callable[[bytes], bytes | int]) -> bytes | int:
+    """Super-k-mers (`to`: their bytes, in order of `inner`, their bucket within the group) or word ranges, packed."""
+    head = (np.int32(len(doc)), doc.astype(np.int64), text.astype(np.int64), start.astype(np.int32), to.astype(np.int32), inner.astype(np.uint8))
+    return pack(b"".join(x.tobytes() for x in head) + joined)
 
-    heavy: buckets (sorted) whose super-k-mers are cut into single windows, and
-    into how many further buckets these are dealt, by the whole window's hash.
-    Equal windows have equal minimisers, so they still meet.
-    """
 
-    def __init__(self, buckets: int, heavy: list[tuple[int, int]] | None = None):
-        self.buckets, self.slices, self.columns, self.bytes = buckets, [], [], 0
-        self.heavy, self.parts = np.array(heavy or [], np.int64).reshape(-1, 2).T
-        self.base = buckets + np.cumsum(self.parts) - self.parts
+class Packer:
+    """Gathers super-k-mers of documents and gives them as compressed blobs, one for each group of buckets."""
 
-    def deal(self, a: np.ndarray, b: np.ndarray, window: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and last windows of what is sent, and its bucket."""
-        bucket = (least[a] % np.uint64(self.buckets)).astype(np.int64)
-        if not len(self.heavy):
-            return a, b, bucket
-        k = np.minimum(np.searchsorted(self.heavy, bucket), len(self.heavy) - 1)
-        cut = self.heavy[k] == bucket
-        n = np.where(cut, b - a + 1, 1)
-        own = np.repeat(np.arange(len(a)), n)
-        cut, k, bucket = cut[own], k[own], bucket[own]
-        one = a[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        part = (window[one] % self.parts[k].astype(np.uint64)).astype(np.int64)
-        return one, np.where(cut, one, b[own]), np.where(cut, self.base[k] + part, bucket)
+    def __init__(self, buckets: int):
+        self.buckets, self.slices, self.columns, self.bytes = buckets, [], [], 0
 
     def add(self, ids: list[int], hashes: list[int], texts: list[bytes]) -> None:
         joined = b" ".join(texts)
@@ -112,7 +100,8 @@ class Packer:
         last[:-1] &= ~valid[1:] | new[1:]
         if not valid.any():  # short texts, one after the other
             return
-        a, b, bucket = self.deal(np.flatnonzero(new), np.flatnonzero(last), window, least)
+        a, b = np.flatnonzero(new), np.flatnonzero(last)
+        bucket = (least[a] % np.uint64(self.buckets)).astype(np.int64)
         doc = owner[a]
         count = b - a + 1
         same = _mix(window[a] * _STEP[5] + window[b] * _STEP[6] + count.astype(np.uint64))
@@ -131,7 +120,7 @@ class Packer:
         self.bytes += int((ends[b + WINDOW - 1] - starts[a]).sum())
 
     def flush(self, pack: Callable[[bytes], bytes | int] | None = None) -> Iterator[tuple[int, bool, bytes | int]]:
-        """(bucket, decided, blob): super-k-mers, and word ranges that copies met here already decide."""
+        """(group, decided, blob): super-k-mers, and word ranges that copies met here already decide."""
         if not self.columns:
             return
         bucket, doc, text, start, count, same = (np.concatenate(c) for c in zip(*self.columns, strict=True))
@@ -149,39 +138,58 @@ class Packer:
                     gone.append(i)
         pack = pack or zstandard.ZstdCompressor(level=LEVEL).compress
         if gone:
-            to = (start[gone] + count[gone] + WINDOW - 1).astype(np.int32)
-            head = np.int32(len(gone)).tobytes() + doc[gone].tobytes() + text[gone].tobytes()
-            yield int(bucket[gone[0]]), True, pack(head + start[gone].tobytes() + to.tobytes())
+            to = start[gone] + count[gone] + WINDOW - 1
+            yield int(bucket[gone[0]]) // GROUP, True, _blob(doc[gone], text[gone], start[gone], to, np.zeros(len(gone)), b"", pack)
         order = np.argsort(np.where(send, bucket, np.iinfo(np.int64).max), kind="stable")[: int(send.sum())]
-        at = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0]) if len(order) else []
+        at = np.flatnonzero(np.r_[True, np.diff(bucket[order] // GROUP) > 0]) if len(order) else []
         for i, j in zip(at, [*at[1:], len(order)], strict=True):
             own = order[i:j]
             parts = [slices[k] for k in own.tolist()]
             size = np.array([len(p) for p in parts], np.int32)
-            head = np.int32(len(own)).tobytes() + doc[own].tobytes() + text[own].tobytes() + start[own].tobytes()
-            yield int(bucket[own[0]]), False, pack(head + size.tobytes() + b" ".join(parts))
+            yield int(bucket[own[0]]) // GROUP, False, _blob(doc[own], text[own], start[own], size, bucket[own] % GROUP, b" ".join(parts), pack)
         self.slices, self.columns, self.bytes = [], [], 0
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+#: Super-k-mers: document, hash of its text, first word, bytes, and their text with a space between them.
+Mers = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]
+#: Word ranges: document, hash of its text, from, to.
+Ranges = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _unpack(blob: bytes) -> tuple[Mers, np.ndarray]:
+    """Super-k-mers (or word ranges, `to` in place of their bytes), and each one's bucket within the group."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, np.int32, 1)[0])
     doc, text = (np.frombuffer(raw, np.int64, n, 4 + 8 * n * k) for k in range(2))
     start, size = (np.frombuffer(raw, np.int32, n, 4 + 16 * n + 4 * n * k) for k in range(2))
-    return doc, text, start, size, raw[4 + 24 * n :]
+    return (doc, text, start, size, raw[4 + 25 * n :]), np.frombuffer(raw, np.uint8, n, 4 + 24 * n)
 
 
-Ranges = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+def _by_bucket(blob: bytes) -> Iterator[tuple[int, Mers]]:
+    (doc, text, start, size, joined), inner = _unpack(blob)
+    begin = np.r_[0, np.cumsum(size.astype(np.int64) + 1)]
+    at = np.flatnonzero(np.r_[True, np.diff(inner) != 0]).tolist()
+    for i, j in zip(at, [*at[1:], len(inner)], strict=True):
+        yield int(inner[i]), (doc[i:j], text[i:j], start[i:j], size[i:j], joined[begin[i] : begin[j] - 1])
 
 
 def repeated(blobs: list[bytes]) -> Ranges:
-    """Word ranges (document, text, from, to) of one bucket covered by windows that start earlier elsewhere.
+    """Word ranges of packed super-k-mers covered by windows that start earlier elsewhere."""
+    return settle([_unpack(b)[0] for b in blobs], False)[0]
+
+
+def settle(held: list[Mers], rest: bool = True) -> tuple[Ranges, tuple[Mers, np.ndarray] | None]:
+    """Word ranges of one bucket covered by windows that start earlier elsewhere; of the rest (if asked) the windows, each once.
+
+    The rest are super-k-mers again, the first of each window met here, with
+    the hashes of all their windows: what later ones of the bucket, or those
+    settled elsewhere, have to be held against.
 
     Sorting window hashes brings equal windows together; each is then compared
     with the first of its kind word by word, so that no two windows are taken
     for equal because of their hashes.
     """
-    docs, texts, starts0, sizes, parts = zip(*map(_unpack, blobs), strict=True)
+    docs, texts, starts0, sizes, parts = zip(*held, strict=True)
     doc, text, start, size = (np.concatenate(x) for x in (docs, texts, starts0, sizes))
     joined = b" ".join(parts)
     buf = np.frombuffer(joined, np.uint8)
@@ -190,30 +198,39 @@ def repeated(blobs: list[bytes]) -> Ranges:
     begin = np.cumsum(size.astype(np.int64) + 1) - size - 1
     owner = np.searchsorted(begin, starts, side="right") - 1
     first = np.searchsorted(starts, begin)
-    at = np.flatnonzero(owner[: len(window)] == owner[WINDOW - 1 :])
+    valid = owner[: len(window)] == owner[WINDOW - 1 :]
+    at = np.flatnonzero(valid)
     order = np.argsort(window[at], kind="stable")
     sorted_ = window[at][order]
     twin = np.r_[False, sorted_[1:] == sorted_[:-1]]
     twin[:-1] |= twin[1:]
     at = np.sort(at[order[twin]])  # windows that aren't alone
-    if not len(at):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
     skm = owner[at]
     where = (start[skm] + (at - first[skm])).astype(np.int64)
     order = np.lexsort((where, text[skm], doc[skm], window[at]))
-    head = np.r_[True, window[at][order][1:] != window[at][order][:-1]]
+    head = np.r_[True, window[at][order][1:] != window[at][order][:-1]][: len(at)]
     lead = np.empty(len(at), np.int64)
     lead[order] = at[order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]]
-    lead = _verified(joined, starts, ends, at, lead, window, doc, text, start, owner, first)
+    if len(at):
+        lead = _verified(joined, starts, ends, at, lead, window, doc, text, start, owner, first)
     lskm = owner[lead]
     lwhere = start[lskm] + (lead - first[lskm])
     later = (lead != at) & ~((doc[lskm] == doc[skm]) & (text[lskm] == text[skm]) & (lwhere == where))
+    kept = None
+    if rest:
+        valid[at[lead != at]] = False
+        stay = np.flatnonzero(valid)
+        new = np.r_[True, (np.diff(stay) != 1) | (np.diff(owner[stay]) != 0)][: len(stay)]
+        a, b = stay[new], stay[np.r_[new[1:], True][: len(stay)]]
+        skm2 = owner[a]
+        mers = [joined[i:j] for i, j in zip(starts[a].tolist(), ends[b + WINDOW - 1].tolist(), strict=True)]
+        size2 = np.array([len(m) for m in mers], np.int32)
+        kept = (doc[skm2], text[skm2], (start[skm2] + (a - first[skm2])).astype(np.int32), size2, b" ".join(mers)), window[stay]
     at, skm, where = at[later], skm[later], where[later]
-    if not len(at):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
-    new = np.r_[True, (np.diff(at) != 1) | (np.diff(skm) != 0)]
-    i, j = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(at)] - 1
-    return doc[skm[i]], text[skm[i]], where[i].astype(np.int32), (where[j] + WINDOW).astype(np.int32)
+    new = np.r_[True, (np.diff(at) != 1) | (np.diff(skm) != 0)][: len(at)]
+    i = np.flatnonzero(new)
+    j = np.r_[i[1:], len(at)][: len(i)] - 1
+    return (doc[skm[i]], text[skm[i]], where[i].astype(np.int32), (where[j] + WINDOW).astype(np.int32)), kept
 
 
 def _verified(joined, starts, ends, at, lead, window, doc, text, start, owner, first) -> np.ndarray:
@@ -246,10 +263,7 @@ def _verified(joined, starts, ends, at, lead, window, doc, text, start, owner, f
     return lead
 
 
-_RANGE = "doc_id long, text_hash long, a int, b int"
-
-
-def _packed(batches: Iterator[pa.RecordBatch], packer: Packer, pack: Callable[[bytes], int] | None = None) -> Iterator[list[tuple]]:
+def _packed(batches: Iterator[pa.RecordBatch], packer: Packer) -> Iterator[list[tuple]]:
     """What the packer gives for rows of doc_id, text_hash, text, flush by flush."""
     for batch in batches:
         ids, hashes, texts = (c.to_pylist() for c in batch.columns)
@@ -260,66 +274,137 @@ def _packed(batches: Iterator[pa.RecordBatch], packer: Packer, pack: Callable[[b
                 packer.add(ids[i : j + 1], hashes[i : j + 1], texts[i : j + 1])
                 i, size = j + 1, 0
                 if packer.bytes >= FLUSH_BYTES:
-                    yield list(packer.flush(pack))
-    yield list(packer.flush(pack))
+                    yield list(packer.flush())
+    yield list(packer.flush())
 
 
-def heavy_buckets(docs: DataFrame, buckets: int) -> list[tuple[int, int]]:
-    """Buckets of more than HEAVY * BUCKET_BYTES of packed text, and how many to deal each into."""
+class Buckets:
+    """The buckets of one group in one task: held up to a size, then settled, and dealt anew where that doesn't shrink them.
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _packed(batches, Packer(buckets), len):
-            sent = [(n, size) for n, decided, size in rows if not decided]
-            cols = [pa.array([n for n, _ in sent], pa.int32()), pa.array([size for _, size in sent], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "size"])
+    A passage that stands anywhere comes once from each map task; settled on
+    the way, it is held once, so what a task holds is bounded by `most` bytes
+    a bucket whatever arrives.  What is dealt anew goes by whole
+    windows, by one more byte of their hashes each time (level: how often it
+    was).  Windows of one hash shrink to one, or to those that differ.
+    """
+
+    def __init__(self, group: int, level: int, most: int):
+        self.group, self.level, self.most = group, level, most
+        self.held: dict[int, list[Mers]] = {}
+        self.size: dict[int, int] = {}
+        self.open: set[int] = set()
+
+    def add(self, blob: bytes) -> Iterator[pa.RecordBatch]:
+        for k, mers in _by_bucket(blob):
+            self.held.setdefault(k, []).append(mers)
+            self.size[k] = self.size.get(k, 0) + len(mers[-1])
+            if self.size[k] > self.most:
+                yield from self.shrink(k)
+        while self.level < LEVELS and sum(self.size.values()) > GROUP * self.most // 2:
+            yield from self.shrink(max(self.size, key=self.size.get), True)
+
+    def shrink(self, k: int, away: bool = False) -> Iterator[pa.RecordBatch]:
+        """Settles bucket k; what stays is held on, or dealt anew if it is too much (or is to go away)."""
+        ranges, (rest, windows) = settle(self.held.pop(k))
+        yield _given(ranges)
+        self.size[k] = len(rest[-1])
+        if self.level < LEVELS and (away or k in self.open or self.size[k] > self.most // 2):
+            self.open.add(k)
+            self.size[k] = 0
+            yield self.dealt(k, rest, windows)
+        elif len(rest[0]):
+            self.held[k] = [rest]
+
+    def dealt(self, k: int, rest: Mers, windows: np.ndarray) -> pa.RecordBatch:
+        doc, text, start, _, joined = rest
+        starts, ends, _ = word_table(np.frombuffer(joined, np.uint8))
+        begin = np.cumsum(rest[3].astype(np.int64) + 1) - rest[3] - 1
+        owner, first = np.searchsorted(begin, starts, side="right") - 1, np.searchsorted(starts, begin)
+        at = np.flatnonzero(owner[: len(starts) - WINDOW + 1] == owner[WINDOW - 1 :]) if len(windows) else np.zeros(0, np.int64)
+        slot = (windows >> np.uint64(8 * self.level)) % np.uint64(SLOTS)
+        order = np.argsort(slot, kind="stable")
+        cuts = np.searchsorted(slot[order], np.arange(SLOTS + 1, dtype=np.uint64)).tolist()
+        pack, rows = zstandard.ZstdCompressor(level=LEVEL).compress, []
+        for n, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if i < j:
+                own = at[order[i:j]]
+                skm = owner[own]
+                mers = [joined[x:y] for x, y in zip(starts[own].tolist(), ends[own + WINDOW - 1].tolist(), strict=True)]
+                size = np.array([len(m) for m in mers], np.int32)
+                # buckets that get one number by chance are settled together, which changes nothing
+                name = (((self.group * GROUP + k) % (1 << 52)) * SLOTS + n) % (1 << 62)
+                rows.append((name, int(size.sum()), _blob(doc[skm], text[skm], start[skm] + (own - first[skm]), size, np.zeros(len(own)), b" ".join(mers), pack)))
+        return _given(None, rows)
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        for k in sorted(self.held):
+            if k in self.open:
+                yield from self.shrink(k)
+            else:
+                yield _given(settle(self.held.pop(k), False)[0])
+
+
+_SETTLED = "doc_id long, text_hash long, a int, b int, bucket long, size long, blob binary"
+
+
+def _given(ranges: Ranges | None, dealt: list[tuple[int, int, bytes]] = ()) -> pa.RecordBatch:
+    """Rows of _SETTLED: word ranges, or buckets dealt anew."""
+    n, m = len(ranges[0]) if ranges else 0, len(dealt)
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    cols = [pa.array(x, t) for x, t in zip(ranges, kinds, strict=True)] if ranges else [pa.nulls(m, t) for t in kinds]
+    more = [pa.array([row[i] for row in dealt], t) if dealt else pa.nulls(n, t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+    return pa.RecordBatch.from_arrays([*cols, *more], names=[c.split()[0] for c in _SETTLED.split(", ")])
+
+
+def _settled(packed: DataFrame, parts: int, level: int, most: int) -> DataFrame:
+    """packed: bucket (long), decided, blob."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            for n, decided, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if decided:
+                    yield _given(_unpack(blob)[0][:4])
+                    continue
+                if own is None or n != own.group:
+                    if own is not None:
+                        yield from own.finish()
+                    own = Buckets(n, level, most)
+                yield from own.add(blob)
+        if own is not None:
+            yield from own.finish()
 
-    sizes = docs.mapInArrow(weigh, "bucket int, size long").groupBy("bucket").agg(F.sum("size").alias("size"))
-    # at most one row for each HEAVY * BUCKET_BYTES of packed text comes back
-    found = sizes.where(F.col("size") > HEAVY * BUCKET_BYTES).collect()
-    return sorted((r["bucket"], math.ceil(SPREAD * r["size"] / BUCKET_BYTES)) for r in found)
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, _SETTLED)
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """Word ranges [a, b) to remove, by (doc_id, text_hash); docs: doc_id (no nulls), text_hash, text (binary)."""
-    spark = docs.sparkSession
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(3 * total / BUCKET_BYTES))
 
-    heavy = heavy_buckets(docs, buckets)
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _packed(batches, Packer(buckets, heavy)):
+        for rows in _packed(batches, Packer(buckets)):
             if rows:
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "bucket": pa.array([r[0] for r in rows], pa.int32()),
+                        "bucket": pa.array([r[0] for r in rows], pa.int64()),
                         "decided": pa.array([r[1] for r in rows], pa.bool_()),
                         "blob": pa.array([r[2] for r in rows], pa.binary()),
                     }
                 )
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def give(found: Ranges) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["doc_id", "text_hash", "a", "b"])
-
-        bucket, held = None, []
-        for batch in batches:
-            for n, decided, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if decided:
-                    doc, text, a, b, _ = _unpack(blob)
-                    yield give((doc, text, a, b))
-                    continue
-                if n != bucket and held:
-                    yield give(repeated(held))
-                    held = []
-                bucket = n
-                held.append(blob)
-        if held:
-            yield give(repeated(held))
-
-    packed = docs.mapInArrow(pack, "bucket int, decided boolean, blob binary")
-    dealt = packed.repartition(max(partitions(docs), math.ceil((buckets + sum(n for _, n in heavy)) / 8)), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(compare, _RANGE)
+    packed = docs.mapInArrow(pack, "bucket long, decided boolean, blob binary")
+    parts, level, found = max(partitions(docs), math.ceil(buckets / GROUP)), 0, []
+    while True:
+        # written, as it says whether anything is to be dealt anew
+        out = materialize(_settled(packed, parts, level, HEAVY * BUCKET_BYTES))
+        found.append(out.where("bucket IS NULL").select("doc_id", "text_hash", "a", "b"))
+        left = out.agg(F.sum("size")).first()[0]
+        if not left:
+            break
+        packed = out.where("bucket IS NOT NULL").select("bucket", F.lit(False).alias("decided"), "blob")
+        parts, level = max(partitions(docs), math.ceil(left / BUCKET_BYTES / GROUP)), level + 1
+    return functools.reduce(lambda a, b: a.unionByName(b), found)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -335,8 +420,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Windows that share a minimiser travel as one packed string to its bucket;
     copies that meet in one map task are decided there, so that however many
-    copies there are, each task sends a passage once.  Buckets are weighed
-    first, and those too large for a task dealt anew by whole windows.
+    copies there are, each task sends a passage once.  A bucket that grows too
+    large for its task is settled on the way, which leaves each window once, and
+    what is still too large is dealt anew by whole windows.
     """
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("given"),

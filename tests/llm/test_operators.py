@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -300,23 +301,42 @@ def test_heavy_buckets_are_dealt_anew(spark, monkeypatch):
     phrase = min(grams, key=least)
     rows = [(i, f"{words(30)} {phrase} {words(30)}") for i in range(400)]
     rows += [(1000 + i, f"{words(9)} {rows[i][1]} {'a ' * 60}") for i in range(0, 400, 3)]
-    texts = [t.encode() for _, t in rows]
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1 << 13)
-    total = sum(map(len, texts))
-    buckets = -(-3 * total // substring_dedup.BUCKET_BYTES)
-    docs = frame(spark, rows).select("doc_id", F.lit(0).alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    heavy = substring_dedup.heavy_buckets(docs, buckets)
-    assert heavy
-
-    def largest(heavy):
-        packer = substring_dedup.Packer(buckets, heavy)
-        packer.add([i for i, _ in rows], [0] * len(rows), texts)
-        return max(size for _, decided, size in packer.flush(len) if not decided)
-
-    assert largest([]) > substring_dedup.HEAVY * substring_dedup.BUCKET_BYTES >= largest(heavy)
+    most, levels, real = substring_dedup.HEAVY * substring_dedup.BUCKET_BYTES, [], substring_dedup._settled
+    monkeypatch.setattr(substring_dedup, "_settled", lambda packed, parts, level, most: levels.append(level) or real(packed, parts, level, most))
     want = substring_dedup.brute_force(rows)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
     assert got == want
+    assert levels[:2] == [0, 1]
+
+    # whole windows by a byte of their hashes: nothing is lost or held beyond the size, however blobs arrive
+    packer = substring_dedup.Packer(1)
+    own, out = substring_dedup.Buckets(0, 0, most), []
+    for i in range(0, len(rows), 20):
+        packer.add([d for d, _ in rows[i : i + 20]], [0] * len(rows[i : i + 20]), [t.encode() for _, t in rows[i : i + 20]])
+        for _, decided, blob in packer.flush():
+            out += [substring_dedup._given(substring_dedup._unpack(blob)[0][:4])] if decided else own.add(blob)
+            assert sum(own.size.values()) <= most
+    out = pa.Table.from_batches([*out, *own.finish()]).to_pylist()
+    dealt = [r["blob"] for r in out if r["bucket"] is not None]
+    assert max(r["size"] for r in out if r["bucket"] is not None) < most
+    ranges = [r for r in out if r["bucket"] is None] + [dict(zip(("doc_id", "text_hash", "a", "b"), r, strict=True)) for r in zip(*substring_dedup.repeated(dealt), strict=True)]
+    covered = {(r["doc_id"], w) for r in ranges for w in range(r["a"], r["b"])}
+    assert {d: sum(1 for x, _ in covered if x == d) for d, _ in rows} == {d: want[d][1] for d, _ in rows}
+
+
+def test_a_passage_of_every_blob_is_held_once(monkeypatch):
+    """One window of thousands of blobs takes no more room than a size, and isn't dealt anew."""
+    passage = " ".join(f"h{i}" for i in range(20)).encode()
+    own, ranges = substring_dedup.Buckets(0, 0, 4000), []
+    for doc in range(3000):
+        packer = substring_dedup.Packer(1)
+        packer.add([(doc * 7 + 5) % 3000], [0], [passage])
+        for _, _, blob in packer.flush():
+            ranges += own.add(blob)
+        assert sum(own.size.values()) <= 4000 and sum(len(m[-1]) for h in own.held.values() for m in h) <= 4000
+    ranges = pa.Table.from_batches([*ranges, *own.finish()]).to_pylist()
+    assert not own.open and sorted(r["doc_id"] for r in ranges) == list(range(1, 3000))
 
 
 # -- 4 ---------------------------------------------------------------------------------------------
