@@ -374,7 +374,9 @@ def _settled(packed: DataFrame, parts: int, level: int, most: int) -> DataFrame:
         if own is not None:
             yield from own.finish()
 
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, _SETTLED)
+    # by number, as hashes of it would bring several large groups to one task and none to others
+    dealt = packed.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
+    return dealt.sortWithinPartitions("bucket").mapInArrow(compare, _SETTLED)
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
