@@ -21,6 +21,12 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 PART = 2048
 
 
+def _ones(h: np.ndarray) -> np.ndarray:
+    """In how many of the hashes, 65,280 at most, each bit is set."""
+    lanes = np.unpackbits(h.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
+    return np.add.reduceat(lanes, np.arange(0, len(h), 255), axis=0).view(np.uint8).reshape(-1, BITS).sum(0, dtype=np.int64)
+
+
 def fingerprint(text: bytes | None, shingle: int = 4, seeds: int = 1) -> list[int]:
     """Unsigned 64-bit SimHashes of a text: majority bits of its shingles' XXH64 (seed 42), then of mixes of these."""
     words = text.lower().split() if text else []  # bytes: A-Z alone, and ASCII white space
@@ -38,8 +44,7 @@ def fingerprint(text: bytes | None, shingle: int = 4, seeds: int = 1) -> list[in
             if k:
                 h = (h ^ (h >> np.uint64(31))) * _MIX
                 h ^= h >> np.uint64(29)
-            lanes = np.unpackbits(h.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
-            ones[k] += np.add.reduceat(lanes, np.arange(0, len(h), 255), axis=0).view(np.uint8).reshape(-1, BITS).sum(0, dtype=np.int64)
+            ones[k] += _ones(h)
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).ravel().tolist()
 
 
@@ -174,26 +179,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     table gives none.  Exact copies are one fingerprint from the start.
     """
     prints = checkpoint(fingerprints(docs, shingle))
-    prints = prints.withColumn("node", F.get("fps", 0)).withColumn("n", F.lit(1))
+    prints = prints.withColumn("node", F.get("fps", 0))
     return _grouped(prints, lambda nodes: link_fingerprints(nodes, distance)).select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
 def _grouped(prints: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """prints (doc_id, text_hash, node, n, fps) with component_id and keep: the group's first (doc_id, text_hash), null doc_ids last.
+    """doc_id, node of prints with component_id and keep: the group's first (doc_id, text_hash), null doc_ids last.
 
-    link gives edges a, b of the distinct nodes (node, n, fps, and id and hash of the first of its documents).
+    prints: doc_id, text_hash, node, and columns that follow from the node (fps among them).  link gives edges a, b
+    of the distinct nodes (node, those columns, and id and hash of the first of its documents).
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    own = [c for c in prints.columns if c not in ("doc_id", "text_hash", "node")]
     distinct = checkpoint(
-        prints.groupBy("node").agg(
-            F.min("fps").alias("fps"), F.min("n").alias("n"), F.min("doc_id").alias("first"), F.min(order).alias("least")
-        )
+        prints.groupBy("node").agg(*[F.min(c).alias(c) for c in own], F.min("doc_id").alias("first"), F.min(order).alias("least"))
     )
     one = [F.coalesce("least.doc_id", F.lit(-(1 << 63))).alias("id"), F.col("least.text_hash").alias("hash")]
-    roots = components(link(distinct.select("node", "n", "fps", *one)))
+    roots = components(link(distinct.select("node", *own, *one)))
     placed = distinct.select("node", "first", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.min("least").alias("keep"))
-    return prints.drop("fps").join(placed.join(smallest, "root").select("node", "component_id", "keep"), "node")
+    return prints.select("doc_id", "node").join(placed.join(smallest, "root").select("node", "component_id", "keep"), "node")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,8 +206,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The pipeline's near-duplicates: sets of five-word shingles of similarity (shared over all) 4/5 or more.  BANDS of
-#: ROWS minima each: a pair of similarity 0.8 agrees on a band with a chance of 0.8^6 = 0.262, so on none of 24 with
+#: The pipeline's near-duplicates: sets of five-word shingles of similarity (shared over all) 4/5 or more, which are
+#: compared exactly in groups of linked SimHashes.  As a pair of similarity 0.8 differs in some 10 of 64 bits, pairs of
+#: different such groups also meet if they share one of BANDS of ROWS minima each: a pair of similarity 0.8 agrees on a band with a chance of 0.8^6 = 0.262, so on none of 24 with
 #: one of 0.0007, whatever the number of documents; one of 0.5 meets with a chance of 0.31, and is then turned down.
 STAGE_SHINGLE, BANDS, ROWS = 5, 24, 6
 #: A group of more shingles than this is compared in pairs of parts of this size.
@@ -221,6 +227,14 @@ def shingles(text: bytes | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64))
 
 
+def set_fingerprint(found: np.ndarray) -> list[int]:
+    """The SimHash (a signed long) of a set of hashes, each counted once; none of the empty set."""
+    if not len(found):
+        return []
+    ones = sum(_ones(found[at : at + 65_280]) for at in range(0, len(found), 65_280))
+    return np.packbits(2 * ones > len(found), bitorder="little").view(np.int64).tolist()
+
+
 def bands(found: np.ndarray) -> list[int]:
     """Signed hashes of a set's bands of minima; none of the empty set."""
     if not len(found):
@@ -232,18 +246,18 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the text's set of shingles), n (its size), fps (its bands) of every document."""
+    """doc_id, text_hash, node (a hash of the text's set of shingles), n (its size), fps (its SimHash), bands of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_buffer().to_pybytes() if t.is_valid else None) for t in b.column(2)]
             nodes = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            cols = [b.column(0), b.column(1), nodes, sizes, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "node", "n", "fps"])
+            lists = [pa.array([of(s) for s in sets], pa.list_(pa.int64())) for of in (set_fingerprint, bands)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), nodes, sizes, *lists], names=["doc_id", "text_hash", "node", "n", "fps", "bands"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, text_hash long, node long, n long, fps array<long>")
+    return source.mapInArrow(run, "doc_id long, text_hash long, node long, n long, fps array<long>, bands array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -318,24 +332,39 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def link_similar(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges a, b that connect the nodes whose shingles are similar; nodes: node, n (size of its set), fps (bands), id, hash.
+def simhash_groups(nodes: DataFrame) -> DataFrame:
+    """node, n, root (one of its group, a fingerprint) of every node that has shingles: groups of linked fingerprints."""
+    prints = nodes.where("n > 0").select("node", "n", F.get("fps", 0).alias("fp"))
+    distinct = checkpoint(prints.select(F.col("fp").alias("node")).distinct())
+    roots = components(link_fingerprints(distinct.withColumn("fps", F.array("node")))).select(F.col("node").alias("fp"), "root")
+    return checkpoint(prints.join(roots, "fp", "left").select("node", "n", F.coalesce("root", "fp").alias("root")))
 
-    Candidates share a band.  All that meet in buckets whose least node is a are
-    one group, a's: so a node goes to each such a once, however many bands they
-    share, and every two nodes of a bucket are in one group.  There all pairs
-    are compared exactly, yet only a spanning star of each tree is given.  A
+
+def link_similar(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges a, b that connect the nodes whose shingles are similar; nodes: node, n (size of its set), fps (its SimHash), bands, id, hash.
+
+    Nodes whose SimHashes are linked (blocks by pigeonhole, then four differing
+    bits) are one group, in which all pairs are compared exactly.  What differs
+    in more bits meets by bands: all in buckets whose least node is a are one
+    group, a's, so a node goes to each such a once, however many bands they
+    share; a group whose nodes are all of one SimHash group has been compared
+    there and is not sent again.  Groups give a spanning star of each tree.  A
     group of more than PART_SHINGLES is cut into parts, and every two parts meet
     as a group of their own, so that no task holds more than two.
     """
-    rows = nodes.select("node", "n", F.posexplode("fps").alias("tab", "bits"))
+    placed = simhash_groups(nodes)
+    rows = nodes.select("node", F.posexplode("bands").alias("tab", "bits"))
     buckets = rows.groupBy("tab", "bits").agg(F.count("*").alias("c"), F.min("node").alias("a")).where("c > 1")
-    met = checkpoint(rows.join(buckets.select("tab", "bits", "a"), ["tab", "bits"]).select("a", "node", "n").distinct())
-    sizes = met.groupBy("a").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("parts"))
-    sent = _in_parts(met.join(sizes, "a"), ["a"])
-    sets = _sets(docs, nodes.join(met.select("node").distinct(), "node", "left_semi"))
+    pairs = rows.join(buckets.select("tab", "bits", "a"), ["tab", "bits"]).select("a", "node").distinct()
+    met = checkpoint(pairs.join(placed, "node"))
+    mixed = met.groupBy("a").agg(F.sum("n").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    alike = placed.groupBy("root").agg(F.sum("n").alias("size"), F.count("*").alias("c")).where("c > 1")
+    together = placed.join(alike.select("root", "size"), "root").select(F.col("root").alias("a"), "node", "n", "size")
+    groups = checkpoint(met.select("a", "node", "n").join(mixed.select("a", "size"), "a").select("a", "node", "n", "size").unionByName(together))
+    sent = _in_parts(groups.withColumn("parts", F.ceil(F.col("size") / PART_SHINGLES).cast("int")), ["a"])
+    sets = _sets(docs, nodes.join(groups.select("node").distinct(), "node", "left_semi"))
     whole = sent.join(sets, "node").select("a", "part", "node", "s")
-    volume = met.agg(F.sum("n")).first()[0] or 0
+    volume = groups.agg(F.sum("n")).first()[0] or 0
     dealt = whole.repartition(max(partitions(nodes), math.ceil(volume / PART_SHINGLES)), "a", "part").sortWithinPartitions("a", "part")
     return dealt.mapInArrow(_compare, "a long, b long")
 
@@ -348,8 +377,8 @@ def _key(docs: DataFrame) -> Column:
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of each group, that with the smallest doc_id (null ones last); of equal rows, one.
 
-    Documents link if their sets of five-word shingles have a similarity of 0.8
-    or more; a group is all that is linked.  Texts without words are one group.
+    Documents link if their sets of five-word shingles, met by SimHash or by
+    bands, have a similarity of 0.8 or more; a group is all that is linked.  Texts without words are one group.
     """
     found = _grouped(checkpoint(sketches(docs)), lambda nodes: link_similar(nodes, docs))
     gid, ghash = unused(docs, "id", "hash")

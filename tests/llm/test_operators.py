@@ -224,6 +224,50 @@ def test_stage_keeps_to_the_limit_on_both_sides(spark):
     assert len(gone) >= 398, "0.8 and above"
 
 
+def test_stage_goes_by_simhash_and_then_compares(spark, monkeypatch):
+    draw, texts, calls = np.random.default_rng(12), [], []
+    for _ in range(40):  # a text, one with a word more (0.997), and its first 160 words (0.52)
+        words = [f"v{x}" for x in draw.integers(0, 1 << 40, 304)]
+        texts += [" ".join(words), " ".join([*words, "more"]), " ".join(words[:160])]
+    texts += ["", None, "a", "b"]
+    docs = frame(spark, list(enumerate(texts)))
+    real, sketched = simhash.link_fingerprints, simhash.sketches
+    none = F.array().cast("array<long>")
+    monkeypatch.setattr(simhash, "link_fingerprints", lambda *a: calls.append(a) or real(*a))
+    monkeypatch.setattr(simhash, "sketches", lambda d: sketched(d).withColumn("bands", none))
+    kept = {r["doc_id"] for r in simhash.stage_simhash(spark, docs, "").collect()}
+    assert len(calls) == 1, "the blocks of the fingerprints are looked at"
+    gone = set(range(len(texts))) - kept
+    assert gone <= {*range(1, 120, 3), 121}
+    assert len(gone & set(range(1, 120, 3))) >= 38, "four bits and fewer, without any band"
+    # linked fingerprints alone are no link: here all are equal
+    monkeypatch.setattr(simhash, "sketches", lambda d: sketched(d).withColumn("bands", none).withColumn("fps", F.array(F.lit(7).cast("long"))))
+    kept = {r["doc_id"] for r in simhash.stage_simhash(spark, docs, "").collect()}
+    similar = lambda a, b: 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) > 0
+    sets = [simhash.shingles(t.encode() if t else None) for t in texts]
+    lone = {i for i in range(120) if not any(similar(sets[i], sets[j]) for j in range(i // 3 * 3, i))}
+    assert kept == lone | {120, 122, 123}
+
+
+def test_groups_of_one_simhash_are_sent_once(spark, monkeypatch):
+    texts = [" ".join(f"w{i}" for i in range(k, k + 200)) for k in range(3)]
+    docs, sizes = frame(spark, list(enumerate(texts))), []
+    real, sketched = simhash._in_parts, simhash.sketches
+    monkeypatch.setattr(simhash, "_in_parts", lambda rows, group: sizes.append(rows.count()) or real(rows, group))
+    fps = F.array(F.lit(7).cast("long"))
+    monkeypatch.setattr(simhash, "sketches", lambda d: sketched(d).withColumn("fps", fps))
+    assert [r["doc_id"] for r in simhash.stage_simhash(spark, docs, "").collect()] == [0]
+    assert sizes[-1] == 3
+
+
+def test_set_fingerprint_counts_each_shingle_once():
+    for n in (1, 2, 255, 256, 70_000):
+        h = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64))
+        want = sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
+        assert simhash.set_fingerprint(h)[0] % 2**64 == want
+    assert simhash.set_fingerprint(np.empty(0, np.uint64)) == []
+
+
 def test_stage_links_what_a_star_does_not(spark):
     words = [f"v{i}" for i in range(400)]
     # each is similar to the next alone: a chain, however it hangs together in the buckets
