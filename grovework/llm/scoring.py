@@ -54,6 +54,18 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.matmul(one, many).sum(-3) + np.matmul(a[n:].T, b[..., n:, :])
 
 
+#: Gates are logistic functions of 2x, so what goes to them is wanted times -2.
+_HEARD = np.array([-2, -2, 1], np.float32)[:, None, None]
+
+
+def _logistic(x: np.ndarray) -> None:
+    """1 / (1 + exp x) in place: exponentials cost half of what hyperbolic tangents do; one too large makes it 0."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
 class GatedNetwork:
     """A gated recurrent unit over side * side words, with an output softmax factored into classes and words within them."""
 
@@ -101,39 +113,50 @@ class GatedNetwork:
         net.w["word_bias"][:] = np.log(share / by_class[:, None])
         return net
 
-    def run(self, a: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def run(self, a: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray, learn: bool = True) -> tuple[np.ndarray, ...]:
         """Advances lanes of text through one window, a step at a time, the first live[t] lanes at step t.
 
         a: what the words before say to z, r and the candidate (rows step after
-        step); fresh: steps x lanes that begin without a state; h: states before
-        the window.  Returns states before and after each step, gates (z and r),
-        candidates and their part from the state, and the states at the end.
+        step), as `heard` gives it; fresh: steps x lanes that begin without a
+        state; h: states before the window.  Returns states before and after
+        each step, gates (z and r), candidates and their part from the state,
+        and the states at the end; unless it is to learn, only the states after
+        each step and those at the end are whole, the others one step's, which
+        stay in the processor's cache.
         """
-        total, any_fresh = a.shape[1], fresh.any(1).tolist()
-        old, new, cand, b3 = (np.empty((total, UNITS), np.float32) for _ in range(4))
-        gate = np.empty((2, total, UNITS), np.float32)
-        ends = np.cumsum(live).tolist()
+        total, width, any_fresh = a.shape[1], fresh.shape[1], fresh.any(1).tolist()
+        new = np.empty((total, UNITS), np.float32)
+        old, cand, b3 = (np.empty((total if learn else width, UNITS), np.float32) for _ in range(3))
+        gate = np.empty((2, len(old), UNITS), np.float32)
+        ends, back = np.cumsum(live).tolist(), self.w["back"] * _HEARD
         for t, (n, end) in enumerate(zip(live.tolist(), ends, strict=True)):
             own = slice(end - n, end)
-            o, g, c, y = old[own], gate[:, own], cand[own], new[own]
+            at = own if learn else slice(0, n)
+            o, g, c, y = old[at], gate[:, at], cand[at], new[own]
             o[:] = h[:n]
             if any_fresh[t]:
                 o[np.flatnonzero(fresh[t, :n])] = 0
-            b = np.matmul(o, self.w["back"])
+            b = np.matmul(o, back)
             np.add(a[:2, own], b[:2], out=g)
-            np.tanh(g, out=g)  # (1 + tanh x) / 2 is the logistic function of 2x
-            g += 1
-            g *= 0.5
-            b3[own] = b[2]
+            _logistic(g)
+            if learn:
+                b3[at] = b[2]
             np.multiply(g[1], b[2], out=c)
             c += a[2, own]
-            np.tanh(c, out=c)
+            c *= -2
+            _logistic(c)  # tanh x is 2 / (1 + exp -2x) - 1
+            c *= 2
+            c -= 1
             np.subtract(o, c, out=y)
             y *= g[0]
             y += c
             h = y
         return old, new, gate, cand, b3, h
 
+    def heard(self, words: np.ndarray) -> np.ndarray:
+        """What words' vectors say to z, r (times -2, as exponents) and the candidate."""
+        return np.matmul(words, self.w["into"] * _HEARD)
+
     def output(self, h: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None):
         """log P(target | h), and the gradient of its negative mean by h; that by the weights goes to `grads`, if given."""
         learn, w, m, side = grads is not None, self.w, len(h), self.side
@@ -248,7 +271,8 @@ def train(net: GatedNetwork, lanes: Lanes, squares: np.ndarray, steps: int = TRA
         own = np.concatenate([a[:n] for a, n in zip(at, live.tolist(), strict=True)])
         inputs = lanes.before[own]
         x = w["words"].take(inputs, 0)
-        old, new, (z, r), cand, b3, h = net.run(np.matmul(x, w["into"]), fresh, live, h[: at.shape[1]])
+        said = net.heard(w["words"]).take(inputs, 1) if len(w["words"]) < len(own) else net.heard(x)
+        old, new, (z, r), cand, b3, h = net.run(said, fresh, live, h[: at.shape[1]])
         counts = np.flatnonzero(lanes.counts[own])
         if not len(counts):
             continue
@@ -309,10 +333,10 @@ def train(net: GatedNetwork, lanes: Lanes, squares: np.ndarray, steps: int = TRA
 def log_likelihood(net: GatedNetwork, lanes: Lanes, steps: int = SCORE_STEPS) -> np.ndarray:
     """Natural log-probability of every token dealt, by its place."""
     out = np.zeros(int(lanes.place.max(initial=-1)) + 1)
-    h, table = np.zeros((len(lanes.load), UNITS), np.float32), np.matmul(net.w["words"], net.w["into"])
+    h, table = np.zeros((len(lanes.load), UNITS), np.float32), net.heard(net.w["words"])
     for at, live in lanes.windows(steps):
         own = np.concatenate([a[:n] for a, n in zip(at, live.tolist(), strict=True)])
-        _, new, *_, h = net.run(table.take(lanes.before[own], 1), lanes.fresh[at], live, h[: at.shape[1]])
+        _, new, *_, h = net.run(table.take(lanes.before[own], 1), lanes.fresh[at], live, h[: at.shape[1]], learn=False)
         mine = lanes.counts[own]
         out[lanes.place[own[mine]]] = net.output(new, lanes.tokens[own])[0][mine]
     return out

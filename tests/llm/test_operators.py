@@ -224,6 +224,31 @@ def test_stage_keeps_to_the_limit_on_both_sides(spark):
     assert len(gone) >= 398, "0.8 and above"
 
 
+def test_a_run_that_does_not_learn_keeps_one_step():
+    draw = np.random.default_rng(4)
+    net = scoring.GatedNetwork.start(np.arange(500.0) + 1)
+    live, lanes = np.array([7, 7, 5, 2, 1]), 7
+    words, h = draw.integers(0, 1024, live.sum()), draw.normal(size=(lanes, scoring.UNITS)).astype(np.float32)
+    fresh = draw.random((5, lanes)) < 0.3
+    said, w = net.heard(net.w["words"][words]), {k: v.astype(float) for k, v in net.w.items()}
+    old, new, gate, cand, b3, last = net.run(said, fresh, live, h)
+    lean = net.run(said, fresh, live, h, learn=False)
+    assert np.array_equal(lean[1], new) and np.array_equal(lean[5], last)
+    assert len(new) == live.sum() and all(x.shape[-2] == lanes for x in (lean[0], *lean[2], lean[3], lean[4]))
+    at, state = 0, h.astype(float)
+    for n, f in zip(live, fresh, strict=True):
+        state = np.where(f[:n, None], 0, state[:n])
+        x, b = w["words"][words[at : at + n]] @ w["into"], state @ w["back"]
+        z, r = (1 / (1 + np.exp(-2 * (x[k] + b[k]))) for k in (0, 1))
+        c = np.tanh(x[2] + r * b[2])
+        state = z * (state - c) + c
+        assert np.allclose(new[at : at + n], state, atol=1e-5)
+        at += n
+    x = np.array([-200, -1, 0, 1, 200], np.float32)
+    scoring._logistic(x)
+    assert np.allclose(x, [1, 0.731059, 0.5, 0.268941, 0], atol=1e-6)
+
+
 def test_stage_goes_by_simhash_and_then_compares(spark, monkeypatch):
     draw, texts, calls = np.random.default_rng(12), [], []
     for _ in range(40):  # a text, one with a word more (0.997), and its first 160 words (0.52)
