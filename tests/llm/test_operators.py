@@ -72,6 +72,18 @@ def test_decontamination_of_short_items_and_by_shuffle(spark, monkeypatch):
     assert sorted(decontaminate.contaminated(docs, bench).collect()) == small
 
 
+def test_the_filter_of_a_benchmark_keeps_all_its_seeds_and_few_others(spark):
+    n = 20_000
+    seeds = spark.range(n).select(F.xxhash64("id").alias("s"))
+    asked = spark.range(2 * n).select("id", F.xxhash64("id").alias("s"))
+    held = decontaminate.seed_filter(seeds, n)
+    met = asked.join(held, decontaminate._block(n) == F.col("block")).where(decontaminate._perhaps(F.col("bits")))
+    passed = {r["id"] for r in met.select("id").collect()}
+    assert set(range(n)) <= passed and len(passed) < 1.02 * n
+    # bits a seed, whatever the number of tokens of an item
+    assert held.count() * decontaminate.BLOCK_BITS <= 2 * n * decontaminate.SEED_BITS
+
+
 def test_decontamination_of_null_and_repeated_ids_is_the_same_by_shuffle(spark, monkeypatch):
     near = " ".join(w if i % 2 else "other" for i, w in enumerate(ITEM.split()))
     seeded = " ".join(f"c{i}" for i in range(60)) + " " + " ".join(w if m == "1" else "x" for w, m in zip(ITEM.split(), decontaminate.MASKS[1], strict=False))
