@@ -87,7 +87,7 @@ def labeled_source() -> type:
                             if w:
                                 counts[w] = counts.get(w, 0) + 1
                         if not self.rejects:
-                            good = batch.filter(pa.array([w is None for w in why]))
+                            good = batch.filter(pa.array([w is None for w in why], pa.bool_()))
                             yield pa.RecordBatch.from_arrays([good.column(f.name).cast(f.type) for f in kind], schema=kind)
                 if self.rejects and counts:
                     name = shard.rpartition("/")[2]
@@ -109,7 +109,7 @@ def labeled_source() -> type:
 
             for batch in batches:
                 rows = pa.Table.from_batches([batch])
-                left = rows if left is None else pa.concat_tables([left, rows])
+                left = rows if left is None or not left.num_rows else pa.concat_tables([left, rows])
                 while left.num_rows >= self.records:
                     put(left.slice(0, self.records))
                     left = left.slice(self.records)

@@ -458,3 +458,19 @@ def test_labeled_records_are_committed_in_shards(spark, tmp_path):
     assert LR.read_records(spark, path)[0].count() == 255
     records.limit(1).write.format(LR.NAME).mode("overwrite").save(path)
     assert LR.read_records(spark, path)[0].count() == 1 and len([p for p in (tmp_path / "records").iterdir() if p.suffix == ".arrow"]) == 1
+
+
+def test_labeled_records_reads_shards_with_batches_of_no_rows(spark, tmp_path):
+    import pyarrow as pa
+    from pyarrow import ipc
+
+    from grovework.sources import labeled as LR
+
+    LR.write_records(spark.createDataFrame([("k", 1, 1, 1, b"a", None)], LR.RECORD).coalesce(1), str(tmp_path / "r"))
+    shard = next(p for p in (tmp_path / "r").iterdir() if p.suffix == ".arrow")
+    table = ipc.open_file(pa.OSFile(str(shard))).read_all()
+    with ipc.new_file(str(shard), table.schema) as out:
+        out.write_batch(table.to_batches()[0].slice(0, 0))
+        out.write_table(table)
+    good, rejects = LR.read_records(spark, str(tmp_path / "r"))
+    assert [r["key"] for r in good.collect()] == ["k"] and rows(rejects) == []
