@@ -474,3 +474,23 @@ def test_labeled_records_reads_shards_with_batches_of_no_rows(spark, tmp_path):
         out.write_table(table)
     good, rejects = LR.read_records(spark, str(tmp_path / "r"))
     assert [r["key"] for r in good.collect()] == ["k"] and rows(rejects) == []
+
+
+@pytest.mark.parametrize("kind", [0, 1])
+def test_superpixels_of_images_in_rows_are_those_of_the_operators(spark, kind):
+    from grovework.operators import regions as G
+
+    shapes = {1: (17, 23), 2: (17, 23), 3: (1, 9), 4: (6, 2), 5: (12, 12)}
+    rng = np.random.default_rng(3)
+    values = [(m, i, j, 7 if m == 5 else int(rng.integers(0, 256))) for m, (h, w) in shapes.items() for i in range(h) for j in range(w)]
+    raster = spark.createDataFrame(values, "image_id long, i int, j int, v int").localCheckpoint()
+    shown = spark.createDataFrame([(m, h, w) for m, (h, w) in shapes.items()], "image_id long, height int, width int")
+    weights, start = G.edge_weights(raster, kind), G.place_seeds(shown, 6)
+    seeds = G.seed_refine(start, raster, shown, 6).localCheckpoint()
+    want = G.superpixel_refine(G.initial_labels(seeds, shown, 6), weights, seeds, 6, 2, raster if kind else None)
+    # nothing but the pixels is shuffled: what is left out is filled in
+    got = G.superpixels(raster.where("v <> 7"), shown, 6, kind=kind, fill=7)
+    assert rows(got.select("image_id", "i", "j", "region")) == rows(want.select("image_id", "i", "j", "region"))
+    energy = G.boundary_energy(G.initial_labels(start, shown, 6), weights, raster, start)
+    assert rows(G.starting_energy(raster, shown, 6, kind=kind)) == rows(energy.select("image_id", "energy"))
+    assert G.superpixels(raster, shown.limit(0), 6).count() == 0
