@@ -494,3 +494,24 @@ def test_superpixels_of_images_in_rows_are_those_of_the_operators(spark, kind):
     energy = G.boundary_energy(G.initial_labels(start, shown, 6), weights, raster, start)
     assert rows(G.starting_energy(raster, shown, 6, kind=kind)) == rows(energy.select("image_id", "energy"))
     assert G.superpixels(raster, shown.limit(0), 6).count() == 0
+
+
+def test_images_of_one_size_are_one_block(spark):
+    from grovework.plans.families import ImageFamily
+
+    sizes = [(4, 5)] * 40 + [(3, 6)] * 2 + [(4, 5)] * 30
+    rng = np.random.default_rng(5)
+    shown = [(k, h, w, rng.integers(0, 256, h * w * 7).tolist(), [(int(rng.integers(0, 3)), int(rng.integers(0, h)), int(rng.integers(0, w))) for _ in range(k % 4)]) for k, (h, w) in enumerate(sizes)]
+    images = spark.createDataFrame(shown, "image_id long, height int, width int, pixels array<int>, points array<struct<label:int,i:int,j:int>>").coalesce(1)
+    family = T.TextonFamily(3)
+    cands = family.candidates(10, 4, 7)
+    batch = family.source(images, cands.params).toArrow().combine_chunks().to_batches()[0]
+    blocks = list(family.blocks(batch, cands.params))
+    alone = [b for k in range(batch.num_rows) for b in family.blocks(batch.slice(k, 1), cands.params)]
+    assert isinstance(family, ImageFamily) and len(blocks) == 3 and len(alone) == len(sizes)
+    every = lambda found, of: np.concatenate([of(b) for b in found])
+    for of in (lambda b: b.label, lambda b: b.image, lambda b: b.matrix(cands.params, np.arange(len(b)))):
+        assert (every(blocks, of) == every(alone, of)).all()
+    label, image = (every(blocks, of) for of in (lambda b: b.label, lambda b: b.image))
+    left = family.kept(batch, [b.label == 1 for b in blocks]).to_pylist()
+    assert [(r["image"], p["label"]) for r in left for p in r["points"]] == [(m, 1) for m in image[label == 1].tolist()] and all(r["points"] for r in left)
